@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import leakage, packing, quality, site_lines, split
+from . import leakage, near_dup, packing, quality, site_lines, split
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def _near_dup(spark, sf_dir):
+    return near_dup.near_duplicates(_pages(spark, sf_dir), "id", "markdown", size=3, similarity=0.7, min_words=80)
+
+
+def p1_found(spark, sf_dir):
+    return near_dup.expanded(*_near_dup(spark, sf_dir))
+
+
+def p1_groups(spark, sf_dir):
+    return near_dup.near_duplicate_groups(*_near_dup(spark, sf_dir))
+
+
 def p3_found(spark, sf_dir):
     return split.oversized_blocks(_pages(spark, sf_dir), "id", "markdown").select("id", "block_no").distinct()
 
@@ -108,6 +120,8 @@ eg as (select item_id, array_to_string(w[i:i+11], ' ') as g from (select item_id
 f as (select distinct doc_id, item_id from dg join eg using (g)) """
 
 QUERIES = {
+    "p1_found": (p1_found, None),
+    "p1_groups": (p1_groups, None),
     "p3_found": (p3_found, None),
     "p3_pieces": (p3_pieces, None),
     "p6_found": (p6_found, _P6 + " select id from r where n_words >= 20 and (case when mean_word_length < 3.5 or mean_word_length > 7.5 then 1 else 0 end) + (case when symbol_ratio > 0.12 then 1 else 0 end) + (case when ended_share < 0.28 then 1 else 0 end) + (case when common_share < 0.15 then 1 else 0 end) >= 2"),
