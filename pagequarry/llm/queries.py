@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import leakage, near_dup, packing, quality, site_lines, split
+from . import langid, leakage, near_dup, packing, quality, site_lines, split
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,23 @@ def p9_clean(spark, sf_dir):
     return leakage.without_leaks(_documents(spark, sf_dir), read_table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text").select("doc_id")
 
 
+def _samples(spark, sf_dir):
+    """Texts of known language; the common words of a language are such texts too."""
+    return read_table(spark, sf_dir, "lang_samples").select("lang", "text").unionByName(read_table(spark, sf_dir, "common_words").select("lang", F.col("word").alias("text")))
+
+
+def p10_found(spark, sf_dir):
+    return langid.mislabelled_segments(_documents(spark, sf_dir), "doc_id", "text", "lang", _samples(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def p10_segments(spark, sf_dir):
+    return langid.segment_languages(_documents(spark, sf_dir), "doc_id", "text", _samples(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def p10_documents(spark, sf_dir):
+    return langid.document_languages(langid.segment_languages(_documents(spark, sf_dir), "doc_id", "text", _samples(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+
+
 _WS = r"[\t\n\x0B\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 _P6 = rf"""with p as (select distinct id, markdown from crawler_pages), c as (select list(distinct word) as l from common_words),
@@ -135,4 +152,7 @@ QUERIES = {
     "p9_found": (p9_found, _P9 + "select doc_id, item_id from f"),
     "p9_spans": (p9_spans, None),
     "p9_clean": (p9_clean, _P9 + "select doc_id from documents where doc_id not in (select doc_id from f)"),
+    "p10_found": (p10_found, None),
+    "p10_segments": (p10_segments, None),
+    "p10_documents": (p10_documents, None),
 }
