@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import langid, leakage, near_dup, packing, quality, site_lines, split
+from . import langid, leakage, near_dup, packing, quality, residue, site_lines, split
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,19 @@ def p1_groups(spark, sf_dir):
     return near_dup.near_duplicate_groups(*_near_dup(spark, sf_dir))
 
 
+def p2_reasons(spark, sf_dir):
+    return residue.residue(_pages(spark, sf_dir), "id", "final_url", "markdown")
+
+
+def p2_found(spark, sf_dir):
+    return p2_reasons(spark, sf_dir).select("id")
+
+
+def p2_real_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir).select("id", "final_url", "markdown")
+    return residue.real_pages(pages, "id", "final_url", "markdown").select("id").distinct()
+
+
 def p3_found(spark, sf_dir):
     return split.oversized_blocks(_pages(spark, sf_dir), "id", "markdown").select("id", "block_no").distinct()
 
@@ -139,6 +152,9 @@ f as (select distinct doc_id, item_id from dg join eg using (g)) """
 QUERIES = {
     "p1_found": (p1_found, None),
     "p1_groups": (p1_groups, None),
+    "p2_found": (p2_found, None),
+    "p2_reasons": (p2_reasons, None),
+    "p2_real_pages": (p2_real_pages, None),
     "p3_found": (p3_found, None),
     "p3_pieces": (p3_pieces, None),
     "p6_found": (p6_found, _P6 + " select id from r where n_words >= 20 and (case when mean_word_length < 3.5 or mean_word_length > 7.5 then 1 else 0 end) + (case when symbol_ratio > 0.12 then 1 else 0 end) + (case when ended_share < 0.28 then 1 else 0 end) + (case when common_share < 0.15 then 1 else 0 end) >= 2"),
