@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
-from . import langid, leakage, near_dup, packing, quality, residue, site_lines, split
+from . import langid, leakage, mainbody, near_dup, packing, quality, residue, site_lines, split
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,14 @@ def p3_pieces(spark, sf_dir):
     return split.split_pieces(_pages(spark, sf_dir), "id", "markdown").distinct()
 
 
+def p5_main_blocks(spark, sf_dir):
+    return mainbody.main_blocks(_pages(spark, sf_dir), "id", "final_url", "html_content").distinct()
+
+
+def p5_found(spark, sf_dir):
+    return mainbody.main_blocks(_pages(spark, sf_dir), "id", "final_url", "html_content").select("id", "block_key").distinct()
+
+
 def _quality(spark, sf_dir):
     return quality.text_quality(_pages(spark, sf_dir), "id", "markdown", read_table(spark, sf_dir, "common_words"))
 
@@ -157,6 +165,8 @@ QUERIES = {
     "p2_real_pages": (p2_real_pages, None),
     "p3_found": (p3_found, None),
     "p3_pieces": (p3_pieces, None),
+    "p5_found": (p5_found, None),
+    "p5_main_blocks": (p5_main_blocks, None),
     "p6_found": (p6_found, _P6 + " select id from r where n_words >= 20 and (case when mean_word_length < 3.5 or mean_word_length > 7.5 then 1 else 0 end) + (case when symbol_ratio > 0.12 then 1 else 0 end) + (case when ended_share < 0.28 then 1 else 0 end) + (case when common_share < 0.15 then 1 else 0 end) >= 2"),
     "p6_stats": (p6_stats, _P6 + " select id, case when markdown is null then null else n_words end as n_words, round(mean_word_length, 6) as mean_word_length, round(symbol_ratio, 6) as symbol_ratio, round(ended_share, 6) as ended_share, round(common_share, 6) as common_share from r join p using (id)"),
     "p6_line_kinds": (p6_line_kinds, None),
