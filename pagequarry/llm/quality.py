@@ -219,9 +219,11 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: DataFr
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = frozenset(r[0] for r in common_words.select(word_col).distinct().collect() if r[0])
-    sample = texts.filter("text is not null").orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample_rows)
+    # the sample's ids first: the texts of the rows that each task proposes would add up at the driver
+    chosen = [r["id"] for r in texts.filter("text is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()]
+    sample = texts.filter(F.col("id").isin(chosen)).dropDuplicates(["id"]).orderBy("id")
     counter = CommonWords(known)
-    fitted = [np.array(f) for r in sample.collect() if (f := _lines(r["text"], counter)[5])]
+    fitted = [np.array(f) for r in sample.collect() if r["text"] and (f := _lines(r["text"], counter)[5])]
     model = fit_line_model(fitted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
