@@ -1 +1 @@
-
+"""Column functions over URLs and page text."""
