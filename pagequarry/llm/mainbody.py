@@ -39,7 +39,7 @@ from ..html.tokens import TOKEN, VOID, ended_by
 from ..runtime import materialize
 from .site_lines import host_of
 
-SAMPLE_PAGES, TREE_PAGES, PAGES_PER_SITE = 2000, 700, 20
+SAMPLE_PAGES, TREE_PAGES, PAGES_PER_SITE = 1600, 600, 20
 MIN_DOCS, MIN_SHARE = 5, 0.1
 #: Label rule: a short line on so many sites of the sample is not of their articles.
 MIN_SITES, MAX_LINE = 3, 160
@@ -313,11 +313,8 @@ class Boosted:
     def __init__(self, edges: list[np.ndarray], features: np.ndarray, cuts: np.ndarray, values: np.ndarray, bias: float):
         self.edges, self.features, self.cuts, self.values, self.bias = edges, features, cuts, values, bias
 
-    def bin(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(self.edges)], 1).astype(np.uint8)
-
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        binned = np.ascontiguousarray(self.bin(x).T)
+        binned = bin_features(x, self.edges)
         out = np.full(len(x), self.bias)
         rows = np.arange(len(x))
         for feature, cut, value in zip(self.features, self.cuts, self.values):
@@ -328,22 +325,32 @@ class Boosted:
         return out
 
 
-def fit_boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Boosted:
+def feature_edges(x: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
+
+
+def bin_features(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Bins as bytes, one row per feature."""
+    out = np.empty((len(edges), len(x)), np.uint8)
+    for k, e in enumerate(edges):
+        out[k] = np.searchsorted(e, x[:, k], side="right")
+    return out
+
+
+def fit_boosted(edges: list[np.ndarray], binned: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Boosted:
     """Newton boosting of the logistic loss with histograms; rows and features are subsampled per tree."""
     rng = np.random.default_rng(seed)
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
-    model = Boosted(edges, None, None, None, 0.0)
-    binned = model.bin(x)
-    model.bias = float(np.log((weight @ y + 1) / (weight @ (1 - y) + 1)))
-    score = np.full(len(x), model.bias)
+    n = len(y)
+    model = Boosted(edges, None, None, None, float(np.log((weight @ y + 1) / (weight @ (1 - y) + 1))))
+    score = np.full(n, model.bias)
     inner, bottom = 2**TREE_DEPTH - 1, 2**TREE_DEPTH
     trees = []
     for _ in range(N_TREES):
         p = 1 / (1 + np.exp(-score))
         g, h = weight * (y - p), weight * p * (1 - p)
-        rows = np.flatnonzero(rng.random(len(x)) < ROW_SHARE)
-        use = np.flatnonzero(rng.random(x.shape[1]) < FEATURE_SHARE)
-        b, gr, hr = binned[rows], g[rows], h[rows]
+        rows = np.flatnonzero(rng.random(n) < ROW_SHARE)
+        use = np.flatnonzero(rng.random(len(edges)) < FEATURE_SHARE)
+        b, gr, hr = binned[:, rows], g[rows], h[rows]
         feature, cut = np.zeros(inner, np.int64), np.full(inner, 255, np.int64)
         node = np.zeros(len(rows), np.int64)
         for level in range(TREE_DEPTH):
@@ -351,7 +358,7 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7)
             best = np.full(width, 1e-6)
             base = 2**level - 1
             for k in use:
-                cell = node * (BINS + 1) + b[:, k]
+                cell = node * (BINS + 1) + b[k]
                 gs = np.bincount(cell, gr, width * (BINS + 1)).reshape(width, -1).cumsum(1)
                 hs = np.bincount(cell, hr, width * (BINS + 1)).reshape(width, -1).cumsum(1)
                 g_all, h_all = gs[:, -1:], hs[:, -1:]
@@ -362,13 +369,13 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7)
                 better = top > best
                 best[better] = top[better]
                 feature[base : base + width][better], cut[base : base + width][better] = k, at[better]
-            node = 2 * node + (b[np.arange(len(rows)), feature[base + node]] > cut[base + node])
+            node = 2 * node + (b[feature[base + node], np.arange(len(rows))] > cut[base + node])
         value = RATE * np.bincount(node, gr, bottom) / (np.bincount(node, hr, bottom) + 1)
         trees.append((feature, cut, value))
-        at = np.zeros(len(x), np.int64)
-        every = np.arange(len(x))
+        at = np.zeros(n, np.int64)
+        every = np.arange(n)
         for _ in range(TREE_DEPTH):
-            at = 2 * at + 1 + (binned[every, feature[at]] > cut[at])
+            at = 2 * at + 1 + (binned[feature[at], every] > cut[at])
         score += value[at - inner]
     model.features, model.cuts, model.values = (np.stack(t) for t in zip(*trees))
     return model
@@ -508,15 +515,16 @@ def fit(pages: list[tuple[str | None, str]], recurring: dict[int, float]) -> Ext
         labels.append((main, trusted))
         sure = trusted[table.page[table.leaf]]
         odds.append(fit_wording([t for t, s in zip(nodes.text, sure) if s], main[sure]))
-    xs, ys, ws = [], [], []
+    xs, ys, ws, edges = [], [], [], None
     rng = np.random.default_rng(11)
+    n_trusted = max(1, sum(int(t.sum()) for _, t in labels))
     for k, ((nodes, flags), (main, trusted)) in enumerate(zip(parsed, labels)):
         if not trusted.any():
             continue
         table = Table(nodes, flags, wording_of(nodes.text, odds[1 - k]))  # wording learnt from the other half
         chars = np.maximum(table.up(table.chars), 1)
         share = table.up(table.chars * main) / chars
-        use = trusted & (rng.random(len(trusted)) < TREE_PAGES / max(1, sum(t.sum() for _, t in labels)))
+        use = trusted & (rng.random(len(trusted)) < TREE_PAGES / n_trusted)
         use = use[table.page] & (table.up(np.ones(len(table.leaf))) > 0)
         weight = np.where(np.isin(np.arange(len(share)), table.leaf), 1.0, 0.5)
         plain = np.where(np.isin(table.tag, _TELLING), _DIV, table.tag)
@@ -524,22 +532,25 @@ def fit(pages: list[tuple[str | None, str]], recurring: dict[int, float]) -> Ext
         shuffled = rng.permutation(len(share))
         flat = table.flattened()
         cells = np.where((rng.random(len(plain)) < 0.5) & (plain == _DIV), _TAG["td"], plain)
-        views = [  # features, weight: as it is; without names; with names from elsewhere; with a misleading name on the article; as a layout table; without an element around the article
-            (table.features(), 1.0),
-            (table.features(plain, zero, zero), 1.0),
-            (table.features(plain, table.good[shuffled], table.bad[shuffled]), 0.5),
-            (table.features(plain, np.where(table.trusted, 0, table.good), np.where(table.trusted, 1, table.bad)), 1.0),
-            (table.features(cells, zero, zero), 0.5),
-            (flat.features(cells, zero, zero), 0.5),
-            (flat.features(plain, table.good[shuffled], table.bad[shuffled]), 0.5),
+        views = [  # tree, tags and names, weight
+            (table, (table.tag, table.good, table.bad), 1.0),  # as it is
+            (table, (plain, zero, zero), 1.0),  # without telling tags and names
+            (table, (plain, table.good[shuffled], table.bad[shuffled]), 0.5),  # with names from elsewhere
+            (table, (plain, np.where(table.trusted, 0, table.good), np.where(table.trusted, 1, table.bad)), 1.0),  # with a misleading name on the article
+            (table, (cells, zero, zero), 0.5),  # as a layout table
+            (flat, (cells, zero, zero), 0.5),  # without an element around the article
+            (flat, (plain, table.good[shuffled], table.bad[shuffled]), 0.5),
         ]
-        for view, worth in views:
-            xs.append(view[use])
+        for tree, (tag, good, bad), worth in views:
+            x = tree.features(tag, good, bad)[use]
+            if edges is None:
+                edges = feature_edges(x)
+            xs.append(bin_features(x, edges))
             ys.append((share[use] > 0.5).astype(float))
             ws.append(weight[use] * worth)
     if not xs:
         raise ValueError("no page of the sample says where its article is")
-    trees = fit_boosted(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
+    trees = fit_boosted(edges, np.concatenate(xs, 1), np.concatenate(ys), np.concatenate(ws))
     both = [t for (nodes, _), (_, trusted) in zip(parsed, labels) for t in nodes.text]
     main = np.concatenate([m for m, _ in labels])
     sure = np.concatenate([np.repeat(trusted, np.bincount(_page_of_leaves(nodes), minlength=len(trusted))) if len(trusted) else np.zeros(0, bool) for (nodes, _), (_, trusted) in zip(parsed, labels)])
@@ -586,15 +597,17 @@ def main_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     chosen = heads.filter("rank = 1").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(64))).filter(F.col("bucket") < PAGES_PER_SITE).orderBy(F.xxhash64("host"), F.xxhash64("id")).limit(SAMPLE_PAGES).select("id").collect()
     sample = pages.filter(F.col("id").isin([r["id"] for r in chosen])).dropDuplicates(["id"]).orderBy("id").collect()
     own = [(r["host"], r["html"]) for r in sample]
-    seen = list({recurrence_key(site_hash(host), t) for host, source in own for t in block_texts(source)})
+    del sample
     if n_keys <= MAX_BROADCAST_KEYS:
         table = {r["key"]: r["share"] for r in keys.collect()}
         model = spark.sparkContext.broadcast((fit(own, table), set(table)))
         located = pages.withColumn("keys", F.lit(None).cast("array<long>"))
     else:  # each page gets its site's keys; MIN_SHARE bounds their number by the mean blocks of a page / MIN_SHARE
+        seen = {recurrence_key(site_hash(host), t) for host, source in own for t in block_texts(source)}
         wanted = spark.createDataFrame([(k,) for k in seen], "key long")
         model = spark.sparkContext.broadcast((fit(own, {r["key"]: r["share"] for r in keys.join(wanted, "key").collect()}), None))
         located = _with_site_keys(pages, keys)
+    del own
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
