@@ -1 +1 @@
-
+"""Readers and writers: crawl tables, sitemap documents, fetched pages, JSON."""
