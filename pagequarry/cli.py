@@ -112,9 +112,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-f", "--fetch-mode", default="cheerio", choices=["cheerio", "playwright"])
     c.add_argument("--dry-run", action="store_true")
     c.add_argument("--recrawl", action="store_true")
-    c.set_defaults(run=crawl)
+    c.set_defaults(work=crawl)
     r = sub.add_parser("research", help="projects and their runs")
-    r.set_defaults(run=research)
+    r.set_defaults(work=research)
     actions = r.add_subparsers(dest="action", required=True)
     actions.add_parser("list")
     for name in ("show", "pages", "domains", "add-run"):
@@ -139,16 +139,16 @@ def parser() -> argparse.ArgumentParser:
         b.add_argument("--url-pattern")
         b.add_argument("--dry-run", action="store_true")
         b.add_argument("--force-all", action="store_true")
-        b.set_defaults(run=fill)
+        b.set_defaults(work=fill)
     d = sub.add_parser("clear-domain")
     d.add_argument("domain")
-    d.set_defaults(run=clear_domain)
+    d.set_defaults(work=clear_domain)
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    a.run(a)
+    a.work(a)
     return 0
 
 

@@ -13,8 +13,6 @@ from ..sources import tables
 from . import discover, merge
 from .pages import parse_pages
 
-_PAGE_COLUMNS = [f.name for f in schemas.struct(schemas.CRAWLER_PAGES)]
-
 
 def located(fetched: DataFrame, compat: bool = False) -> DataFrame:
     """fetched with final_url, redirected and redirect_chain. A page was redirected if the identity of the URL it was
@@ -41,7 +39,7 @@ def page_events(fetched: DataFrame, hints: DataFrame | None = None, overrides: D
     )
     kinds = {f.name: f.dataType for f in schemas.struct(schemas.CRAWLER_PAGES)}
     known = {"requested_url_original": F.col("requested_url"), "final_url": F.col("final_url"), "crawl_status": F.lit("ERROR"), "last_error": F.col("error"), "run_id": F.col("run_id"), "sitemap_type_hint": F.col("type_hint"), "word_count": F.lit(0), "fetch_mode": F.lit("cheerio")}
-    failed = rows.filter("error is not null").select("seq", *[known.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in _PAGE_COLUMNS if c not in ("id", "last_crawled_at")])
+    failed = rows.filter("error is not null").select("seq", *[known.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in kinds if c not in ("id", "last_crawled_at")])
     return done.select(*failed.columns).unionByName(failed)
 
 

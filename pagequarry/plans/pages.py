@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backfill, ingest, merge
 from ..operators.pages import parse_pages
-from ..runtime import read_table
+from ..runtime import materialize, read_table
 
 
 def _html(spark, sf_dir):
@@ -73,7 +73,7 @@ def crawl_ingest(spark, sf_dir):
     """The stored sources as a fresh crawl: located, parsed and merged onto nothing."""
     p = read_table(spark, sf_dir, "crawler_pages").dropDuplicates(["id"])
     fetched = p.select(F.coalesce("requested_url_original", "final_url").alias("requested_url"), F.col("final_url").alias("loaded_url"), "status_code", F.col("html_content").alias("body"), "redirect_chain", F.col("sitemap_type_hint").alias("type_hint"), F.col("id").alias("seq"), F.col("last_error").alias("error"), F.col("last_crawled_at").alias("fetched_at"), "run_id")
-    events = ingest.page_events(fetched, overrides=read_table(spark, sf_dir, "domain_overrides"))
+    events = materialize(ingest.page_events(fetched, overrides=read_table(spark, sf_dir, "domain_overrides")), "crawl-ingest")
     merged = merge.merge_pages(p.limit(0), events, F.expr("TIMESTAMP '2026-01-01 00:00:00'"))
     return merged.groupBy("crawl_status").agg(F.count("*").alias("pages"), F.count("redirect_chain").alias("with_chain"))
 

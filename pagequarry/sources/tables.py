@@ -81,22 +81,24 @@ def run_query(spark: SparkSession, text: str, **parameters) -> DataFrame:
 
 
 def export_json(df: DataFrame, path: str, single_array: bool = False) -> None:
-    """JSON lines, one file per partition; single_array writes one JSON array per partition, in one file for small results."""
+    """JSON lines, one file per partition; single_array writes one array into one file, for results that a person reads."""
     if not single_array:
         df.write.mode("overwrite").json(path)
         return
-    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).coalesce(1)
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+    rows = rows.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("string").alias("j"))).coalesce(1)  # the null row closes the array
 
     def wrap(batches):
         import pandas as pd
 
-        first = True
+        lead = "["
         for batch in batches:
-            lines = [("[" if first and k == 0 else ",") + j for k, j in enumerate(batch["j"])]
-            if lines:
-                first = False
-            yield pd.DataFrame({"value": lines})
-        yield pd.DataFrame({"value": ["[]" if first else "]"]})
+            lines = []
+            for j in batch["j"].dropna():
+                lines.append(lead + j)
+                lead = ","
+            yield pd.DataFrame({"value": pd.Series(lines, dtype=object)})
+        yield pd.DataFrame({"value": ["[]" if lead == "[" else "]"]})
 
     rows.mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
 

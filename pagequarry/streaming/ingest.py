@@ -19,11 +19,11 @@ def fetched_stream(spark: SparkSession, folder: str, files_per_batch: int = 100,
     return spark.readStream.schema(schemas.FETCHED_PAGES).option("maxFilesPerTrigger", files_per_batch).format(kind).load(folder)
 
 
-def without_recent(stream: DataFrame, ttl: str = "7 days", late: str = "1 hour") -> DataFrame:
+def without_recent(stream: DataFrame, ttl: str = "7 days") -> DataFrame:
     """Fetches of a URL that was fetched within the time to live are dropped; state older than that is forgotten."""
     from ..functions.urls import normalize_url
 
-    keyed = stream.withColumn("__key", normalize_url(F.col("requested_url"))).withWatermark("fetched_at", ttl or late)
+    keyed = stream.withColumn("__key", normalize_url(F.col("requested_url"))).withWatermark("fetched_at", ttl)
     return keyed.dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
 
@@ -37,10 +37,11 @@ def merge_stream(stream: DataFrame, tables: str, checkpoint: str, once: bool = T
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def status_counts(stream: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Fetches per window of time and status, final once the watermark has passed."""
+def status_counts(stream: DataFrame, window: str = "10 minutes", late: str | None = "1 hour") -> DataFrame:
+    """Fetches per window of time and status, final once the watermark has passed. late None keeps a watermark set before."""
     from ..functions.text import crawl_status
 
     status = F.when(F.col("error").isNotNull(), "ERROR").otherwise(crawl_status(F.col("status_code")))
-    counted = stream.withWatermark("fetched_at", late).groupBy(F.window("fetched_at", window).alias("w"), status.alias("status")).count()
+    timed = stream if late is None else stream.withWatermark("fetched_at", late)
+    counted = timed.groupBy(F.window("fetched_at", window).alias("w"), status.alias("status")).count()
     return counted.select(F.col("w.start").alias("window_start"), "status", "count")
