@@ -120,7 +120,7 @@ def _joined(corpus: DataFrame, side: DataFrame, n: int, schema: str, kinds: tupl
                     low.append(a.view(np.int64))
                     high.append(b.view(np.int64))
                     place.append(np.arange(len(a), dtype=np.int32))
-                yield pd.DataFrame({key: keys, "low": np.concatenate([*low, np.zeros(0, np.int64)]), "high": np.concatenate([*high, np.zeros(0, np.int64)]), "k": np.concatenate([*place, np.zeros(0, np.int32)])})
+                yield pd.DataFrame({key: pd.Series(keys, dtype=object), "low": np.concatenate([*low, np.zeros(0, np.int64)]), "high": np.concatenate([*high, np.zeros(0, np.int64)]), "k": np.concatenate([*place, np.zeros(0, np.int32)])})
 
         return run
 

@@ -422,7 +422,7 @@ def common_lines(table: Table, texts: list[str], hosts: list[str]) -> np.ndarray
         if key:
             sites[key].add(hosts[p])
             alone[key].append(rest[p] <= 2 * len(text) + 40)
-    return np.array([bool(k) and len(sites[k]) >= MIN_SITES and np.mean(alone[k]) < 0.5 for k in keys], bool)
+    return np.array([" " in k and len(sites[k]) >= MIN_SITES and np.mean(alone[k]) < 0.5 for k in keys], bool)
 
 
 def _running(table: Table) -> np.ndarray:
@@ -576,7 +576,7 @@ def recurring_blocks(pages: DataFrame) -> DataFrame:
                 ids += [i] * (len(mine) + 1)
                 sites += [site] * (len(mine) + 1)
                 keys += [*mine, None]
-            yield pd.DataFrame({"id": ids, "site": sites, "key": pd.array(keys, "Int64")})
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "site": sites, "key": pd.array(keys, "Int64")})
 
     kind = pages.schema["id"].dataType.simpleString()
     rows = materialize(pages.filter("host is not null").mapInPandas(run, f"id {kind}, site long, key long"), "blocks")
@@ -641,7 +641,7 @@ def _with_site_keys(pages: DataFrame, keys: DataFrame) -> DataFrame:
                 mine = {recurrence_key(site_hash(host), t) for t in block_texts(source)} if host else ()
                 ids += [i] * len(mine)
                 found += mine
-            yield pd.DataFrame({"id": ids, "key": found})
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "key": found})
 
     kind = pages.schema["id"].dataType.simpleString()
     own = pages.mapInPandas(run, f"id {kind}, key long").join(keys.select("key"), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))

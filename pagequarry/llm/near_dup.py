@@ -165,7 +165,7 @@ def _compare(cells: DataFrame, most: int) -> DataFrame:
                     if x != y:
                         left.append(min(x, y))
                         right.append(max(x, y))
-            yield pd.DataFrame({"id_a": left, "id_b": right})
+            yield pd.DataFrame({"id_a": pd.Series(left, dtype=object), "id_b": pd.Series(right, dtype=object)})
 
     kind = cells.schema["members"].dataType.elementType["id"].dataType.simpleString()
     return cells.select("members").mapInPandas(run, f"id_a {kind}, id_b {kind}")
@@ -214,7 +214,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, min_words: int, simi
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(size, min_words)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "set": [shingler(t).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "set": pd.Series([shingler(t).tobytes() for t in batch["text"]], dtype=object)})
 
     kind = texts.schema["id"].dataType.simpleString()
     sets = texts.join(wanted, "id", "left_semi").mapInPandas(shingles, f"id {kind}, set binary").dropDuplicates(["id"])

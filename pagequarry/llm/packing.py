@@ -33,7 +33,7 @@ from ..runtime import materialize, tokenizer_folder
 
 CAPACITY = 1024
 #: Share of the capacity from which a length is large, and number of groups.
-LARGE_SHARE, N_GROUPS = 1 / 8, 24
+LARGE_SHARE, N_GROUPS = 1 / 3, 64
 
 #: Split pattern of the byte-pair vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -60,8 +60,8 @@ PLACEHOLDER = re.compile(
             r"(?<![\w_])__[A-Z][A-Z0-9_]{2,40}__(?![\w_])",
             r"(?<![\w@])@[A-Za-z][a-z_A-Z]{2,40}@(?![\w@])",
             r"\bX{3,}[-_][A-Z]+(?:[-_]X{3,})?\b",
-            r"\[(?:insert|enter|add|your|type|put|company|client|first|last|full|ihr|ihre|votre|su|tu|il tuo|o seu)\b[^\]\n]{0,60}\](?!\()",
-            r"\[[A-Za-z]+ (?:name|here|title|goes here|placeholder)\](?!\()",
+            r"\[(?i:insert|enter|add|your|type|put|company|client|first|last|full|ihr|ihre|votre|su|tu|il tuo|o seu)\b[^\]\n]{0,60}\](?!\()",
+            r"\[[A-Za-z]+ (?i:name|here|title|goes here|placeholder)\](?!\()",
             r"\[/?[a-z]+_[a-z_]+(?: [a-z_]+=[^\]\n]{1,60})*\](?!\()",
             r"&lt;/?[A-Za-z][\w ]{1,40}&gt;",
             r"<(?!/|(?:%s)\b|https?:|mailto:)[A-Za-z]{3,20}(?:[ _][A-Za-z]+)?>" % "|".join(_HTML),
