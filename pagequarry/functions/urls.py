@@ -231,6 +231,21 @@ def normalize_url(url: Column) -> Column:
     return F.when(url.isNull() | (js_trim(url) == ""), None).when(common, fast).otherwise(slow)
 
 
+def normalize_url_with(url: Column, enforce_https: bool = False, slash: str = "never") -> Column:
+    """normalize_url with a policy: http raised to https; a slash at the path's end "never", "always" (unless the last
+    segment looks like a file) or "preserve"d as given."""
+    if slash not in ("never", "always", "preserve"):
+        raise ValueError("slash is never, always or preserve")
+    out = normalize_url(url)
+    if enforce_https:
+        out = F.regexp_replace(F.regexp_replace(out, "^http:", "https:"), "^(https://[^/?#]*?):80(?=[/?#]|$)", "$1")
+    if slash != "never":
+        path = F.regexp_extract(out, r"^https?://[^/?#]*([^?#]*)", 1)
+        wanted = ~path.endswith("/") & ~F.element_at(F.split(path, "/"), -1).contains(".") if slash == "always" else ~path.endswith("/") & js_trim(url).rlike(r"^[^?#]*[^/?#:]/+(?:[?#]|$)")
+        out = F.when(wanted, F.regexp_replace(out, r"^(https?://[^?#]*)", "$1/")).otherwise(out)
+    return out
+
+
 def domain(url: Column) -> Column:
     """Host name of the URL's identity, without port."""
     return F.regexp_extract(normalize_url(url), r"^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^:/?#]*)", 1)

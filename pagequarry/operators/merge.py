@@ -1,9 +1,8 @@
 """Upserts of pages, aliases, runs and overrides as set operations.
 
 Events of one batch are folded onto the stored rows in the order of `seq`, as if applied one after the other.
-A fold is one shuffle by the key: stored rows take part with seq -1, window functions and ordered aggregates do
-the rest. A key with very many events is still aggregated piecewise (min, max_by), except for the running hash,
-which needs that key's hashes in order, without its documents.
+A fold is one shuffle by the key: stored rows take part with seq -1, and the windows and ordered aggregates that
+follow keep that partitioning and order.
 """
 
 from __future__ import annotations
@@ -46,7 +45,6 @@ def merge_pages(stored: DataFrame, events: DataFrame, now: Column, markdown_poli
     old = stored.withColumn("seq", F.lit(-1).cast("long")).withColumn("is_stored", F.lit(True))
     new = _as_written(events).withColumn("is_stored", F.lit(False)).withColumn("id", F.lit(None).cast("long")).withColumn("last_crawled_at", now)
     both = old.unionByName(new.select(*old.columns)).withColumn("merge_key", key if key is not None else F.col("final_url"))
-    # the running hash alone is windowed; documents are not sorted
     w = Window.partitionBy("merge_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("hash_before", F.last("content_hash", ignorenulls=True).over(w)).withColumn("first_row", F.row_number().over(Window.partitionBy("merge_key").orderBy("seq")) == 1)
     both = both.withColumn("changes", F.col("first_row") | (F.col("content_hash").isNotNull() & (F.col("content_hash") != F.coalesce("hash_before", F.lit("")))))

@@ -74,3 +74,16 @@ def test_links_of_menus():
 def test_languages(spark):
     df = spark.createDataFrame([("https://a.example/es/x", None), ("https://a.example/x", '<html class="k" lang="fr-CA">'), ("https://a.example/x", '<meta http-equiv="Content-Language" content="de">'), ("https://a.example/x", None)], "u string, h string")
     assert [r[0] for r in df.select(U.page_language(F.col("u"), F.col("h"))).collect()] == ["es", "fr", "de", "en"]
+
+
+def test_policies(spark):
+    df = spark.createDataFrame([("http://a.example/x/",), ("http://a.example/x",), ("http://a.example/f.html?q=1",), ("http://a.example",), (None,)], "u string")
+    u = F.col("u")
+    got = df.select(U.normalize_url_with(u, True).alias("a"), U.normalize_url_with(u, slash="always").alias("b"), U.normalize_url_with(u, slash="preserve").alias("c")).collect()
+    assert [r["a"] for r in got] == ["https://a.example/x", "https://a.example/x", "https://a.example/f.html?q=1", "https://a.example/", None]
+    assert [r["b"] for r in got] == ["http://a.example/x/", "http://a.example/x/", "http://a.example/f.html?q=1", "http://a.example/", None]
+    assert [r["c"] for r in got] == ["http://a.example/x/", "http://a.example/x", "http://a.example/f.html?q=1", "http://a.example/", None]
+    with pytest.raises(ValueError):
+        U.normalize_url_with(u, slash="often")
+    allowed = df.select(U.matches_policy(u, ["/x"], ["x/$"]).alias("ok")).collect()
+    assert [r["ok"] for r in allowed] == [False, True, False, False, None]
