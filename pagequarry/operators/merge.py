@@ -60,24 +60,25 @@ def merge_pages(stored: DataFrame, events: DataFrame, now: Column, markdown_poli
         **{c: _last_even_null(c) for c in OVERWRITE},
         **{c: F.max_by(F.struct(c), changed)[c] for c in gated},
         **{c: _last_known(c) for c in kept},
-        "first_seq": F.min("seq"),
     }
     merged = both.groupBy("merge_key").agg(*[v.alias(k) for k, v in aggregates.items()])
-    return _with_ids(merged, stored).select(*columns)
+    identity = key if key is not None else F.col("final_url")
+    ids = new_ids(stored.select(identity.alias("merge_key"), "id"), events.select(identity.alias("merge_key"), "seq"))
+    return merged.join(ids, "merge_key", "left").withColumn("id", F.coalesce("id", "new_id")).select(*columns)
 
 
-def _with_ids(merged: DataFrame, stored: DataFrame) -> DataFrame:
-    """Ids for new rows, following the largest stored one. Numbers come from counts per hash bucket, so that no
-    window spans all new rows."""
+def new_ids(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """merge_key, new_id for keys of events that are not stored yet: numbers without gaps after the largest stored id.
+
+    Only keys travel here. Within a hash bucket numbers follow first seq; buckets get their starts from counts, so no
+    task sorts all new keys.
+    """
     buckets = 64
+    new = events.groupBy("merge_key").agg(F.min("seq").alias("first_seq")).join(stored.select("merge_key"), "merge_key", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("merge_key"), F.lit(buckets)))
+    starts = new.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rows = merged.withColumn("bucket", F.when(F.col("id").isNull(), F.pmod(F.xxhash64("merge_key"), F.lit(buckets))))
-    sizes = rows.filter("id is null").groupBy("bucket").agg(F.count("*").alias("n"))
-    starts = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("first_seq", "merge_key"))
-    numbered = rows.filter("id is null").withColumn("rank", rank).join(starts, "bucket").crossJoin(F.broadcast(top))
-    numbered = numbered.withColumn("id", F.col("top") + F.col("start") + F.col("rank")).drop("rank", "start", "top")
-    return rows.filter("id is not null").unionByName(numbered)
+    return new.withColumn("rank", rank).join(starts, "bucket").crossJoin(F.broadcast(top)).select("merge_key", (F.col("top") + F.col("start") + F.col("rank")).alias("new_id"))
 
 
 def merge_aliases(stored: DataFrame, events: DataFrame, now: Column) -> DataFrame:
