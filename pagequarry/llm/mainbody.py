@@ -44,7 +44,7 @@ MIN_DOCS, MIN_SHARE = 5, 0.1
 #: Label rule: a short line on so many sites of the sample is not of their articles.
 MIN_SITES, MAX_LINE = 3, 160
 MAX_BROADCAST_KEYS = 4_000_000
-N_TREES, TREE_DEPTH, RATE, BINS, ROW_SHARE, FEATURE_SHARE = 60, 5, 0.2, 32, 0.35, 0.6
+N_TREES, TREE_DEPTH, RATE, BINS, ROW_SHARE, FEATURE_SHARE = 60, 5, 0.2, 32, 0.15, 0.6
 MAX_WORDS = 20_000
 #: Weight of an inner node's log-odds against the sum over its leaves.
 NODE_WEIGHT = 0.5
