@@ -14,7 +14,8 @@ recur on the site or stand in a part marked as something else. Every sampled pag
 tags and tokens and with shuffled ones, so that the trees learn from structure, place and wording too; they are then
 applied to all pages alike.
 
-Text that recurs on a site is counted over all pages (5 pages and a tenth of the site's pages at least).
+Text that recurs on a site is counted over all pages (5 pages and a tenth of the site's pages at least), and so are the
+sites of short lines, the site's own name left out (5 sites at least).
 
 Defined results: null and empty pages, and pages without text, give no block; a page of one site only, or with a null
 URL, counts no recurrences; repeated rows count once (by id); equal blocks of a page are one result row per key.
@@ -26,7 +27,7 @@ import copy
 import hashlib
 import html as entities
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,8 @@ from .site_lines import host_of
 
 SAMPLE_PAGES, TREE_PAGES, PAGES_PER_SITE = 1600, 600, 20
 MIN_DOCS, MIN_SHARE = 5, 0.1
-#: Label rule: a short line on so many sites of the sample is not of their articles.
-MIN_SITES, MAX_LINE = 3, 160
+#: A short line on so many sites is common; beside other text it is not of their articles (label rule).
+MIN_SITES, MAX_LINE = 5, 160
 MAX_BROADCAST_KEYS = 4_000_000
 N_TREES, TREE_DEPTH, RATE, BINS, ROW_SHARE, FEATURE_SHARE = 60, 5, 0.2, 32, 0.15, 0.6
 MAX_WORDS = 20_000
@@ -178,6 +179,15 @@ def recurrence_key(site: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(_DIGITS.sub("", text).casefold(), site & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
+def common_key(host: str | None, text: str) -> int | None:
+    """Hash of a short line's words without the site's name; None for longer texts and single words."""
+    if len(text) > MAX_LINE:
+        return None
+    names = _TOKENS.findall((host or "").split(".")[0])
+    words = [w for w in _WORD.findall(text.lower()) if w not in names]
+    return xxhash.xxh3_64_intdigest(" ".join(words), 1) - (1 << 63) if len(words) > 1 else None
+
+
 def site_hash(host: str | None) -> int:
     return xxhash.xxh3_64_intdigest(host or "") - (1 << 63)
 
@@ -188,7 +198,7 @@ def site_hash(host: str | None) -> int:
 class Table:
     """Arrays of a batch of pages, and the features of its nodes."""
 
-    def __init__(self, nodes: Nodes, recurring: np.ndarray, wording: np.ndarray):
+    def __init__(self, nodes: Nodes, recurring: np.ndarray, common: np.ndarray, wording: np.ndarray):
         self.parent, self.depth, self.tag = (np.array(x, np.int32) for x in (nodes.parent, nodes.depth, nodes.tag))
         self.good, self.bad = np.array(nodes.good, np.float32), np.array(nodes.bad, np.float32)
         self.trusted = np.array(nodes.trusted, bool)
@@ -202,7 +212,7 @@ class Table:
         self.words = np.array([t.count(" ") + 1 for t in texts], np.float32)
         self.ended = np.array([t[-1] in ".!?…" for t in texts], np.float32)
         self.linked = np.array(nodes.linked, np.float32)
-        self.recurring = recurring.astype(np.float32)
+        self.recurring, self.common = recurring.astype(np.float32), common.astype(np.float32)
         self.wording = wording.astype(np.float32)
         self.upper = np.array([t.isupper() for t in texts], np.float32)
         self.marks = np.array([("©" in t) + sum(t.count(c) for c in "·|/»") for t in texts], np.float32)
@@ -243,6 +253,7 @@ class Table:
         link = self.up(self.linked) / safe_chars
         ended = self.up(self.ended) / safe_count
         recurring = self.up(self.recurring * self.chars) / safe_chars
+        common = self.up(self.common * self.chars) / safe_chars
         wording = self.up(self.wording * self.words) / np.maximum(self.up(self.words), 1)
         heads = self.up(headings) / safe_count
         items = self.up(leaf_tag == _TAG["li"]) / safe_count
@@ -286,10 +297,10 @@ class Table:
         is_leaf[self.leaf] = 1
         text_only = np.zeros((n, 3))
         text_only[self.leaf, 0], text_only[self.leaf, 1], text_only[self.leaf, 2] = self.upper, self.marks, self.digits / np.maximum(self.chars, 1)
-        own = [np.log1p(chars), count, link, ended, recurring, wording, heads, items, paragraphs, h1, chars / safe_count]
+        own = [np.log1p(chars), count, link, ended, recurring, wording, common, heads, items, paragraphs, h1, chars / safe_count]
         # the block's nearest neighbours in reading order
         neighbours = []
-        for values in (np.log1p(self.chars), self.recurring, self.wording, self.linked / np.maximum(self.chars, 1)):
+        for values in (np.log1p(self.chars), self.recurring, self.common, self.wording, self.linked / np.maximum(self.chars, 1)):
             padded = np.r_[0, values, 0]
             for shift in (0, 2):
                 column = np.zeros(n)
@@ -299,7 +310,7 @@ class Table:
         columns = [
             is_leaf, tag, tag[parent], tag[grand], self.depth, from_h1, siblings, same, rank, around,
             good, bad, path_good, path_bad, tell[:, 0], tell[:, 1], text_only[:, 0], text_only[:, 1], text_only[:, 2],
-            *own, *(x[parent] for x in own), *(x[grand] for x in own[:7]), *neighbours,
+            *own, *(x[parent] for x in own), *(x[grand] for x in own[:8]), *neighbours,
         ]
         return np.stack(columns, 1).astype(np.float32)
 
@@ -406,23 +417,13 @@ def wording_of(texts: list[str], odds: dict[str, float]) -> np.ndarray:
 # ---- labels, fit and decoding
 
 
-def common_lines(table: Table, texts: list[str], hosts: list[str]) -> np.ndarray:
-    """Per leaf: does its text, without digits and the site's name, stand on MIN_SITES sites of the sample, mostly beside
-    other text? (A message that fills its page is the page's main body wherever else it occurs.)"""
+def stray_lines(table: Table) -> np.ndarray:
+    """Leaves with a common line beside other text. (A message that fills its page is the page's main body wherever
+    else it occurs.)"""
     running = _running(table)
     page = table.page[table.leaf]
-    rest = np.bincount(page, table.chars * running * _inside(table)[table.leaf], len(table.root))
-    names = [set(_TOKENS.findall(h.split(".")[0])) for h in hosts]
-    sites, alone = defaultdict(set), defaultdict(list)
-    keys = []
-    for k, text in enumerate(texts):
-        p = page[k]
-        key = " ".join(w for w in _WORD.findall(text.lower()) if w not in names[p]) if running[k] and len(text) <= MAX_LINE else ""
-        keys.append(key)
-        if key:
-            sites[key].add(hosts[p])
-            alone[key].append(rest[p] <= 2 * len(text) + 40)
-    return np.array([" " in k and len(sites[k]) >= MIN_SITES and np.mean(alone[k]) < 0.5 for k in keys], bool)
+    text = np.bincount(page, table.chars * running * _inside(table)[table.leaf], len(table.root))
+    return (table.common > 0) & running & (text[page] > 2 * table.chars + 40)
 
 
 def _running(table: Table) -> np.ndarray:
@@ -438,7 +439,7 @@ def _inside(table: Table) -> np.ndarray:
     return inside
 
 
-def weak_labels(table: Table, texts: list[str], hosts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def weak_labels(table: Table) -> tuple[np.ndarray, np.ndarray]:
     """Per leaf main or not, and per page whether its markup can be trusted to tell."""
     inside = _inside(table)
     barred = (table.bad > 0) | np.isin(table.tag, [_TAG["aside"], _TAG["nav"], _TAG["footer"], _TAG["form"], _TAG["head"], _TAG["noscript"]])
@@ -447,7 +448,7 @@ def weak_labels(table: Table, texts: list[str], hosts: list[str]) -> tuple[np.nd
         p = table.parent[level]
         barred[level] |= barred[p] & ~table.trusted[level]
     holder = table.tag[np.maximum(table.parent[table.leaf], 0)]
-    repeated = (table.recurring > 0) | common_lines(table, texts, hosts)
+    repeated = (table.recurring > 0) | stray_lines(table)
     main = inside[table.leaf] & ~barred[table.leaf] & ~(repeated & _running(table))
     main |= holder == _TAG["h1"]
     trusted_chars = np.bincount(table.page[table.leaf], table.chars * inside[table.leaf], len(table.root))
@@ -458,11 +459,11 @@ class Extractor:
     def __init__(self, wording: dict[str, float], trees: Boosted):
         self.wording, self.trees = wording, trees
 
-    def keep(self, nodes: Nodes, recurring: np.ndarray) -> np.ndarray:
+    def keep(self, nodes: Nodes, recurring: np.ndarray, common: np.ndarray) -> np.ndarray:
         """Which of the batch's leaves are main body."""
         if not nodes.leaf:
             return np.zeros(0, bool)
-        table = Table(nodes, recurring, wording_of(nodes.text, self.wording))
+        table = Table(nodes, recurring, common, wording_of(nodes.text, self.wording))
         holder = table.tag[np.maximum(table.parent[table.leaf], 0)]
         # the page heading is main body wherever it stands
         return decode(table, self.trees.log_odds(table.features())) | (holder == _TAG["h1"])
@@ -491,27 +492,27 @@ def decode(table: Table, score: np.ndarray, weight: float = NODE_WEIGHT) -> np.n
     return state[table.leaf] > 0
 
 
-def fit(pages: list[tuple[str | None, str]], recurring: dict[int, float]) -> Extractor:
-    """pages: (host, source). Trees and wording from the pages whose markup can be trusted."""
+def fit(pages: list[tuple[str | None, str]], known: set[int]) -> Extractor:
+    """pages: (host, source). known: keys of recurring blocks and common lines. Trees and wording from the pages whose markup can be trusted."""
     pages = sorted((h or "", s) for h, s in pages)
     halves = [pages[0::2], pages[1::2]]
     parsed = []
     for half in halves:
-        nodes, sites = Nodes(), []
+        nodes, flags = Nodes(), [[], []]
         for host, source in half:
             n = len(nodes.text)
             nodes.page(source)
-            sites += [site_hash(host)] * (len(nodes.text) - n)
-        flags = np.array([recurrence_key(s, t) in recurring for s, t in zip(sites, nodes.text)], bool)
-        parsed.append((nodes, flags))
+            for kind, new in zip(flags, flagged(host, nodes.text[n:], known)):
+                kind += new
+        parsed.append((nodes, [np.array(f, bool) for f in flags]))
     labels, odds = [], []
-    for (nodes, flags), half in zip(parsed, halves):
+    for nodes, flags in parsed:
         if not nodes.leaf:
             labels.append((np.zeros(0, bool), np.zeros(0, bool)))
             odds.append({})
             continue
-        table = Table(nodes, flags, np.zeros(len(flags)))
-        main, trusted = weak_labels(table, nodes.text, [h for h, _ in half])
+        table = Table(nodes, *flags, np.zeros(len(nodes.text)))
+        main, trusted = weak_labels(table)
         labels.append((main, trusted))
         sure = trusted[table.page[table.leaf]]
         odds.append(fit_wording([t for t, s in zip(nodes.text, sure) if s], main[sure]))
@@ -521,7 +522,7 @@ def fit(pages: list[tuple[str | None, str]], recurring: dict[int, float]) -> Ext
     for k, ((nodes, flags), (main, trusted)) in enumerate(zip(parsed, labels)):
         if not trusted.any():
             continue
-        table = Table(nodes, flags, wording_of(nodes.text, odds[1 - k]))  # wording learnt from the other half
+        table = Table(nodes, *flags, wording_of(nodes.text, odds[1 - k]))  # wording learnt from the other half
         chars = np.maximum(table.up(table.chars), 1)
         share = table.up(table.chars * main) / chars
         use = trusted & (rng.random(len(trusted)) < TREE_PAGES / n_trusted)
@@ -561,37 +562,50 @@ def _page_of_leaves(nodes: Nodes) -> np.ndarray:
     return np.searchsorted(np.array(nodes.root), np.array(nodes.leaf), side="right") - 1
 
 
+def flagged(host: str | None, texts: list[str], known: set[int]) -> tuple[list[bool], list[bool]]:
+    """Per block of one page: does it recur on its site, is it a common line?"""
+    site = site_hash(host)
+    return [recurrence_key(site, t) in known for t in texts] if host else [False] * len(texts), [common_key(host, t) in known for t in texts]
+
+
 # ---- Spark
 
 
-def recurring_blocks(pages: DataFrame) -> DataFrame:
-    """key, share: blocks on MIN_DOCS pages and MIN_SHARE of their site's pages at least, for pages(id, host, html)."""
+def known_keys(pages: DataFrame) -> DataFrame:
+    """key: recurring blocks (MIN_DOCS pages and MIN_SHARE of their site's pages at least) and common lines (MIN_SITES
+    sites at least) of pages(id, host, html)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, sites, keys = [], [], []
+            ids, sites, keys, kinds = [], [], [], []
             for i, host, source in zip(batch["id"], batch["host"], batch["html"]):
-                site = site_hash(host)
-                mine = {recurrence_key(site, t) for t in block_texts(source)}
-                ids += [i] * (len(mine) + 1)
-                sites += [site] * (len(mine) + 1)
-                keys += [*mine, None]
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "site": sites, "key": pd.array(keys, "Int64")})
+                site, texts = site_hash(host), block_texts(source)
+                own = {recurrence_key(site, t) for t in texts}
+                lines = {common_key(host, t) for t in texts} - {None}
+                n = len(own) + len(lines) + 1
+                ids += [i] * n
+                sites += [site] * n
+                keys += [0, *own, *lines]
+                kinds += [0] + [1] * len(own) + [2] * len(lines)
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "site": sites, "key": keys, "kind": kinds})
 
     kind = pages.schema["id"].dataType.simpleString()
-    rows = materialize(pages.filter("host is not null").mapInPandas(run, f"id {kind}, site long, key long"), "blocks")
-    totals = rows.filter("key is null").distinct().groupBy("site").agg(F.count("*").alias("n_pages"))
+    rows = materialize(pages.filter("host is not null").mapInPandas(run, f"id {kind}, site long, key long, kind int"), "blocks")
+    totals = rows.filter("kind = 0").select("id", "site").distinct().groupBy("site").agg(F.count("*").alias("n_pages"))
+    blocks = rows.filter("kind = 1")
     # rows of repeated pages first count double; what passes is counted again by distinct ids
-    often = rows.filter("key is not null").groupBy("key", "site").agg(F.count("*").alias("n")).join(totals, "site").filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= MIN_SHARE * F.col("n_pages")))
-    exact = rows.join(often.select("key", "n_pages"), "key").select("key", "n_pages", "id").distinct().groupBy("key", "n_pages").agg(F.count("*").alias("n"))
-    return exact.filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= MIN_SHARE * F.col("n_pages"))).select("key", (F.col("n") / F.col("n_pages")).alias("share"))
+    often = blocks.groupBy("key", "site").agg(F.count("*").alias("n")).join(totals, "site").filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= MIN_SHARE * F.col("n_pages")))
+    exact = blocks.join(often.select("key", "n_pages"), "key").select("key", "n_pages", "id").distinct().groupBy("key", "n_pages").agg(F.count("*").alias("n"))
+    recurring = exact.filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= MIN_SHARE * F.col("n_pages"))).select("key")
+    common = rows.filter("kind = 2").select("key", "site").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SITES).select("key")
+    return recurring.unionByName(common)
 
 
 def main_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """id, block_no (place among the page's blocks), block_key, block: the blocks of each page's main body."""
     spark = df.sparkSession
     pages = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("html is not null")
-    keys = materialize(recurring_blocks(pages), "recurring-blocks")
+    keys = materialize(known_keys(pages), "known-keys")
     n_keys = keys.count()
     heads = pages.select("id", "host").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("host", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.xxhash64("id", F.lit(1)))))
     chosen = heads.filter("rank = 1").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(64))).filter(F.col("bucket") < PAGES_PER_SITE).orderBy(F.xxhash64("host"), F.xxhash64("id")).limit(SAMPLE_PAGES).select("id").collect()
@@ -599,14 +613,13 @@ def main_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     own = [(r["host"], r["html"]) for r in sample]
     del sample
     if n_keys <= MAX_BROADCAST_KEYS:
-        table = {r["key"]: r["share"] for r in keys.collect()}
-        model = spark.sparkContext.broadcast((fit(own, table), set(table)))
+        known = {r["key"] for r in keys.collect()}
+        model = spark.sparkContext.broadcast((fit(own, known), known))
         located = pages.withColumn("keys", F.lit(None).cast("array<long>"))
-    else:  # each page gets its site's keys; MIN_SHARE bounds their number by the mean blocks of a page / MIN_SHARE
-        seen = {recurrence_key(site_hash(host), t) for host, source in own for t in block_texts(source)}
-        wanted = spark.createDataFrame([(k,) for k in seen], "key long")
-        model = spark.sparkContext.broadcast((fit(own, {r["key"]: r["share"] for r in keys.join(wanted, "key").collect()}), None))
-        located = _with_site_keys(pages, keys)
+    else:  # each page gets those of its own keys that are known
+        wanted = spark.createDataFrame([(k,) for k in {k for host, source in own for k in _keys_of(host, source)}], "key long")
+        model = spark.sparkContext.broadcast((fit(own, {r["key"] for r in keys.join(wanted, "key").collect()}), None))
+        located = _with_own_keys(pages, keys)
     del own
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -615,34 +628,40 @@ def main_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
         for whole in batches:
             for start in range(0, len(whole), 500):
                 batch = whole.iloc[start : start + 500]
-                nodes, owner, flags, place = Nodes(), [], [], []
+                nodes, owner, place, recurring, common = Nodes(), [], [], [], []
                 for i, host, source, own_keys in zip(batch["id"], batch["host"], batch["html"], batch["keys"]):
                     n = len(nodes.text)
                     nodes.page(source)
-                    site = site_hash(host)
-                    have = known if known is not None else set(own_keys if own_keys is not None else ())
                     new = nodes.text[n:]
-                    flags += [recurrence_key(site, t) in have for t in new] if host else [False] * len(new)
+                    flags = flagged(host, new, known if known is not None else set(own_keys if own_keys is not None else ()))
+                    recurring += flags[0]
+                    common += flags[1]
                     owner += [i] * len(new)
                     place += range(len(new))
-                rows = [(owner[k], place[k], block_key(nodes.text[k]), nodes.text[k]) for k in np.flatnonzero(extractor.keep(nodes, np.array(flags, bool)))]
+                kept = extractor.keep(nodes, np.array(recurring, bool), np.array(common, bool))
+                rows = [(owner[k], place[k], block_key(nodes.text[k]), nodes.text[k]) for k in np.flatnonzero(kept)]
                 yield pd.DataFrame(rows, columns=["id", "block_no", "block_key", "block"])
 
     return located.select("id", "host", "html", "keys").mapInPandas(run, f"id {kind}, block_no int, block_key string, block string")
 
 
-def _with_site_keys(pages: DataFrame, keys: DataFrame) -> DataFrame:
-    """pages with the recurring keys of their blocks, by a join of block keys; no site is collected."""
+def _keys_of(host: str | None, source: str) -> set[int]:
+    texts, site = block_texts(source), site_hash(host)
+    return ({recurrence_key(site, t) for t in texts} if host else set()) | ({common_key(host, t) for t in texts} - {None})
+
+
+def _with_own_keys(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """pages with the known keys among those of their blocks, by a join of keys; no site is collected."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, found = [], []
             for i, host, source in zip(batch["id"], batch["host"], batch["html"]):
-                mine = {recurrence_key(site_hash(host), t) for t in block_texts(source)} if host else ()
+                mine = _keys_of(host, source)
                 ids += [i] * len(mine)
                 found += mine
             yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "key": found})
 
     kind = pages.schema["id"].dataType.simpleString()
-    own = pages.mapInPandas(run, f"id {kind}, key long").join(keys.select("key"), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    own = pages.mapInPandas(run, f"id {kind}, key long").join(keys.select("key").distinct(), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
     return pages.join(own, "id", "left")

@@ -69,7 +69,7 @@ def test_nulls_empty_long_and_repeated_pages(spark, sites):
 def test_decoding_never_contradicts_an_ancestor():
     nodes = M.Nodes()
     nodes.page("<div><p>a</p><p>b</p></div><div><p>c</p><p>d</p></div>")
-    table = M.Table(nodes, np.zeros(4), np.zeros(4))
+    table = M.Table(nodes, np.zeros(4), np.zeros(4), np.zeros(4))
     score = np.zeros(len(table.parent))
     score[table.leaf] = [2.0, -0.5, -1.0, -2.0]
     outer = table.parent[table.parent[table.leaf]]
