@@ -49,6 +49,8 @@ N_TREES, TREE_DEPTH, RATE, BINS, ROW_SHARE, FEATURE_SHARE = 60, 5, 0.2, 32, 0.15
 MAX_WORDS = 20_000
 #: Weight of an inner node's log-odds against the sum over its leaves.
 NODE_WEIGHT = 0.5
+#: A page's only text is main body from these log-odds on.
+LEAST_LOG_ODDS = -4.0
 
 INLINE = frozenset("a abbr b br code em i small span strong u".split())
 _TAGS = "text div p li ul ol h1 h2 h3 h4 h5 h6 td th tr table blockquote pre section article main aside nav header footer form figure figcaption dl dd dt title body html head noscript button label".split()
@@ -426,6 +428,24 @@ def stray_lines(table: Table) -> np.ndarray:
     return (table.common > 0) & running & (text[page] > 2 * table.chars + 40)
 
 
+def in_its_place(table: Table, score: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """kept, and on pages that would keep headings alone the likeliest other text (a message in the article's place)."""
+    text = _running(table) & (table.recurring == 0)
+    page = table.page[table.leaf]
+    bare = np.bincount(page, kept & ~_headings(table), len(table.root)) == 0
+    rows = np.flatnonzero(text & bare[page] & (score[table.leaf] > LEAST_LOG_ODDS))
+    best = rows[np.lexsort((score[table.leaf][rows], page[rows]))]
+    last = np.r_[page[best][1:] != page[best][:-1], True] if len(best) else np.zeros(0, bool)
+    out = kept.copy()
+    out[best[last]] = True
+    return out
+
+
+def _headings(table: Table) -> np.ndarray:
+    holder = table.tag[np.maximum(table.parent[table.leaf], 0)]
+    return (holder >= _TAG["h1"]) & (holder <= _TAG["h6"])
+
+
 def _running(table: Table) -> np.ndarray:
     """Leaves that are neither headings nor cells, items or code."""
     holder = table.tag[np.maximum(table.parent[table.leaf], 0)]
@@ -465,8 +485,9 @@ class Extractor:
             return np.zeros(0, bool)
         table = Table(nodes, recurring, common, wording_of(nodes.text, self.wording))
         holder = table.tag[np.maximum(table.parent[table.leaf], 0)]
+        score = self.trees.log_odds(table.features())
         # the page heading is main body wherever it stands
-        return decode(table, self.trees.log_odds(table.features())) | (holder == _TAG["h1"])
+        return in_its_place(table, score, decode(table, score) | (holder == _TAG["h1"]))
 
 
 def decode(table: Table, score: np.ndarray, weight: float = NODE_WEIGHT) -> np.ndarray:

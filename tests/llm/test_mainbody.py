@@ -79,6 +79,17 @@ def test_decoding_never_contradicts_an_ancestor():
     assert M.decode(table, score).tolist() == [True, False, False, False]
 
 
+def test_a_message_in_the_articles_place():
+    nodes = M.Nodes()
+    nodes.page("<ul><li>menu</li></ul><div><h1>Oops</h1><p>Nothing here.</p></div><div><p>footer</p></div>")
+    table = M.Table(nodes, np.array([0, 0, 0, 1]), np.zeros(4), np.zeros(4))
+    score = np.zeros(len(table.parent))
+    score[table.leaf] = [3.0, 5.0, -1.0, -0.5]
+    assert M.in_its_place(table, score, np.array([False, True, False, False])).tolist() == [False, True, True, False]
+    score[table.leaf[2]] = -9.0
+    assert M.in_its_place(table, score, np.array([False, True, False, False])).tolist() == [False, True, False, False]
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(3)
     x = rng.random((6000, 5)).astype(np.float32)
