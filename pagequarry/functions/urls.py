@@ -277,6 +277,25 @@ def absolute_url(reference: Column, base: Column) -> Column:
     return F.coalesce(_resolve_slow(reference, base), reference)
 
 
+def is_external_link(url: Column, base: Column) -> Column:
+    """Does a link leave the base's host? Anchors, scripts, phone and mail links do not."""
+    inner = (url == "") | url.rlike("^(#|javascript:|tel:|mailto:)")
+    host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)", 1))
+    own, target = host(base), F.when(url.rlike("^//"), host(F.concat(F.lit("https:"), url))).when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), host(url))
+    return F.coalesce(~inner & (own != "") & target.isNotNull() & (target != own), F.lit(False))
+
+
+def is_utility_link(url: Column, compat: bool = False) -> Column:
+    """Phone, mail and chat links and links to social hosts; compat takes any URL that contains a social host's name."""
+    low = F.lower(url)
+    schemes = low.rlike("^(" + "|".join(UTILITY_SCHEMES) + ")")
+    if compat:
+        return schemes | low.rlike("|".join(re.escape(h) for h in SOCIAL_HOSTS))
+    hosts, places = [h for h in SOCIAL_HOSTS if "/" not in h], [h for h in SOCIAL_HOSTS if "/" in h]
+    named = "|".join(re.escape(h) for h in hosts)
+    return schemes | low.rlike(rf"^https?://([^/?#]*\.)?({named})(:[0-9]+)?([/?#]|$)") | low.rlike(rf"^https?://({'|'.join(re.escape(p) for p in places)})(/|$)")
+
+
 def sitemap_type_hint(sitemap: Column) -> Column:
     """Kind of pages that a sitemap's file name announces, null if none; the first rule counts."""
     name = F.lower(F.element_at(F.split(sitemap, "/"), -1))

@@ -53,6 +53,16 @@ def metadata(index: Index, url: str | None) -> dict:
     }
 
 
+def meta_fields(index: Index) -> dict[str, str]:
+    """Content of the meta elements by name, property or http-equiv, lower-cased; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for m in index.by_name.get("meta", ()):
+        name, value = m.get("name") or m.get("property") or m.get("http-equiv"), m.get("content")
+        if name and value is not None:
+            found.setdefault(name.strip().lower(), value.strip())
+    return found
+
+
 def headings_by_level(index: Index) -> list[dict]:
     """All headings with text, level by level."""
     return [{"level": n, "text": text} for n in range(1, 7) for e in index.by_name.get(f"h{n}", ()) if (text := e.text().strip())]

@@ -16,6 +16,9 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
+#: Elements nested deeper than this lie beside each other.
+MAX_DEPTH = 256
+
 #: Open elements that a start tag ends, and the elements that shield those further out.
 IMPLIED_END = {
     "li": (frozenset({"li", "p"}), frozenset({"ul", "ol", "menu"})),

@@ -8,7 +8,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
-from .tokens import TOKEN, VOID, attributes_of, ended_by
+from .tokens import MAX_DEPTH, TOKEN, VOID, attributes_of, ended_by
 
 RAW_TEXT = frozenset({"script", "style"})
 
@@ -144,7 +144,7 @@ def parse(source: str) -> Element:
         order += 1
         element = Element(name, m[4], nodes[-1], start, order)
         nodes[-1].children.append(element)
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or m[4].endswith("/") or len(names) >= MAX_DEPTH:
             element.end = at
         else:
             names.append(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
@@ -75,7 +75,7 @@ def corrected_hints(requests: DataFrame, hints: DataFrame) -> DataFrame:
     return joined.withColumn("hint", F.when(redirected & F.col("hint").isNotNull() & ~F.col("hint").eqNullSafe(own), F.col("hint")).otherwise(own))
 
 
-def counters(spark: SparkSession, entries: DataFrame, pages: DataFrame, aliases: DataFrame, errors: DataFrame) -> DataFrame:
+def counters(entries: DataFrame, pages: DataFrame, aliases: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: discovered, skipped, queued, redirects, errors."""
     discovered = entries.agg(F.count("*").alias("discovered"))
     skipped = already_crawled(entries, pages).agg(F.count("*").alias("skipped"))

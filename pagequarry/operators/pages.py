@@ -18,7 +18,7 @@ from ..functions.urls import domain
 RESULT = (
     f"metadata {schemas.METADATA}, headings array<{schemas.HEADING}>, h1_count int, links array<{schemas.LINK}>, elements array<{schemas.STRUCT_ELEMENT}>, "
     f"clean_html string, extraction_method string, word_count int, junk_score float, structural_stats {schemas.STRUCTURAL_STATS}, markdown string, markdown_enhanced string, "
-    f"nav_structure {schemas.NAV_STRUCTURE}"
+    f"nav_structure {schemas.NAV_STRUCTURE}, meta map<string,string>, json_ld array<string>"
 )
 #: Parts that may be asked for, and the fields each gives.
 PARTS = {
@@ -28,6 +28,7 @@ PARTS = {
     "content": ("clean_html", "extraction_method", "word_count", "junk_score"),
     "markdown": ("markdown", "markdown_enhanced", "structural_stats"),
     "nav": ("nav_structure",),
+    "head": ("meta", "json_ld"),
 }
 _ELEMENT_FIELDS = [f.split(":")[0] for f in schemas.STRUCT_ELEMENT[7:-1].replace("array<string>", "array").split(",")]
 
@@ -51,6 +52,8 @@ def process(html: str | None, url: str | None, main_selectors=None, remove_selec
     facts = C.metadata(index, url)
     if "metadata" in parts:
         out |= {"metadata": facts, "headings": C.headings_by_level(index), "h1_count": len(index.by_name.get("h1", ()))}
+    if "head" in parts:
+        out |= {"meta": C.meta_fields(index), "json_ld": [s.own_text() for s in index.by_name.get("script", ()) if s.get("type") == "application/ld+json"]}
     if "links" in parts:
         out["links"] = C.page_links(index, url or "")
     blocks = structure.detect(index) if "structure" in parts or "nav" in parts or source == "clean" else []
@@ -105,6 +108,27 @@ def parse_pages(df: DataFrame, html_col: str = "html_content", url_col: str = "f
     return rows.mapInPandas(run, f"{head}, {result}")
 
 
+def render_markdown(df: DataFrame, html_col: str, url_col: str, h1_col: str | None = None, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """keep columns, markdown and issue: plain Markdown of cleaned HTML without lists of links, tidied line by line, with
+    the page heading in front. Rendering is the one Python stage; all that follows is columns."""
+    from ..functions.text import ensure_h1, h1_issue, postprocess_markdown
+
+    rows = df.select(*keep, F.col(html_col).alias("__html"), F.col(url_col).alias("__url"), (F.col(h1_col) if h1_col else F.lit(None).cast("string")).alias("__h1"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..html import markdown as M
+        from ..html.tree import parse
+
+        for batch in batches:
+            text = [M.markdown(parse(h), u) if h else "" for h, u in zip(batch["__html"], batch["__url"])]
+            yield batch[[*keep, "__h1"]].assign(__text=pd.Series(text, dtype=object, index=batch.index))
+
+    made = rows.mapInPandas(run, f"{head}, __h1 string, __text string").withColumn("__text", postprocess_markdown(F.col("__text")))
+    has = F.coalesce(F.col("__h1"), F.lit("")) != ""
+    return made.select(*keep, F.when(has, ensure_h1(F.col("__text"), F.col("__h1"))).otherwise(F.col("__text")).alias("markdown"), F.when(has, h1_issue(F.col("__text"))).alias("issue"))
+
+
 def _with_heading(row: dict, h1: str | None) -> dict:
     """The stored page heading in front of Markdown made from cleaned content."""
     from ..html import markdown as M

@@ -117,6 +117,11 @@ def majority_language(pages: DataFrame, group: str) -> DataFrame:
     return counts.groupBy(group).agg(F.max_by("language", F.struct("n", F.concat(F.lit("-"), F.translate("language", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")))).alias("primary_language"), F.sort_array(F.collect_set("language")).alias("languages"), F.sum("n").alias("pages"))
 
 
+def classified(pages: DataFrame, classes: DataFrame, key: str = "id") -> DataFrame:
+    """All pages with their class, null where none was given; a page of several classes has several rows."""
+    return pages.join(classes, key, "left")
+
+
 def cannibalisation(pages: DataFrame, subject: str) -> DataFrame:
     """Subjects that several pages of one language share: subject, language, pages, first and last page id.
 

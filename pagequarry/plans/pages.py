@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import backfill, ingest, merge
-from ..operators.pages import parse_pages
+from ..operators.pages import parse_pages, render_markdown
 from ..runtime import materialize, read_table
 
 
@@ -69,6 +69,15 @@ def page_markdown(spark, sf_dir):
     return m.select("id", "markdown", "markdown_enhanced", "structural_stats.*")
 
 
+def page_head(spark, sf_dir):
+    return _parsed(spark, sf_dir, "head").select("id", F.explode("meta").alias("name", "content")).distinct()
+
+
+def rendered_markdown(spark, sf_dir):
+    p = read_table(spark, sf_dir, "crawler_pages").select("id", "final_url", "clean_html", "h1").filter("clean_html is not null")
+    return render_markdown(p, "clean_html", "final_url", "h1").distinct()
+
+
 def crawl_ingest(spark, sf_dir):
     """The stored sources as a fresh crawl: located, parsed and merged onto nothing."""
     p = read_table(spark, sf_dir, "crawler_pages").dropDuplicates(["id"])
@@ -104,6 +113,8 @@ QUERIES = {
     "page_content_links": (page_content_links, None),
     "page_content": (page_content, None),
     "page_markdown": (page_markdown, None),
+    "page_head": (page_head, r"""select distinct id, lower(regexp_extract(m, '(?i)name="([^"]*)"', 1)) as name, replace(replace(replace(regexp_extract(m, '(?i)content="([^"]*)"', 1), '&#x27;', ''''), '&quot;', '"'), '&amp;', '&') as content from (select id, unnest(regexp_extract_all(html_content, '(?i)<meta name="[^"]*" content="[^"]*">')) as m from (select distinct id, html_content from crawler_pages where html_content is not null))"""),
+    "rendered_markdown": (rendered_markdown, None),
     "crawl_ingest": (crawl_ingest, None),
     "backfill_markdown": (backfill_markdown, "select count(*) as pages, count(*) filter (where markdown_enhanced is not null or (clean_html is not null and clean_html <> '')) as enhanced from (select distinct on (id) * from crawler_pages order by id)"),
     "backfill_nav": (backfill_nav, "select count(*) as pages, count(*) filter (where nav_structure is not null or (html_content is not null and html_content <> '')) as with_nav from (select distinct on (id) * from crawler_pages order by id)"),

@@ -46,7 +46,7 @@ def hint_histogram(spark, sf_dir):
 
 def crawl_counters(spark, sf_dir):
     entries, pages = D.keep_first(_t(spark, sf_dir, "sitemap_urls")), _t(spark, sf_dir, "crawler_pages")
-    return D.counters(spark, entries, pages, _t(spark, sf_dir, "url_aliases").distinct(), pages.filter("last_error is not null").select("id").distinct())
+    return D.counters(entries, pages, _t(spark, sf_dir, "url_aliases").distinct(), pages.filter("last_error is not null").select("id").distinct())
 
 
 def domain_override_lookup(spark, sf_dir):
@@ -221,6 +221,13 @@ def competing_pairs(spark, sf_dir):
     return R.competing_pairs(_language_pages(spark, sf_dir), "h1")
 
 
+def classified_pages(spark, sf_dir):
+    """Pages of each language with the class of their folder, where they have one."""
+    pages = _language_pages(spark, sf_dir).select("id", "language")
+    classes = _language_pages(spark, sf_dir).filter("kind <> 'page'").select("id", F.col("kind").alias("page_class"))
+    return R.classified(pages, classes)
+
+
 def _links(spark, sf_dir):
     p = _t(spark, sf_dir, "crawler_pages").select("final_url", "nav_structure")
     rows = p.select(F.col("final_url").alias("source_url"), F.explode("nav_structure.content_links").alias("l")).filter("l is not null")
@@ -306,6 +313,7 @@ QUERIES = {
     "nav_deviations": (nav_deviations, f"with {_CONSENSUS}, o as (select distinct id, {_DOMAIN} as site, {_FINGER} as own from crawler_pages where nav_structure.primary_nav is not null) select id, o.site as site, own = fingerprint as agrees from o join g using (site)"),
     "language_counts": (language_counts, f"with {_LANGPAGES} select language, count(*) as pages, count(distinct case when kind = 'page' then id end) as plain_pages from lp group by language"),
     "majority_language": (majority_language, f"with {_LANGPAGES}, n as (select site, language, count(*) as n from lp group by 1, 2) select site, first(language order by n desc, language) as primary_language, array_to_string(list_sort(list(language)), ',') as languages, cast(sum(n) as bigint) as pages from n group by site"),
+    "classified_pages": (classified_pages, f"with {_LANGPAGES} select id, language, nullif(kind, 'page') as page_class from lp"),
     "cannibalisation": (cannibalisation, f"with {_LANGPAGES} select h1, language, count(distinct id) as pages, min(id) as first_id, max(id) as last_id from lp where h1 is not null group by 1, 2 having count(distinct id) > 1"),
     "competing_pairs": (competing_pairs, f"with {_LANGPAGES}, i as (select distinct h1, language, id from lp where h1 is not null) select h1, language, id, other_id from (select *, lead(id) over (partition by h1, language order by id) as other_id from i) where other_id is not null"),
     "same_set_links": (same_set_links, f"with {_LINKS} select source_url, target_url from lk where source_url in (select final_url from crawler_pages) and target_url in (select final_url from crawler_pages)"),

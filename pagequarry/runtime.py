@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def local_session(app: str = "pagequarry", cores: int | str = 8) -> SparkSession:
@@ -52,12 +53,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{durable_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def size_of(df: DataFrame) -> int:
-    """Catalyst's estimate of df in bytes; for a scan the size of its columns' files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def clear_durable(spark: SparkSession) -> None:
+    """Delete the tables that materialize has written in this session; results that still read them must be done with."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in _WRITTEN:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.clear()
 
 
 def tokenizer_folder() -> str:

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pagequarry.html import content, nav, structure
 from pagequarry.html.markdown import enhanced_markdown, markdown, plain_markdown
@@ -23,6 +25,11 @@ def test_soup():
     assert quoted.child_elements()[0].get("title") == "x > y" and quoted.child_elements()[0].get("href") == "/z"
 
 
+def test_very_deep_pages():
+    out = process("<div>" * 30_000 + "deep" + "</div>" * 30_000 + "<p> after", BASE)
+    assert out["word_count"] == 2 and out["markdown"] == "deep\n\nafter"
+
+
 def test_offsets_point_into_the_source():
     html = '<div><p class="k">a</p> <p class="k">a</p></div>'
     for e in index(html).select(".k"):
@@ -147,6 +154,27 @@ def test_page_stage(spark):
     assert process(None, None)["nav_structure"]["primary_nav"] == []
 
 
+def test_head_fields_and_rendered_markdown(spark):
+    from pagequarry.operators.pages import render_markdown
+
+    html = '<meta name="Robots" content=" noindex "><meta property="og:type" content="a"><meta name="robots" content="x"><script type="application/ld+json">{"a":1}</script>'
+    assert process(html, BASE, parts=("head",)) == {"meta": {"robots": "noindex", "og:type": "a"}, "json_ld": ['{"a":1}']}
+    rows = [(1, "<p>a</p><h1>H</h1><p>b</p><p>b</p><ul><li><a href='/x'>x</a></li></ul>", BASE, "H"), (2, None, None, None), (3, "<h3>deep</h3>", BASE, "")]
+    df = spark.createDataFrame(rows, "id long, html string, url string, h1 string")
+    got = {r["id"]: (r["markdown"], r["issue"]) for r in render_markdown(df, "html", "url", "h1").collect()}
+    assert got == {1: ("# H\n\na\n\n\nb", "H1 at line 3 instead of line 1"), 2: ("", None), 3: ("# deep", None)}
+
+
 def test_statistics_count_elements():
     ix = index('<div class="cta"><div class="cta-box"></div></div>')
     assert structure.statistics(structure.detect(ix))["template_ctas"] == 2 and len(select(ix.scope, ".cta")) == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='faq'>", "</div>", "<ul>", "<li>", "</ul>", "<a href='/x'>", "</a>", "text ", "<table>", "<tr>", "<td>", "</table>", "<b>", "</b>", "<!-- c", "-->", "<script>", "</script>", "<h1>", "</h1>", "<", ">", "&amp;", "'", '"', "<br/>", "<nav><ul><li><a href='#'>m</a>", "<img src=x>"]), max_size=25))
+def test_any_soup_is_processed(parts):
+    html = "".join(parts)
+    out = process(html, BASE)
+    assert (isinstance(out["markdown"], str) or not html) and out["word_count"] >= 0
+    for e in parse(html).elements():
+        assert 0 <= e.start <= e.end <= len(html)

@@ -71,6 +71,14 @@ def test_links_of_menus():
     assert not U.is_utility("https://clinix.com/") and U.is_utility("https://clinix.com/", compat=True) and U.is_utility("https://www.facebook.com/p") and U.is_utility("tel:1")
 
 
+def test_link_columns_agree(spark):
+    base = "https://a.example/p"
+    urls = ["/x", "#a", "", "tel:1", "mailto:x@y.example", "https://A.example/z", "https://www.a.example/", "//b.example/", "http://b.example:80/", "sms:1", "https://x.com/us", "https://m.facebook.com/", "https://clinix.com/", "https://goo.gl/maps/1", "https://goo.gl/other", "javascript:void(0)"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.is_external_link(F.col("u"), F.lit(base)).alias("e"), U.is_utility_link(F.col("u")).alias("t"), U.is_utility_link(F.col("u"), True).alias("c"))
+    for r in df.collect():
+        assert (r["e"], r["t"], r["c"]) == (U.is_external(r["u"], base), U.is_utility(r["u"]), U.is_utility(r["u"], True)), r
+
+
 def test_languages(spark):
     df = spark.createDataFrame([("https://a.example/es/x", None), ("https://a.example/x", '<html class="k" lang="fr-CA">'), ("https://a.example/x", '<meta http-equiv="Content-Language" content="de">'), ("https://a.example/x", None)], "u string, h string")
     assert [r[0] for r in df.select(U.page_language(F.col("u"), F.col("h"))).collect()] == ["es", "fr", "de", "en"]
