@@ -7,8 +7,8 @@ its siblings, and the subtree figures of its parent and grandparent. Boosted tre
 main body. Decoding then chooses for each subtree between keeping all of it, dropping all of it and deciding its
 children one by one, whichever agrees best with all scores, so that no kept block lies in a dropped ancestor.
 
-Fit: on a bounded sample (`SAMPLE_PAGES` pages, at most `PAGES_PER_SITE` of a site, chosen by hash; the trees see
-`TREE_PAGES` of them). Its labels come
+Fit: on a bounded sample (`SAMPLE_PAGES` pages, at most `PAGES_PER_SITE` of a site and `SAMPLE_CHARS` long, chosen by
+hash; the trees see `TREE_PAGES` of them). Its labels come
 from pages whose markup says where the article is: blocks in the article's own element are main body unless they
 recur on the site or stand in a part marked as something else. Every sampled page is seen again without its telling
 tags and tokens and with shuffled ones, so that the trees learn from structure, place and wording too; they are then
@@ -36,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..html.tokens import TOKEN, VOID, ended_by
+from ..html.tokens import MAX_DEPTH, TOKEN, VOID, ended_by
 from ..runtime import materialize
 from .site_lines import host_of
 
-SAMPLE_PAGES, TREE_PAGES, PAGES_PER_SITE = 1600, 600, 20
+SAMPLE_PAGES, TREE_PAGES, PAGES_PER_SITE, SAMPLE_CHARS = 1600, 600, 20, 100_000
 MIN_DOCS, MIN_SHARE = 5, 0.1
 #: A short line on so many sites is common; beside other text it is not of their articles (label rule).
 MIN_SITES, MAX_LINE = 5, 160
@@ -155,7 +155,7 @@ class Nodes:
                     bad += sum(t in _BAD for t in tokens)
                     trusted = trusted or any(t in value for t in _ARTICLE_TOKENS)
             node = self.add(nodes[-1], len(nodes), _TAG.get(name, _DIV), good, bad, trusted and not bad)
-            if not m[0].endswith("/>"):
+            if not m[0].endswith("/>") and len(names) < MAX_DEPTH:
                 names.append(name)
                 nodes.append(node)
         if at < len(source):
@@ -197,6 +197,14 @@ def site_hash(host: str | None) -> int:
 # ---- features
 
 
+def _add(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """out[at] += values with repeated places; narrow levels of deep trees cost only their own size."""
+    if len(at) * 20 < len(out):
+        np.add.at(out, at, values)
+    else:
+        out += np.bincount(at, values, len(out))
+
+
 class Table:
     """Arrays of a batch of pages, and the features of its nodes."""
 
@@ -237,7 +245,7 @@ class Table:
         out = np.zeros(len(self.parent), np.float64)
         out[self.leaf] = leaf_values
         for level in reversed(self.levels[1:]):
-            out += np.bincount(self.parent[level], out[level], minlength=len(out))
+            _add(out, self.parent[level], out[level])
         return out
 
     def features(self, tag: np.ndarray | None = None, good: np.ndarray | None = None, bad: np.ndarray | None = None) -> np.ndarray:
@@ -502,8 +510,8 @@ def decode(table: Table, score: np.ndarray, weight: float = NODE_WEIGHT) -> np.n
         best = np.maximum(np.abs(whole[level]), np.where(is_leaf[level], 0, split[level]))
         p = table.parent[level]
         some = p >= 0
-        whole += np.bincount(p[some], whole[level[some]], len(whole))
-        split += np.bincount(p[some], best[some], len(split))
+        _add(whole, p[some], whole[level[some]])
+        _add(split, p[some], best[some])
     state = np.zeros(len(score), np.int8)  # 1 keep, -1 drop, 0 open
     for level in table.levels:
         p = table.parent[level]
@@ -630,7 +638,7 @@ def main_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     n_keys = keys.count()
     heads = pages.select("id", "host").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("host", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.xxhash64("id", F.lit(1)))))
     chosen = heads.filter("rank = 1").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(64))).filter(F.col("bucket") < PAGES_PER_SITE).orderBy(F.xxhash64("host"), F.xxhash64("id")).limit(SAMPLE_PAGES).select("id").collect()
-    sample = pages.filter(F.col("id").isin([r["id"] for r in chosen])).dropDuplicates(["id"]).orderBy("id").collect()
+    sample = pages.filter(F.col("id").isin([r["id"] for r in chosen]) & (F.length("html") <= SAMPLE_CHARS)).dropDuplicates(["id"]).orderBy("id").collect()
     own = [(r["host"], r["html"]) for r in sample]
     del sample
     if n_keys <= MAX_BROADCAST_KEYS:

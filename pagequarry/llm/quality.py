@@ -1,8 +1,8 @@
 """Per-document text statistics and a hidden Markov model that labels lines prose, list, table or junk.
 
 One pass reads each text once and gives the document's statistics and the label shares of its lines. The model's
-parameters are fitted by expectation maximisation on a bounded sample of texts (`sample_rows`, chosen by hash,
-the same whatever the order of rows); labelling covers every line of every text, a batch of texts in step.
+parameters are fitted by expectation maximisation on a bounded sample of texts (`sample_rows`, each of at most
+SAMPLE_CHARS characters, chosen by hash, the same whatever the order of rows); labelling covers every line of every text, a batch of texts in step.
 
 Words are runs of non-white-space. Letters and digits are Unicode's.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATES = ("prose", "list", "table", "junk")
-SAMPLE_ROWS = 200
+SAMPLE_ROWS, SAMPLE_CHARS = 200, 200_000
 MIN_WORDS = 20
 
 _ALNUM_SPACE = b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -221,7 +221,7 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: DataFr
     known = frozenset(r[0] for r in common_words.select(word_col).distinct().collect() if r[0])
     # the sample's ids first: the texts of the rows that each task proposes would add up at the driver
     chosen = [r["id"] for r in texts.filter("text is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()]
-    sample = texts.filter(F.col("id").isin(chosen)).dropDuplicates(["id"]).orderBy("id")
+    sample = texts.filter(F.col("id").isin(chosen) & (F.length("text") <= SAMPLE_CHARS)).dropDuplicates(["id"]).orderBy("id")
     counter = CommonWords(known)
     fitted = [np.array(f) for r in sample.collect() if r["text"] and (f := _lines(r["text"], counter)[5])]
     model = fit_line_model(fitted)
