@@ -258,8 +258,13 @@ def segment_languages(docs: DataFrame, id_col: str, text_col: str, samples: Data
 
     At most MAX_SAMPLES samples are read for the fit; the model goes to the tasks as a broadcast of fixed size.
     """
-    model = _model(samples, sample_lang, sample_text, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.vocabulary.ids, model.p.astype(np.float32)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("label"))
+    return _scored(texts, _model(samples, sample_lang, sample_text, vocabulary)).drop("label")
+
+
+def _scored(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """Segments of texts(id, text, label), each with its document's label."""
+    shared = texts.sparkSession.sparkContext.broadcast((model.languages, model.vocabulary.ids, model.p.astype(np.float32)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         languages, ids, p = shared.value
@@ -269,24 +274,23 @@ def segment_languages(docs: DataFrame, id_col: str, text_col: str, samples: Data
         mine.p = p.astype(np.float64)
         for batch in batches:
             rows = []
-            for i, text in zip(batch["id"], batch["text"]):
+            for i, text, label in zip(batch["id"], batch["text"], batch["label"]):
                 for k, segment in enumerate(segments(text)):
                     n = len(segment.strip())
                     tokens = _chunks(segment) if has_language(segment) else ()
                     if not tokens:
-                        rows.append((i, k, n, None, None))
+                        rows.append((i, k, n, None, None, label))
                         continue
                     total = np.zeros(len(languages))
                     for a in range(0, len(tokens), 10_000):
                         total += mine.words(tokens[a : a + 10_000]).sum(0)
                     share = _posterior(total)
                     best = int(share.argmax())
-                    rows.append((i, k, n, languages[best], float(share[best])))
-            yield pd.DataFrame(rows, columns=["id", "seg_no", "n_chars", "lang", "confidence"])
+                    rows.append((i, k, n, languages[best], float(share[best]), label))
+            yield pd.DataFrame(rows, columns=["id", "seg_no", "n_chars", "lang", "confidence", "label"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    return texts.mapInPandas(run, f"id {kind}, seg_no int, n_chars int, lang string, confidence double")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.filter("text is not null").mapInPandas(run, f"id {kind}, seg_no int, n_chars int, lang string, confidence double, label string")
 
 
 def document_languages(segments_: DataFrame) -> DataFrame:
@@ -297,8 +301,8 @@ def document_languages(segments_: DataFrame) -> DataFrame:
     return best.select("id", F.col("b.lang").alias("lang"), F.col("b.confidence").alias("confidence"), (F.col("b.chars") / F.col("all")).alias("share"), "n_languages")
 
 
-def mislabelled_segments(docs: DataFrame, id_col: str, text_col: str, label_col: str, samples: DataFrame, min_chars: int = MIN_CHARS, **model) -> DataFrame:
+def mislabelled_segments(docs: DataFrame, id_col: str, text_col: str, label_col: str, samples: DataFrame, min_chars: int = MIN_CHARS, sample_lang: str = "lang", sample_text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """id, seg_no, lang: segments of at least min_chars characters in a language that the document's label does not name."""
-    labels = docs.select(F.col(id_col).alias("id"), labelled_language(F.col(label_col)).alias("label")).distinct()
-    found = segment_languages(docs, id_col, text_col, samples, **model).filter((F.col("n_chars") >= min_chars) & F.col("lang").isNotNull())
-    return found.join(labels, "id").filter(~F.col("lang").eqNullSafe(F.col("label"))).select("id", "seg_no", "lang").distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), labelled_language(F.col(label_col)).alias("label"))
+    found = _scored(texts, _model(samples, sample_lang, sample_text, vocabulary)).filter((F.col("n_chars") >= min_chars) & F.col("lang").isNotNull())
+    return found.filter(~F.col("lang").eqNullSafe(F.col("label"))).select("id", "seg_no", "lang").distinct()
