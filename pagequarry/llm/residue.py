@@ -118,6 +118,9 @@ ERROR = re.compile(
 _HINT_ERROR = re.compile(r"\b(?:error|oops|sorry|denied|forbidden|expired|unavailable|maintenance|server|gateway|timeout|exception|javascript|scripts?|browser|robot|captcha|blocked|log ?in|sign ?in|reload|refresh|loading|try again|not found|moved|deleted|fehler|leider|wartung|gesperrt|anmelden|erreur|désolé|indisponible|refusé|connexion|lo sentimos|mantenimiento|denegado|inténtelo|errore|spiacenti|manutenzione|riprova|negato|erro|lamentamos|manutenção|tente|encontrad[ao]|trovat[ao]|gefunden|trouvée?)\b", re.I)
 _HINT_PROMPT = re.compile(r"\b(?:edit|replace|insert|type|write|change|remove|delete|fill in|describe|customi[sz]e|ersetzen|einfügen|bearbeiten|remplace\w*|modifi\w+|sustitu\w+|reemplac\w+|edite|editar|sostitu\w+|modifica\w*|inseri\w+|substitu\w+)\b.*\b(?:text|paragraph|title|heading|image|description|content|entry|copy|box|section|block|words|template|texto|texte|testo|inhalt|contenu|contenido|conteúdo|absatz|überschrift|titel|titre|título|titolo)\b|\b(?:goes|steht|va|ici|hier|aquí|aqui|qui) (?:here|text|texte|texto|testo)\b", re.I)
 
+#: A text without any of these has no prompt and no hint at one; looked for before the patterns.
+_PROMPT_PARTS = ("text", "copy", "content", "paragraph", "heading", "title", "here", "click", "edit", "your", "this ", "todo", "tbd", "fixme", "tk", "publi", "wordpress", "hello world", "change", "delete", "remove", "image", "description", "entry", "box", "section", "block", "words", "template", "testo", "inhalt", "contenu", "contenido", "conteúdo", "absatz", "überschrift", "titel", "titre", "título", "titolo", "steht", "ici", "hier", "aquí", "aqui", "qui ")
+
 _ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 _REFERENCE = re.compile(r"\b(?=[0-9a-f-]*\d)(?=[0-9a-f-]*[a-f])[0-9a-f-]{6,}\b", re.I)
 _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b")
@@ -125,8 +128,14 @@ _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _MARKS = re.compile(r"^\s*(?:#{1,6}\s+|>\s*|[-*+]\s+)+|[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}(?!\w)")
 
 
+_DUMMY_PARTS = re.compile("bla|asdf|qwerty|foo bar|test test|dummy|lipsum|brown fox|lingues|word mountains")
+
+
 def without_code(text: str) -> str:
-    return _CODE_SPAN.sub(" ", _INDENTED.sub("", _FENCE.sub("\n", text)))
+    if "```" in text:
+        text = _FENCE.sub("\n", text)
+    text = _INDENTED.sub("", text)
+    return _CODE_SPAN.sub(" ", text) if "`" in text else text
 
 
 def mask(block: str) -> str:
@@ -140,7 +149,10 @@ def mask(block: str) -> str:
 
 
 def is_filler(block: str) -> bool:
-    words = _WORD.findall(block.lower())
+    low = block.lower()
+    if LOREM.isdisjoint(low.split()) and "ipsum" not in low and not _DUMMY_PARTS.search(low):
+        return False
+    words = _WORD.findall(low)
     return (len(words) >= FILLER_WORDS and sum(w in LOREM for w in words) >= FILLER_SHARE * len(words)) or _DUMMY.search(block) is not None
 
 
@@ -177,6 +189,10 @@ def examine(text: str) -> tuple[str | None, list[tuple[str, str, bool]]]:
     short = sum(counts) <= PAGE_WORDS
     messages = []
     for (block, heading), n in zip(blocks, counts):
+        if not short and n > MESSAGE_WORDS and "\n" not in block:
+            if is_filler(block):
+                return "filler", []
+            continue
         if not heading and is_filler(block):
             return "filler", []
         for piece in [block] if n <= MESSAGE_WORDS else block.split("\n"):
@@ -184,8 +200,12 @@ def examine(text: str) -> tuple[str | None, list[tuple[str, str, bool]]]:
                 if short:
                     messages.append(("", mask(piece), heading))
                 continue
+            low = piece.lower()
+            may_prompt = any(part in low for part in _PROMPT_PARTS)
+            if not short and not may_prompt:
+                continue
             masked = mask(piece)
-            if PROMPT.search(masked):
+            if may_prompt and PROMPT.search(masked):
                 return "prompt", []
             if short:
                 messages.append(("error" if ERROR.search(masked) else "", masked, heading))
