@@ -7,11 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 _WRITTEN: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def local_session(app: str = "pagequarry", cores: int | str = 8) -> SparkSession:
@@ -29,7 +32,30 @@ def local_session(app: str = "pagequarry", cores: int | str = 8) -> SparkSession
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once per application, unless they find it themselves.
+
+    Workers of a local master see the working folder and PYTHONPATH; those of a cluster get a zip file with the package.
+    """
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    seen = {Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
+    if spark.sparkContext.master.startswith("local") and root in seen:
+        return
+    folder = tempfile.mkdtemp(prefix="pagequarry-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "pagequarry.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted((root / "pagequarry").rglob("*.py")):
+            z.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +77,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     The lineage is cut by a table that outlives any executor. A plan that is read more than once
     (counts and then rows, rounds of an iteration) is computed once.
     """
+    ship_package(df.sparkSession)
     path = f"{durable_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..runtime import ship_package
 
 TABLES = {
     "crawler_pages": schemas.CRAWLER_PAGES,
@@ -24,6 +25,7 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stored table; an empty one where nothing was written yet."""
+    ship_package(spark)
     path = f"{folder}/{name}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
