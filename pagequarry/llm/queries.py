@@ -145,6 +145,20 @@ s as (select id, markdown, len(words) as n_words, list_sum(list_transform(words,
 r as (select id, cast(n_words as bigint) as n_words, case when n_words > 0 then chars / n_words end as mean_word_length, case when n_words > 0 then symbols / chars end as symbol_ratio,
   case when n_words > 0 then ended / n_lines end as ended_share, case when n_words > 0 then common / n_words end as common_share from s)"""
 
+_P1 = r"""with w as (select id, regexp_extract_all(lower(markdown), '[\p{L}\p{N}]+') as w from (select distinct id, markdown from crawler_pages where markdown is not null)),
+s as (select distinct id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 80)),
+n as (select id, count(*) as n from s group by id), m as (select a.id as id_a, b.id as id_b, count(*) as m from s a join s b on a.g = b.g and a.id < b.id group by 1, 2)
+select id_a, id_b from m join n x on x.id = id_a join n y on y.id = id_b where 10 * m >= 7 * (x.n + y.n - m)"""
+
+_P3 = rf"""with p as (select distinct id, markdown from crawler_pages where length(markdown) > 4000),
+l as (select id, i, lines[i] as raw, regexp_replace(lines[i], '{_WS}+$', '') as t from (select id, lines, unnest(range(1, len(lines) + 1)) as i from (select id, string_split(markdown, chr(10)) as lines from p))),
+f as (select *, case when regexp_matches(raw, '^{_WS}*```') then 1 else 0 end as fence from l),
+c as (select *, sum(fence) over (partition by id order by i) as k, sum(fence) over (partition by id) as total from f),
+b as (select *, t <> '' or (k % 2 = 1 and k < total) as part from c),
+s as (select *, case when part and not coalesce(lag(part) over (partition by id order by i), false) then 1 else 0 end as opens from b),
+g as (select id, t, part, sum(opens) over (partition by id order by i) - 1 as block_no from s)
+select id, cast(block_no as integer) as block_no from g where part group by id, block_no having sum(length(t) + 1) - 1 > 4000"""
+
 _P7 = rf"""with p as (select distinct id, markdown, regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(trim(final_url)), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1), ':[0-9]*$', ''), '^www\.', '') as host from crawler_pages where markdown is not null and final_url is not null),
 l as (select id, host, i - 1 as line_no, lines[i] as line, trim(regexp_replace(regexp_replace(lower(lines[i]), '[0-9]', '', 'g'), '{_WS}+', ' ', 'g')) as key from (select id, host, lines, unnest(range(1, len(lines) + 1)) as i from (select id, host, string_split(markdown, chr(10)) as lines from p where host <> ''))),
 n as (select host, count(distinct id) as pages from p group by host),
@@ -158,12 +172,12 @@ eg as (select item_id, array_to_string(w[i:i+11], ' ') as g from (select item_id
 f as (select distinct doc_id, item_id from dg join eg using (g)) """
 
 QUERIES = {
-    "p1_found": (p1_found, None),
+    "p1_found": (p1_found, _P1),
     "p1_groups": (p1_groups, None),
     "p2_found": (p2_found, None),
     "p2_reasons": (p2_reasons, None),
     "p2_real_pages": (p2_real_pages, None),
-    "p3_found": (p3_found, None),
+    "p3_found": (p3_found, _P3),
     "p3_pieces": (p3_pieces, None),
     "p5_found": (p5_found, None),
     "p5_main_blocks": (p5_main_blocks, None),
