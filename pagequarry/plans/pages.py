@@ -104,7 +104,7 @@ _DISTINCT = "(select distinct id, html_content from crawler_pages where html_con
 QUERIES = {
     "page_metadata": (page_metadata, None),
     "page_language_tags": (page_language_tags, rf"""select id, nullif(regexp_extract(html_content, '(?i)<html[^>]*\slang="([^"]*)"', 1), '') as language, cast(len(regexp_extract_all(html_content, '(?i)<h1[ >]')) as integer) as h1_count from {_DISTINCT}"""),
-    "page_headings": (page_headings, None),
+    "page_headings": (page_headings, r"""select id, level, count(*) as n from (select id, cast(l as integer) as level, unnest(regexp_extract_all(html_content, '(?is)<h' || l || '(?:\s[^>]*)?>(.*?)</h' || l || '>', 1)) as inner_html from (select distinct id, html_content from crawler_pages where html_content is not null), (select unnest(range(1, 7)) as l)) where regexp_matches(regexp_replace(inner_html, '<[^>]*>', '', 'g'), '[^\s]') group by id, level"""),
     "page_links": (page_links, rf"""select distinct id, replace(coalesce(nullif(regexp_extract(a, '(?i)\shref="([^"]*)"', 1), ''), regexp_extract(a, '(?i)\shref=''([^'']*)''', 1)), '&amp;', '&') as href from (select id, unnest(regexp_extract_all(html_content, '(?i)<a\s[^>]*')) as a from {_DISTINCT}) where regexp_matches(a, '(?i)\shref=')"""),
     "page_link_places": (page_link_places, None),
     "structural_elements": (structural_elements, None),
