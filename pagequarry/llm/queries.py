@@ -171,6 +171,15 @@ dg as (select doc_id, array_to_string(w[i:i+11], ' ') as g from (select doc_id,
 eg as (select item_id, array_to_string(w[i:i+11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from e)),
 f as (select distinct doc_id, item_id from dg join eg using (g)) """
 
+_P7_CLEAN = f"""with r as ({_P7}), l as (select id, i, lines[i] as line from (select id, lines, unnest(range(1, len(lines) + 1)) as i from (select id, string_split(markdown, chr(10)) as lines from (select distinct id, markdown from crawler_pages))))
+select p.id as id, case when p.markdown is null then null else coalesce(t, '') end as site_text from (select distinct id, markdown from crawler_pages) p left join (select l.id as id, array_to_string(list(line order by i), chr(10)) as t from l anti join r on r.id = l.id and r.line_no = l.i - 1 group by l.id) k on k.id = p.id"""
+
+_P9_SPANS = r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+e as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items),
+dg as (select doc_id, i, array_to_string(w[i:i+11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
+eg as (select distinct item_id, array_to_string(w[i:i+11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from e))
+select doc_id, item_id, cast(min(i) - 1 as integer) as first_word, cast(max(i) + 10 as integer) as last_word, cast(count(*) as integer) as n_windows from dg join eg using (g) group by doc_id, item_id"""
+
 QUERIES = {
     "p1_found": (p1_found, _P1),
     "p1_groups": (p1_groups, None),
@@ -185,12 +194,12 @@ QUERIES = {
     "p6_stats": (p6_stats, _P6 + " select id, case when markdown is null then null else n_words end as n_words, round(mean_word_length, 6) as mean_word_length, round(symbol_ratio, 6) as symbol_ratio, round(ended_share, 6) as ended_share, round(common_share, 6) as common_share from r join p using (id)"),
     "p6_line_kinds": (p6_line_kinds, None),
     "p7_found": (p7_found, _P7),
-    "p7_clean": (p7_clean, None),
+    "p7_clean": (p7_clean, _P7_CLEAN),
     "p7_templates": (p7_templates, None),
     "p8_found": (p8_found, None),
     "p8_containers": (p8_containers, None),
     "p9_found": (p9_found, _P9 + "select doc_id, item_id from f"),
-    "p9_spans": (p9_spans, None),
+    "p9_spans": (p9_spans, _P9_SPANS),
     "p9_clean": (p9_clean, _P9 + "select doc_id from documents where doc_id not in (select doc_id from f)"),
     "p10_found": (p10_found, None),
     "p10_segments": (p10_segments, None),
