@@ -201,8 +201,7 @@ _UNCOMMON = r"(?i)/\.{1,2}(/|$|\?|#)|xn--"
 
 
 def _with_scheme(url: Column) -> Column:
-    text = js_trim(url)
-    return F.when(text.rlike("^(?i:https?)://"), text).otherwise(F.concat(F.lit("https://"), text))
+    return F.regexp_replace(js_trim(url), "^(?!(?i:https?)://)", "https://")
 
 
 def _pairs(text: Column) -> Column:
@@ -213,22 +212,22 @@ def _pairs(text: Column) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """Identity of a page: scheme added, host lowered, default port and fragment dropped, tracking parameters
-    dropped, the others sorted by name (equal names keep their order), one slash at the end dropped."""
+    dropped, the others sorted by name (equal names keep their order), one slash at the end dropped.
+
+    The expression names its parts as seldom as it can: it is often nested, and plans copy what they inline.
+    """
     text = _with_scheme(url)
     pairs = _pairs(text)
-    common = text.rlike(_COMMON) & ~text.rlike(_UNCOMMON) & ((F.size(pairs) <= 1) | F.forall(pairs, lambda p: p["k"].rlike("^[a-z0-9]+$"))) & F.forall(pairs, lambda p: ~p["v"].contains("=") & (p["k"] != ""))
-    scheme = F.lower(F.regexp_extract(text, "^([^:]+):", 1))
-    place = F.lower(F.regexp_extract(text, r"^[^:]+://([^/?#]*)", 1))
-    place = F.when(scheme == "https", F.regexp_replace(place, ":0*443$", "")).otherwise(F.regexp_replace(place, ":0*80$", ""))
-    place = F.regexp_replace(place, ":0+([0-9])", ":$1")
-    path = F.regexp_extract(text, r"^[^:]+://[^/?#]*(/[^?#]*)", 1)
-    path = F.when(path == "", "/").otherwise(path)
-    path = F.when((path != "/") & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
+    plain = F.forall(pairs, lambda p: (p["k"] != "") & ~p["v"].contains("="))
+    common = text.rlike(_COMMON) & ~text.rlike(_UNCOMMON) & plain & ((F.size(pairs) <= 1) | F.forall(pairs, lambda p: p["k"].rlike("^[a-z0-9]+$")))
+    place = F.lower(F.regexp_extract(text, r"^([^:]+://[^/?#]*)", 1))
+    place = F.regexp_replace(F.regexp_replace(F.regexp_replace(place, "^(https://.*):0*443$", "$1"), "^(http://.*):0*80$", "$1"), ":0+([0-9]+)$", ":$1")
+    path = F.regexp_replace(F.regexp_extract(text, r"^[^:]+://[^/?#]*/([^?#]*)", 1), "/$", "")
     numbered = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
     query = F.array_join(F.transform(F.array_sort(numbered), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    fast = F.concat(scheme, F.lit("://"), place, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    slow = _normalize_slow(F.when(~common, url))
-    return F.when(url.isNull() | (js_trim(url) == ""), None).when(common, fast).otherwise(slow)
+    fast = F.regexp_replace(F.concat(place, F.lit("/"), path, F.lit("?"), query), r"\?$", "")
+    # the function gets nothing to do where the columns suffice
+    return F.when(common, fast).otherwise(_normalize_slow(F.when(~common, url)))
 
 
 def normalize_url_with(url: Column, enforce_https: bool = False, slash: str = "never") -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.urls import domain
 
 RESULT = (
     f"metadata {schemas.METADATA}, headings array<{schemas.HEADING}>, h1_count int, links array<{schemas.LINK}>, elements array<{schemas.STRUCT_ELEMENT}>, "
@@ -87,7 +86,7 @@ def parse_pages(df: DataFrame, html_col: str = "html_content", url_col: str = "f
     rows = df.select(*keep, F.col(html_col).alias("__html"), F.col(url_col).alias("__url"), *([F.col(h1_col).alias("__h1")] if h1_col else []))
     if overrides is not None and "content" in parts + ("content",) * ("markdown" in parts):
         chosen = overrides.filter("enabled").groupBy("domain").agg(F.max_by(F.struct("main_content_selectors", "remove_selectors"), "updated_at").alias("o") if "updated_at" in overrides.columns else F.first(F.struct("main_content_selectors", "remove_selectors")).alias("o"))
-        rows = rows.withColumn("__domain", domain(F.col("__url"))).join(chosen.select(F.col("domain").alias("__domain"), F.col("o.main_content_selectors").alias("__main"), F.col("o.remove_selectors").alias("__removed")), "__domain", "left").drop("__domain")
+        rows = rows.withColumn("__domain", F.lower(F.regexp_extract("__url", r"^[A-Za-z]+://(?:[^/?#]*@)?([^/:?#]*)", 1))).join(chosen.select(F.col("domain").alias("__domain"), F.col("o.main_content_selectors").alias("__main"), F.col("o.remove_selectors").alias("__removed")), "__domain", "left").drop("__domain")
     else:
         rows = rows.withColumn("__main", F.lit(None).cast("array<string>")).withColumn("__removed", F.lit(None).cast("array<string>"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import backfill, ingest, merge
 from ..operators.pages import parse_pages, render_markdown
 from ..runtime import materialize, read_table
+from .scalars import _norm
 
 
 def _html(spark, sf_dir):
@@ -79,8 +80,9 @@ def rendered_markdown(spark, sf_dir):
 
 
 def crawl_ingest(spark, sf_dir):
-    """The stored sources as a fresh crawl: located, parsed and merged onto nothing."""
-    p = read_table(spark, sf_dir, "crawler_pages").dropDuplicates(["id"])
+    """The stored sources as a fresh crawl: located, parsed and merged onto nothing. Rows delivered twice are events
+    repeated, which change nothing, so no page is shuffled before it is parsed."""
+    p = read_table(spark, sf_dir, "crawler_pages")
     fetched = p.select(F.coalesce("requested_url_original", "final_url").alias("requested_url"), F.col("final_url").alias("loaded_url"), "status_code", F.col("html_content").alias("body"), "redirect_chain", F.col("sitemap_type_hint").alias("type_hint"), F.col("id").alias("seq"), F.col("last_error").alias("error"), F.col("last_crawled_at").alias("fetched_at"), "run_id")
     events = materialize(ingest.page_events(fetched, overrides=read_table(spark, sf_dir, "domain_overrides")), "crawl-ingest")
     merged = merge.merge_pages(p.limit(0), events, F.expr("TIMESTAMP '2026-01-01 00:00:00'"))
@@ -115,7 +117,12 @@ QUERIES = {
     "page_markdown": (page_markdown, None),
     "page_head": (page_head, r"""select distinct id, lower(regexp_extract(m, '(?i)name="([^"]*)"', 1)) as name, replace(replace(replace(regexp_extract(m, '(?i)content="([^"]*)"', 1), '&#x27;', ''''), '&quot;', '"'), '&amp;', '&') as content from (select id, unnest(regexp_extract_all(html_content, '(?i)<meta name="[^"]*" content="[^"]*">')) as m from (select distinct id, html_content from crawler_pages where html_content is not null))"""),
     "rendered_markdown": (rendered_markdown, None),
-    "crawl_ingest": (crawl_ingest, None),
+    "crawl_ingest": (
+        crawl_ingest,
+        "with p as (select distinct on (id) * from crawler_pages order by id), e as (select id, coalesce(f.norm, final_url) as u, case when last_error is not null then 'ERROR' when status_code in (404, 410) then 'NOT_FOUND' when status_code >= 400 then 'ERROR' else 'OK' end as s, "
+        "last_error is null and (coalesce(len(redirect_chain), 0) > 0 or case when requested_url_original is null then false else coalesce(q.norm, requested_url_original) <> coalesce(f.norm, final_url) end) as c from p left join " + _norm("final_url", "crawler_pages") + " f on f.url = final_url left join " + _norm("requested_url_original", "crawler_pages") + " q on q.url = requested_url_original), "
+        "l as (select u, arg_max(s, id) as crawl_status, arg_max(c, id) as c from e group by u) select crawl_status, count(*) as pages, count(*) filter (where c) as with_chain from l group by crawl_status",
+    ),
     "backfill_markdown": (backfill_markdown, "select count(*) as pages, count(*) filter (where markdown_enhanced is not null or (clean_html is not null and clean_html <> '')) as enhanced from (select distinct on (id) * from crawler_pages order by id)"),
     "backfill_nav": (backfill_nav, "select count(*) as pages, count(*) filter (where nav_structure is not null or (html_content is not null and html_content <> '')) as with_nav from (select distinct on (id) * from crawler_pages order by id)"),
 }
