@@ -12,8 +12,9 @@ shingle sets, exactly. The number of trees follows from the target recall at the
 Shingles stay where the texts are: rows that are shuffled hold a node, an id and 128 bits. Only texts of candidate
 pairs are read again for the verification.
 
-Defined results: null texts and texts under `min_words` words have no partners (in `near_duplicate_groups` they
-are groups of their own); repeated rows count once (by id); other columns are not read.
+Defined results: null texts, texts without words and texts under `min_words` words have no partners (in
+`near_duplicate_groups`, given all ids, they are groups of their own); a text of fewer words than a shingle is one
+shingle as a whole; repeated rows count once (by id); other columns are not read.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ class Shingler:
     def __call__(self, text: str | None) -> np.ndarray | None:
         """Sorted hashes of the distinct shingles, None for a text of too few words."""
         words = WORD.findall(text.lower()) if text else ()
-        if len(words) < max(self.min_words, self.size):
+        if len(words) < max(self.min_words, 1):
             return None
         known = self.known
         if len(known) > _CACHE_WORDS:
@@ -62,9 +63,10 @@ class Shingler:
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.array([known[w] for w in words], np.uint64)
-        m = len(h) - self.size + 1
-        out = h[:m].copy()
-        for k in range(1, self.size):
+        size = min(self.size, len(h))
+        m = len(h) - size + 1
+        out = _mix(h[:m], np.uint64(0))  # or the first two words could change places
+        for k in range(1, size):
             out = _mix(out, h[k : k + m] + np.uint64(k))
         return np.unique(out)
 
@@ -251,9 +253,10 @@ def expanded(members: DataFrame, links: DataFrame) -> DataFrame:
     return same.unionByName(across)
 
 
-def near_duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
+def near_duplicate_groups(members: DataFrame, links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """id, group_id, n_links: connected groups of texts; group_id is the smallest id of the group, n_links the
-    number of different texts linked to the row's own. One row per member, groups of one included.
+    number of different texts linked to the row's own. One row per member, groups of one included; given ids (a
+    column id), one row per id, those that are no members in groups of their own.
 
     Labels spread by alternating rounds over written tables: every node takes the smallest label around it, then
     the label of its label, until no label changes.
@@ -269,6 +272,8 @@ def near_duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
         if new.filter("label <> old").isEmpty():
             break
         labels = new.select("id", "label")
+    if ids is not None:
+        members = ids.filter("id is not null").select("id").distinct().join(members, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     degree = edges.groupBy("id_a").agg(F.count("*").alias("n_links"))
     grouped = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").join(degree.withColumnRenamed("id_a", "rep"), "rep", "left")
     return grouped.select("id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -17,16 +17,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def _near_dup(spark, sf_dir):
-    return near_dup.near_duplicates(_pages(spark, sf_dir), "id", "markdown", size=3, similarity=0.7, min_words=80)
+def _near_dup(spark, sf_dir, min_words):
+    return near_dup.near_duplicates(_pages(spark, sf_dir), "id", "markdown", size=3, similarity=0.7, min_words=min_words)
 
 
 def p1_found(spark, sf_dir):
-    return near_dup.expanded(*_near_dup(spark, sf_dir))
+    return near_dup.expanded(*_near_dup(spark, sf_dir, 80))
 
 
 def p1_groups(spark, sf_dir):
-    return near_dup.near_duplicate_groups(*_near_dup(spark, sf_dir))
+    """Groups of all pages, short ones included; the least number of words belongs to p1_found alone."""
+    return near_dup.near_duplicate_groups(*_near_dup(spark, sf_dir, 1), _pages(spark, sf_dir).select("id"))
 
 
 def p2_reasons(spark, sf_dir):

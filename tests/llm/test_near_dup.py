@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.llm import near_dup as N
+from pagequarry.llm.queries import p1_groups
 
 
 def texts(seed=5, groups=12, singles=30):
@@ -69,6 +70,24 @@ def test_nulls_short_long_and_repeated_texts(spark):
     assert members.count() == 0 and N.expanded(members, links).count() == 0 and N.near_duplicate_groups(members, links).count() == 0
 
 
+def test_groups_of_all_ids_and_short_copies(spark):
+    many = " ".join(f"w{k}" for k in range(90))
+    rows = [(1, None), (2, ""), (3, "Not found"), (4, "not FOUND!"), (5, "one two three four"), (6, "One, two, three, four."), (7, many), (8, many + " end"), (9, "***"), (9, "***"), (10, "found not")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    groups = N.near_duplicate_groups(*N.near_duplicates(df, "id", "text", 3, 0.7, 1), df.select("id"))
+    assert sorted(tuple(r) for r in groups.collect()) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 3, 0), (5, 5, 0), (6, 5, 0), (7, 7, 1), (8, 7, 1), (9, 9, 0), (10, 10, 0)]
+
+
+def test_order_of_words_in_a_shingle():
+    shingler = N.Shingler(3, 1)
+    assert all(shingler(f"a{k} b{k} c").tolist() != shingler(f"b{k} a{k} c").tolist() for k in range(50))
+
+
+def test_p1_groups_has_a_row_for_every_page(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, "Not found."), (3, "not found"), (4, "x")], "id long, markdown string").write.parquet(f"{tmp_path}/crawler_pages.parquet")
+    assert sorted(tuple(r) for r in p1_groups(spark, str(tmp_path)).collect()) == [(1, 1, 0), (2, 2, 0), (3, 2, 0), (4, 4, 0)]
+
+
 def test_string_ids_and_chains(spark):
     base = [f"w{k}" for k in range(100)]
     chain = [" ".join(base[:k] and [f"c{j}" for j in range(k)] + base[k:] or base) for k in (0, 8, 16, 24)]
