@@ -7,7 +7,9 @@ Three kinds of evidence, block by block, code left out:
   texts are counted across sources. A message whose wording is beyond doubt is classified as it stands; one that
   only hints at an error, a prompt or a demand for scripts counts if it recurs on `MIN_HOSTS` sources or more;
 * an error, block, login, maintenance or script message makes a case only where it is the page's text: besides
-  headings, such messages and lines that recur on many sources, little text may be left.
+  headings, such messages and lines that recur on many sources, little text may be left, on pages of more than
+  `PAGE_WORDS` words no more than the messages themselves have. Paragraphs are looked at sentence by sentence; on such
+  pages those that recur are text, as whole articles are mirrored too.
 
 Only hashes of messages, sources and ids are shuffled, counted per message and source before they meet; hot
 messages are salted in the join back to their pages.
@@ -31,7 +33,7 @@ from .site_lines import host_of
 
 MIN_HOSTS, SALTS = 3, 16
 #: A page of at most so many words outside code may be a message as a whole, if no more than OTHER_WORDS of them are
-#: neither a message nor a line known from other sources; a message has at most MESSAGE_WORDS words.
+#: neither a message nor a line known from other sources; a line of more than MESSAGE_WORDS words is a paragraph.
 PAGE_WORDS, OTHER_WORDS, MESSAGE_WORDS = 80, 40, 24
 FILLER_SHARE, FILLER_WORDS = 0.6, 8
 
@@ -121,6 +123,45 @@ _HINT_PROMPT = re.compile(r"\b(?:edit|replace|insert|type|write|change|remove|de
 #: A text without any of these has no prompt and no hint at one; looked for before the patterns.
 _PROMPT_PARTS = ("text", "copy", "content", "paragraph", "heading", "title", "here", "click", "edit", "your", "this ", "todo", "tbd", "fixme", "tk", "publi", "wordpress", "hello world", "change", "delete", "remove", "image", "description", "entry", "box", "section", "block", "words", "template", "testo", "inhalt", "contenu", "contenido", "conteúdo", "absatz", "überschrift", "titel", "titre", "título", "titolo", "steht", "ici", "hier", "aquí", "aqui", "qui ")
 
+# A sentence of a paragraph that names sample text is about it, unless it says so of itself.
+_NAMED = re.compile(r"(?:sample|dummy|placeholder|filler|example|default|demo) |texto de |(?:texte|contenu|titre) (?:d|de |provisoire)|(?:beispiel|platzhalter|muster|blind)|testo (?:di |segna|provv)", re.I)
+_SELF = re.compile(r"\W*(?:(?:this|here|i am|i'm|hier|dies\w*|das|ceci|ce|voici|est[eoa]|aquí|isto|aqui|quest[oa]|ecco)\b|[^.!?]{0,12}$)")
+_QUOTED = re.compile(r"[\"“„«][^\"“”„«»]{1,200}[\"”“»]")
+_SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)*_]*\s+|(?<=[.!?][\"'”’»)*_])\s+")
+
+
+def _parts(pattern: re.Pattern) -> tuple[str, ...]:
+    """Literals of which any match of the pattern in a masked text holds at least one."""
+    from re import _constants as C
+    from re import _parser
+
+    def of(items) -> set[str] | None:
+        found, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is C.LITERAL and chr(arg) != "0":
+                run += chr(arg).lower()
+                continue
+            if run:
+                found.append({run})
+            run, inner = "", None
+            if op is C.SUBPATTERN:
+                inner = of(arg[3])
+            elif op is C.BRANCH:
+                each = [of(b) for b in arg[1]]
+                inner = None if None in each else set().union(*each)
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0]:
+                inner = of(arg[2])
+            if inner:
+                found.append(inner)
+        return max(found, key=lambda parts: min(map(len, parts)), default=None)
+
+    parts = of(_parser.parse(pattern.pattern, pattern.flags)) or {""}
+    return tuple(sorted(x for x in parts if not any(y != x and y in x for y in parts)))
+
+
+_PROMPT_LITERALS, _ERROR_LITERALS, _HINT_LITERALS = _parts(PROMPT), _parts(ERROR), _parts(_HINT_ERROR)
+_HINT_PROMPT_LITERALS = _parts(_HINT_PROMPT)
+
 _ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 _REFERENCE = re.compile(r"\b(?=[0-9a-f-]*\d)(?=[0-9a-f-]*[a-f])[0-9a-f-]{6,}\b", re.I)
 _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b")
@@ -163,11 +204,27 @@ def _placeholder(text: str) -> bool:
     return False
 
 
-def examine(text: str) -> tuple[str | None, list[tuple[str, str, bool]]]:
-    """(what the page shows beyond doubt, or None; its messages as (class, masked text, heading)).
+def _plain(text: str) -> str:
+    """Lower case without marks, for looking up literals before a text is masked."""
+    return " ".join(text.lower().replace("*", "").replace("_", "").split())
+
+
+def _holds(parts: tuple[str, ...], low: str) -> bool:
+    return any(part in low for part in parts)
 
-    Class: error, or "" where only recurrence can tell. Messages of longer pages are given only if they may be
-    prompts; of short pages all text is.
+
+def prompts(sentence: str) -> bool:
+    """Does a masked sentence of a paragraph prompt its editor, other than by quoting or naming such texts?"""
+    unquoted = _QUOTED.sub(" ", sentence)
+    return any(not _NAMED.match(m[0]) or _SELF.match(unquoted) for m in PROMPT.finditer(unquoted))
+
+
+def examine(text: str) -> tuple[str | None, list[tuple[str, str, bool, bool, bool]]]:
+    """(what the page shows beyond doubt, or None; its messages as (class, masked text, heading, sentence of a
+    paragraph, page of more than PAGE_WORDS words)).
+
+    Class: error, or "" where only recurrence can tell. All text is given, but of longer pages without any sign of an
+    error only what may be a prompt.
     """
     text = without_code(text.replace("\r", ""))
     if _placeholder(text):
@@ -187,31 +244,27 @@ def examine(text: str) -> tuple[str | None, list[tuple[str, str, bool]]]:
             blocks.append(("\n".join(part), False))
     counts = [len(b.split()) for b, _ in blocks]
     short = sum(counts) <= PAGE_WORDS
-    messages = []
+    if any((not heading or n > MESSAGE_WORDS) and is_filler(block) for (block, heading), n in zip(blocks, counts)):
+        return "filler", []
+    pieces = []
     for (block, heading), n in zip(blocks, counts):
-        if not short and n > MESSAGE_WORDS and "\n" not in block:
-            if is_filler(block):
-                return "filler", []
-            continue
-        if not heading and is_filler(block):
-            return "filler", []
         for piece in [block] if n <= MESSAGE_WORDS else block.split("\n"):
-            if len(piece.split()) > MESSAGE_WORDS:
-                if short:
-                    messages.append(("", mask(piece), heading))
-                continue
-            low = piece.lower()
-            may_prompt = any(part in low for part in _PROMPT_PARTS)
-            if not short and not may_prompt:
-                continue
+            prose = len(piece.split()) > MESSAGE_WORDS
+            pieces += [(x, heading, prose) for x in (_SENTENCE.split(piece) if prose else [piece]) if x.strip()]
+    messages, sign = [], short
+    for piece, heading, prose in pieces:
+        low = _plain(piece)
+        masked = None
+        if _holds(_PROMPT_LITERALS, low):
             masked = mask(piece)
-            if may_prompt and PROMPT.search(masked):
+            if prompts(masked) if prose else PROMPT.search(masked):
                 return "prompt", []
-            if short:
-                messages.append(("error" if ERROR.search(masked) else "", masked, heading))
-            elif _HINT_PROMPT.search(masked):
-                messages.append(("", masked, heading))
-    return None, messages
+        known = _holds(_ERROR_LITERALS, low) and ERROR.search(masked := masked or mask(piece)) is not None
+        sign = sign or known or (not prose and _holds(_HINT_LITERALS, low) and _HINT_ERROR.search(masked := masked or mask(piece)) is not None)
+        messages.append(("error" if known else "", masked, piece, low, heading, prose))
+    if not sign:
+        messages = [m for m in messages if _holds(_HINT_PROMPT_LITERALS, m[3]) and _HINT_PROMPT.search(m[1] or mask(m[2]))]
+    return None, [(known, masked or mask(piece), heading, prose, not short) for known, masked, piece, _, heading, prose in messages]
 
 
 def residue(df: DataFrame, id_col: str, url_col: str, text_col: str, min_hosts: int = MIN_HOSTS) -> DataFrame:
@@ -225,29 +278,34 @@ def residue(df: DataFrame, id_col: str, url_col: str, text_col: str, min_hosts:
             for i, host, text in zip(batch["id"], batch["host"], batch["text"]):
                 shown, messages = examine(text)
                 if shown:
-                    rows.append((i, None, shown, None, False, 0, 0))
-                for known, masked, heading in messages:
+                    rows.append((i, None, shown, None, False, False, False, 0, 0))
+                for known, masked, heading, prose, long in messages:
                     hint = 1 if _HINT_PROMPT.search(masked) else 2 if _HINT_ERROR.search(masked) else 0
-                    rows.append((i, host, known, xxhash.xxh3_64_intdigest(masked) - (1 << 63), heading, hint, len(masked.split())))
-            yield pd.DataFrame(rows, columns=["id", "host", "known", "message", "heading", "hint", "words"]).astype({"message": "Int64"})
+                    rows.append((i, host, known, xxhash.xxh3_64_intdigest(masked) - (1 << 63), heading, prose, long, hint, len(masked.split())))
+            yield pd.DataFrame(rows, columns=["id", "host", "known", "message", "heading", "prose", "long", "hint", "words"]).astype({"message": "Int64"})
 
-    rows = materialize(pages.mapInPandas(run, f"id {kind}, host string, known string, message long, heading boolean, hint int, words int").distinct(), "residue")
+    rows = materialize(pages.mapInPandas(run, f"id {kind}, host string, known string, message long, heading boolean, prose boolean, long boolean, hint int, words int").distinct(), "residue")
     shown = rows.filter("message is null").select("id", F.col("known").alias("reason"))
     # sources per message: pairs first, so that a message that is everywhere is counted from one row per source
     recurring = rows.filter("message is not null and host is not null and known = ''").select("message", "host").distinct().groupBy("message").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= min_hosts)
     salted = recurring.select("message", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("recurs"))
     open_rows = rows.filter("message is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     judged = open_rows.join(salted, ["message", "salt"], "left").withColumn("recurs", F.coalesce("recurs", F.lit(False)))
-    error = (F.col("known") == "error") | (F.col("recurs") & (F.col("hint") == 2))
+    mirrored = F.col("long") & F.col("prose")
+    error = (F.col("known") == "error") | (F.col("recurs") & (F.col("hint") == 2) & ~mirrored)
     prompt = F.col("recurs") & (F.col("hint") == 1)
+    other = ~error & ~F.col("heading") & (~F.col("recurs") | mirrored)
     per_page = judged.groupBy("id").agg(
+        F.max("long").alias("long"),
         F.max(prompt).alias("prompt"),
         F.max(error & ~F.col("heading")).alias("error"),
         F.max(error & F.col("heading")).alias("error_heading"),
-        F.sum(F.when(~error & ~F.col("recurs") & ~F.col("heading"), F.col("words")).otherwise(0)).alias("other"),
-        F.max(~error & ~F.col("recurs") & ~F.col("heading")).alias("text"),
+        F.sum(F.when(error & ~F.col("heading"), F.col("words")).otherwise(0)).alias("error_words"),
+        F.sum(F.when(other, F.col("words")).otherwise(0)).alias("other"),
+        F.max(other).alias("text"),
     )
-    is_message = (F.col("other") <= OTHER_WORDS) & (F.col("error") | (F.col("error_heading") & ~F.col("text")))
+    little = F.when(F.col("long"), F.col("other") <= F.col("error_words")).otherwise(F.col("other") <= OTHER_WORDS)
+    is_message = little & (F.col("error") | (F.col("error_heading") & ~F.col("text")))
     messages = per_page.select("id", F.when(F.col("prompt"), "prompt").when(is_message, "error").alias("reason")).filter("reason is not null")
     return shown.unionByName(messages).groupBy("id").agg(F.min("reason").alias("reason"))
 

@@ -50,6 +50,30 @@ def test_error_pages_but_not_texts_about_errors(spark):
     assert cases(spark, rows) == {1: "error", 2: "error", 4: "error", 6: "error"}
 
 
+def test_prompts_in_long_paragraphs():
+    wix = "I'm a paragraph. Click here to add your own text and edit me. It's easy. Let your users know a little more about you, tell a story and drag me anywhere you like on this page."
+    assert R.examine(f"# A\n\n{wix}")[0] == "prompt" and R.examine(f"# A\n\n{PROSE}\n\n{wix}")[0] == "prompt"
+    about = f"Editors leave placeholder text behind, and a button says “click here to edit” for years. {PROSE}"
+    assert R.examine(f"# A\n\n{about}")[0] is None
+
+
+def test_error_messages_in_long_paragraphs_and_pages(spark):
+    own = "Sorry, the page you asked for at Harbour Lane Books could not be found. Our shelves were rearranged in the spring and some of the addresses changed with them."
+    long = "The page you requested could not be found on this server, and nothing else is kept at this address either. " * 2
+    long = "\n\n".join(long.replace("server", f"server of {n}") for n in ("Ames", "Bode", "Cole"))
+    rows = [
+        (1, "https://a.example/", f"# Page not found\n\n{own}", "h"),
+        (2, "https://a.example/", f"# Page not found\n\n{long}\n\nTry the start page of the shop.", "h"),
+        *((k, f"https://h{k}.example/", f"# Page not found\n\nThe phrase page not found makes people leave. {PROSE}", "h") for k in range(3, 8)),
+    ]
+    assert len(rows[1][2].split()) > R.PAGE_WORDS and cases(spark, rows) == {1: "error", 2: "error"}
+
+
+def test_literals_are_in_every_match():
+    for sample in ("404 not found", "seite wurde nicht gefunden", "bitte melden sie sich an", "please enable javascript", "fehler 404", "http 404"):
+        assert R.ERROR.search(R.mask(sample)) is None or any(x in R._plain(sample) for x in R._ERROR_LITERALS)
+
+
 def test_recurrence_decides_doubtful_messages(spark):
     doubtful = "Our server is taking a nap, try again."
     rows = [(k, f"https://h{k}.example/", f"# Hm\n\n{doubtful}", "x") for k in range(4)]
