@@ -40,12 +40,12 @@ from ..html.tokens import MAX_DEPTH, TOKEN, VOID, ended_by
 from ..runtime import materialize
 from .site_lines import host_of
 
-SAMPLE_PAGES, TREE_PAGES, PAGES_PER_SITE, SAMPLE_CHARS = 1600, 600, 20, 100_000
+SAMPLE_PAGES, TREE_PAGES, PAGES_PER_SITE, SAMPLE_CHARS = 2000, 700, 20, 100_000
 MIN_DOCS, MIN_SHARE = 5, 0.1
 #: A short line on so many sites is common; beside other text it is not of their articles (label rule).
 MIN_SITES, MAX_LINE = 5, 160
 MAX_BROADCAST_KEYS = 4_000_000
-N_TREES, TREE_DEPTH, RATE, BINS, ROW_SHARE, FEATURE_SHARE = 60, 5, 0.2, 32, 0.15, 0.6
+N_TREES, TREE_DEPTH, RATE, BINS, ROW_SHARE, FEATURE_SHARE = 60, 5, 0.2, 32, 0.35, 0.6
 MAX_WORDS = 20_000
 #: Weight of an inner node's log-odds against the sum over its leaves.
 NODE_WEIGHT = 0.5
@@ -630,14 +630,23 @@ def known_keys(pages: DataFrame) -> DataFrame:
     return recurring.unionByName(common)
 
 
+def sample_ids(pages: DataFrame, most: int = SAMPLE_PAGES) -> DataFrame:
+    """id of the pages(id, host) to fit on: of every site its first page by hash, then of every site its second, and
+    so on up to PAGES_PER_SITE. Only a site's few candidates meet in the second window."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(64))
+    heads = pages.select("id", "host").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("host", bucket).orderBy(F.xxhash64("id", F.lit(1)))))
+    few = heads.filter("rank = 1").withColumn("bucket", bucket).filter(F.col("bucket") < PAGES_PER_SITE)
+    turns = few.withColumn("turn", F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("id"))))
+    return turns.orderBy("turn", F.xxhash64("host"), F.xxhash64("id")).limit(most).select("id")
+
+
 def main_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """id, block_no (place among the page's blocks), block_key, block: the blocks of each page's main body."""
     spark = df.sparkSession
     pages = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("html is not null")
     keys = materialize(known_keys(pages), "known-keys")
     n_keys = keys.count()
-    heads = pages.select("id", "host").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("host", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.xxhash64("id", F.lit(1)))))
-    chosen = heads.filter("rank = 1").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(64))).filter(F.col("bucket") < PAGES_PER_SITE).orderBy(F.xxhash64("host"), F.xxhash64("id")).limit(SAMPLE_PAGES).select("id").collect()
+    chosen = sample_ids(pages).collect()
     sample = pages.filter(F.col("id").isin([r["id"] for r in chosen]) & (F.length("html") <= SAMPLE_CHARS)).dropDuplicates(["id"]).orderBy("id").collect()
     own = [(r["host"], r["html"]) for r in sample]
     del sample

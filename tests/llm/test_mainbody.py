@@ -29,6 +29,12 @@ def test_blocks_by_definition():
     assert M.block_texts("") == [] and M.block_texts("<p>") == []
 
 
+def test_sample_takes_pages_of_every_site(spark):
+    df = spark.range(3000).selectExpr("id", "concat('s', id % 30) as host")
+    hosts = [r["host"] for r in df.join(M.sample_ids(df, 60), "id").collect()]
+    assert len(hosts) == 60 and {hosts.count(h) for h in hosts} == {2} and len(set(hosts)) == 30
+
+
 @pytest.fixture(scope="module")
 def sites(spark):
     rows, truth = [], {}
