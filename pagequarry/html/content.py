@@ -68,8 +68,8 @@ def headings_by_level(index: Index) -> list[dict]:
     return [{"level": n, "text": text} for n in range(1, 7) for e in index.by_name.get(f"h{n}", ()) if (text := e.text().strip())]
 
 
-def page_links(index: Index, url: str, limit_label: int = 500) -> list[dict]:
-    """Every link of the page with the part of the page it stands in."""
+def page_links(index: Index, url: str, limit_label: int | None = None) -> list[dict]:
+    """Every link of the page with the part of the page it stands in; anchor texts are whole unless limited."""
     from ..functions.urls import is_external
     from .nav import origin_of
 

@@ -178,3 +178,13 @@ def test_any_soup_is_processed(parts):
     assert (isinstance(out["markdown"], str) or not html) and out["word_count"] >= 0
     for e in parse(html).elements():
         assert 0 <= e.start <= e.end <= len(html)
+
+
+def test_anchor_texts_of_links_are_whole():
+    from pagequarry.html.content import page_links
+    from pagequarry.html.tree import Index, parse
+
+    card = "teaser " * 200
+    index = Index(parse(f"<body><a href='/x'>{card}</a></body>"))
+    assert page_links(index, "https://a.example/")[0]["anchor"] == card.strip()
+    assert page_links(index, "https://a.example/", 10)[0]["anchor"] == card[:10]
