@@ -1,21 +1,28 @@
-"""Template residue, filler and error pages.
+"""Template residue, filler and error pages, by messages masked, grouped across sources and classified.
 
-Three kinds of evidence, block by block, code left out:
+A text without its code is read line by line. A line of up to `MESSAGE_WORDS` words is a message: its markup is
+dropped, addresses, dates, reference codes and numbers are masked, and the hash of the rest is its group. Groups are
+counted over all pages by the sources (hosts) they occur on, and then classified:
 
-* placeholders that were never filled and paragraphs of filler text stand out by themselves;
-* messages: a short block is masked (numbers, addresses, dates, reference codes, letter case), and equal masked
-  texts are counted across sources. A message whose wording is beyond doubt is classified as it stands; one that
-  only hints at an error, a prompt or a demand for scripts counts if it recurs on `MIN_HOSTS` sources or more;
-* an error, block, login, maintenance or script message makes a case only where it is the page's text: besides
-  headings, such messages and lines that recur on many sources, little text may be left, on pages of more than
-  `PAGE_WORDS` words no more than the messages themselves have. Paragraphs are looked at sentence by sentence; on such
-  pages those that recur are text, as whole articles are mirrored too.
+* a group on `MIN_HOSTS` sources or more recurs. Words that hint at an error or a demand for scripts make it an error
+  message, words that hint at an edit of a text make it a prompt; a recurring group without such words belongs to no
+  page in particular and is not counted as a page's own text;
+* a group on fewer sources needs wording that is beyond doubt (`ERROR`, `PROMPT`).
 
-Only hashes of messages, sources and ids are shuffled, counted per message and source before they meet; hot
-messages are salted in the join back to their pages.
+A page with a prompt is a case. A page with an error message is one if the text of its own, in words that are neither
+heading nor message, is no more than the messages' words or `OTHER_WORDS`; so is a page whose heading is an error
+message and whose text recurs, in whatever language it is. Longer lines are text of their page even where they recur,
+as whole articles are mirrored too; they are read sentence by sentence for wording beyond doubt.
 
-Defined results: null texts are neither cases nor dropped by `real_pages`; an empty or blank text is no case;
-repeated rows count once (by id); texts of any length are read whole; other columns are kept by `real_pages`.
+Placeholders that were never filled and paragraphs of filler are cases on whatever page they stand, recurring or not:
+the name filled in around them differs from page to page.
+
+Only hashes of messages, sources and ids are shuffled, counted per message and source before they meet; hot messages
+are salted in the join back to their pages.
+
+Defined results: null texts are neither cases nor dropped by `real_pages`; an empty or blank text is no case; a page
+with a null URL adds no source; repeated rows count once (by id); texts of any length are read whole; other columns
+are kept by `real_pages`.
 """
 
 from __future__ import annotations
@@ -32,10 +39,10 @@ from ..runtime import materialize
 from .site_lines import host_of
 
 MIN_HOSTS, SALTS = 3, 16
-#: A page of at most so many words outside code may be a message as a whole, if no more than OTHER_WORDS of them are
-#: neither a message nor a line known from other sources; a line of more than MESSAGE_WORDS words is a paragraph.
-PAGE_WORDS, OTHER_WORDS, MESSAGE_WORDS = 80, 40, 24
+#: Words of a message at most; longer lines are text. Words of own text that a page may have beside its error message.
+MESSAGE_WORDS, OTHER_WORDS = 24, 40
 FILLER_SHARE, FILLER_WORDS = 0.6, 8
+_CACHE_WORDS = 500_000
 
 _FENCE = re.compile(r"^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\Z)", re.M | re.S)
 _CODE_SPAN = re.compile(r"(`+)(?!`).+?(?<!`)\1(?!`)", re.S)
@@ -52,7 +59,9 @@ PLACEHOLDER = re.compile(
             r"\{%[^%\n]{1,80}%\}",
             r"<%[=-]?[^%\n]{1,80}%>",
             r"<\?(?:php|=)[^\n]{0,80}\?>",
-            r"\$\{[^{}\n]{1,60}\}",
+            r"[$#!]\{[^{}\n]{1,60}\}",
+            r"\$\([A-Za-z_][\w.]{1,40}\)",
+            r"(?<![\w{])\{[$#:@*][A-Za-z_][\w.]{1,40}[#*]?\}",
             r"(?<![\w{$])\{[a-z][a-z0-9_.]{1,40}\}(?!\})",
             r"%%[A-Za-z][\w-]{1,40}%%",
             r"(?<![\w%])%[A-Za-z][A-Za-z_]{2,40}%(?![\w%])",
@@ -60,7 +69,9 @@ PLACEHOLDER = re.compile(
             r"\*\|[A-Za-z][\w:-]*\|\*",
             r"(?<![\w#])#[A-Z][A-Z_]{2,40}#(?![\w#])",
             r"(?<![\w_])__[A-Z][A-Z0-9_]{2,40}__(?![\w_])",
-            r"(?<![\w@])@[A-Za-z][a-z_A-Z]{2,40}@(?![\w@])",
+            r"(?<![\w@])@{1,2}[A-Za-z][a-z_A-Z]{2,40}@{1,2}(?![\w@])",
+            r"(?<![\w#])##[A-Za-z][\w-]{1,40}##(?![\w#])|(?<![\w|])\|\|[A-Za-z][\w-]{1,40}\|\|(?![\w|])|(?<![\w$])\$[A-Z][A-Z_]{2,40}\$(?![\w$])",
+            r"<<[A-Za-z][\w .-]{1,40}>>|\(\([A-Z][A-Z_ ]{2,40}\)\)|\[%[^%\n]{1,80}%\]|<#[^#\n]{1,80}#>|\[:[a-z_]{2,40}:\]",
             r"\bX{3,}[-_][A-Z]+(?:[-_]X{3,})?\b",
             r"\[(?i:insert|enter|add|your|type|put|company|client|first|last|full|ihr|ihre|votre|su|tu|il tuo|o seu)\b[^\]\n]{0,60}\](?!\()",
             r"\[[A-Za-z]+ (?i:name|here|title|goes here|placeholder)\](?!\()",
@@ -82,7 +93,6 @@ _DUMMY = re.compile(r"\b(?:(?:blah|bla|asdf|qwerty|foo bar|test test|dummy text|
 
 _WORD = re.compile(r"[^\W\d_]+")
 
-# Wording that is beyond doubt in a text of one or two short sentences.
 PROMPT = re.compile(
     r"(?:sample|dummy|placeholder|filler|example|default|demo) (?:text|copy|content|paragraph|heading|title)\b"
     r"|(?:heading|title|text|content|copy|description|caption|subtitle|tagline|paragraph|image) (?:goes|comes|will go|will appear) here"
@@ -96,32 +106,36 @@ PROMPT = re.compile(
     r"|testo (?:di esempio|segnaposto|di prova|provvisorio)|(?:il )?(?:tuo|vostro|suo) testo (?:qui|va qui)|inserisci (?:qui )?il (?:tuo )?testo|(?:su|tu|aquí va su|aquí va tu) texto aquí|escriba aquí su texto|(?:o )?(?:seu|teu) texto aqui|insira (?:aqui )?o (?:seu )?texto",
     re.I,
 )
+#: Beyond doubt on a single source (masked text, so any number is 0).
 ERROR = re.compile(
-    # not found
-    r"\b(?:error|fehler|erreur|errore|erro)\s?:?\s?0\b|^0\b.{0,24}\b(?:error|not found|forbidden|gone|unavailable|fehler|erreur|errore|erro)\b|\bhttp(?: error| status)? 0\b"
-    r"|(?:page|file|url|address|link|content|resource|document|article|site)\b.{0,60}\b(?:not (?:be )?found|could ?n[o’']t be (?:found|loaded|displayed)|does ?n[o’']t exist|no longer (?:exists?|available|here|lives)|(?:has|have) (?:been )?(?:moved|removed|deleted|expired)|may have been|is broken|is missing)"
-    r"|(?:can(?:no|[’'])t|could(?: not|n[’']t)|unable to) (?:find|locate|load|display) (?:that|this|the|your) (?:page|file|url|address|site|content|resource)|^(?:page |file )?not found\W*$|nothing (?:lives|is|was found|to see|behind|exists)\b.{0,40}(?:here|address|link|url)?|there is nothing (?:here|behind|at)"
-    r"|(?:página|enlace|dirección|contenido|recurso|endereço|conteúdo|ligação)\b.{0,60}\bn(?:o|ão) (?:existe|se (?:ha )?encontr|(?:ha sido |foi )?encontrad|está disponible|está disponível)|no hemos encontrado|no se (?:ha )?(?:encontrado|encuentra|encontró)|(?:já|ya) n(?:o|ão) existe"
-    r"|não (?:foi|foram) (?:possível )?encontr|(?:page|adresse|contenu|ressource)\b.{0,50}\b(?:introuvable|n[’']existe (?:pas|plus)|n[’']est (?:pas|plus) disponible|ne mène nulle part|n[’']a pas été trouvée?)|introuvable"
-    r"|(?:seite|adresse|inhalt|datei)\b.{0,60}\b(?:nicht (?:gefunden|vorhanden|verfügbar)|existiert nicht|gibt es nicht|gibt es nichts)|nicht gefunden\b|(?:pagina|indirizzo|contenuto|risorsa)\b.{0,50}\bnon (?:è (?:stat[ao] )?(?:trovat|disponibil)|esiste)|non (?:è stata )?trovata"
-    # blocked
-    r"|\b(?:access|permission|request)(?: (?:is|was|has been))? (?:denied|forbidden|blocked|refused)\b(?! to \w+ \w+ (?:at|in|because))|you (?:do not|don[’']t) have (?:permission|access)|not (?:authori[sz]ed|allowed) to (?:view|access)|acceso (?:denegado|prohibido)|no tiene permiso|accès (?:refusé|interdit|non autorisé)|zugriff (?:verweigert|gesperrt|nicht erlaubt)|keine berechtigung|accesso (?:negato|vietato)|acesso (?:negado|recusado|proibido)"
-    r"|(?:unusual|suspicious|automated) (?:traffic|activity|requests)|(?:are|you[’']re) not a robot|(?:verify|confirm|prove) (?:that )?you(?:[’']re| are) (?:a )?human|checking your browser|too many requests|(?:solve|complete) the captcha|ddos protection|confirme? que no es un robot|vérifi\w+ que vous n[’']êtes pas un robot|kein roboter|non sei un robot|não é um robô"
-    # login
-    r"|(?:session|sitzung|sesión|sessione|sessão)\b.{0,30}\b(?:expired|timed out|abgelaufen|expirad[ao]|caducad[ao]|expirée?|scaduta)|(?:please |you must |you need to )?(?:log|sign) ?in (?:again |first )?to (?:continue|view|see|access|read|proceed)|(?:members|subscribers) only|you (?:must|need to) be logged in|(?:inicie|inicia) sesión para|connectez-vous pour|veuillez vous (?:re)?connecter|bitte (?:melden sie sich|einloggen|anmelden)|melden sie sich (?:an|erneut)|(?:accedi|effettua l[’']accesso) per|(?:inicie|faça) (?:a )?(?:sessão|login) para"
+    # a status by its number or name
+    r"\b(?:error|fehler|erreur|errore|erro)\s?:?\s?0\b|^0\b.{0,24}\b(?:error|not found|forbidden|fehler|erreur|errore|erro)\b|\bhttp(?: error| status)? 0\b|internal server error|bad gateway|gateway time-?out|service unavailable"
+    # the page is missing
+    r"|\b(?:page|file|url|address|link|content|resource|document|article|site)\b.{0,60}\b(?:not (?:be )?found|does ?n[o']t exist|no longer (?:exists?|available)|is broken)|(?:cannot|can't|could not|couldn't|unable to) (?:find|locate|load) (?:that|this|the|your) (?:page|file|url|address)|^(?:page |file )?not found\W*$"
+    r"|\b(?:página|enlace|contenido|endereço|conteúdo)\b.{0,60}\bn(?:o|ão) (?:existe|(?:ha sido |foi )?encontrad)|\b(?:page|adresse)\b.{0,50}\b(?:introuvable|n'existe (?:pas|plus))|\b(?:seite|adresse)\b.{0,60}\b(?:nicht gefunden|existiert nicht)|\bpagina\b.{0,50}\bnon (?:è stata trovata|esiste)"
+    # no admittance
+    r"|\b(?:access|permission)(?: (?:is|was|has been))? (?:denied|forbidden)\b(?! to \w+ \w+ (?:at|in|because))|acceso (?:denegado|prohibido)|accès (?:refusé|interdit)|zugriff (?:verweigert|gesperrt)|accesso (?:negato|vietato)|acesso (?:negado|recusado)|(?:confirm|verify|prove) (?:that )?you(?:'re| are) (?:a )?(?:not a robot|human)|session has expired|(?:log|sign) ?in (?:again )?to continue"
     # out of order
-    r"|(?:down|closed|offline|unavailable) for (?:\w+ )?maintenance|(?:scheduled|under|undergoing|planned) maintenance|(?:site|página|sitio|sito) (?:is )?(?:en|in|em|under) (?:maintenance|mantenimiento|manutenzione|manutenção)|wartungsarbeiten|(?:service|site|server|page|website)(?: is)? (?:temporarily|currently|momentarily) (?:unavailable|down|offline|out of)|temporarily unavailable|vorübergehend nicht (?:erreichbar|verfügbar)|momentanément indisponible|temporairement indisponible|temporalmente (?:no disponible|fuera de servicio)|temporaneamente non disponibile|temporariamente indisponível|back (?:soon|shortly|online soon)\W*$"
-    r"|internal server error|bad gateway|gateway time-?out|service unavailable|bad request|uncaught (?:exception|error)|fatal error|parse error|stack trace|undefined (?:function|variable|index|method)|(?:could not|cannot|can[’']t|failed to|error) (?:open|establish|establishing|connect)\w* (?:a |to the |to )?.{0,30}(?:connection|database|server|host)|upstream (?:host|server)|database (?:connection )?error|(?:unexpected|unknown) (?:condition|error)|something went wrong|error interno|erreur interne|interner (?:server)?fehler|errore interno|erro interno"
-    # scripts
-    r"|(?:enable|activate|turn on|switch on|allow|needs?|requires?|without|off|disabled|switched on|active|activez?|activer|aktivier\w*|ohne|sans|sin|senza|sem|attiva\w*|ative|habilite|abilita\w*|necesita|nécessite|benötigt|richiede|precisa de)\b.{0,40}\b(?:java ?scripts?|scripts|scripting)\b|\b(?:java ?scripts?|scripts|scripting)\b.{0,50}\b(?:enabled?|disabled|switched (?:on|off)|turned (?:on|off)|is off|are off|required|needed|désactivé|deaktiviert|desactivado|disattivato|desativado|activar|aktivieren)",
+    r"|(?:down|closed|offline) for (?:\w+ )?maintenance|under maintenance|(?:en|in|em) (?:mantenimiento|maintenance|manutenzione|manutenção)|wartungsarbeiten"
+    # scripts are needed
+    r"|\b(?:enable|activate|turn on|activez?|activer|aktivier\w*|attiva|ative|active)\b.{0,30}\bjava ?script\b|\b(?:needs?|requires?|without|ohne|sans|senza|sem|necesita) java ?script\b|\bjava ?script\b.{0,40}\b(?:enabled|disabled|required|deaktiviert|aktivieren|désactivé|desactivado)",
     re.I,
 )
-# Words that hint at one of these; enough only together with recurrence across sources.
-_HINT_ERROR = re.compile(r"\b(?:error|oops|sorry|denied|forbidden|expired|unavailable|maintenance|server|gateway|timeout|exception|javascript|scripts?|browser|robot|captcha|blocked|log ?in|sign ?in|reload|refresh|loading|try again|not found|moved|deleted|fehler|leider|wartung|gesperrt|anmelden|erreur|désolé|indisponible|refusé|connexion|lo sentimos|mantenimiento|denegado|inténtelo|errore|spiacenti|manutenzione|riprova|negato|erro|lamentamos|manutenção|tente|encontrad[ao]|trovat[ao]|gefunden|trouvée?)\b", re.I)
-_HINT_PROMPT = re.compile(r"\b(?:edit|replace|insert|type|write|change|remove|delete|fill in|describe|customi[sz]e|ersetzen|einfügen|bearbeiten|remplace\w*|modifi\w+|sustitu\w+|reemplac\w+|edite|editar|sostitu\w+|modifica\w*|inseri\w+|substitu\w+)\b.*\b(?:text|paragraph|title|heading|image|description|content|entry|copy|box|section|block|words|template|texto|texte|testo|inhalt|contenu|contenido|conteúdo|absatz|überschrift|titel|titre|título|titolo)\b|\b(?:goes|steht|va|ici|hier|aquí|aqui|qui) (?:here|text|texte|texto|testo)\b", re.I)
 
-#: A text without any of these has no prompt and no hint at one; looked for before the patterns.
-_PROMPT_PARTS = ("text", "copy", "content", "paragraph", "heading", "title", "here", "click", "edit", "your", "this ", "todo", "tbd", "fixme", "tk", "publi", "wordpress", "hello world", "change", "delete", "remove", "image", "description", "entry", "box", "section", "block", "words", "template", "testo", "inhalt", "contenu", "contenido", "conteúdo", "absatz", "überschrift", "titel", "titre", "título", "titolo", "steht", "ici", "hier", "aquí", "aqui", "qui ")
+# Words that hint at an error or a demand for scripts; enough where a message recurs (fixed values).
+_HINTS = frozenset(
+    "error errors oops sorry denied forbidden refused expired unavailable maintenance server servers gateway timeout exception javascript script scripts scripting browser robot captcha reload refresh loading deleted broken undefined unexpected blocked session database connection "
+    "fehler leider wartung wartungsarbeiten gesperrt verweigert anmelden erreichbar roboter erreur désolé introuvable indisponible refusé interdit connexion sentimos mantenimiento denegado prohibido inténtelo intentarlo "
+    "errore spiacenti manutenzione riprova negato vietato erro lamentamos manutenção negado recusado".split()
+)
+_HINT_PHRASES = re.compile(r"\b(?:log|sign) ?in\b|\bnot (?:be )?found\b|\btry again\b|\bno longer\b|\bnothing (?:lives|here|behind|exists|to see)|\bpermission to\b|\bnicht (?:mehr )?gefunden|\bnichts mehr\b|\bn[o'](?: se ha| ha sido|est pas|existe)? ?(?:encontrad\w|existe|trouvée?)|\bnon (?:è stat\w )?(?:trovat\w|esiste)|\bnão (?:foi )?(?:encontrad\w|existe)|\bjá não\b|\bjust a moment\b")
+_PHRASE_WORDS = frozenset("in login signin found again longer nothing to gefunden nichts encontrado encontrada encontrados existe trouvé trouvée n'existe trovata trovato esiste não já moment".split())
+#: Words of which any match of ERROR holds one (beside those of _HINTS); looked for before the pattern.
+_ERROR_WORDS = _HINTS | frozenset("http gefunden seite adresse pagina página enlace contenido endereço conteúdo found exist exists longer find locate load existe existiert encontrado encontrada encontrados n'existe trovata esiste expired continue human permission java aktiviert deaktiviert désactivé desactivado page file url address".split())
+_EDIT_WORDS = frozenset("edit replace insert type write change remove delete fill describe customize customise add put goes ersetzen einfügen bearbeiten remplacer modifier sustituya sustitúyalo reemplace edite editar sostituisci modifica inserisci substitua insira steht ici hier aquí aqui qui".split())
+_TEXT_WORDS = frozenset("text paragraph title heading image description content entry copy box section block words template texto texte testo inhalt contenu contenido conteúdo absatz überschrift titel titre título titolo".split())
+_EDIT_OF_TEXT = re.compile(r"\b(?:%s)\b.*\b(?:%s)\b|\bgoes here\b" % ("|".join(sorted(_EDIT_WORDS)), "|".join(sorted(_TEXT_WORDS))))
+_STATUS = re.compile(r"\W*(?:http )?[45]\d\d\W*")
 
 # A sentence of a paragraph that names sample text is about it, unless it says so of itself.
 _NAMED = re.compile(r"(?:sample|dummy|placeholder|filler|example|default|demo) |texto de |(?:texte|contenu|titre) (?:d|de |provisoire)|(?:beispiel|platzhalter|muster|blind)|testo (?:di |segna|provv)", re.I)
@@ -159,17 +173,10 @@ def _parts(pattern: re.Pattern) -> tuple[str, ...]:
     return tuple(sorted(x for x in parts if not any(y != x and y in x for y in parts)))
 
 
-_PROMPT_LITERALS, _ERROR_LITERALS, _HINT_LITERALS = _parts(PROMPT), _parts(ERROR), _parts(_HINT_ERROR)
-_HINT_PROMPT_LITERALS = _parts(_HINT_PROMPT)
-
-_ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+|\S+@\S+\.\w+")
-_REFERENCE = re.compile(r"\b(?=[0-9a-f-]*\d)(?=[0-9a-f-]*[a-f])[0-9a-f-]{6,}\b", re.I)
-_DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b")
-_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-_MARKS = re.compile(r"^\s*(?:#{1,6}\s+|>\s*|[-*+]\s+)+|[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}(?!\w)")
-
-
+_PROMPT_LITERALS, _ERROR_LITERALS = _parts(PROMPT), _parts(ERROR)
 _DUMMY_PARTS = re.compile("bla|asdf|qwerty|foo bar|test test|dummy|lipsum|brown fox|lingues|word mountains")
+_MARKED = re.compile(r"[{}<%\[#@|&$*(]|__|XXX")
+_EDGES = ".,;:!?()[]{}\"'“”„«»…¡¿·/"
 
 
 def without_code(text: str) -> str:
@@ -179,22 +186,56 @@ def without_code(text: str) -> str:
     return _CODE_SPAN.sub(" ", text) if "`" in text else text
 
 
-def mask(block: str) -> str:
-    """The block as a message: markup dropped, addresses, dates, reference codes and numbers masked, lower case."""
-    text = _MARKS.sub("", block)
-    text = _ADDRESS.sub("<u>", text)
-    text = _DATE.sub("0", text)
-    text = _REFERENCE.sub("<r>", text)
-    text = _NUMBER.sub("0", text).replace("’", "'")
-    return " ".join(text.lower().split())
+def mask_word(word: str) -> str:
+    """A word of a message: markup dropped, addresses as <u>, anything with a digit (numbers, dates, times, codes) as 0."""
+    word = word.strip("*_#>").lower().replace("’", "'")
+    if not word or word.isalpha():
+        return word
+    if "://" in word or word.startswith("www.") or ("@" in word and "." in word):
+        return "<u>"
+    if any(map(str.isdigit, word)):
+        return "0" + (word[-1] if word[-1] in ".,;:!?" else "")
+    return "" if word in "-+•–—" else word
+
+
+class Messages:
+    """Words masked and looked up, each word form once."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[str, int]] = {}
+
+    def _look_up(self, word: str) -> tuple[str, int]:
+        masked = mask_word(word)
+        bare = masked.strip(_EDGES)
+        forms = {bare, *bare.replace("-", " ").split()}
+        bits = sum(bit * (not forms.isdisjoint(words)) for bit, words in ((1, _HINTS), (2, _EDIT_WORDS), (4, _TEXT_WORDS), (8, _PHRASE_WORDS), (16, _ERROR_WORDS)))
+        if len(self.known) > _CACHE_WORDS:
+            self.known.clear()
+        self.known[word] = masked, bits
+        return masked, bits
+
+    def __call__(self, line: str) -> tuple[str, int]:
+        """(masked line, bits of the word lists its words are in)."""
+        get, look_up, out, bits = self.known.get, self._look_up, [], 0
+        for w in line.split():
+            masked, b = get(w) or look_up(w)
+            if masked:
+                out.append(masked)
+                bits |= b
+        return " ".join(out), bits
+
+
+def mask(line: str) -> str:
+    return Messages()(line)[0]
 
 
 def is_filler(block: str) -> bool:
     low = block.lower()
-    if LOREM.isdisjoint(low.split()) and "ipsum" not in low and not _DUMMY_PARTS.search(low):
+    words = low.split()
+    if LOREM.isdisjoint(words) and not _DUMMY_PARTS.search(low):
         return False
     words = _WORD.findall(low)
-    return (len(words) >= FILLER_WORDS and sum(w in LOREM for w in words) >= FILLER_SHARE * len(words)) or _DUMMY.search(block) is not None
+    return (len(words) >= FILLER_WORDS and sum(w in LOREM for w in words) >= FILLER_SHARE * len(words)) or (_DUMMY_PARTS.search(low) is not None and _DUMMY.search(block) is not None)
 
 
 def _placeholder(text: str) -> bool:
@@ -204,11 +245,6 @@ def _placeholder(text: str) -> bool:
     return False
 
 
-def _plain(text: str) -> str:
-    """Lower case without marks, for looking up literals before a text is masked."""
-    return " ".join(text.lower().replace("*", "").replace("_", "").split())
-
-
 def _holds(parts: tuple[str, ...], low: str) -> bool:
     return any(part in low for part in parts)
 
@@ -219,94 +255,97 @@ def prompts(sentence: str) -> bool:
     return any(not _NAMED.match(m[0]) or _SELF.match(unquoted) for m in PROMPT.finditer(unquoted))
 
 
-def examine(text: str) -> tuple[str | None, list[tuple[str, str, bool, bool, bool]]]:
-    """(what the page shows beyond doubt, or None; its messages as (class, masked text, heading, sentence of a
-    paragraph, page of more than PAGE_WORDS words)).
+def _is_prompt(masked: str, prose: bool) -> bool:
+    return _holds(_PROMPT_LITERALS, masked) and (prompts(masked) if prose else PROMPT.search(masked) is not None)
+
+
+def examine(text: str, masked_line: Messages | None = None) -> tuple[str | None, list[tuple[str, bool, int, bool, int]], tuple[int, int]]:
+    """(what the page shows whatever recurs, or None; messages as (masked text, heading, hint, beyond doubt an error, words); words of
+    longer lines: in sentences beyond doubt an error, in others).
 
-    Class: error, or "" where only recurrence can tell. All text is given, but of longer pages without any sign of an
-    error only what may be a prompt.
+    hint: 1 error, 2 prompt, 3 both, 0 none.
     """
+    masked_line = masked_line or Messages()
     text = without_code(text.replace("\r", ""))
-    if _placeholder(text):
-        return "placeholder", []
-    blocks = []
-    for run in re.split(r"\n[^\S\n]*\n", text):
-        part = []
-        for line in run.split("\n"):
-            if re.match(r"\s*#{1,6}\s", line):
-                if part:
-                    blocks.append(("\n".join(part), False))
-                    part = []
-                blocks.append((line, True))
-            elif line.strip():
-                part.append(line)
-        if part:
-            blocks.append(("\n".join(part), False))
-    counts = [len(b.split()) for b, _ in blocks]
-    short = sum(counts) <= PAGE_WORDS
-    if any((not heading or n > MESSAGE_WORDS) and is_filler(block) for (block, heading), n in zip(blocks, counts)):
-        return "filler", []
-    pieces = []
-    for (block, heading), n in zip(blocks, counts):
-        for piece in [block] if n <= MESSAGE_WORDS else block.split("\n"):
-            prose = len(piece.split()) > MESSAGE_WORDS
-            pieces += [(x, heading, prose) for x in (_SENTENCE.split(piece) if prose else [piece]) if x.strip()]
-    messages, sign = [], short
-    for piece, heading, prose in pieces:
-        low = _plain(piece)
-        masked = None
-        if _holds(_PROMPT_LITERALS, low):
-            masked = mask(piece)
-            if prompts(masked) if prose else PROMPT.search(masked):
-                return "prompt", []
-        known = _holds(_ERROR_LITERALS, low) and ERROR.search(masked := masked or mask(piece)) is not None
-        sign = sign or known or (not prose and _holds(_HINT_LITERALS, low) and _HINT_ERROR.search(masked := masked or mask(piece)) is not None)
-        messages.append(("error" if known else "", masked, piece, low, heading, prose))
-    if not sign:
-        messages = [m for m in messages if _holds(_HINT_PROMPT_LITERALS, m[3]) and _HINT_PROMPT.search(m[1] or mask(m[2]))]
-    return None, [(known, masked or mask(piece), heading, prose, not short) for known, masked, piece, _, heading, prose in messages]
+    lines = text.split("\n")
+    messages, sure, other, shown = [], 0, 0, None
+    run: list[str] = []
+    for line in [*lines, ""]:
+        stripped = line.strip()
+        if not stripped:
+            if len(run) > 1 and is_filler(" ".join(run)):
+                return "filler", [], (0, 0)
+            run = []
+            continue
+        if _MARKED.search(stripped) and _placeholder(stripped):
+            return "placeholder", [], (0, 0)
+        heading = stripped[0] == "#" and re.match(r"#{1,6}\s", stripped) is not None
+        if not heading:
+            run.append(stripped)
+        if is_filler(stripped):
+            return "filler", [], (0, 0)
+        masked, bits = masked_line(stripped)
+        n = masked.count(" ") + 1 if masked else 0
+        if n > MESSAGE_WORDS:
+            for sentence in _SENTENCE.split(stripped) if bits & 22 else ():
+                m, b = masked_line(sentence)
+                if b & 6 and _is_prompt(m, True):
+                    return "prompt", [], (0, 0)
+                if b & 16 and ERROR.search(m):
+                    k = m.count(" ") + 1
+                    sure, other = sure + k, other - k
+            other += n
+        elif n:
+            if bits & 6 and _is_prompt(masked, False):
+                shown = "prompt"
+            status = heading and _STATUS.fullmatch(stripped.lstrip("# ")) is not None
+            hint = (1 if bits & 1 or status or (bits & 8 and _HINT_PHRASES.search(masked)) else 0) | (2 if bits & 2 and bits & 4 and not heading and _EDIT_OF_TEXT.search(masked) else 0)
+            messages.append((masked, heading, hint, bool(bits & 16) and ERROR.search(masked) is not None, n))
+    return (shown, messages, (sure, max(other, 0))) if not shown else (shown, [], (0, 0))
 
 
 def residue(df: DataFrame, id_col: str, url_col: str, text_col: str, min_hosts: int = MIN_HOSTS) -> DataFrame:
     """id, reason (placeholder, filler, prompt, error): one row per page that is a case."""
     pages = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(text_col).alias("text")).filter("text is not null")
     kind = df.schema[id_col].dataType.simpleString()
+    names = ["id", "site", "shown", "message", "heading", "hint", "sure", "words", "sure_words", "other_words", "open"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        masked_line = Messages()
         for batch in batches:
             rows = []
             for i, host, text in zip(batch["id"], batch["host"], batch["text"]):
-                shown, messages = examine(text)
-                if shown:
-                    rows.append((i, None, shown, None, False, False, False, 0, 0))
-                for known, masked, heading, prose, long in messages:
-                    hint = 1 if _HINT_PROMPT.search(masked) else 2 if _HINT_ERROR.search(masked) else 0
-                    rows.append((i, host, known, xxhash.xxh3_64_intdigest(masked) - (1 << 63), heading, prose, long, hint, len(masked.split())))
-            yield pd.DataFrame(rows, columns=["id", "host", "known", "message", "heading", "prose", "long", "hint", "words"]).astype({"message": "Int64"})
-
-    rows = materialize(pages.mapInPandas(run, f"id {kind}, host string, known string, message long, heading boolean, prose boolean, long boolean, hint int, words int").distinct(), "residue")
-    shown = rows.filter("message is null").select("id", F.col("known").alias("reason"))
+                shown, messages, (sure_words, other) = examine(text, masked_line)
+                site = None if host is None else xxhash.xxh3_64_intdigest(host) - (1 << 63)
+                # can the page be a case at all, whatever recurs?
+                sign = sure_words > 0 or any(hint or sure for _, _, hint, sure, _ in messages)
+                if shown or sign:
+                    rows.append((i, site, shown, None, False, 0, False, 0, sure_words, other, sign))
+                for masked, heading, hint, sure, n in messages:
+                    rows.append((i, site, None, xxhash.xxh3_64_intdigest(masked) - (1 << 63), heading, hint, sure, n, 0, 0, sign))
+            yield pd.DataFrame(rows, columns=names).astype({"message": "Int64", "site": "Int64"})
+
+    schema = f"id {kind}, site long, shown string, message long, heading boolean, hint int, sure boolean, words int, sure_words int, other_words int, open boolean"
+    rows = materialize(pages.mapInPandas(run, schema), "residue")
+    shown = rows.filter("shown is not null").select("id", F.col("shown").alias("reason"))
     # sources per message: pairs first, so that a message that is everywhere is counted from one row per source
-    recurring = rows.filter("message is not null and host is not null and known = ''").select("message", "host").distinct().groupBy("message").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= min_hosts)
+    spread = rows.filter("message is not null and site is not null").select("message", "site").distinct()
+    recurring = spread.groupBy("message").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= min_hosts).select("message")
     salted = recurring.select("message", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("recurs"))
-    open_rows = rows.filter("message is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    judged = open_rows.join(salted, ["message", "salt"], "left").withColumn("recurs", F.coalesce("recurs", F.lit(False)))
-    mirrored = F.col("long") & F.col("prose")
-    error = (F.col("known") == "error") | (F.col("recurs") & (F.col("hint") == 2) & ~mirrored)
-    prompt = F.col("recurs") & (F.col("hint") == 1)
-    other = ~error & ~F.col("heading") & (~F.col("recurs") | mirrored)
+    of_open = rows.filter("open and shown is null").drop("site", "shown", "open").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    judged = of_open.join(salted, ["message", "salt"], "left").withColumn("recurs", F.coalesce("recurs", F.lit(False)))
+    error = F.col("message").isNotNull() & F.when(F.col("recurs"), F.col("hint").bitwiseAND(1) > 0).otherwise(F.col("sure"))
+    prompt = F.col("message").isNotNull() & F.col("recurs") & (F.col("hint").bitwiseAND(2) > 0)
+    own = ~error & ~F.col("heading") & ~F.col("recurs")
     per_page = judged.groupBy("id").agg(
-        F.max("long").alias("long"),
         F.max(prompt).alias("prompt"),
-        F.max(error & ~F.col("heading")).alias("error"),
         F.max(error & F.col("heading")).alias("error_heading"),
-        F.sum(F.when(error & ~F.col("heading"), F.col("words")).otherwise(0)).alias("error_words"),
-        F.sum(F.when(other, F.col("words")).otherwise(0)).alias("other"),
-        F.max(other).alias("text"),
+        F.sum(F.when(error & ~F.col("heading"), F.col("words")).otherwise(F.col("sure_words"))).alias("error_words"),
+        F.sum(F.when(own, F.col("words")).otherwise(0) + F.col("other_words")).alias("own_words"),
     )
-    little = F.when(F.col("long"), F.col("other") <= F.col("error_words")).otherwise(F.col("other") <= OTHER_WORDS)
-    is_message = little & (F.col("error") | (F.col("error_heading") & ~F.col("text")))
-    messages = per_page.select("id", F.when(F.col("prompt"), "prompt").when(is_message, "error").alias("reason")).filter("reason is not null")
+    is_message = (F.col("error_words") > 0) & (F.col("own_words") <= F.greatest("error_words", F.lit(OTHER_WORDS)))
+    bare = F.col("error_heading") & (F.col("own_words") == 0)
+    messages = per_page.select("id", F.when(F.col("prompt"), "prompt").when(is_message | bare, "error").alias("reason")).filter("reason is not null")
     return shown.unionByName(messages).groupBy("id").agg(F.min("reason").alias("reason"))
 
 

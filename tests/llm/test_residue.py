@@ -7,7 +7,7 @@ PROSE = "The committee met again in spring and agreed on a budget. " * 12
 
 @pytest.mark.parametrize(
     "text",
-    ["{{ name }}", "{% block x %}", "<%= price %>", "${user}", "%%CITY%%", "[[NAME]]", "[INSERT DATE]", "[Your company here]", "*|FNAME|*", "__TITLE__", "#OFFER#", "@city@", "XXXX-NAME-XXXX", "&lt;phone&gt;", "<AUTHOR>", "{first_name}", '[price_shortcode id="7"]', "%location%"],
+    ["{{ name }}", "{% block x %}", "<%= price %>", "${user}", "%%CITY%%", "[[NAME]]", "[INSERT DATE]", "[Your company here]", "*|FNAME|*", "__TITLE__", "#OFFER#", "@city@", "XXXX-NAME-XXXX", "&lt;phone&gt;", "<AUTHOR>", "{first_name}", "$(city)", "@@city@@", "##CITY##", "#{name}", "{$name}", "<<name>>", '[price_shortcode id="7"]', "%location%"],
 )
 def test_placeholders(text):
     assert R.examine(f"# Head\n\n{PROSE}{text} and more of it.")[0] == "placeholder"
@@ -66,12 +66,35 @@ def test_error_messages_in_long_paragraphs_and_pages(spark):
         (2, "https://a.example/", f"# Page not found\n\n{long}\n\nTry the start page of the shop.", "h"),
         *((k, f"https://h{k}.example/", f"# Page not found\n\nThe phrase page not found makes people leave. {PROSE}", "h") for k in range(3, 8)),
     ]
-    assert len(rows[1][2].split()) > R.PAGE_WORDS and cases(spark, rows) == {1: "error", 2: "error"}
+    assert cases(spark, rows) == {1: "error", 2: "error"}
 
 
-def test_literals_are_in_every_match():
-    for sample in ("404 not found", "seite wurde nicht gefunden", "bitte melden sie sich an", "please enable javascript", "fehler 404", "http 404"):
-        assert R.ERROR.search(R.mask(sample)) is None or any(x in R._plain(sample) for x in R._ERROR_LITERALS)
+SURE = ["404 not found", "Die Seite wurde nicht gefunden", "please enable javascript", "Fehler 404", "http 404", "the page could not be found", "can't find that page", "page not found", "la página no existe", "la page est introuvable",
+    "La pagina richiesta non è stata trovata", "access is denied", "Accès interdit", "Zugriff gesperrt", "Confirm that you are not a robot.", "Your session has expired", "log in to continue", "down for maintenance", "site en maintenance",
+    "this page needs JavaScript", "JavaScript is disabled", "bad gateway", "500 Internal Server Error", "Diese Adresse existiert nicht", "esta página não existe", "the link is broken", "the page no longer exists", "verify you are human"]
+
+
+@pytest.mark.parametrize("text", SURE)
+def test_words_looked_for_first_are_in_every_match(text):
+    masked, bits = R.Messages()(text)
+    assert R.ERROR.search(masked) and bits & 16 and any(x in masked for x in R._ERROR_LITERALS)
+
+
+def test_masks():
+    assert R.mask("## **Call** 555-0101 on 12/05/2024, ref f3de09") == "call 0 on 0, ref 0"
+    assert R.mask("- see https://a.example/x or write to me@b.example") == "see <u> or write to <u>"
+
+
+def test_recurrence_decides_where_no_list_knows_the_language(spark):
+    dutch = "# 404\n\nDeze bladzijde bestaat niet meer, kijk op de startbladzijde."
+    rows = [(k, f"https://h{k}.example/", dutch, "x") for k in range(3)]
+    assert cases(spark, rows) == {0: "error", 1: "error", 2: "error"} and cases(spark, rows[:2]) == {} and cases(spark, rows, min_hosts=9) == {}
+
+
+def test_recurring_prompts_but_not_in_headings(spark):
+    rows = [(k, f"https://h{k}.example/", f"# Why replace a box\n\n{PROSE}\n\nPlease replace these lines by a fine description.", "x") for k in range(3)]
+    assert cases(spark, rows) == {0: "prompt", 1: "prompt", 2: "prompt"} and cases(spark, rows[:1]) == {}
+    assert cases(spark, [(k, u, t.rsplit("\n\n", 1)[0], h) for k, u, t, h in rows]) == {}
 
 
 def test_recurrence_decides_doubtful_messages(spark):
