@@ -2,12 +2,14 @@
 
 Texts are sets of word shingles. Sets that are equal form a class, and one representative of a class goes through
 the join. A representative has a sketch of `N_COORDINATES` min-wise tokens. In each of several independent random
-trees it follows, from the root, all branches (coordinate, token) that the tree's path selects for its node: the
-expected number of branches is a little over 1 / similarity, so that two sets of at least that similarity keep on
-average one common branch a level. A node with few sets is compared exhaustively, a node with many is branched
-again, and whatever is still large at the last level is compared in blocks, cell by cell, so that no task holds a
-whole node. Comparisons use 128 one-bit tokens; pairs that could reach the similarity are verified on the full
-shingle sets, exactly. The number of trees follows from the target recall at the threshold; above it recall is higher.
+trees it follows branches (coordinate, token) from the root: every node draws as many coordinates as it has branches,
+1 / similarity + `SURPLUS` on the mean, so that two sets of at least that similarity keep more than one common branch
+a level on the mean, and a tree's chance of losing them stays bounded however deep it grows. A node with few sets is
+compared exhaustively, one with many is branched again. Only where branching cannot help is a larger node compared as
+a whole, in blocks, so that no task holds it: where `DENSE` of its sets are near one of two drawn from it (a constant share of
+its pairs are then links that have to be found), and at the last level. Comparisons use 128 one-bit tokens; pairs that could reach
+the similarity are verified on the full shingle sets, exactly. The number of trees follows from the target recall at
+the threshold, the spread of a sketch about its similarity included; above the threshold recall is higher.
 
 Shingles stay where the texts are: rows that are shuffled hold a node, an id and 128 bits. Only texts of candidate
 pairs are read again for the verification.
@@ -32,7 +34,8 @@ from ..runtime import materialize
 from .leakage import WORD
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 5
-N_COORDINATES, LEVELS, NODE_SIZE, BLOCK = 128, 3, 64, 64
+N_COORDINATES, LEVELS, NODE_SIZE, BLOCK = 128, 10, 64, 256
+SURPLUS, DENSE = 0.5, 0.25
 TARGET_RECALL = 0.999
 #: Standard deviations of the one-bit estimate by which a pair at the threshold may fall short.
 SLACK = 4.5
@@ -108,21 +111,48 @@ def sketches(texts: DataFrame, size: int, min_words: int) -> DataFrame:
     return texts.mapInPandas(run, f"id {kind}, c1 long, c2 long, b1 long, b2 long, coordinates binary")
 
 
-def n_trees(similarity: float, branches: float, levels: int, target: float) -> int:
-    """Trees needed so that a pair at the threshold shares a node at the last level of at least one of them."""
+def missed(agreement: float, branches: float, levels: int) -> float:
+    """Chance that one tree of so many levels parts two sets that agree in a share of their coordinates."""
+    least, more = int(branches), branches - int(branches)
     miss = 0.0
     for _ in range(levels):
-        miss = math.exp(-branches * similarity * (1 - miss))
-    return math.ceil(math.log(1 - target) / math.log(miss))
+        lost = 1 - agreement * (1 - miss)  # a branch is not shared, or its subtree parts them
+        miss = (1 - more) * lost**least + more * lost ** (least + 1)
+    return miss
+
+
+def n_trees(similarity: float, branches: float, levels: int, target: float) -> int:
+    """Trees needed so that a pair at the threshold shares a node at the last level of at least one of them.
+
+    All sets meet the same draws, and trees share coordinates, so the loss of one set of trees spreads about the mean:
+    they are counted for half of it, and one is added.
+    """
+    n = N_COORDINATES
+    agreeing = [(math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k), missed(k / n, branches, levels)) for k in range(n + 1)]
+    trees = 1
+    while sum(p * m**trees for p, m in agreeing) > (1 - target) / 2:
+        trees += 1
+    return trees + 1
 
 
 def _branch(nodes: np.ndarray, coordinates: np.ndarray, branches: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node) of each branch taken. A node selects its smallest coordinate by hash, and each other one with equal chance."""
-    choice = _mix(nodes[:, None], np.arange(N_COORDINATES, dtype=np.uint64)[None] + np.uint64(1))
-    taken = choice < np.uint64(int((branches - 1) / N_COORDINATES * 2**64))
-    taken[np.arange(len(nodes)), choice.argmin(1)] = True
-    row, k = np.nonzero(taken)
-    return row, _mix(_mix(nodes[row], k.astype(np.uint64) + np.uint64(1)), coordinates[row, k].astype(np.uint64))
+    """(row, child node) of each branch taken. A node has one branch more than the whole part of `branches` with the
+    chance of the rest, each for another coordinate."""
+    draw = _mix(nodes, np.uint64(0x5851F42D4C957F2D))
+    count = int(branches) + ((draw >> np.uint64(16)).astype(np.float64) / 2**48 < branches - int(branches))
+    first = (_mix(draw, np.uint64(1)) >> np.uint64(32)).astype(np.int64)
+    step = (_mix(draw, np.uint64(2)) >> np.uint64(32)).astype(np.int64) | 1  # odd, so that no coordinate comes twice
+    rows, children = [], []
+    for k in range(int(branches) + 1):
+        row = np.flatnonzero(count > k)
+        at = (first[row] + k * step[row]) % N_COORDINATES
+        rows.append(row)
+        children.append(_mix(_mix(nodes[row], at.astype(np.uint64) + np.uint64(1)), coordinates[row, at].astype(np.uint64)))
+    return np.concatenate(rows), np.concatenate(children)
+
+
+def roots(trees: int) -> np.ndarray:
+    return _mix(np.arange(1, trees + 1, dtype=np.uint64), _MIX)
 
 
 def _grow(rows: DataFrame, trees: int, branches: float, at_root: bool) -> DataFrame:
@@ -136,7 +166,7 @@ def _grow(rows: DataFrame, trees: int, branches: float, at_root: bool) -> DataFr
                 part = batch.iloc[start : start + 2000]
                 coordinates = np.frombuffer(b"".join(part["coordinates"]), np.uint32).reshape(len(part), N_COORDINATES)
                 if at_root:
-                    pieces = [_branch(np.full(len(part), int(_mix(np.array([t + 1], np.uint64), _MIX)[0]), np.uint64), coordinates, branches) for t in range(trees)]
+                    pieces = [_branch(np.full(len(part), root, np.uint64), coordinates, branches) for root in roots(trees)]
                     row, node = (np.concatenate(x) for x in zip(*pieces))
                 else:
                     row, node = _branch(part["node"].to_numpy().view(np.uint64), coordinates, branches)
@@ -182,21 +212,29 @@ def _block_cells(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return cell.groupBy("node", "i", "j").agg(F.collect_list("m").alias("members"))
 
 
-def candidate_pairs(reps: DataFrame, similarity: float, target: float) -> DataFrame:
+def _dense(large: DataFrame, most: int) -> DataFrame:
+    """node: those of which at least `DENSE` of the sets are near one of two sets drawn from it."""
+    order = F.xxhash64("id", "node")
+    drawn = large.groupBy("node").agg(F.min_by(F.struct("b1", "b2"), order).alias("x"), F.max_by(F.struct("b1", "b2"), order).alias("y"))
+    apart = [F.bit_count(F.col("b1").bitwiseXOR(F.col(f"{c}.b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col(f"{c}.b2"))) for c in "xy"]
+    near = [F.avg((a <= most).cast("int")) for a in apart]
+    return large.join(drawn, "node").groupBy("node").agg(F.greatest(*near).alias("near")).filter(F.col("near") >= DENSE).select("node")
+
+
+def candidate_pairs(reps: DataFrame, similarity: float, target: float, levels: int = LEVELS) -> DataFrame:
     """id_a, id_b of representatives that may reach the similarity."""
-    branches = 1 / similarity + 0.1
-    trees = n_trees(similarity, branches, LEVELS, target)
+    branches = 1 / similarity + SURPLUS
+    trees = n_trees(similarity, branches, levels, target)
     p = (1 - similarity) / 2
     most = int(N_COORDINATES * p + SLACK * math.sqrt(N_COORDINATES * p * (1 - p)))
     member = F.struct("id", "b1", "b2", F.lit(-1).alias("side"))
     found, rows = None, None
-    for level in range(LEVELS):
-        if level == 0:
+    for level in range(1, levels + 1):
+        if level == 1:
             rows = materialize(_grow(reps, trees, branches, True), "path-1")
         else:
-            rows = materialize(_grow(large.join(reps.select("id", "coordinates"), "id"), trees, branches, False), f"path-{level + 1}")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        sizes = materialize(sizes, f"nodes-{level + 1}")
+            rows = materialize(_grow(large.join(reps.select("id", "coordinates"), "id"), trees, branches, False), f"path-{level}")
+        sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), f"nodes-{level}")
         small = rows.join(sizes.filter(F.col("size") <= NODE_SIZE).select("node"), "node").groupBy("node").agg(F.collect_list(member).alias("members"))
         pairs = _compare(small, most)
         found = pairs if found is None else found.unionByName(pairs)
@@ -204,8 +242,9 @@ def candidate_pairs(reps: DataFrame, similarity: float, target: float) -> DataFr
         if over.isEmpty():
             break
         large = rows.join(over.select("node"), "node")
-        if level == LEVELS - 1:
-            found = found.unionByName(_compare(_block_cells(rows, over), most))
+        whole = over if level == levels else over.join(materialize(_dense(large, most), f"dense-{level}"), "node", "left_semi")
+        found = found.unionByName(_compare(_block_cells(rows, whole), most))
+        large = large.join(whole.select("node"), "node", "left_anti")
     return found.distinct()
 
 

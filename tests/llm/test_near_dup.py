@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def test_all_pairs_of_brute_force(spark, size, similarity):
 
 
 def test_many_alike_in_one_node(spark):
-    """More texts alike than a node may hold: levels run out and blocks are compared cell by cell."""
+    """More texts alike than a node may hold: it is dense, and blocks are compared cell by cell."""
     rng = random.Random(1)
     base = [f"w{k}" for k in range(200)]
     rows = []
@@ -99,4 +100,67 @@ def test_string_ids_and_chains(spark):
 
 
 def test_number_of_trees_follows_the_target():
-    assert N.n_trees(0.7, 1.53, 3, 0.999) > N.n_trees(0.7, 1.53, 3, 0.9) >= N.n_trees(0.9, 1.53, 3, 0.9)
+    assert N.n_trees(0.7, 1.93, 10, 0.999) > N.n_trees(0.7, 1.93, 10, 0.9) >= N.n_trees(0.9, 1.93, 10, 0.9)
+
+
+def sketched_pairs(similarity, n, rng):
+    """Sketches of n pairs of sets of exactly the similarity, 200 tokens in each union."""
+    functions, common = N._functions(), round(200 * similarity)
+    one = (200 - common) // 2
+    sets = [rng.integers(1, 2**63, 200, dtype=np.uint64) for _ in range(n)]
+    return [np.stack([N.sketch(t, functions) for t in side]) for side in ([t[: common + one] for t in sets], [np.r_[t[:common], t[common + one :]] for t in sets])]
+
+
+@pytest.mark.parametrize("similarity", [0.7, 0.8])
+def test_recall_at_the_threshold_on_every_level(similarity):
+    a, b = sketched_pairs(similarity, 4000, np.random.default_rng(3))
+    branches = 1 / similarity + N.SURPLUS
+    trees = N.n_trees(similarity, branches, N.LEVELS, 0.999)
+    met, taken, offered = np.zeros((N.LEVELS + 1, len(a)), bool), 0, 0
+    for root in N.roots(trees):
+        pair, node = np.arange(len(a)), np.full(len(a), root, np.uint64)
+        for level in range(1, N.LEVELS + 1):
+            (row, child), (row_b, child_b) = N._branch(node, a[pair], branches), N._branch(node, b[pair], branches)
+            assert (row == row_b).all()  # equal nodes draw equal coordinates
+            taken, offered = taken + len(row), offered + len(node)
+            same = child == child_b
+            pair, node = pair[row[same]], child[same]
+            met[level, pair] = True
+    assert abs(taken / offered - branches) < 0.02
+    assert (met[1:].mean(1) >= 0.998).all()
+
+
+@pytest.mark.parametrize("shared", [0.3, 0.5])
+def test_a_large_node_of_unlike_sets_falls_apart(shared):
+    """200,000 sets that agree in a share of their coordinates, as by a common frame, and in nothing else."""
+    rng = np.random.default_rng(1)
+    n, branches = 200_000, 1 / 0.7 + N.SURPLUS
+    coordinates = rng.integers(0, 2**32, (n, N.N_COORDINATES), dtype=np.uint32)
+    coordinates[:, rng.random(N.N_COORDINATES) < shared] = 5
+    rows, total = np.arange(n), 0
+    node = np.full(n, N.roots(1)[0], np.uint64)
+    for level in range(N.LEVELS):
+        row, child = N._branch(node, coordinates[rows], branches)
+        rows = rows[row]
+        total += len(rows)
+        _, inverse, counts = np.unique(child, return_inverse=True, return_counts=True)
+        large = counts[inverse] > N.NODE_SIZE
+        rows, node = rows[large], child[large]
+        if not len(rows):
+            break
+    assert total <= 2 * N.LEVELS * n
+
+
+def test_levels_go_on_until_nodes_are_small(spark):
+    """Unlike texts in a common frame fill large nodes; pairs among them are still found."""
+    rng = random.Random(4)
+    frame = [f"f{k}" for k in range(60)]
+    rows = []
+    for i in range(300):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(80)]
+        rows.append((2 * i, " ".join(frame + own)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(frame + own[:70] + [f"n{i}"] * 10)))
+    df = spark.createDataFrame(rows, "id long, text string")
+    members, links = N.near_duplicates(df, "id", "text", 3, 0.7, 80)
+    assert {tuple(r)[:2] for r in links.collect()} == brute_force(rows, 3, 0.7, 80)
