@@ -85,19 +85,20 @@ def research(a: argparse.Namespace) -> None:
 def fill(a: argparse.Namespace) -> None:
     spark = _spark()
     pages = tables.read(spark, a.tables, "crawler_pages")
-    work = backfill.backfill_markdown if a.command == "backfill-markdown" else backfill.backfill_nav
-    out, figures = work(pages, a.url_pattern, a.force_all, a.limit)
-    figures.show()
+    work = backfill.made_markdown if a.command == "backfill-markdown" else backfill.made_nav
+    made = work(pages, a.url_pattern, a.force_all, a.limit)
+    backfill.figures(made).show()
     if not a.dry_run:
-        tables.replace(out, a.tables, "crawler_pages")
+        tables.update(spark, a.tables, "crawler_pages", made.select("final_url"), lambda stored, _: merge.patch(stored, made.drop("final_url"), "id"))
 
 
 def clear_domain(a: argparse.Namespace) -> None:
     spark = _spark()
-    for name, column in (("crawler_pages", "final_url"), ("url_aliases", "final_url")):
-        kept, deleted = merge.delete_like(tables.read(spark, a.tables, name), a.domain)
-        print(name, deleted.first()[0])
-        tables.replace(kept, a.tables, name)
+    for name in ("crawler_pages", "url_aliases"):
+        stored = tables.read(spark, a.tables, name)
+        hit = merge.url_holds("final_url", a.domain)
+        print(name, merge.delete_like(stored, a.domain)[1].first()[0])
+        tables.update(spark, a.tables, name, stored.filter(hit).select(tables.KEYS[name]), lambda part, _, hit=hit: part.filter(~hit))
 
 
 def parser() -> argparse.ArgumentParser:

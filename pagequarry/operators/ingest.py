@@ -50,13 +50,14 @@ def alias_events(fetched: DataFrame, compat: bool = False) -> DataFrame:
 
 def ingest(spark: SparkSession, folder: str, fetched: DataFrame, now: Column | None = None, hints: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """Merge fetched pages into the tables in folder; returns one row of figures per run. The fetched rows are read once
-    for parsing; events are written before they are merged, so that a lost executor costs no second parse."""
+    for parsing; events are written before they are merged, so that a lost executor costs no second parse. Of the tables
+    only the buckets of the fetched URLs are read and written."""
     now = F.current_timestamp() if now is None else now
     overrides = tables.read(spark, folder, "domain_overrides")
     events = materialize(page_events(fetched, hints, overrides, compat), "page-events")
     aliases = materialize(alias_events(fetched, compat), "alias-events")
-    tables.replace(merge.merge_pages(tables.read(spark, folder, "crawler_pages"), events, now), folder, "crawler_pages")
-    tables.replace(merge.merge_aliases(tables.read(spark, folder, "url_aliases"), aliases, now), folder, "url_aliases")
+    tables.update(spark, folder, "crawler_pages", events.select("final_url"), lambda stored, top: merge.merge_pages(stored, events, now, top=top))
+    tables.update(spark, folder, "url_aliases", aliases.select("requested_url"), lambda stored, _: merge.merge_aliases(stored, aliases, now))
     figures = events.groupBy("run_id").agg(F.count_if(F.col("last_error").isNull()).cast("int").alias("total_pages_crawled"), F.count_if(F.col("last_error").isNotNull()).cast("int").alias("total_errors"), F.max("seq").alias("seq"))
     redirects = aliases.groupBy("run_id").agg(F.count("*").cast("int").alias("total_redirects"))
     return figures.join(redirects, "run_id", "left").withColumn("total_redirects", F.coalesce("total_redirects", F.lit(0)))

@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 _WRITTEN: list[str] = []
@@ -60,10 +61,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable_folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The shared folder named in spark.checkpoint.dir; where it is unset under a local master (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: a temporary folder of one machine is lost with it")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="pagequarry-")
@@ -84,6 +88,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, as counted; otherwise df as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def clear_durable(spark: SparkSession) -> None:
     """Delete the tables that materialize has written in this session; results that still read them must be done with."""
     hadoop = spark._jvm.org.apache.hadoop.fs

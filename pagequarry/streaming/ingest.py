@@ -1,5 +1,7 @@
 """Fetched pages as a stream: every micro-batch is merged into the tables.
 
+A batch reads and writes only the buckets of the tables that its URLs lie in (`sources.tables.update`).
+
 The merge key is the only memory of what was seen, so no state grows with the stream. A batch that is run again
 after a failure gives the same tables, apart from times: events are folded by sequence, and repeated ones change nothing.
 """

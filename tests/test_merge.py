@@ -114,6 +114,67 @@ def test_ingest_and_backfill(spark, fetched, tmp_path):
     assert [r["id"] for r in tables.by_run(stored, "run").collect()] == [1, 2, 3, 4] and tables.lookup(stored, "final_url", "https://a.example/x").count() == 1
 
 
+def test_a_write_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "tables")
+    one = pages(spark, [{"id": 1, "final_url": "https://a.example/1", "title": "old"}, {"id": 2, "final_url": "https://b.example/1", "title": "b"}]).drop("seq")
+    tables.replace(one, folder, "crawler_pages")
+    commit = tables._Files.commit
+
+    def dies(self, content):
+        raise RuntimeError("lost")
+
+    def torn(self, content):
+        commit(self, content)
+        last = tmp_path / "tables/crawler_pages/_commits" / self.commits()[-1]
+        last.write_text("{")
+        last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+
+    for broken in (dies, torn):
+        monkeypatch.setattr(tables._Files, "commit", broken)
+        try:
+            tables.replace(one.withColumn("title", F.lit("new")), folder, "crawler_pages")
+        except RuntimeError:
+            pass
+        monkeypatch.setattr(tables._Files, "commit", commit)
+        assert {r["title"] for r in tables.read(spark, folder, "crawler_pages").collect()} == {"old", "b"}
+    for k in range(3):
+        tables.replace(tables.read(spark, folder, "crawler_pages").withColumn("title", F.lit(f"new {k}")), folder, "crawler_pages")
+    assert {r["title"] for r in tables.read(spark, folder, "crawler_pages").collect()} == {"new 2"}
+    assert len(list((tmp_path / "tables/crawler_pages").glob("data-*"))) <= tables.KEPT_COMMITS
+
+
+def test_an_update_touches_only_the_buckets_of_its_keys(spark, tmp_path):
+    folder = str(tmp_path / "tables")
+    rows = [{"id": k, "final_url": f"https://h{k % 20}.example/{k}", "title": "t"} for k in range(200)]
+    pages(spark, rows).drop("seq").write.parquet(f"{folder}/crawler_pages")  # a plain folder first
+    assert tables.read(spark, folder, "crawler_pages").count() == 200
+    tables.replace(tables.read(spark, folder, "crawler_pages"), folder, "crawler_pages")
+    before = tables._Files(spark, folder, "crawler_pages").current()["folders"]
+    events = pages(spark, [{"final_url": f"https://h3.example/{k}", "seq": k, "title": "u"} for k in (3, 23, 1000, 1001)]).drop("id", "last_crawled_at")
+    seen = []
+
+    def change(stored, top):
+        seen.append((stored.count(), top))
+        return merge.merge_pages(stored, events, now(), top=top)
+
+    tables.update(spark, folder, "crawler_pages", events.select("final_url"), change)
+    after = tables._Files(spark, folder, "crawler_pages").current()
+    touched = {r[0] for r in events.select(tables.bucket_of(F.col("final_url"))).collect()}
+    assert {b for b, f in after["folders"].items() if before.get(b) != f} == {str(b) for b in touched} and after["top"] == 201 and seen[0][0] < 100
+    got = {r["final_url"]: r for r in tables.read(spark, folder, "crawler_pages").collect()}
+    assert len(got) == 202 and got["https://h3.example/23"]["title"] == "u" and got["https://h4.example/4"]["title"] == "t"
+    assert {got[f"https://h3.example/{k}"]["id"] for k in (1000, 1001)} == {200, 201}
+
+
+def test_stored_pages_without_an_event_are_not_shuffled(spark, tmp_path):
+    pages(spark, [{"id": 1, "final_url": "u"}]).drop("seq").write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    events = pages(spark, [{"final_url": "v", "seq": 0}]).drop("id", "last_crawled_at")
+    plan = merge.merge_pages(stored, events, now())._jdf.queryExecution().optimizedPlan().toString()
+    union = plan.split("Union")[1]
+    assert "LeftAnti" in union.split("Aggregate")[0] and "broadcast" in union.split("Aggregate")[0]
+
+
 def test_json_export(spark, tmp_path):
     import json
 
