@@ -198,6 +198,19 @@ def soft_404(title: Column, body: Column, words: Column, threshold: int = 100) -
     return said & (F.coalesce(words, F.lit(0)) < threshold)
 
 
+def has_text(value: Column) -> Column:
+    return F.coalesce(value, F.lit("")) != ""
+
+
+def fetch_state(status_code: Column, html: Column) -> Column:
+    return F.when(html.isNull(), "missing").when(status_code >= 400, "error").otherwise("ok")
+
+
+def is_indexable(status_code: Column, html: Column) -> Column:
+    """Status 200 and no robots element that says noindex."""
+    return F.coalesce(status_code == 200, F.lit(False)) & ~F.coalesce(html.rlike(r"(?i)<meta[^>]*name=.?robots[^>]*noindex"), F.lit(False))
+
+
 def truncated(text: Column, n: int = 500) -> Column:
     return F.substring(text, 1, n)
 

@@ -354,6 +354,11 @@ def url_hash(url: Column) -> Column:
     return F.md5(F.regexp_replace(F.lower(js_trim(url)), "/$", ""))
 
 
+def was_redirected(requested: Column, final: Column) -> Column:
+    """Is the page another one than was asked for? Null URLs are no other's equal."""
+    return ~same_url(requested, final)
+
+
 def matches_policy(url: Column, include: list[str], exclude: list[str]) -> Column:
     """URL policy: some include pattern (if there are any) and no exclude pattern."""
     ok = F.lit(True)

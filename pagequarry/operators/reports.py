@@ -137,9 +137,19 @@ def competing_pairs(pages: DataFrame, subject: str) -> DataFrame:
     return ids.withColumn("other_id", F.lead("id").over(w)).filter("other_id is not null").select(subject, "language", "id", "other_id")
 
 
-def links_within(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Links whose two ends are both pages of the set."""
+def competing_details(pages: DataFrame, subject: str, columns: list[str]) -> DataFrame:
+    """competing_pairs with columns of both pages (those of the second with the prefix other_). A chain has a row per
+    page, so the details of a large group are joined once per page, not once per pair of its pages."""
+    facts = pages.select("id", *columns).dropDuplicates(["id"])
+    other = facts.select(F.col("id").alias("other_id"), *[F.col(c).alias(f"other_{c}") for c in columns])
+    return competing_pairs(pages, subject).join(facts, "id").join(other, "other_id")
+
+
+def links_within(links: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Links whose two ends are both pages of the set; the first `limit` by source and target."""
     ids = pages.select("final_url").distinct()
+    if limit is not None:
+        return links_within(links, pages).orderBy("source_url", "target_url").limit(limit)
     return links.join(ids.withColumnRenamed("final_url", "source_url"), "source_url", "left_semi").join(ids.withColumnRenamed("final_url", "target_url"), "target_url", "left_semi")
 
 

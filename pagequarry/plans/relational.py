@@ -72,13 +72,24 @@ def _events(spark, sf_dir):
     return stored, events.drop("id", "last_crawled_at")
 
 
-_MERGED = ("final_url", "requested_url_original", "status_code", "crawl_status", "title", "h1", "word_count", "content_hash", "run_id", "last_error")
+_MERGED = ("final_url", "requested_url_original", "status_code", "crawl_status", "title", "h1", "word_count", "content_hash", "run_id", "last_error", "meta_description", "extraction_method", "fetch_mode", "sitemap_type_hint")
 
 
 def merge_pages(spark, sf_dir):
     stored, events = _events(spark, sf_dir)
     merged = M.merge_pages(stored, events, F.expr(NOW))
-    return merged.select(*_MERGED, F.md5("html_content").alias("html"), F.md5("markdown").alias("markdown"))
+    return _merged(merged)
+
+
+def _merged(merged):
+    contents = [F.md5(c).alias(a) for c, a in (("html_content", "html"), ("clean_html", "clean"), ("markdown", "markdown"), ("markdown_enhanced", "enhanced"))]
+    return merged.select(*_MERGED, *contents, F.coalesce(F.size("redirect_chain"), F.lit(-1)).alias("hops"), F.coalesce(F.size("nav_structure.footer_nav"), F.lit(-1)).alias("footer_links"), F.col("structural_stats.faq_modules").alias("faq_modules"), F.round(F.col("junk_score").cast("double"), 4).alias("junk_score"))
+
+
+def merge_pages_gated(spark, sf_dir):
+    """Markdown changes only together with the HTML."""
+    stored, events = _events(spark, sf_dir)
+    return _merged(M.merge_pages(stored, events, F.expr(NOW), "hash_gated"))
 
 
 def merge_pages_ids(spark, sf_dir):
@@ -164,7 +175,7 @@ def long_redirect_chains(spark, sf_dir):
 
 
 def pages_clean(spark, sf_dir):
-    return R.clean_view(_t(spark, sf_dir, "crawler_pages")).distinct().select("id", "final_url", "title", "word_count", "content_hash", "run_id")
+    return R.clean_view(_t(spark, sf_dir, "crawler_pages")).distinct()
 
 
 def paged_export(spark, sf_dir):
@@ -194,6 +205,10 @@ def nav_consensus(spark, sf_dir):
     return R.nav_consensus(_t(spark, sf_dir, "crawler_pages"), _SITE(F.col("final_url")), share=0.5)
 
 
+def nav_consensus_default(spark, sf_dir):
+    return R.nav_consensus(_t(spark, sf_dir, "crawler_pages"), _SITE(F.col("final_url")))
+
+
 def nav_deviations(spark, sf_dir):
     pages = _t(spark, sf_dir, "crawler_pages")
     site = _SITE(F.col("final_url"))
@@ -235,13 +250,24 @@ def _links(spark, sf_dir):
     return rows.select("source_url", F.col("l.url").alias("target_url")).unionByName(more).distinct()
 
 
+def link_mesh(spark, sf_dir):
+    """The first 500 links among the pages of the set."""
+    return R.links_within(_links(spark, sf_dir), _t(spark, sf_dir, "crawler_pages"), 500)
+
+
+def competing_details(spark, sf_dir):
+    """Competing pages with what tells them apart."""
+    p = _t(spark, sf_dir, "crawler_pages").select("id", "final_url", U.url_language(F.col("final_url")).alias("language"), "h1", "title", "word_count")
+    return R.competing_details(p, "h1", ["final_url", "title", "word_count"])
+
+
 def same_set_links(spark, sf_dir):
     return R.links_within(_links(spark, sf_dir), _t(spark, sf_dir, "crawler_pages"))
 
 
 def silo_metrics(spark, sf_dir):
     m = R.silo_metrics(_language_pages(spark, sf_dir), _links(spark, sf_dir), "silo")
-    return m.filter("silo is not null").select("silo", "pages", "orphans", F.round("avg_inbound", 6).alias("avg_inbound"))
+    return m.filter("silo is not null").select("silo", "pages", "orphans", F.round("avg_inbound", 6).alias("avg_inbound"), "hub", F.round("hub_support_ratio", 6).alias("hub_support_ratio"))
 
 
 def silo_counts(spark, sf_dir):
@@ -269,15 +295,27 @@ _FIRST = "(select distinct on (normalized_url) * from sitemap_urls where normali
 _FINGER = "substr(md5(coalesce(array_to_string(list_sort(list_transform(list_filter(nav_structure.primary_nav, lambda x: x is not null and not x.is_external), lambda x: x.url)), '|'), '')), 1, 16)"
 _CONSENSUS = f"f as (select distinct id, {_DOMAIN} as site, {_FINGER} as fingerprint from crawler_pages where nav_structure.primary_nav is not null and len(nav_structure.primary_nav) > 0), c as (select site, fingerprint, count(*) as pages, min(id) as page_id from f group by site, fingerprint), g as (select c.* from c join (select site, sum(pages) as all_pages from c group by site) t using (site) where pages >= 0.5 * all_pages)"
 
-_MERGE_SQL = """with p as (select distinct on (id) * from crawler_pages order by id), s as (select * from p where not coalesce(last_crawled_at >= timestamptz '2025-01-01 00:00:00+00', false)),
+def _merge_sql(gated: bool) -> str:
+    falsy = {"status_code": "case when status_code <> 0 then status_code end", "word_count": "coalesce(word_count, 0)", "junk_score": "case when junk_score <> 0 then junk_score end", **{c: f"nullif({c}, '')" for c in ("title", "h1", "content_hash", "run_id", "last_error", "html_content", "clean_html", "markdown", "markdown_enhanced", "meta_description", "extraction_method", "sitemap_type_hint")}}
+    columns = ("requested_url_original", "status_code", "crawl_status", "title", "h1", "word_count", "content_hash", "run_id", "last_error", "html_content", "clean_html", "markdown", "markdown_enhanced", "meta_description", "extraction_method", "fetch_mode", "sitemap_type_hint", "redirect_chain", "nav_structure", "structural_stats", "junk_score")
+    last = lambda c: f"first({c} order by seq desc)"
+    known = lambda c: f"first({c} order by seq desc) filter (where {c} is not null)"
+    change = lambda c: f"list({c} order by seq desc) filter (where changes)[1]"
+    text = change if gated else known
+    out = {
+        "requested_url_original": "max(requested_url_original) filter (where n = 1)", "status_code": last("status_code"), "crawl_status": last("crawl_status"), "word_count": last("word_count"), "run_id": last("run_id"), "last_error": last("last_error"), "fetch_mode": last("fetch_mode"), "hops": f"cast(coalesce(len({last('redirect_chain')}), -1) as integer)",
+        **{c: known(c) for c in ("title", "h1", "content_hash", "meta_description", "extraction_method", "sitemap_type_hint")}, "junk_score": f"round(cast({known('junk_score')} as double), 4)",
+        "html": f"md5({change('html_content')})", "clean": f"md5({change('clean_html')})", "markdown": f"md5({text('markdown')})", "enhanced": f"md5({text('markdown_enhanced')})",
+        "footer_links": f"cast(coalesce(len(({text('nav_structure')}).footer_nav), -1) as integer)", "faq_modules": f"({text('structural_stats')}).faq_modules",
+    }
+    return f"""with p as (select distinct on (id) * from crawler_pages order by id), s as (select * from p where not coalesce(last_crawled_at >= timestamptz '2025-01-01 00:00:00+00', false)),
 s1 as (select * from s where id in (select min(id) from s group by final_url)),
 e as (select *, row_number() over (partition by final_url order by last_crawled_at, id) as seq from p where coalesce(last_crawled_at >= timestamptz '2025-01-01 00:00:00+00', false)),
-b as (select final_url, -1 as seq, requested_url_original, status_code, crawl_status, title, h1, word_count, content_hash, run_id, last_error, html_content, markdown from s1
- union all select final_url, seq, requested_url_original, case when status_code <> 0 then status_code end, crawl_status, nullif(title, ''), nullif(h1, ''), coalesce(word_count, 0), nullif(content_hash, ''), nullif(run_id, ''), nullif(last_error, ''), nullif(html_content, ''), nullif(markdown, '') from e),
+b as (select final_url, -1 as seq, {", ".join(columns)} from s1 union all select final_url, seq, {", ".join(f"{falsy[c]} as {c}" if c in falsy else c for c in columns)} from e),
 w as (select *, row_number() over (partition by final_url order by seq) as n, last_value(content_hash ignore nulls) over (partition by final_url order by seq rows between unbounded preceding and 1 preceding) as prev from b),
-c as (select *, n = 1 or (content_hash is not null and content_hash <> coalesce(prev, '')) as changes, row_number() over (partition by final_url order by seq desc) as back from w)
-select final_url, max(requested_url_original) filter (where n = 1) as requested_url_original, max(status_code) filter (where back = 1) as status_code, max(crawl_status) filter (where back = 1) as crawl_status, arg_max(title, seq) filter (where title is not null) as title, arg_max(h1, seq) filter (where h1 is not null) as h1,
- max(word_count) filter (where back = 1) as word_count, arg_max(content_hash, seq) filter (where content_hash is not null) as content_hash, max(run_id) filter (where back = 1) as run_id, max(last_error) filter (where back = 1) as last_error, md5(list(html_content order by seq desc) filter (where changes)[1]) as html, md5(arg_max(markdown, seq) filter (where markdown is not null)) as markdown from c group by final_url"""
+c as (select *, n = 1 or (content_hash is not null and content_hash <> coalesce(prev, '')) as changes from w)
+select final_url, {", ".join(f"{v} as {k}" for k, v in out.items())} from c group by final_url"""
+
 
 QUERIES = {
     "dedup_keep_first": (dedup_keep_first, f"select * from {_FIRST}"),
@@ -287,7 +325,8 @@ QUERIES = {
     "hint_histogram": (hint_histogram, "select hint, n, round(n * 100 / (select count(*) from sitemap_urls), 2) as pct, array_to_string(list_sort(samples)[1:3], ' ') as samples from (select coalesce(type_hint, '(none)') as hint, count(*) as n, list(distinct url) as samples from sitemap_urls group by 1)"),
     "crawl_counters": (crawl_counters, f"select discovered, skipped, redirects, errors, discovered - skipped as queued from (select (select count(*) from {_FIRST}) as discovered, (select count(*) from {_FIRST} f where exists (select 1 from crawler_pages p where p.final_url = f.normalized_url)) as skipped, (select count(*) from (select distinct * from url_aliases)) as redirects, (select count(distinct id) from crawler_pages where last_error is not null) as errors)"),
     "domain_override_lookup": (domain_override_lookup, "select id, d.domain as domain, array_to_string(main_content_selectors, ',') as main, array_to_string(remove_selectors, ',') as removed from (select distinct id, regexp_extract(norm, '^https?://([^:/?#]*)', 1) as domain from crawler_pages join " + _norm("final_url", "crawler_pages") + " n on n.url = final_url) d left join domain_overrides o on o.domain = d.domain and o.enabled"),
-    "merge_pages": (merge_pages, _MERGE_SQL),
+    "merge_pages": (merge_pages, _merge_sql(False)),
+    "merge_pages_gated": (merge_pages_gated, _merge_sql(True)),
     "merge_pages_ids": (merge_pages_ids, "with p as (select distinct on (id) * from crawler_pages order by id), s as (select min(id) as id, final_url from p where not coalesce(last_crawled_at >= timestamptz '2025-01-01 00:00:00+00', false) group by final_url), u as (select count(distinct final_url) as n from p), k as (select max(id) as top, count(*) as n from s) select u.n as pages, u.n as ids, k.top + u.n - k.n as largest from u, k"),
     "merge_aliases": (merge_aliases, "with a as (select *, row_number() over (partition by requested_url order by last_seen_at nulls first, first_seen_at nulls first, final_url nulls first, run_id nulls first) as n, count(*) over (partition by requested_url) as c from (select distinct * from url_aliases)) select requested_url, final_url, status_code, run_id, case when c = 1 then first_seen_at else (select min(first_seen_at) from a b where b.requested_url = a.requested_url and n = 1) end as first_seen_at, case when c = 1 then last_seen_at else timestamptz '2026-01-01 00:00:00+00' end as last_seen_at from a where n = c"),
     "delete_domain": (delete_domain, "select count(*) filter (where not coalesce(final_url ilike '%dental%', false)) as kept, count(*) filter (where coalesce(final_url ilike '%dental%', false)) as deleted from (select distinct id, final_url from crawler_pages)"),
@@ -304,20 +343,29 @@ QUERIES = {
     "run_duration": (run_duration, "select run_id, s as seconds, round(total_pages_crawled / nullif(s, 0), 6) as pages_per_second, round(total_pages_crawled / nullif(total_urls_discovered, 0), 6) as success_rate from (select *, cast(trunc(epoch(finished_at - started_at)) as bigint) as s from crawl_runs where finished_at is not null)"),
     "latest_run": (latest_run, "select run_id, started_at from crawl_runs order by started_at desc nulls last, run_id limit 10"),
     "long_redirect_chains": (long_redirect_chains, "select distinct id, cast(len(redirect_chain) as integer) as hops from crawler_pages where len(redirect_chain) > 2"),
-    "pages_clean": (pages_clean, "select distinct id, final_url, title, word_count, content_hash, run_id from crawler_pages where crawl_status = 'OK'"),
+    "pages_clean": (pages_clean, "select distinct id, final_url, title, h1, meta_description, markdown, word_count, content_hash, sitemap_type_hint, last_crawled_at, run_id from crawler_pages where crawl_status = 'OK'"),
     "paged_export": (paged_export, "select distinct id, final_url from crawler_pages order by id limit 100 offset 200"),
     "url_search": (url_search, "select distinct id, final_url from crawler_pages where final_url like '%services%' and crawl_status = 'OK' and markdown_enhanced is null"),
     "crawl_qa": (crawl_qa, "select count(*) as total, count(distinct final_url) as unique_urls, count(*) filter (where len(redirect_chain) > 1) as redirects, count(*) filter (where crawl_status = 'NOT_FOUND') as not_found, count(*) filter (where crawl_status = 'SOFT_404') as soft_404, count(*) filter (where crawl_status = 'ERROR') as errors, avg(length(markdown)) as avg_markdown from (select distinct on (id) * from crawler_pages order by id)"),
     "with_structure": (with_structure, "select count(structural_stats) as processed, count(*) filter (where greatest(structural_stats.faq_modules, structural_stats.toc_sections, structural_stats.breadcrumbs, structural_stats.template_ctas, structural_stats.accordions, structural_stats.testimonials, structural_stats.author_bios, structural_stats.related_posts) > 0) as with_structure from crawler_pages"),
     "nav_consensus": (nav_consensus, f"with {_CONSENSUS} select site, fingerprint, pages, page_id from g"),
+    "nav_consensus_default": (nav_consensus_default, f"with {_CONSENSUS.replace('0.5', '0.6')} select site, fingerprint, pages, page_id from g"),
     "nav_deviations": (nav_deviations, f"with {_CONSENSUS}, o as (select distinct id, {_DOMAIN} as site, {_FINGER} as own from crawler_pages where nav_structure.primary_nav is not null) select id, o.site as site, own = fingerprint as agrees from o join g using (site)"),
     "language_counts": (language_counts, f"with {_LANGPAGES} select language, count(*) as pages, count(distinct case when kind = 'page' then id end) as plain_pages from lp group by language"),
     "majority_language": (majority_language, f"with {_LANGPAGES}, n as (select site, language, count(*) as n from lp group by 1, 2) select site, first(language order by n desc, language) as primary_language, array_to_string(list_sort(list(language)), ',') as languages, cast(sum(n) as bigint) as pages from n group by site"),
     "classified_pages": (classified_pages, f"with {_LANGPAGES} select id, language, nullif(kind, 'page') as page_class from lp"),
     "cannibalisation": (cannibalisation, f"with {_LANGPAGES} select h1, language, count(distinct id) as pages, min(id) as first_id, max(id) as last_id from lp where h1 is not null group by 1, 2 having count(distinct id) > 1"),
     "competing_pairs": (competing_pairs, f"with {_LANGPAGES}, i as (select distinct h1, language, id from lp where h1 is not null) select h1, language, id, other_id from (select *, lead(id) over (partition by h1, language order by id) as other_id from i) where other_id is not null"),
+    "link_mesh": (link_mesh, f"with {_LINKS} select source_url, target_url from lk where source_url in (select final_url from crawler_pages) and target_url in (select final_url from crawler_pages) order by source_url, target_url limit 500"),
+    "competing_details": (competing_details, f"with {_LANGPAGES}, i as (select distinct h1, language, id from lp where h1 is not null), c as (select * from (select *, lead(id) over (partition by h1, language order by id) as other_id from i) where other_id is not null), f as (select distinct on (id) id, final_url, title, word_count from crawler_pages order by id) select c.h1 as h1, c.language as language, c.id as id, other_id, a.final_url as final_url, a.title as title, a.word_count as word_count, b.final_url as other_final_url, b.title as other_title, b.word_count as other_word_count from c join f a on a.id = c.id join f b on b.id = other_id"),
     "same_set_links": (same_set_links, f"with {_LINKS} select source_url, target_url from lk where source_url in (select final_url from crawler_pages) and target_url in (select final_url from crawler_pages)"),
-    "silo_metrics": (silo_metrics, f"with {_LANGPAGES}, {_LINKS}, o as (select distinct id, final_url, silo from lp), i as (select target_url, count(*) as inbound from lk where source_url <> target_url group by 1), q as (select silo, coalesce(inbound, 0) as inbound from (select id, final_url, silo from lp) o left join i on target_url = final_url) select silo, count(*) as pages, count(*) filter (where inbound = 0) as orphans, round(avg(inbound), 6) as avg_inbound from q where silo is not null group by silo"),
+    "silo_metrics": (
+        silo_metrics,
+        f"with {_LANGPAGES}, {_LINKS}, o as (select distinct id, final_url, silo from lp), k as (select * from lk where source_url <> target_url), i as (select target_url, count(*) as inbound from k group by 1), q as (select id, final_url, silo, coalesce(inbound, 0) as inbound from o left join i on target_url = final_url), "
+        "h as (select silo, count(*) as pages, count(*) filter (where inbound = 0) as orphans, round(avg(inbound), 6) as avg_inbound, first(final_url order by inbound desc, id) as hub from q where silo is not null group by silo), "
+        "t as (select h.silo as silo, count(distinct k.source_url) as n from h join k on k.target_url = h.hub join o on o.final_url = k.source_url and o.silo = h.silo group by h.silo) "
+        "select h.silo as silo, pages, orphans, avg_inbound, hub, round(coalesce(n, 0) / pages, 6) as hub_support_ratio from h left join t using (silo)",
+    ),
     "silo_counts": (silo_counts, f"with {_LANGPAGES} select s.silo_id as silo_id, coalesce(n, 0) as pages from (select distinct type_hint as silo_id from sitemap_urls where type_hint is not null) s left join (select silo, count(distinct id) as n from lp where language = 'es' or language is null group by silo) c on c.silo = s.silo_id"),
     "inherited_language": (inherited_language, f"with {_LANGPAGES}, n as (select lower(site) as site, language, count(*) as n from lp group by 1, 2), m as (select site, first(language order by n desc, language) as major from n group by site) select doc_id, coalesce(major, lang) as language from documents left join m on m.site = source"),
 }

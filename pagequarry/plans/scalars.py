@@ -49,15 +49,16 @@ def url_equivalence(spark, sf_dir):
 
 
 def resolve_links(spark, sf_dir):
-    """Links in the stored Markdown made absolute and normalised."""
+    """All links in the stored Markdown, made absolute and normalised."""
     pages = read_table(spark, sf_dir, "crawler_pages").select("id", "final_url", "markdown").dropDuplicates(["id"])
-    found = pages.select("final_url", F.explode(F.regexp_extract_all("markdown", F.lit(r"\]\((/[a-z0-9/-]*)\)"), 1)).alias("href")).distinct()
+    found = pages.select("final_url", F.explode(F.regexp_extract_all("markdown", F.lit(r"\]\(([^()\s]+)\)"), 1)).alias("href")).distinct()
     return found.select("final_url", "href", U.resolve_url(F.col("href"), F.col("final_url")).alias("target"))
 
 
 def link_facts(spark, sf_dir):
-    """Are the links of stored menus external or utilities?"""
-    p = read_table(spark, sf_dir, "crawler_pages").select("final_url", F.explode("nav_structure.footer_nav").alias("i")).select("final_url", "i.url").filter("url is not null").distinct()
+    """Are the links of stored menus, all four of them, external or utilities?"""
+    menus = F.concat(*[F.coalesce(F.col(f"nav_structure.{m}.url"), F.array()) for m in ("primary_nav", "footer_nav", "utility_header", "language_switcher")])
+    p = read_table(spark, sf_dir, "crawler_pages").select("final_url", F.explode(F.array_distinct(menus)).alias("url")).filter("url is not null").distinct()
     return p.select("final_url", "url", U.is_external_link(F.col("url"), F.col("final_url")).alias("external"), U.is_utility_link(F.col("url")).alias("utility"))
 
 
@@ -79,10 +80,10 @@ def derived_flags(spark, sf_dir):
     p = read_table(spark, sf_dir, "crawler_pages")
     return p.select(
         "id",
-        (~F.coalesce(U.same_url(F.col("requested_url_original"), F.col("final_url")), F.lit(False))).alias("redirected"),
-        (F.coalesce(F.col("h1"), F.lit("")) != "").alias("has_h1"),
-        F.when(F.col("html_content").isNull(), "missing").when(F.col("status_code") >= 400, "error").otherwise("ok").alias("fetch_state"),
-        (F.coalesce(F.col("status_code") == 200, F.lit(False)) & ~F.coalesce(F.col("html_content").rlike(r"(?i)<meta[^>]*name=.?robots[^>]*noindex"), F.lit(False))).alias("indexable"),
+        U.was_redirected(F.col("requested_url_original"), F.col("final_url")).alias("redirected"),
+        X.has_text(F.col("h1")).alias("has_h1"),
+        X.fetch_state(F.col("status_code"), F.col("html_content")).alias("fetch_state"),
+        X.is_indexable(F.col("status_code"), F.col("html_content")).alias("indexable"),
     ).distinct()
 
 
@@ -160,6 +161,7 @@ def heading_outline(spark, sf_dir):
     return L.headings(_markdown(spark, sf_dir), "id", "markdown")
 
 
+_HREFS = r"select distinct final_url, unnest(regexp_extract_all(markdown, '\]\(([^()\s]+)\)', 1)) as href from crawler_pages"
 _MD = "(select distinct id, markdown from crawler_pages where markdown is not null)"
 _TRIM = lambda x: f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
@@ -174,8 +176,8 @@ QUERIES = {
     ),
     "type_hint": (type_hint, "select sitemap_source, case when f like 'post-sitemap%' then 'post' when f like 'page-sitemap%' then 'page' when regexp_matches(f, '^(post_)?(category|tag|author)-sitemap') then 'pagination' when f like 'sitemap-posts%' then 'post' when f like 'sitemap-pages%' then 'page' when regexp_matches(f, '^sitemap-(categories|tags)') then 'pagination' when regexp_matches(f, 'blog|article|news') then 'post' when f like '%product%' then 'product' when f like '%event%' then 'event' when f like '%portfolio%' then 'portfolio' end as hint from (select distinct sitemap_source, lower(list_last(string_split(sitemap_source, '/'))) as f from sitemap_urls)"),
     "url_equivalence": (url_equivalence, "select requested_url, final_url, coalesce(a.norm = b.norm, false) as same from (select distinct requested_url, final_url from url_aliases) left join " + _norm("requested_url", "url_aliases") + " a on a.url = requested_url left join " + _norm("final_url", "url_aliases") + " b on b.url = final_url"),
-    "resolve_links": (resolve_links, r"select distinct final_url, href, case when regexp_extract(norm, '^(https?://[^/?#]+)', 1) = '' then null else regexp_extract(norm, '^(https?://[^/?#]+)', 1) || case when href = '/' then '/' else regexp_replace(href, '/$', '') end end as target from (select final_url, unnest(regexp_extract_all(markdown, '\]\((/[a-z0-9/-]*)\)', 1)) as href from crawler_pages) join " + _norm("final_url", "crawler_pages") + " n on n.url = final_url"),
-    "link_facts": (link_facts, r"select final_url, url, coalesce(not regexp_matches(url, '^(#|javascript:|tel:|mailto:)') and url <> '' and regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') and lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) <> lower(regexp_extract(final_url, '^[A-Za-z]+://([^/:?#]*)', 1)) and regexp_extract(final_url, '^[A-Za-z]+://([^/:?#]*)', 1) <> '', false) as external, regexp_matches(lower(url), '^(tel:|mailto:|sms:|whatsapp:)') or regexp_matches(lower(url), '^https?://([^/?#]*\.)?(facebook\.com|instagram\.com|twitter\.com|x\.com|youtube\.com|linkedin\.com|tiktok\.com|pinterest\.com|maps\.google\.com|yelp\.com)(:[0-9]+)?([/?#]|$)') or regexp_matches(lower(url), '^https?://goo\.gl/maps(/|$)') as utility from (select distinct final_url, i.url as url from (select final_url, unnest(nav_structure.footer_nav) as i from crawler_pages) where i.url is not null)"),
+    "resolve_links": (resolve_links, f"with r as (select *, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then href when href like '/%' then regexp_extract(final_url, '^([A-Za-z]+://[^/?#]+)', 1) || href when href like '?%' then regexp_replace(final_url, '[?#].*$', '') || href when href like '#%' then final_url end as abs from ({_HREFS})) select final_url, href, norm as target from r left join " + _norm("abs", "r") + " n on n.url = abs"),
+    "link_facts": (link_facts, r"select final_url, url, coalesce(not regexp_matches(url, '^(#|javascript:|tel:|mailto:)') and url <> '' and regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') and lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) <> lower(regexp_extract(final_url, '^[A-Za-z]+://([^/:?#]*)', 1)) and regexp_extract(final_url, '^[A-Za-z]+://([^/:?#]*)', 1) <> '', false) as external, regexp_matches(lower(url), '^(tel:|mailto:|sms:|whatsapp:)') or regexp_matches(lower(url), '^https?://([^/?#]*\.)?(facebook\.com|instagram\.com|twitter\.com|x\.com|youtube\.com|linkedin\.com|tiktok\.com|pinterest\.com|maps\.google\.com|yelp\.com)(:[0-9]+)?([/?#]|$)') or regexp_matches(lower(url), '^https?://goo\.gl/maps(/|$)') as utility from (select distinct final_url, i.url as url from (" + " union all ".join(f"select final_url, unnest(nav_structure.{m}) as i from crawler_pages" for m in ("primary_nav", "footer_nav", "utility_header", "language_switcher")) + ") where i.url is not null)"),
     "page_language": (page_language, r"""select distinct id, coalesce(nullif(lower(regexp_extract(final_url, '/(es|fr|de|it|pt|ja|zh)(?:/|$)', 1)), ''), nullif(lower(regexp_extract(html_content, '(?i)<html[^>]*\slang\s*=\s*["'']?([a-z]{2,3})', 1)), ''), nullif(lower(regexp_extract(html_content, '(?i)<meta[^>]*http-equiv\s*=\s*["'']?content-language["'']?[^>]*content\s*=\s*["'']?([a-z]{2,3})', 1)), ''), 'en') as language from crawler_pages where html_content is not null"""),
     "crawl_status": (crawl_status, "select distinct id, status_code, case when status_code in (404, 410) then 'NOT_FOUND' when status_code >= 400 then 'ERROR' else 'OK' end as status from crawler_pages"),
     "soft_404": (
