@@ -9,7 +9,8 @@ vocabulary count as one piece per writing system.
 A segment is a longest run of non-blank lines. Its words' log probabilities add up per language; the language is
 the best one and the confidence its posterior, with `EVIDENCE` of each word's weight since neighbouring words are
 not independent. A word's scores depend on the word alone: each task computes the words it has not met, all
-positions of a batch of words in step, and keeps a bounded number of them.
+positions of a batch of words in step, and keeps a bounded number of them. Words and runs without spaces are scored
+whole, however long, with pieces of any length that the vocabulary has.
 
 Defined results: null, empty and blank texts have no segments; a segment with fewer than `MIN_LETTERS` letters or
 a share of letters among its non-space characters below `MIN_LETTER_SHARE` has no language (figures), confidence
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 from ..runtime import tokenizer_folder
 
 MIN_CHARS, MIN_LETTERS, MIN_LETTER_SHARE = 40, 8, 0.4
-MAX_PIECE, MAX_SAMPLES, ROUNDS, SMOOTHING, EVIDENCE = 12, 5000, 4, 0.02, 0.5
+MAX_SAMPLES, ROUNDS, SMOOTHING, EVIDENCE = 5000, 4, 0.02, 0.5
 _CACHE_WORDS = 400_000
-#: Longest run scored at once; longer ones (text without spaces) are cut there.
-_LONGEST_WORD = 64
+#: Cells (words x positions) of a batch; words up to _PLAIN characters need no rescaling on the way, longer ones are not kept.
+_CELLS, _PLAIN = 40_000, 40
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*['’]?")
 
@@ -85,9 +86,21 @@ class Vocabulary:
         self.ids: dict[str, int] = {}
         for p in pieces:
             p = p.lower()
-            if 0 < len(p) <= MAX_PIECE and all(c.isalpha() or c in "'’▁" for c in p) and p != "▁":
+            if p and all(c.isalpha() or c in "'’▁" for c in p) and p != "▁":
                 self.ids.setdefault(p, len(self.ids))
+        self.index()
+
+    def index(self) -> None:
         self.size = len(self.ids) + N_SCRIPTS
+        self.longest = max(map(len, self.ids), default=1)
+        self.begins = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+
+    @classmethod
+    def of(cls, ids: dict[str, int]) -> Vocabulary:
+        made = cls([])
+        made.ids = ids
+        made.index()
+        return made
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -97,128 +110,158 @@ class Vocabulary:
         return cls([model.id_to_piece(i) for i in range(model.get_piece_size())])
 
     def lattice(self, words: list[str]) -> np.ndarray:
-        """ids[word, end, length - 1]: the piece of that length that ends before position end, -1 for none.
+        """ids[length - 1, end, word]: the piece of that length that ends before position end, -1 for none.
 
         A word begins with a mark; pieces that begin with the mark match only there, and the mark itself may be skipped.
         """
-        longest = max(map(len, words))
-        out = np.full((len(words), longest + 1, MAX_PIECE), -1, np.int32)
-        get, unknown = self.ids.get, len(self.ids)
+        n_max = max(map(len, words))
+        depth = min(self.longest, n_max)
+        out = np.full((depth, n_max + 1, len(words)), -1, np.int32)
+        get, begins, unknown = self.ids.get, self.begins, len(self.ids)
+        at, found = [], []
+        step, row = (n_max + 1) * len(words), len(words)
         for w, word in enumerate(words):
-            row = out[w]
             n = len(word)
             for a in range(n):
-                for k in range(1, min(MAX_PIECE, n - a) + 1):
+                # a character of its own, known or by its writing system
+                c = word[a]
+                i = get("▁" + c) if a == 0 else None
+                if i is None:
+                    i = get(c)
+                at.append((a + 1) * row + w)
+                found.append(unknown + _script(c) if i is None else i)
+                for k in range(2, min(depth, n - a) + 1):
                     piece = word[a : a + k]
                     i = get("▁" + piece) if a == 0 else None
                     if i is None:
                         i = get(piece)
                     if i is not None:
-                        row[a + k, k - 1] = i
-                if row[a + 1, 0] < 0:
-                    row[a + 1, 0] = unknown + _script(word[a])
+                        at.append((k - 1) * step + (a + k) * row + w)
+                        found.append(i)
+                    elif piece not in begins and (a or "▁" + piece not in begins):
+                        break
+        out.reshape(-1)[at] = found
         return out
 
 
 class LanguageModel:
-    def __init__(self, languages: list[str], vocabulary: Vocabulary, log_p: np.ndarray):
+    def __init__(self, languages: list[str], vocabulary: Vocabulary, p: np.ndarray):
         self.languages, self.vocabulary = languages, vocabulary
-        self.p = np.vstack([np.exp(log_p.astype(np.float64)), np.zeros((1, len(languages)))])  # the last row stands for no piece
-        self.known: dict[str, np.ndarray] = {}
-
-    def forward(self, ids: np.ndarray, scale: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """alpha[word, position, language], rescaled position by position, and the log of the scale so far."""
-        n, positions, _ = ids.shape
-        alpha = np.zeros((n, positions, len(self.languages)))
-        log = np.zeros((n, positions, len(self.languages)))
-        alpha[:, 0] = 1
+        self.p = np.vstack([p.astype(np.float64), np.zeros((1, len(languages)))])  # the last row stands for no piece
+        self.places: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(languages)))
+
+    def forward(self, ids: np.ndarray) -> np.ndarray:
+        """Log of the summed probability of all cuts up to each position, [position, word, language]."""
+        depth, positions, n = ids.shape
+        alpha = np.ones((positions, n, len(self.languages)))
+        log = np.zeros((positions, n, len(self.languages)))
         for t in range(1, positions):
             total = np.zeros((n, len(self.languages)))
-            for k in range(1, min(MAX_PIECE, t) + 1):
-                piece = ids[:, t, k - 1]
-                some = piece >= 0
-                if some.any():
-                    total[some] += alpha[some, t - k] * np.exp(log[some, t - k] - log[some, t - 1]) * self.p[piece[some]]
+            for k in range(1, min(depth, t) + 1):
+                piece = ids[k - 1, t]
+                some = np.flatnonzero(piece >= 0)
+                if len(some):
+                    total[some] += alpha[t - k, some] * np.exp(log[t - k, some] - log[t - 1, some]) * self.p[piece[some]]
             alive = total > 0
-            log[:, t] = log[:, t - 1] + np.log(np.where(alive, total, 1))
-            alpha[:, t] = alive
-        return alpha, log
+            log[t] = log[t - 1] + np.log(np.where(alive, total, 1))
+            alpha[t] = alive
+        return log
+
+    def plain_forward(self, ids: np.ndarray) -> np.ndarray:
+        """Summed probability of all cuts of words of one length, [word, language]; too small for a float beyond some length."""
+        depth, positions, n = ids.shape
+        alpha = np.ones((positions, n, len(self.languages)))
+        for t in range(1, positions):
+            total = alpha[t - 1] * self.p[ids[0, t]]
+            for k in range(2, min(depth, t) + 1):
+                some = np.flatnonzero(ids[k - 1, t] >= 0)
+                if len(some):
+                    total[some] += alpha[t - k, some] * self.p[ids[k - 1, t, some]]
+            alpha[t] = total
+        return alpha[-1]
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         out = np.zeros((len(words), len(self.languages)))
-        for k in range(0, len(order), 2048):
-            part = order[k : k + 2048]
+        k = 0
+        while k < len(order):
+            length = len(words[order[k]])
+            part = [i for i in order[k : k + max(1, _CELLS // (length + 1))] if len(words[i]) == length]
             ids = self.vocabulary.lattice([words[i] for i in part])
-            _, log = self.forward(ids)
-            lengths = np.array([len(words[i]) for i in part])
-            out[part] = log[np.arange(len(part)), lengths]
+            out[part] = np.log(self.plain_forward(ids)) if length <= _PLAIN else self.forward(ids)[-1]
+            k += len(part)
         return out
 
-    def words(self, tokens: list[str]) -> np.ndarray:
-        new = list({w for w in tokens if w not in self.known})
+    def total(self, tokens: list[str]) -> np.ndarray:
+        """Sum of the words' log probabilities per language."""
+        places = self.places
+        new = [w for w in set(tokens) if w not in places]
+        out = np.zeros(len(self.languages))
         if new:
-            if len(self.known) + len(new) > _CACHE_WORDS:
-                self.known.clear()
-                new = list(set(tokens))
-            for w, s in zip(new, self.score(new)):
-                self.known[w] = s
-        known = self.known
-        return np.array([known[w] for w in tokens])
+            scores = self.score(new)
+            keep = [k for k, w in enumerate(new) if len(w) <= _PLAIN]
+            if len(keep) < len(new):  # long runs are met once
+                times = Counter(w for w in tokens if len(w) > _PLAIN)
+                for w, s in zip(new, scores):
+                    out += times[w] * s
+                tokens = [w for w in tokens if len(w) <= _PLAIN]
+            if len(places) + len(keep) > _CACHE_WORDS:
+                places.clear()
+                back = [w for w in set(tokens).difference(new)]
+                new, scores, keep = [*new, *back], np.vstack([scores, self.score(back)]) if back else scores, [*keep, *range(len(new), len(new) + len(back))]
+            first = len(places)
+            while first + len(keep) > len(self.scores):
+                self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
+            self.scores[first : first + len(keep)] = scores[keep]
+            places.update((new[k], first + j) for j, k in enumerate(keep))
+        return out + self.scores[[places[w] for w in tokens]].sum(0) if tokens else out
 
     def fit_round(self, counts: list[Counter]) -> np.ndarray:
         """Expected piece counts [piece, language] of the words of each language."""
         expected = np.zeros((self.vocabulary.size, len(self.languages)))
         for k, words in enumerate(counts):
             names = sorted(words)
-            one = LanguageModel([self.languages[k]], self.vocabulary, np.zeros((1, 1)))
-            one.p = self.p[:, k : k + 1]
-            for a in range(0, len(names), 1024):
-                part = names[a : a + 1024]
+            one = LanguageModel([self.languages[k]], self.vocabulary, self.p[:-1, k : k + 1])
+            names.sort(key=len)
+            a = 0
+            while a < len(names):
+                part = [w for w in names[a : a + max(1, _CELLS // (len(names[a]) + 1))] if len(w) == len(names[a])]
+                a += len(part)
                 ids = self.vocabulary.lattice(part)
-                _, log = one.forward(ids)
-                log = log[:, :, 0]
-                lengths = np.array([len(w) for w in part])
+                log = one.forward(ids)[:, :, 0]
                 weight = np.array([words[w] for w in part], float)
-                total = log[np.arange(len(part)), lengths]
                 back = np.full(log.shape, -np.inf)
-                back[np.arange(len(part)), lengths] = 0
-                for t in range(log.shape[1] - 1, 0, -1):
-                    for j in range(1, min(MAX_PIECE, t) + 1):
-                        piece = ids[:, t, j - 1]
-                        use = (piece >= 0) & np.isfinite(back[:, t])
+                back[-1] = 0
+                for t in range(len(log) - 1, 0, -1):
+                    for j in range(1, min(len(ids), t) + 1):
+                        piece = ids[j - 1, t]
+                        use = (piece >= 0) & np.isfinite(back[t])
                         if use.any():
-                            step = back[use, t] + np.log(one.p[piece[use], 0])
-                            back[use, t - j] = np.logaddexp(back[use, t - j], step)
-                            np.add.at(expected[:, k], piece[use], weight[use] * np.exp(log[use, t - j] + step - total[use]))
+                            step = back[t, use] + np.log(one.p[piece[use], 0])
+                            back[t - j, use] = np.logaddexp(back[t - j, use], step)
+                            np.add.at(expected[:, k], piece[use], weight[use] * np.exp(log[t - j, use] + step - log[-1, use]))
         return expected
 
 
-def _chunks(text: str) -> list[str]:
-    out = []
-    for w in words_of(text):
-        out += [w] if len(w) <= _LONGEST_WORD else [w[k : k + _LONGEST_WORD] for k in range(0, len(w), _LONGEST_WORD)]
-    return out
-
-
 def fit(samples: list[tuple[str, str]], vocabulary: Vocabulary, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> LanguageModel:
     """samples: (language, text). Every word also counts, with a tenth of the weight, without its accents."""
     languages = sorted({lang for lang, _ in samples})
     counts = [Counter() for _ in languages]
     for lang, text in samples:
         mine = counts[languages.index(lang)]
-        for w in _chunks(text):
+        for w in words_of(text):
             mine[w] += 1
             if (p := plain_form(w)) != w:
                 mine[p] += 0.1
-    model = LanguageModel(languages, vocabulary, np.full((vocabulary.size, len(languages)), -np.log(vocabulary.size)))
+    model = LanguageModel(languages, vocabulary, np.full((vocabulary.size, len(languages)), 1 / vocabulary.size))
     for _ in range(rounds):
         expected = model.fit_round(counts)
         own = expected / np.maximum(expected.sum(0), 1e-9)
         mean = 0.9 * own.mean(1, keepdims=True) + 0.1 / vocabulary.size
         p = (1 - smoothing) * own + smoothing * mean
-        model = LanguageModel(languages, vocabulary, np.log(p))
+        model = LanguageModel(languages, vocabulary, p)
     return model
 
 
@@ -264,26 +307,23 @@ def segment_languages(docs: DataFrame, id_col: str, text_col: str, samples: Data
 
 def _scored(texts: DataFrame, model: LanguageModel) -> DataFrame:
     """Segments of texts(id, text, label), each with its document's label."""
-    shared = texts.sparkSession.sparkContext.broadcast((model.languages, model.vocabulary.ids, model.p.astype(np.float32)))
+    shared = texts.sparkSession.sparkContext.broadcast((model.languages, model.vocabulary.ids, model.p[:-1].astype(np.float32)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         languages, ids, p = shared.value
-        words = Vocabulary([])
-        words.ids, words.size = ids, len(ids) + N_SCRIPTS
-        mine = LanguageModel(languages, words, np.zeros((1, len(languages))))
-        mine.p = p.astype(np.float64)
+        mine = LanguageModel(languages, Vocabulary.of(ids), p)
         for batch in batches:
             rows = []
             for i, text, label in zip(batch["id"], batch["text"], batch["label"]):
                 for k, segment in enumerate(segments(text)):
                     n = len(segment.strip())
-                    tokens = _chunks(segment) if has_language(segment) else ()
+                    tokens = words_of(segment) if has_language(segment) else ()
                     if not tokens:
                         rows.append((i, k, n, None, None, label))
                         continue
                     total = np.zeros(len(languages))
                     for a in range(0, len(tokens), 10_000):
-                        total += mine.words(tokens[a : a + 10_000]).sum(0)
+                        total += mine.total(tokens[a : a + 10_000])
                     share = _posterior(total)
                     best = int(share.argmax())
                     rows.append((i, k, n, languages[best], float(share[best]), label))

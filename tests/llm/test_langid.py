@@ -28,14 +28,14 @@ def test_held_out_accuracy(samples, vocabulary):
     right = plain = 0
     held = rows[len(rows) // 2 :]
     for lang, text in held:
-        right += model.languages[int(model.words(G._chunks(text)).sum(0).argmax())] == lang
-        plain += model.languages[int(model.words(G._chunks(G.plain_form(text).upper())).sum(0).argmax())] == lang
+        right += model.languages[int(model.total(G.words_of(text)).argmax())] == lang
+        plain += model.languages[int(model.total(G.words_of(G.plain_form(text).upper())).argmax())] == lang
     assert right >= 0.98 * len(held) and plain >= 0.95 * len(held)
 
 
 def test_forward_sums_all_segmentations():
     words = G.Vocabulary(["▁a", "ab", "b", "a", "c", "bc", "abc", "▁ab"])
-    p = np.log(np.random.default_rng(1).dirichlet(np.ones(words.size), 2).T)
+    p = np.random.default_rng(1).dirichlet(np.ones(words.size), 2).T
     model = G.LanguageModel(["x", "y"], words, p)
     for word in ("abc", "cab", "aabbc", "b", "abcabc"):
         want = np.zeros(2)
@@ -44,10 +44,32 @@ def test_forward_sums_all_segmentations():
             pieces = [word[a:b] for a, b in zip([0, *ends], ends)]
             ids = [words.ids.get("▁" + q, words.ids.get(q)) if k == 0 else words.ids.get(q) for k, q in enumerate(pieces)]
             if all(i is not None for i in ids):
-                want += np.exp(p[ids].sum(0))
+                want += p[ids].prod(0)
         assert np.allclose(model.score([word])[0], np.log(want))
 
 
+def test_long_runs_are_scored_whole(samples, vocabulary, monkeypatch):
+    """A run without spaces is no other than its letters: rescaling changes nothing, and no piece is lost at a cut."""
+    model = G.fit([(r["lang"], r["text"]) for r in samples.limit(60).collect()], vocabulary)
+    words = ["internationalisation", "überraschung", "语言模型", "b" * 39]
+    plain = model.score(words)
+    monkeypatch.setattr(G, "_PLAIN", 0)
+    assert np.allclose(plain, model.score(words))
+    monkeypatch.undo()
+    run = "".join(words) * 20
+    assert np.isfinite(model.score([run])).all() and np.allclose(model.total([run, "a", run]), model.score([run, "a", run]).sum(0))
+    assert run not in model.places and vocabulary.longest > 12
+
+
+def test_totals_with_a_full_memory(samples, vocabulary, monkeypatch):
+    model = G.fit([(r["lang"], r["text"]) for r in samples.limit(60).collect()], vocabulary)
+    tokens = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    want = model.score(tokens).sum(0)
+    monkeypatch.setattr(G, "_CACHE_WORDS", 90)
+    got = sum(model.total(tokens[a : a + 60] + tokens[:5]) for a in range(0, 200, 60)) - 4 * model.score(tokens[:5]).sum(0)
+    assert np.allclose(got, want)
+
+
 def test_segments_of_mixed_documents(spark, samples):
     by = {r["lang"]: r["text"] for r in samples.collect()}
     rows = [(1, f"{by['en']}\n\n{by['fr']}\n \n{by['zh']}", "en-US", 9), (2, None, "fr", 9), (3, "", None, 9), (4, "12 | 34.5 | 6\n" * 9, "en", 9), (5, by["de"].upper(), "xx", 9), (6, by["ja"], "Japanese", 9), (7, (by["it"] + " ") * 400, None, 9), (1, f"{by['en']}\n\n{by['fr']}\n \n{by['zh']}", "en-US", 9)]
