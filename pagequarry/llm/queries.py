@@ -85,6 +85,11 @@ def p7_clean(spark, sf_dir):
     return site_lines.without_repeated_lines(pages, "id", "final_url", "markdown").select("id", "site_text")
 
 
+def p7_template_lines(spark, sf_dir):
+    """Lines repeated with small differences: those of p7_found and lines that differ in a slot of their template."""
+    return site_lines.template_lines(_pages(spark, sf_dir), "id", "final_url", "markdown")
+
+
 def p7_templates(spark, sf_dir):
     return site_lines.site_templates(_pages(spark, sf_dir), "id", "final_url", "markdown")
 
@@ -113,6 +118,17 @@ def p9_spans(spark, sf_dir):
     return _leaks(spark, sf_dir)
 
 
+def p9_runs(spark, sf_dir):
+    """Each leaked passage of its own."""
+    return leakage.leaked_runs(_documents(spark, sf_dir), read_table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p9_cut(spark, sf_dir):
+    """Whole documents, without their leaked passages."""
+    cut = leakage.without_leaked_spans(_documents(spark, sf_dir).select("doc_id", "text"), read_table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
+    return cut.select("doc_id", F.md5("clean_text").alias("clean_md5"), F.length("clean_text").alias("n_chars"))
+
+
 def p9_clean(spark, sf_dir):
     return leakage.without_leaks(_documents(spark, sf_dir), read_table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text").select("doc_id")
 
@@ -181,6 +197,9 @@ dg as (select doc_id, i, array_to_string(w[i:i+11], ' ') as g from (select doc_i
 eg as (select distinct item_id, array_to_string(w[i:i+11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from e))
 select doc_id, item_id, cast(min(i) - 1 as integer) as first_word, cast(max(i) + 10 as integer) as last_word, cast(count(*) as integer) as n_windows from dg join eg using (g) group by doc_id, item_id"""
 
+_P9_RUNS = _P9_SPANS[: _P9_SPANS.rindex("select doc_id, item_id, cast(min(i)")] + """select doc_id, item_id, cast(min(i) - 1 as integer) as first_word, cast(max(i) + 10 as integer) as last_word
+from (select *, i - row_number() over (partition by doc_id, item_id order by i) as island from (select distinct doc_id, item_id, i from dg join eg using (g))) group by doc_id, item_id, island"""
+
 QUERIES = {
     "p1_found": (p1_found, _P1),
     "p1_groups": (p1_groups, None),
@@ -196,11 +215,14 @@ QUERIES = {
     "p6_line_kinds": (p6_line_kinds, None),
     "p7_found": (p7_found, _P7),
     "p7_clean": (p7_clean, _P7_CLEAN),
+    "p7_template_lines": (p7_template_lines, None),
     "p7_templates": (p7_templates, None),
     "p8_found": (p8_found, None),
     "p8_containers": (p8_containers, None),
     "p9_found": (p9_found, _P9 + "select doc_id, item_id from f"),
     "p9_spans": (p9_spans, _P9_SPANS),
+    "p9_runs": (p9_runs, _P9_RUNS),
+    "p9_cut": (p9_cut, None),
     "p9_clean": (p9_clean, _P9 + "select doc_id from documents where doc_id not in (select doc_id from f)"),
     "p10_found": (p10_found, None),
     "p10_segments": (p10_segments, None),

@@ -1,15 +1,21 @@
 """Lines repeated across one site's documents, by line templates.
 
 A line is masked (lower case, digits deleted, white space collapsed) and goes down a token tree of fixed depth:
-number of tokens, the first `DEPTH` tokens, the last one; tokens that are not plain letters are wildcards. The leaf
-it reaches is its template, whose places are wildcard slots wherever its lines differ. Trees of different tasks are
-merged leaf by leaf: coverage adds up and slots widen, in any order with the same result. All lines with one mask
-lie in one leaf, so a leaf that covers too few documents of its site cannot hold a repeated line; only the lines of
-the remaining leaves are compared by their masks. That check is exact.
+number of tokens, then its first `DEPTH` tokens (or, in a second tree, its last ones), where tokens that are not plain
+letters take the wildcard branch. Trees grow in every task and are merged as sums: documents per leaf, and below a leaf
+documents per place and token. In a leaf that covers enough documents of its site, a token stays where it covers
+enough of them too; other places are wildcard slots. What is left of a line is its template. A template that
+covers enough documents is repeated, and so are its lines:
 
-Lines travel as hashes. Counts are partial sums before every shuffle, so a hot site or line costs no task more than
-its share, and the number of leaves kept for a site is bounded by its mean number of lines per page divided by
-min_share.
+* `repeated_lines`: templates without slots. They are whole masks, and their documents are counted exactly.
+* `template_lines`: also templates with slots of which at least `MIN_FIXED` of the tokens and three with letters stay,
+  so bylines and notices that differ by a name are found.
+
+A mask on enough documents has no slot, as each of its tokens is on as many; so nothing is lost on the way.
+
+Counts are partial sums before every shuffle, joins by leaf, mask or site are salted, and tokens are counted once per
+mask and task, so a hot site or line costs no task more than its share. The tokens that stay in a leaf are few: at
+most the site's lines per document divided by min_share in each place.
 
 Defined results: null texts hold no lines and do not count as documents; a null or unparsable URL is no site and
 its lines are never removed; repeated rows count once (by id); a line needs three runs of letters to be removed.
@@ -30,7 +36,10 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 MIN_DOCS, MIN_SHARE, MIN_LETTER_RUNS = 5, 0.2, 3
-DEPTH = 3
+DEPTH, SALTS = 2, 16
+#: Share of its tokens that a template with slots must keep.
+MIN_FIXED = 0.6
+SLOT = "<*>"
 
 _DIGITS = re.compile(r"[0-9]")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -48,21 +57,21 @@ def mask(line: str) -> str:
     return " ".join(_DIGITS.sub("", line.lower()).split())
 
 
-def leaf_path(tokens: list[str]) -> str:
-    """The leaf of a masked line: token count, first tokens, last token, wildcards for all but plain letters."""
-    near = [t if t.isalpha() else "*" for t in (*tokens[:DEPTH], tokens[-1])]
-    return f"{len(tokens)} {' '.join(near)}"
+def leaf_path(tokens: list[str], tail: bool = False) -> str:
+    """The leaf of a masked line: token count, first (or last) tokens, wildcards for all but plain letters."""
+    near = tokens[-DEPTH:] if tail else tokens[:DEPTH]
+    return f"{len(tokens)} {'<' if tail else '>'} {' '.join(t if t.isalpha() else '*' for t in near)}"
 
 
 def _hash(text: str, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(text, seed) - (1 << 63)
 
 
-
 def parse_lines(pages: DataFrame) -> DataFrame:
-    """id, site (hash), line_no, leaf, mask (hashes salted by site), first_of_leaf, letters for pages(id, host, text).
+    """For pages(id, host, text): id, site (hash), line_no, head, tail, mask (hashes of leaves and mask, salted by
+    site), masked (text), first_of_head, first_of_tail, first_of_mask, letters.
 
-    first_of_leaf marks a leaf's first line on its page; letters says whether the line may be removed at all.
+    first_of_... marks the first line of its kind on its page; letters says whether the line may be removed at all.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,18 +82,24 @@ def parse_lines(pages: DataFrame) -> DataFrame:
                 seed = site & 0xFFFFFFFFFFFFFFFF
                 for k, line in enumerate(text.split("\n")):
                     runs = len(_LETTERS.findall(line))
-                    if not runs:
+                    if not runs or not (masked := mask(line)):
                         continue
-                    masked = mask(line)
-                    if not masked:
-                        continue
-                    leaf = _hash(leaf_path(masked.split(" ")), seed)
-                    out.append((i, site, k, leaf, _hash(masked, seed), leaf not in seen, runs >= MIN_LETTER_RUNS))
-                    seen.add(leaf)
-            yield pd.DataFrame(out, columns=["id", "site", "line_no", "leaf", "mask", "first_of_leaf", "letters"])
+                    tokens = masked.split(" ")
+                    head, tail, own = _hash(leaf_path(tokens), seed), _hash(leaf_path(tokens, True), seed), _hash(masked, seed)
+                    out.append((i, site, k, head, tail, own, masked, head not in seen, tail not in seen, own not in seen, runs >= MIN_LETTER_RUNS))
+                    seen.update((head, tail, own))
+            yield pd.DataFrame(out, columns=["id", "site", "line_no", "head", "tail", "mask", "masked", "first_of_head", "first_of_tail", "first_of_mask", "letters"])
 
     kind = pages.schema["id"].dataType.simpleString()
-    return pages.filter("host is not null and text is not null").mapInPandas(run, f"id {kind}, site long, line_no int, leaf long, mask long, first_of_leaf boolean, letters boolean")
+    schema = f"id {kind}, site long, line_no int, head long, tail long, mask long, masked string, first_of_head boolean, first_of_tail boolean, first_of_mask boolean, letters boolean"
+    return pages.filter("host is not null and text is not null").mapInPandas(run, schema)
+
+
+def salted_join(large: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join on key, the rows of a key of the large side spread over `SALTS` parts by another column."""
+    spread = large.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def _thresholds(lines_of: DataFrame, min_docs: int, min_share: float) -> DataFrame:
@@ -99,68 +114,82 @@ def _thresholds(lines_of: DataFrame, min_docs: int, min_share: float) -> DataFra
     return sites.mapInPandas(run, "site long, needed long")
 
 
+def _located(df: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(text_col).alias("text"))
+
+
+def _candidates(lines: DataFrame, needed: DataFrame, tree: str) -> DataFrame:
+    """id, line_no, leaf, mask, masked, first_of_mask, letters, needed: lines of leaves that cover enough documents."""
+    # an upper bound where rows are repeated, which keeps the filter sound
+    leaves = lines.filter(f"first_of_{tree}").groupBy(F.col(tree).alias("leaf")).agg(F.count("*").alias("covered"), F.first("site").alias("site"))
+    wide = salted_join(leaves, needed, "site", "leaf").filter("covered >= needed").select("leaf", "needed")
+    rows = lines.select("id", "line_no", F.col(tree).alias("leaf"), "mask", "masked", "first_of_mask", "letters")
+    return materialize(salted_join(rows, wide, "leaf", "id"), f"site-{tree}")
+
+
+def _templates(candidates: DataFrame) -> DataFrame:
+    """mask, leaf, needed, template, slots, fixed (tokens with letters that stay), tokens per mask of the candidates."""
+    masks = candidates.filter("first_of_mask").groupBy("leaf", "mask", "needed").agg(F.count("*").alias("docs"), F.first("masked").alias("masked"))
+    masks = materialize(masks, "site-masks")
+    tokens = masks.select("leaf", "needed", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    often = tokens.groupBy("leaf", "needed", "place", "token").agg(F.sum("docs").alias("n")).filter("n >= needed")
+    stay = often.groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("stay"))
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaf, kept = None, set()
+        for batch in batches:
+            out = []
+            for own, at, need, masked, stay in zip(batch["mask"], batch["leaf"], batch["needed"], batch["masked"], batch["stay"]):
+                if at != leaf:
+                    leaf, kept = at, set() if stay is None else {(t["place"], t["token"]) for t in stay}
+                tokens = masked.split(" ")
+                filled = [t if (k, t) in kept else SLOT for k, t in enumerate(tokens)]
+                out.append((own, at, need, " ".join(filled), filled.count(SLOT), sum(t != SLOT and _LETTERS.search(t) is not None for t in filled), len(tokens)))
+            yield pd.DataFrame(out, columns=["mask", "leaf", "needed", "template", "slots", "fixed", "tokens"])
+
+    return salted_join(masks.select("mask", "leaf", "needed", "masked"), stay, "leaf", "mask", "left").mapInPandas(fill, "mask long, leaf long, needed long, template string, slots int, fixed int, tokens int")
+
+
 def repeated_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """id, line_no of every line repeated on its site."""
-    pages = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(text_col).alias("text"))
+    """id, line_no of every line repeated on its site: templates without slots."""
+    pages = _located(df, id_col, url_col, text_col)
+    lines = materialize(parse_lines(pages), "site-lines")
+    candidates = _candidates(lines, materialize(_thresholds(pages, min_docs, min_share), "site-thresholds"), "head")
+    whole = _templates(candidates).filter("slots = 0").select("mask", "needed")
+    held = materialize(salted_join(candidates.select("id", "line_no", "mask", "letters"), whole, "mask", "id"), "site-whole")
+    masks = held.select("mask", "id", "needed").distinct().groupBy("mask", "needed").agg(F.count("*").alias("n_docs")).filter("n_docs >= needed").select("mask")
+    return salted_join(held.filter("letters"), masks, "mask", "id", "left_semi").select("id", "line_no").distinct()
+
+
+def template_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """id, line_no, template of every line whose template covers enough of its site's documents; where the two trees
+    give a line two templates, that with fewer slots."""
+    pages = _located(df, id_col, url_col, text_col)
     lines = materialize(parse_lines(pages), "site-lines")
     needed = materialize(_thresholds(pages, min_docs, min_share), "site-thresholds")
-    # coverage of a leaf: an upper bound where rows are repeated, which keeps the filter sound
-    leaves = lines.filter("first_of_leaf").groupBy("leaf").agg(F.count("*").alias("covered"), F.first("site").alias("site"))
-    wide = leaves.join(needed, "site").filter("covered >= needed").select("leaf", "needed")
-    candidates = materialize(lines.select("id", "line_no", "leaf", "mask", "letters").join(wide, "leaf"), "site-candidates")
-    masks = candidates.select("mask", "id", "needed").distinct().groupBy("mask", "needed").agg(F.count("*").alias("n_docs")).filter("n_docs >= needed").select("mask")
-    return candidates.filter("letters").join(masks, "mask", "left_semi").select("id", "line_no").distinct()
+    found = None
+    for tree in ("head", "tail"):
+        candidates = _candidates(lines, needed, tree)
+        kept = _templates(candidates).filter((F.col("slots") == 0) | ((F.col("fixed") >= MIN_LETTER_RUNS) & (F.col("tokens") - F.col("slots") >= MIN_FIXED * F.col("tokens"))))
+        kept = kept.select("mask", "needed", "template", "slots", F.xxhash64("leaf", "template").alias("key"))
+        held = materialize(salted_join(candidates.select("id", "line_no", "mask", "letters"), kept, "mask", "id"), f"site-{tree}-templates")
+        wide = held.select("key", "id", "needed").distinct().groupBy("key", "needed").agg(F.count("*").alias("n_docs")).filter("n_docs >= needed").select("key")
+        rows = salted_join(held.filter("letters"), wide, "key", "id", "left_semi").select("id", "line_no", "slots", "template")
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("id", "line_no").agg(F.min(F.struct("slots", "template"))["template"].alias("template"))
 
 
 def site_templates(df: DataFrame, id_col: str, url_col: str, text_col: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, template, n_lines: the templates that cover enough of their site's documents; `<*>` marks a slot.
-
-    Each task grows trees over its rows and gives one row per leaf; merging reads one row per task and leaf.
-    """
-    pages = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(text_col).alias("text")).dropDuplicates(["id"])
+    """host, template, n_lines: the templates that cover enough of their site's documents; `<*>` marks a slot."""
+    rows = template_lines(df, id_col, url_col, text_col, min_docs, min_share)
+    hosts = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host")).filter("host is not null").distinct()
+    return rows.join(hosts, "id").groupBy("host", "template").agg(F.count("*").alias("n_lines"))
 
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(tree):
-            return pd.DataFrame([(h, leaf, " ".join(t), n, d) for (h, leaf), (t, n, d) in tree.items()], columns=["host", "leaf", "template", "n_lines", "n_docs"])
 
-        tree: dict[tuple[str, str], list] = {}
-        for batch in batches:
-            for host, text in zip(batch["host"], batch["text"]):
-                seen = set()
-                for line in text.split("\n"):
-                    if len(_LETTERS.findall(line)) < MIN_LETTER_RUNS or not (masked := mask(line)):
-                        continue
-                    tokens = masked.split(" ")
-                    key = (host, leaf_path(tokens))
-                    have = tree.setdefault(key, [tokens, 0, 0])
-                    have[0] = _merge(have[0], tokens)
-                    have[1] += 1
-                    have[2] += key not in seen
-                    seen.add(key)
-                if len(tree) > 200_000:  # give the trees away and grow new ones; merging makes up for it
-                    yield rows(tree)
-                    tree = {}
-        yield rows(tree)
-
-    def merge(batch: pd.DataFrame) -> pd.DataFrame:
-        tokens = None
-        for t in batch["template"]:
-            tokens = t.split(" ") if tokens is None else _merge(tokens, t.split(" "))
-        return pd.DataFrame([(batch["host"].iloc[0], " ".join(tokens), int(batch["n_lines"].sum()))], columns=["host", "template", "n_lines"])
-
-    grown = materialize(pages.filter("host is not null and text is not null").mapInPandas(grow, "host string, leaf string, template string, n_lines long, n_docs long"), "site-trees")
-    totals = pages.filter("host is not null and text is not null").groupBy("host").agg(F.count("*").alias("n_pages"))
-    wide = grown.groupBy("host", "leaf").agg(F.sum("n_docs").alias("covered")).join(totals, "host").filter((F.col("covered") >= min_docs) & (F.col("covered") >= min_share * F.col("n_pages")))
-    return grown.join(wide.select("host", "leaf"), ["host", "leaf"]).groupBy("host", "leaf").applyInPandas(merge, "host string, template string, n_lines long")
-
-
-def _merge(a: list[str], b: list[str]) -> list[str]:
-    return a if a == b else [x if x == y else "<*>" for x, y in zip(a, b)]
-
-
-def without_repeated_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, out_col: str = "site_text", **thresholds) -> DataFrame:
-    """df with out_col: the text without the lines repeated on its site, all other columns and rows kept."""
-    found = repeated_lines(df, id_col, url_col, text_col, **thresholds).groupBy("id").agg(F.collect_list("line_no").alias("__cut")).withColumnRenamed("id", "__id")
+def without_repeated_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, out_col: str = "site_text", similar: bool = False, **thresholds) -> DataFrame:
+    """df with out_col: the text without the lines repeated on its site (similar: nor those of templates with slots),
+    all other columns and rows kept."""
+    found = (template_lines if similar else repeated_lines)(df, id_col, url_col, text_col, **thresholds).groupBy("id").agg(F.collect_list("line_no").alias("__cut")).withColumnRenamed("id", "__id")
     joined = df.join(found, F.col(id_col) == F.col("__id"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__cut", i)), "\n")
     return joined.withColumn(out_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__cut")

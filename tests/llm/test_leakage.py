@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pagequarry.llm import leakage as K
 
 
@@ -32,16 +34,35 @@ def frames(spark):
     return spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"), docs, items
 
 
-def test_by_brute_force_with_and_without_broadcast(spark):
+def test_by_brute_force_with_any_filter(spark, monkeypatch):
     d, e, docs, items = frames(spark)
     want = brute_force(docs, items, 12)
     assert want
-    for bound in (K.MAX_BROADCAST_GRAMS, 0):
-        rows = K.leaked_spans(d, e, "doc_id", "text", "item_id", "text", max_broadcast_grams=bound).collect()
+    for size in (K.MAX_FILTER_BYTES, 1):  # a filter that is too small lets more through to the join, and no more
+        monkeypatch.setattr(K, "MAX_FILTER_BYTES", size)
+        rows = K.leaked_spans(d, e, "doc_id", "text", "item_id", "text").collect()
         assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
         assert all(r["last_word"] - r["first_word"] >= 11 and r["n_windows"] >= 1 for r in rows)
-    small = K.leaked_spans(d, e, "doc_id", "text", "item_id", "text")
-    assert small.exceptAll(K.leaked_spans(d, e, "doc_id", "text", "item_id", "text", max_broadcast_grams=0)).isEmpty()
+
+
+def test_the_filter_holds_what_was_added():
+    rng = np.random.default_rng(2)
+    own, other = (rng.integers(0, 2**64, 20_000, dtype=np.uint64) for _ in range(2))
+    f = K.GramFilter(K.GramFilter.empty(len(own)))
+    f.add(own)
+    assert f.may_hold(own).all() and f.may_hold(other).mean() < 0.01
+
+
+def test_passages_apart_and_their_removal(spark):
+    first, second = (" ".join(f"{c}{k}" for k in range(14)) for c in "pq")
+    docs = [(1, f"Before, {first.upper()}. Between {second}! After"), (2, "nothing here"), (3, None), (4, f"İİ {first} end")]
+    d = spark.createDataFrame([(*x, "y") for x in docs], "doc_id long, text string, k string")
+    e = spark.createDataFrame([(7, f"{first} x {second}")], "item_id long, text string")
+    runs = sorted(tuple(r) for r in K.leaked_runs(d, e, "doc_id", "text", "item_id", "text").collect())
+    assert runs == [(1, 7, 1, 14), (1, 7, 16, 29), (4, 7, 1, 14)] or runs[:2] == [(1, 7, 1, 14), (1, 7, 16, 29)]
+    clean = K.without_leaked_spans(d, e, "doc_id", "text", "item_id", "text")
+    got = {r["doc_id"]: r["clean_text"] for r in clean.collect()}
+    assert got == {1: "Before, . Between ! After", 2: "nothing here", 3: None, 4: "İİ  end"} and clean.columns == [*d.columns, "clean_text"]
 
 
 def test_clean_corpus_keeps_the_rest(spark):

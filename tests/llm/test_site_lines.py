@@ -54,7 +54,33 @@ def test_templates_merge_in_any_order(spark, rows):
     one = {tuple(r) for r in L.site_templates(frame(spark, rows).repartition(1), "id", "url", "text").collect()}
     many = {tuple(r) for r in L.site_templates(frame(spark, rows).repartition(7), "id", "url", "text").collect()}
     assert one == many and ("b.example", "posted on may by the desk", 16) in one
-    assert any("<*>" in t for _, t, _ in one)
+    assert ("b.example", "unique line number <*> of this page", 16) in one
+
+
+def bylines(n_sites=3):
+    """Lines that differ by a name at the end, in the middle or at the start, on half of each site's pages."""
+    out, i = [], 0
+    for site in range(n_sites):
+        for k in range(30):
+            name = "".join(chr(97 + (7 * k + j * site) % 26) for j in range(5))
+            own = f"{name} tells of {name[::-1]} in words of its own number {'z' * (k + 1)} here"
+            slot = [f"Words and pictures by {name} {name}son", f"Reviewed by the {name} office on 3 May 202{k % 5}", f"{name} {name}er wrote this page for us"] if k % 2 else ["Something else altogether", own]
+            out.append((i, f"https://s{site}.example/{k}", "\n".join([own, *slot])))
+            i += 1
+    return out
+
+
+def test_lines_that_differ_in_a_slot(spark):
+    rows = bylines()
+    df = frame(spark, rows)
+    exact = {tuple(r) for r in L.repeated_lines(df, "id", "url", "text").collect()}
+    found = {(r["id"], r["line_no"]): r["template"] for r in L.template_lines(df, "id", "url", "text").collect()}
+    wanted = {(i, n) for i, _, t in rows if i % 2 for n in (1, 2, 3)}
+    assert exact == brute_force(rows) and exact <= set(found)
+    assert wanted <= set(found) and not any(n == 0 for _, n in found)
+    assert {found[1, 1], found[1, 2], found[1, 3]} == {"words and pictures by <*> <*>", "reviewed by the <*> office on may", "<*> <*> wrote this page for us"}
+    clean = {r["id"]: r["site_text"] for r in L.without_repeated_lines(df, "id", "url", "text", similar=True).collect()}
+    assert all(clean[i].count("\n") == 0 and clean[i] == t.split("\n")[0] for i, _, t in rows if i % 2)
 
 
 def test_empty_and_one_site(spark, rows):
