@@ -5,7 +5,10 @@ inline ones). Every node gets features: what its subtree holds (text, links, pun
 text that recurs on the site, wording), its attribute tokens and those above it, depth, place in the page and among
 its siblings, and the subtree figures of its parent and grandparent. Boosted trees give each node a log-odds of being
 main body. Decoding then chooses for each subtree between keeping all of it, dropping all of it and deciding its
-children one by one, whichever agrees best with all scores, so that no kept block lies in a dropped ancestor.
+children one by one, whichever agrees best with all scores, so that no kept block lies in a dropped ancestor. Two
+things are known beforehand and enter the decoding as scores that no other outweighs: the page heading (h1) is main
+body wherever it stands, and a page has some text beside its headings, if only a message in the article's place: where
+decoding would keep headings alone, the likeliest text is given and the page decoded again.
 
 Fit: on a bounded sample (`SAMPLE_PAGES` pages, at most `PAGES_PER_SITE` of a site and `SAMPLE_CHARS` long, chosen by
 hash; the trees see `TREE_PAGES` of them). Its labels come
@@ -49,6 +52,8 @@ N_TREES, TREE_DEPTH, RATE, BINS, ROW_SHARE, FEATURE_SHARE = 60, 5, 0.2, 32, 0.35
 MAX_WORDS = 20_000
 #: Weight of an inner node's log-odds against the sum over its leaves.
 NODE_WEIGHT = 0.5
+#: Log-odds of what is known to be main body, above any sum of others.
+KNOWN = 1e6
 #: A page's only text is main body from these log-odds on.
 LEAST_LOG_ODDS = -4.0
 
@@ -437,16 +442,14 @@ def stray_lines(table: Table) -> np.ndarray:
 
 
 def in_its_place(table: Table, score: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """kept, and on pages that would keep headings alone the likeliest other text (a message in the article's place)."""
+    """Leaves that are given to pages that would keep headings alone: the likeliest other text of each, if it is likely at all."""
     text = _running(table) & (table.recurring == 0)
     page = table.page[table.leaf]
     bare = np.bincount(page, kept & ~_headings(table), len(table.root)) == 0
     rows = np.flatnonzero(text & bare[page] & (score[table.leaf] > LEAST_LOG_ODDS))
     best = rows[np.lexsort((score[table.leaf][rows], page[rows]))]
     last = np.r_[page[best][1:] != page[best][:-1], True] if len(best) else np.zeros(0, bool)
-    out = kept.copy()
-    out[best[last]] = True
-    return out
+    return best[last]
 
 
 def _headings(table: Table) -> np.ndarray:
@@ -492,10 +495,20 @@ class Extractor:
         if not nodes.leaf:
             return np.zeros(0, bool)
         table = Table(nodes, recurring, common, wording_of(nodes.text, self.wording))
-        holder = table.tag[np.maximum(table.parent[table.leaf], 0)]
-        score = self.trees.log_odds(table.features())
-        # the page heading is main body wherever it stands
-        return in_its_place(table, score, decode(table, score) | (holder == _TAG["h1"]))
+        return kept_leaves(table, self.trees.log_odds(table.features()))
+
+
+def kept_leaves(table: Table, score: np.ndarray) -> np.ndarray:
+    """The decoding with what is known beforehand."""
+    holder = table.tag[np.maximum(table.parent[table.leaf], 0)]
+    score = score.copy()
+    score[table.leaf[holder == _TAG["h1"]]] = KNOWN
+    kept = decode(table, score)
+    given = in_its_place(table, score, kept)
+    if len(given):
+        score[table.leaf[given]] = KNOWN
+        kept = decode(table, score)
+    return kept
 
 
 def decode(table: Table, score: np.ndarray, weight: float = NODE_WEIGHT) -> np.ndarray:
@@ -521,7 +534,7 @@ def decode(table: Table, score: np.ndarray, weight: float = NODE_WEIGHT) -> np.n
     return state[table.leaf] > 0
 
 
-def fit(pages: list[tuple[str | None, str]], known: set[int]) -> Extractor:
+def fit(pages: list[tuple[str | None, str]], known: Keys) -> Extractor:
     """pages: (host, source). known: keys of recurring blocks and common lines. Trees and wording from the pages whose markup can be trusted."""
     pages = sorted((h or "", s) for h, s in pages)
     halves = [pages[0::2], pages[1::2]]
@@ -591,25 +604,42 @@ def _page_of_leaves(nodes: Nodes) -> np.ndarray:
     return np.searchsorted(np.array(nodes.root), np.array(nodes.leaf), side="right") - 1
 
 
-def flagged(host: str | None, texts: list[str], known: set[int]) -> tuple[list[bool], list[bool]]:
+class Keys:
+    """Known keys as a sorted array of eight bytes each."""
+
+    def __init__(self, keys):
+        self.sorted = np.unique(np.asarray(keys, np.int64))
+
+    def hold(self, keys: list[int | None]) -> np.ndarray:
+        if not len(self.sorted):
+            return np.zeros(len(keys), bool)
+        some = np.array([k is not None for k in keys], bool)
+        wanted = np.array([k or 0 for k in keys], np.int64)
+        at = np.searchsorted(self.sorted, wanted)
+        at[at == len(self.sorted)] = 0
+        return some & (self.sorted[at] == wanted)
+
+
+def flagged(host: str | None, texts: list[str], known: Keys) -> tuple[list[bool], list[bool]]:
     """Per block of one page: does it recur on its site, is it a common line?"""
     site = site_hash(host)
-    return [recurrence_key(site, t) in known for t in texts] if host else [False] * len(texts), [common_key(host, t) in known for t in texts]
+    recurs = known.hold([recurrence_key(site, t) for t in texts]).tolist() if host else [False] * len(texts)
+    return recurs, known.hold([common_key(host, t) for t in texts]).tolist()
 
 
 # ---- Spark
 
 
-def known_keys(pages: DataFrame) -> DataFrame:
-    """key: recurring blocks (MIN_DOCS pages and MIN_SHARE of their site's pages at least) and common lines (MIN_SITES
-    sites at least) of pages(id, host, html)."""
+def known_keys(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key: recurring blocks, on MIN_DOCS pages and MIN_SHARE of their site's pages at least, and common lines, on
+    MIN_SITES sites at least; id, key of all blocks) of pages(id, host, html)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, sites, keys, kinds = [], [], [], []
             for i, host, source in zip(batch["id"], batch["host"], batch["html"]):
                 site, texts = site_hash(host), block_texts(source)
-                own = {recurrence_key(site, t) for t in texts}
+                own = {recurrence_key(site, t) for t in texts} if host else set()
                 lines = {common_key(host, t) for t in texts} - {None}
                 n = len(own) + len(lines) + 1
                 ids += [i] * n
@@ -619,15 +649,15 @@ def known_keys(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "site": sites, "key": keys, "kind": kinds})
 
     kind = pages.schema["id"].dataType.simpleString()
-    rows = materialize(pages.filter("host is not null").mapInPandas(run, f"id {kind}, site long, key long, kind int"), "blocks")
+    rows = materialize(pages.mapInPandas(run, f"id {kind}, site long, key long, kind int"), "blocks")
     totals = rows.filter("kind = 0").select("id", "site").distinct().groupBy("site").agg(F.count("*").alias("n_pages"))
     blocks = rows.filter("kind = 1")
     # rows of repeated pages first count double; what passes is counted again by distinct ids
     often = blocks.groupBy("key", "site").agg(F.count("*").alias("n")).join(totals, "site").filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= MIN_SHARE * F.col("n_pages")))
     exact = blocks.join(often.select("key", "n_pages"), "key").select("key", "n_pages", "id").distinct().groupBy("key", "n_pages").agg(F.count("*").alias("n"))
     recurring = exact.filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= MIN_SHARE * F.col("n_pages"))).select("key")
-    common = rows.filter("kind = 2").select("key", "site").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SITES).select("key")
-    return recurring.unionByName(common)
+    common = rows.filter((F.col("kind") == 2) & (F.col("site") != site_hash(None))).select("key", "site").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SITES).select("key")
+    return recurring.unionByName(common), rows.filter("kind > 0").select("id", "key")
 
 
 def sample_ids(pages: DataFrame, most: int = SAMPLE_PAGES) -> DataFrame:
@@ -644,20 +674,21 @@ def main_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     """id, block_no (place among the page's blocks), block_key, block: the blocks of each page's main body."""
     spark = df.sparkSession
     pages = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("html is not null")
-    keys = materialize(known_keys(pages), "known-keys")
+    keys, of_pages = known_keys(pages)
+    keys = materialize(keys, "known-keys")
     n_keys = keys.count()
     chosen = sample_ids(pages).collect()
     sample = pages.filter(F.col("id").isin([r["id"] for r in chosen]) & (F.length("html") <= SAMPLE_CHARS)).dropDuplicates(["id"]).orderBy("id").collect()
     own = [(r["host"], r["html"]) for r in sample]
     del sample
     if n_keys <= MAX_BROADCAST_KEYS:
-        known = {r["key"] for r in keys.collect()}
+        known = Keys(keys.toPandas()["key"].to_numpy())
         model = spark.sparkContext.broadcast((fit(own, known), known))
         located = pages.withColumn("keys", F.lit(None).cast("array<long>"))
-    else:  # each page gets those of its own keys that are known
+    else:  # each page gets those of its own keys that are known; a page without a host has only common lines to look up, as any page
         wanted = spark.createDataFrame([(k,) for k in {k for host, source in own for k in _keys_of(host, source)}], "key long")
-        model = spark.sparkContext.broadcast((fit(own, {r["key"] for r in keys.join(wanted, "key").collect()}), None))
-        located = _with_own_keys(pages, keys)
+        model = spark.sparkContext.broadcast((fit(own, Keys(keys.join(F.broadcast(wanted), "key").toPandas()["key"].to_numpy())), None))
+        located = _with_own_keys(pages, of_pages, keys)
     del own
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -671,7 +702,7 @@ def main_blocks(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
                     n = len(nodes.text)
                     nodes.page(source)
                     new = nodes.text[n:]
-                    flags = flagged(host, new, known if known is not None else set(own_keys if own_keys is not None else ()))
+                    flags = flagged(host, new, known if known is not None else Keys(own_keys if own_keys is not None else ()))
                     recurring += flags[0]
                     common += flags[1]
                     owner += [i] * len(new)
@@ -688,18 +719,7 @@ def _keys_of(host: str | None, source: str) -> set[int]:
     return ({recurrence_key(site, t) for t in texts} if host else set()) | ({common_key(host, t) for t in texts} - {None})
 
 
-def _with_own_keys(pages: DataFrame, keys: DataFrame) -> DataFrame:
+def _with_own_keys(pages: DataFrame, of_pages: DataFrame, keys: DataFrame) -> DataFrame:
     """pages with the known keys among those of their blocks, by a join of keys; no site is collected."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, found = [], []
-            for i, host, source in zip(batch["id"], batch["host"], batch["html"]):
-                mine = _keys_of(host, source)
-                ids += [i] * len(mine)
-                found += mine
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "key": found})
-
-    kind = pages.schema["id"].dataType.simpleString()
-    own = pages.mapInPandas(run, f"id {kind}, key long").join(keys.select("key").distinct(), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    own = of_pages.join(keys.select("key").distinct(), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
     return pages.join(own, "id", "left")
