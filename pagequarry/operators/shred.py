@@ -138,47 +138,75 @@ def shred_table(df: DataFrame, id_col: str, path: str, prefix: str = "", outline
     Null records, null or empty arrays and null structs on the way give no rows. A null entry gives a
     row with `is_null` and null leaves. Repeated input rows give repeated rows; ids may be null.
     """
-    steps = [s for part in path.replace("[]", ".[]").split(".") if (s := part)] + ["[]"]
-    root = steps[0]
-    entry, depth = table_schema(df.schema[root].dataType, steps[1:])
-    leaves = [(prefix + n, t, s) for n, t, s in flat_leaves(entry)]
-    taken = {id_col, "pos", "outer_pos", "is_null", "parent_pos"}
-    leaves = [(f"leaf_{n}" if n in taken else n, t, s) for n, t, s in leaves]
-    schema = T.StructType(
-        [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("pos", T.IntegerType()), T.StructField("outer_pos", T.ArrayType(T.IntegerType())), T.StructField("is_null", T.BooleanType())]
-        + [T.StructField(n, t) for n, t, _ in leaves]
-        + ([T.StructField("parent_pos", T.IntegerType())] if outline else [])
-    )
-    narrow = df.select(F.col(f"`{id_col}`").alias("__id"), _pruned(df.schema[root].dataType, root, steps[1:]).alias("__root"))
-    where = ("__root", *steps[1:])
+    return shred_tables(df, id_col, {"": path}, prefix, outline).drop("list_name")
+
+
+def _steps(path: str) -> list[str]:
+    return [s for part in path.replace("[]", ".[]").split(".") if (s := part)] + ["[]"]
+
+
+def shred_tables(df: DataFrame, id_col: str, paths: dict[str, str], prefix: str = "", outline: str | None = None) -> DataFrame:
+    """Tables of several arrays in one pass over the records, with `list_name` (the key in paths) in front of the
+    columns of shred_table. Arrays lie at the same depth; a leaf that an array lacks is null in its rows, and leaves of
+    one name have one type."""
+    lists, leaves, depths = [], {}, set()
+    for name, path in paths.items():
+        steps = _steps(path)
+        entry, depth = table_schema(df.schema[steps[0]].dataType, steps[1:])
+        own = {f"{prefix}{n}": (t, s) for n, t, s in flat_leaves(entry)}
+        for n, (t, _) in own.items():
+            if leaves.setdefault(n, t) != t:
+                raise ValueError(f"{n} has two types")
+        lists.append((name, steps, own))
+        depths.add(depth)
+    if len(depths) > 1:
+        raise ValueError("the arrays lie at different depths")
+    depth = depths.pop()
+    taken = {id_col, "list_name", "pos", "outer_pos", "is_null", "parent_pos"}
+    fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("list_name", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("outer_pos", T.ArrayType(T.IntegerType())), T.StructField("is_null", T.BooleanType())]
+    fields += [T.StructField(f"leaf_{n}" if n in taken else n, t) for n, t in leaves.items()]
+    schema = T.StructType(fields + ([T.StructField("parent_pos", T.IntegerType())] if outline else []))
+    roots = {root: f"__root{k}" for k, root in enumerate(dict.fromkeys(steps[0] for _, steps, _ in lists))}
+    pruned = [_pruned(df.schema[root].dataType, root, [steps[1:] for _, steps, _ in lists if steps[0] == root]).alias(alias) for root, alias in roots.items()]
+    narrow = df.select(F.col(f"`{id_col}`").alias("__id"), *pruned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        kinds = {f.name: f.type for f in arrow}
         for batch in batches:
-            columns = {c.path: c for c in shred_column(_plain(batch.column("__root")), "__root")}
-            some = next((c for p, c in columns.items() if p[: len(where)] == where), None)
-            if some is None:
-                continue
-            start, places, record = positions(some, depth)
-            outer = np.stack(places[:-1], 1).astype(np.int32) if depth > 1 else np.zeros((len(start), 0), np.int32)
-            arrays = [
-                batch.column("__id").take(pa.array(record)),
-                pa.array(places[-1].astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array((np.arange(len(start) + 1) * outer.shape[1]).astype(np.int32)), pa.array(outer.ravel())),
-                pa.array(some.definition[start] < some.value_level[depth - 1]),
-            ]
-            for (_, _, leaf), field in zip(leaves, list(arrow)[4:]):
-                column = columns[(*where, *leaf)]
-                begin, _, _ = positions(column, depth)
-                defined = column.definition == column.max_definition
-                index = np.cumsum(defined) - 1
-                arrays.append(column.values.take(pa.array(index[begin], mask=~defined[begin])).cast(field.type))
-            if outline:
-                depths = arrays[4 + [s for _, _, s in leaves].index((outline,))].to_pylist()
-                arrays.append(pa.array(outline_parents(record, places[-1], depths)))
-            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow)
+            columns = {c.path: c for alias in roots.values() for c in shred_column(_plain(batch.column(alias)), alias)}
+            for name, steps, own in lists:
+                where = (roots[steps[0]], *steps[1:])
+                some = next((c for p, c in columns.items() if p[: len(where)] == where), None)
+                if some is None:
+                    continue
+                start, places, record = positions(some, depth)
+                outer = np.stack(places[:-1], 1).astype(np.int32) if depth > 1 else np.zeros((len(start), 0), np.int32)
+                arrays = [
+                    batch.column("__id").take(pa.array(record)),
+                    pa.array(np.full(len(start), name)) if len(start) else pa.array([], pa.string()),
+                    pa.array(places[-1].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array((np.arange(len(start) + 1) * outer.shape[1]).astype(np.int32)), pa.array(outer.ravel())),
+                    pa.array(some.definition[start] < some.value_level[depth - 1]),
+                ]
+                level = None
+                for n in leaves:
+                    kind = kinds[f"leaf_{n}" if n in taken else n]
+                    if n not in own:
+                        arrays.append(pa.nulls(len(start), kind))
+                        continue
+                    column = columns[(*where, *own[n][1])]
+                    begin, _, _ = positions(column, depth)
+                    defined = column.definition == column.max_definition
+                    index = np.cumsum(defined) - 1
+                    arrays.append(column.values.take(pa.array(index[begin], mask=~defined[begin])).cast(kind))
+                    if own[n][1] == (outline,):
+                        level = arrays[-1]
+                if outline:
+                    arrays.append(pa.nulls(len(start), pa.int32()) if level is None else pa.array(outline_parents(record, places[-1], level.to_pylist())))
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, arrow)], schema=arrow)
 
     return narrow.mapInArrow(run, schema)
 
@@ -187,22 +215,26 @@ def _plain(array) -> pa.Array:
     return array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
 
 
-def _pruned(kind: T.DataType, root: str, steps: list[str]):
-    """The root column cut down to one path, so that the scan reads only its leaves."""
-    if steps == ["[]"]:
-        return F.col(f"`{root}`")
+def _pruned(kind: T.DataType, root: str, paths: list[list[str]]):
+    """The root column cut down to some paths, so that the scan reads only their leaves."""
 
-    def build(col, kind, steps):
-        if steps == ["[]"]:
+    def build(col, kind, paths):
+        if any(steps == ["[]"] for steps in paths):
             return col
-        head, rest = steps[0], steps[1:]
-        if head == "[]":
-            if rest and rest[0] != "[]":
-                return F.when(col.isNotNull(), F.transform(col, lambda x: F.when(x.isNotNull(), F.struct(build(x[rest[0]], kind.elementType[rest[0]].dataType, rest[1:]).alias(rest[0])))))
-            return F.when(col.isNotNull(), F.transform(col, lambda x: build(x, kind.elementType, rest)))
-        return F.when(col.isNotNull(), F.struct(build(col[head], kind[head].dataType, rest).alias(head)))
-
-    return build(F.col(f"`{root}`"), kind, steps)
+        heads = list(dict.fromkeys(steps[0] for steps in paths))
+        rest = {h: [steps[1:] for steps in paths if steps[0] == h] for h in heads}
+        if heads == ["[]"]:
+            inner = rest["[]"]
+            if isinstance(kind.elementType, T.StructType):
+                return F.when(col.isNotNull(), F.transform(col, lambda x: F.when(x.isNotNull(), fields(x, kind.elementType, inner))))
+            return F.when(col.isNotNull(), F.transform(col, lambda x: build(x, kind.elementType, inner)))
+        return F.when(col.isNotNull(), fields(col, kind, paths))
+
+    def fields(col, kind, paths):
+        heads = list(dict.fromkeys(steps[0] for steps in paths))
+        return F.struct(*[build(col[h], kind[h].dataType, [steps[1:] for steps in paths if steps[0] == h]).alias(h) for h in heads])
+
+    return build(F.col(f"`{root}`"), kind, paths)
 
 
 def outline_parents(record: np.ndarray, places: np.ndarray, depth: list[int | None]) -> np.ndarray:

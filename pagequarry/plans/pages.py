@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import backfill, ingest, merge
 from ..operators.pages import parse_pages, render_markdown
-from ..runtime import materialize, read_table
+from ..runtime import materialize, read_once, read_table
 from .scalars import _norm
 
 
 def _html(spark, sf_dir):
-    """Pages with their source, each once. Ids are told apart before the sources are read together with them."""
-    return read_table(spark, sf_dir, "crawler_pages").select("id", "final_url", "html_content").filter("html_content is not null")
+    """Pages with their source, each once. Ids are told apart before the sources are read."""
+    return read_once(spark, sf_dir, "crawler_pages", "id", "id", "final_url", "html_content").filter("html_content is not null")
 
 
 def _parsed(spark, sf_dir, *parts):
@@ -20,16 +20,16 @@ def _parsed(spark, sf_dir, *parts):
 
 
 def page_metadata(spark, sf_dir):
-    return _parsed(spark, sf_dir, "metadata").select("id", "metadata.*", "h1_count").distinct()
+    return _parsed(spark, sf_dir, "metadata").select("id", "metadata.*", "h1_count")
 
 
 def page_language_tags(spark, sf_dir):
-    return _parsed(spark, sf_dir, "metadata").select("id", "metadata.language", "h1_count").distinct()
+    return _parsed(spark, sf_dir, "metadata").select("id", "metadata.language", "h1_count")
 
 
 def page_headings(spark, sf_dir):
     """Number of headings with text per page and level."""
-    return _parsed(spark, sf_dir, "metadata").select("id", "headings").distinct().select("id", F.explode("headings").alias("h")).groupBy("id", "h.level").agg(F.count("*").alias("n"))
+    return _parsed(spark, sf_dir, "metadata").select("id", F.explode("headings").alias("h")).groupBy("id", "h.level").agg(F.count("*").alias("n"))
 
 
 def page_links(spark, sf_dir):
@@ -37,36 +37,38 @@ def page_links(spark, sf_dir):
 
 
 def page_link_places(spark, sf_dir):
-    return _parsed(spark, sf_dir, "links").select("id", F.posexplode("links").alias("pos", "l")).select("id", "pos", "l.*").distinct()
+    return _parsed(spark, sf_dir, "links").select("id", F.posexplode("links").alias("pos", "l")).select("id", "pos", "l.*")
 
 
 def structural_elements(spark, sf_dir):
-    return _parsed(spark, sf_dir, "structure").select("id", F.posexplode("elements").alias("pos", "e")).select("id", "pos", "e.type", "e.start_index", "e.end_index", "e.selector", "e.question_count", "e.link_count", "e.has_button").distinct()
+    return _parsed(spark, sf_dir, "structure").select("id", F.posexplode("elements").alias("pos", "e")).select("id", "pos", "e.type", "e.start_index", "e.end_index", "e.selector", "e.question_count", "e.link_count", "e.has_button")
 
 
 def page_nav_items(spark, sf_dir):
-    n = _parsed(spark, sf_dir, "nav").select("id", F.col("nav_structure.primary_nav").alias("l")).distinct()
-    return n.select("id", F.posexplode("l").alias("pos", "i")).select("id", "pos", "i.url", "i.label", "i.depth", "i.is_external")
+    """Items of all four menus."""
+    menus = ("primary_nav", "footer_nav", "utility_header", "language_switcher")
+    n = _parsed(spark, sf_dir, "nav").select("id", F.explode(F.array(*[F.struct(F.lit(m).alias("list_name"), F.col(f"nav_structure.{m}").alias("l")) for m in menus])).alias("m"))
+    return n.select("id", "m.list_name", F.posexplode("m.l").alias("pos", "i")).select("id", "list_name", "pos", "i.url", "i.label", "i.depth", "i.is_external")
 
 
 def page_nav_counts(spark, sf_dir):
     n = F.col("nav_structure")
-    return _parsed(spark, sf_dir, "nav").select("id", *[F.size(n[c]).alias(c) for c in ("primary_nav", "footer_nav", "utility_header", "language_switcher", "breadcrumb", "content_links")], n["extraction_meta"]["clusters_found"].alias("clusters")).distinct()
+    return _parsed(spark, sf_dir, "nav").select("id", *[F.size(n[c]).alias(c) for c in ("primary_nav", "footer_nav", "utility_header", "language_switcher", "breadcrumb", "content_links")], n["extraction_meta"]["clusters_found"].alias("clusters"))
 
 
 def page_content_links(spark, sf_dir):
-    n = _parsed(spark, sf_dir, "nav").select("id", F.col("nav_structure.content_links").alias("l")).distinct()
+    n = _parsed(spark, sf_dir, "nav").select("id", F.col("nav_structure.content_links").alias("l"))
     return n.select("id", F.explode("l").alias("i")).select("id", "i.*")
 
 
 def page_content(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "crawler_pages").select("id", "final_url", "html_content")
+    pages = read_once(spark, sf_dir, "crawler_pages", "id", "id", "final_url", "html_content")
     o = read_table(spark, sf_dir, "domain_overrides")
-    return parse_pages(pages, overrides=o, parts=("content",)).select("id", "extraction_method", "word_count", F.round("junk_score", 6).alias("junk_score"), F.md5("clean_html").alias("content")).distinct()
+    return parse_pages(pages, overrides=o, parts=("content",)).select("id", "extraction_method", "word_count", F.round("junk_score", 6).alias("junk_score"), F.md5("clean_html").alias("content"))
 
 
 def page_markdown(spark, sf_dir):
-    m = _parsed(spark, sf_dir, "markdown").distinct()
+    m = _parsed(spark, sf_dir, "markdown")
     return m.select("id", "markdown", "markdown_enhanced", "structural_stats.*")
 
 
@@ -75,8 +77,8 @@ def page_head(spark, sf_dir):
 
 
 def rendered_markdown(spark, sf_dir):
-    p = read_table(spark, sf_dir, "crawler_pages").select("id", "final_url", "clean_html", "h1").filter("clean_html is not null")
-    return render_markdown(p, "clean_html", "final_url", "h1").distinct()
+    p = read_once(spark, sf_dir, "crawler_pages", "id", "id", "final_url", "clean_html", "h1").filter("clean_html is not null")
+    return render_markdown(p, "clean_html", "final_url", "h1")
 
 
 def crawl_ingest(spark, sf_dir):
@@ -90,13 +92,13 @@ def crawl_ingest(spark, sf_dir):
 
 
 def backfill_markdown(spark, sf_dir):
-    p = read_table(spark, sf_dir, "crawler_pages").select("id", "final_url", "h1", "clean_html", "markdown", "markdown_enhanced", "structural_stats").dropDuplicates(["id"])
+    p = read_once(spark, sf_dir, "crawler_pages", "id", "id", "final_url", "h1", "clean_html", "markdown", "markdown_enhanced", "structural_stats")
     out, _ = backfill.backfill_markdown(p)
     return out.agg(F.count("*").alias("pages"), F.count("markdown_enhanced").alias("enhanced"))
 
 
 def backfill_nav(spark, sf_dir):
-    p = read_table(spark, sf_dir, "crawler_pages").select("id", "final_url", "html_content", "nav_structure").dropDuplicates(["id"])
+    p = read_once(spark, sf_dir, "crawler_pages", "id", "id", "final_url", "html_content", "nav_structure")
     out, _ = backfill.backfill_nav(p)
     return out.agg(F.count("*").alias("pages"), F.count("nav_structure").alias("with_nav"))
 

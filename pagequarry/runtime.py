@@ -60,6 +60,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_once(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Columns of a Parquet table, of rows delivered twice under one key only the first (by file and place); rows with
+    a null key all stay. Keys and places alone are shuffled: wide columns are read in place."""
+    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    rows = read_table(spark, sf_dir, name)
+    keys = rows.select(key, *place).filter(F.col(key).isNotNull())
+    twice = keys.groupBy(key).agg(F.min(F.struct("__file", "__row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(key, "first")
+    again = keys.join(small_side(twice), key).filter(F.struct("__file", "__row") != F.col("first")).select("__file", "__row")
+    wanted = rows.select(*columns, *place)
+    return wanted.join(small_side(again), ["__file", "__row"], "left_anti").select(*columns)
+
+
 def durable_folder(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; where it is unset under a local master (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

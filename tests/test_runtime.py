@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from pagequarry import runtime
 
 
@@ -47,3 +49,26 @@ print("ROWS", e.entry(spark).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
+def test_rows_delivered_twice_are_read_once(spark, tmp_path):
+    from pagequarry.runtime import read_once
+
+    rows = [(1, "a", "x"), (2, "b", "y"), (2, "b", "y"), (None, "n", "z"), (None, "n", "z"), (3, "c", None)]
+    spark.createDataFrame(rows, "id long, t string, w string").repartition(3).write.parquet(f"{tmp_path}/t.parquet")
+    spark.createDataFrame(rows[:2], "id long, t string, w string").write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    got = read_once(spark, str(tmp_path), "t", "id", "id", "w")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "x"), (2, "y"), (3, None), (None, "z"), (None, "z")], key=repr)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from pagequarry import runtime
+
+    class Named:
+        def __init__(self, **values):
+            self.__dict__.update(values)
+
+    none = Named(get=lambda *_: None)
+    cluster = Named(conf=none, sparkContext=Named(getConf=lambda: none, master="spark://host:7077", applicationId="a"))
+    with pytest.raises(ValueError):
+        runtime.durable_folder(cluster)

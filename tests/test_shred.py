@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators.shred import outline_parents, shred_table
+from pagequarry.operators.shred import outline_parents, shred_table, shred_tables
 
 SCHEMA = "id long, pos string, nav struct<items:array<struct<label:string,depth:int,pos:int,tags:array<string>>>, meta:struct<n:int>>, hops array<string>, deep array<array<int>>"
 ROWS = [
@@ -40,6 +40,27 @@ def test_plain_and_nested_arrays(records):
     assert deep == {(1, (0,), 0, 1), (1, (0,), 1, 2), (1, (3,), 0, 3), (None, (0,), 0, None)}
 
 
+def test_several_arrays_in_one_pass(records):
+    """Each list's rows are those it gives alone; leaves that a list lacks are null."""
+    rows = shred_tables(records, "id", {"items": "nav.items", "hops": "hops"}, outline="depth")
+    assert rows.columns == ["id", "list_name", "pos", "outer_pos", "is_null", "label", "depth", "leaf_pos", "value", "parent_pos"]
+    for name, path, outline in (("items", "nav.items", "depth"), ("hops", "hops", None)):
+        alone = shred_table(records, "id", path, outline=outline)
+        mine = rows.filter(F.col("list_name") == name).select(*alone.columns)
+        assert mine.exceptAll(alone).isEmpty() and alone.exceptAll(mine).isEmpty()
+    assert rows.filter("list_name = 'hops' and (depth is not null or parent_pos is not null)").isEmpty()
+    with pytest.raises(ValueError):
+        shred_tables(records, "id", {"a": "hops", "b": "deep[]"})
+    with pytest.raises(ValueError):
+        shred_tables(records, "id", {"a": "hops", "b": "deep"} | {"c": "nav.items[].tags"})
+
+
+def test_one_scan_reads_only_the_lists(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/crawler_pages.parquet")
+    plan = shred_tables(pages, "id", {n: f"nav_structure.{n}" for n in ("primary_nav", "footer_nav")})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "content_links" not in plan.split("ReadSchema")[1]
+
+
 def test_empty_table_and_repeated_rows(spark, records):
     assert shred_table(records.limit(0), "id", "nav.items").count() == 0
     twice = records.unionByName(records)
