@@ -1,13 +1,15 @@
 """Per-document text statistics and a hidden Markov model that labels lines prose, list, table or junk.
 
-One pass reads each text once and gives the document's statistics and the label shares of its lines. The model's
-parameters are fitted by expectation maximisation on a bounded sample of texts (`sample_rows`, each of at most
-SAMPLE_CHARS characters, chosen by hash, the same whatever the order of rows); labelling covers every line of every text, a batch of texts in step.
+Each text is read once: its statistics, and per line a code of its binned features, go to a written table. The
+model's parameters are fitted by expectation maximisation over the lines of all texts: every round is a pass over the
+codes in which tasks add up expected counts, a few hundred numbers, for a batch of texts in step. The fitted model then
+labels every line of every text in the same way.
 
 Words are runs of non-white-space. Letters and digits are Unicode's.
 
 Defined results: null texts give null statistics and shares and kind null; empty or blank ones give 0 words,
-null means and shares of 0 lines, kind null. Repeated rows give repeated rows; other columns are not read.
+null means and shares of 0 lines, kind null. Repeated rows give repeated rows, and count as often in the fit; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -20,9 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 STATES = ("prose", "list", "table", "junk")
-SAMPLE_ROWS, SAMPLE_CHARS = 200, 200_000
 MIN_WORDS = 20
+#: Rounds of the fit, and counts that every state, move and bin has beforehand.
+ROUNDS, PRIOR = 6, 2.0
 
 _ALNUM_SPACE = b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _MARKER = re.compile(r"\s*(?:[-*+•–]|\d{1,3}[.)])\s")
@@ -99,93 +104,159 @@ def seed_labels(features: np.ndarray) -> np.ndarray:
     return label
 
 
+SIZES = tuple(len(e) + 1 for e in EDGES.values())
+N_CODES = int(np.prod(SIZES))
+
+
+def codes(binned: np.ndarray) -> np.ndarray:
+    """One number per line for its bins."""
+    out = np.zeros(len(binned), np.int64)
+    for k, size in enumerate(SIZES):
+        out = out * size + binned[:, k]
+    return out
+
+
+def bins_of_codes() -> np.ndarray:
+    """The bins that each code stands for."""
+    return np.stack(np.unravel_index(np.arange(N_CODES), SIZES), 1)
+
+
+class Steps:
+    """Texts of given line counts that lie one after the other, walked through line by line, all in step: the lines at
+    step t are starts[:active[t]] + t."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.order = np.argsort(-lengths, kind="stable")
+        self.starts = (np.cumsum(lengths) - lengths)[self.order]
+        ordered = lengths[self.order]
+        longest = int(ordered[0]) if len(ordered) else 0
+        self.active = np.searchsorted(-ordered, -np.arange(longest), side="left")
+        self.ends = (self.starts + ordered - 1)[: self.active[0]] if longest else np.zeros(0, np.int64)
+
+    def lines(self, t: int) -> np.ndarray:
+        return self.starts[: self.active[t]] + t
+
+
 class LineModel:
     """Four hidden states, categorical emissions of the binned features, start and transition probabilities."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: list[np.ndarray]):
-        self.start, self.move, self.emit = np.log(start), np.log(move), [np.log(e) for e in emit]
-
-    def scores(self, binned: np.ndarray) -> np.ndarray:
-        """Log emission probability per line and state."""
-        return sum(e.T[binned[:, k]] for k, e in enumerate(self.emit)) if len(binned) else np.zeros((0, 4))
-
-    def label(self, binned: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Most likely state of each line; texts of given line counts lie one after the other. Viterbi, all texts in step."""
-        emit = self.scores(binned)
-        order = np.argsort(-lengths, kind="stable")
-        starts = (np.cumsum(lengths) - lengths)[order]
-        sorted_lengths = lengths[order]
-        out = np.zeros(len(binned), np.int8)
-        if not len(binned):
+    def __init__(self, counts: np.ndarray):
+        """counts: expected starts, moves and emissions as accumulated by expected_counts, one after the other."""
+        start, move = counts[:4] + PRIOR, counts[4:20].reshape(4, 4) + PRIOR
+        self.start, self.move = np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True))
+        self.emit, at = [], 20
+        for size in SIZES:
+            part = counts[at : at + 4 * size].reshape(4, size) + PRIOR
+            self.emit.append(np.log(part / part.sum(1, keepdims=True)))
+            at += 4 * size
+        table = bins_of_codes()
+        #: Log emission probability per code and state.
+        self.scores = sum(e.T[table[:, k]] for k, e in enumerate(self.emit))
+
+    def label(self, code: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Most likely states of the lines of texts (Viterbi)."""
+        out = np.zeros(len(code), np.int8)
+        if not len(code):
             return out
-        back: list[np.ndarray] = []
-        active = int((sorted_lengths > 0).sum())
-        score = self.start + emit[starts[:active]]
-        final = np.zeros((active, 4))
-        for t in range(1, int(sorted_lengths[0])):
-            now = int((sorted_lengths > t).sum())
-            final[now:active] = score[now:]
-            active = now
+        emit, steps = self.scores[code], Steps(lengths)
+        back = [np.zeros((0, 4), np.int8)]
+        score = self.start + emit[steps.lines(0)]
+        final = score.copy()
+        for t in range(1, len(steps.active)):
+            now = steps.active[t]
             paths = score[:now, :, None] + self.move
             best = paths.argmax(1)
             back.append(best.astype(np.int8))
-            score = np.take_along_axis(paths, best[:, None, :], 1)[:, 0] + emit[starts[:now] + t]
-        final[:active] = score
+            score = np.take_along_axis(paths, best[:, None, :], 1)[:, 0] + emit[steps.lines(t)]
+            final[:now] = score
         state = final.argmax(1)
+        out[steps.ends] = state
         rows = np.arange(len(final))
-        for t in range(int(sorted_lengths[0]) - 1, 0, -1):
-            now = len(back[t - 1])
-            out[starts[:now] + t] = state[:now]
-            state[:now] = back[t - 1][rows[:now], state[:now]]
-        out[starts[: len(final)]] = state
+        for t in range(len(steps.active) - 1, 0, -1):
+            now = steps.active[t]
+            state[:now] = back[t][rows[:now], state[:now]]
+            out[steps.lines(t - 1)[:now]] = state[:now]
         return out
 
+    def expect(self, code: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Expected counts of the lines of texts (forward-backward)."""
+        if not len(code):
+            return np.zeros(N_COUNTS)
+        steps, move = Steps(lengths), np.exp(self.move)
+        emit = self.scores[code]
+        emit = np.exp(emit - emit.max(1, keepdims=True))
+        ahead, behind = np.zeros((len(code), 4)), np.ones((len(code), 4))
+        first = steps.lines(0)
+        ahead[first] = np.exp(self.start) * emit[first]
+        ahead[first] /= ahead[first].sum(1, keepdims=True)
+        for t in range(1, len(steps.active)):
+            at = steps.lines(t)
+            now = ahead[at - 1] @ move * emit[at]
+            ahead[at] = now / now.sum(1, keepdims=True)
+        pairs = np.zeros((4, 4))
+        for t in range(len(steps.active) - 1, 0, -1):
+            at = steps.lines(t)
+            after = emit[at] * behind[at]
+            joint = ahead[at - 1][:, :, None] * move * after[:, None, :]
+            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            now = after @ move.T
+            behind[at - 1] = now / now.sum(1, keepdims=True)
+        weight = ahead * behind
+        weight /= weight.sum(1, keepdims=True)
+        return expected_counts(weight[first].sum(0), pairs, code, weight)
+
+
+N_COUNTS = 20 + 4 * sum(SIZES)
+
+
+def expected_counts(first: np.ndarray, pairs: np.ndarray, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Starts, moves and emissions of weighted states as one row of numbers."""
+    per_code = np.stack([np.bincount(code, weight[:, s], N_CODES) for s in range(4)])
+    table, parts = bins_of_codes(), [first, pairs.ravel()]
+    for k, size in enumerate(SIZES):
+        parts += [np.bincount(table[:, k], per_code[s], size) for s in range(4)]
+    return np.concatenate(parts)
+
+
+def seed_counts(code: np.ndarray, seed: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same from seed labels."""
+    if not len(code):
+        return np.zeros(N_COUNTS)
+    one = np.eye(4)[seed]
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    inner = np.ones(len(code), bool)
+    inner[starts] = False
+    at = np.flatnonzero(inner)
+    pairs = np.bincount(seed[at - 1] * 4 + seed[at], minlength=16)
+    return expected_counts(one[starts].sum(0), pairs, code, one)
+
+
+def _unpacked(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, seed labels, line counts) of a batch of packed lines."""
+    lengths = np.array([len(x) // 2 for x in column], np.int64)
+    packed = np.frombuffer(b"".join(column), np.uint16).astype(np.int64)
+    return packed // 4, packed % 4, lengths
+
+
+def fit_line_model(lines: DataFrame, rounds: int = ROUNDS) -> LineModel:
+    """Baum-Welch from seed labels over all rows of a column lines (packed codes)."""
+
+    def total(model: LineModel | None) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts = np.zeros(N_COUNTS)
+            for batch in batches:
+                code, seed, lengths = _unpacked(batch["lines"])
+                counts += seed_counts(code, seed, lengths) if model is None else model.expect(code, lengths)
+            yield pd.DataFrame({"at": np.arange(N_COUNTS, dtype=np.int32), "n": counts})
+
+        out = np.zeros(N_COUNTS)
+        for r in lines.mapInPandas(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out[r["at"]] = round(r["n"], 4)  # sums in any order come to the same
+        return out
 
-def fit_line_model(texts: list[np.ndarray], rounds: int = 6, prior: float = 2.0) -> LineModel:
-    """Baum-Welch from seed labels. texts: the line features of each text."""
-    sizes = [len(e) + 1 for e in EDGES.values()]
-    seeds = [np.eye(4)[seed_labels(f)] for f in texts]
-    binned = [bins(f) for f in texts]
-
-    def maximise(first, pairs, weights):
-        start = first + prior
-        emit = []
-        for k, size in enumerate(sizes):
-            counts = np.full((4, size), prior)
-            for b, w in zip(binned, weights):
-                np.add.at(counts.T, b[:, k], w)
-            emit.append(counts / counts.sum(1, keepdims=True))
-        move = pairs + prior
-        return LineModel(start / start.sum(), move / move.sum(1, keepdims=True), emit)
-
-    model = maximise(sum((s[0] for s in seeds if len(s)), np.zeros(4)), sum((s[:-1].T @ s[1:] for s in seeds), np.zeros((4, 4))), seeds)
+    model = LineModel(total(None))
     for _ in range(rounds):
-        first, pairs, weights = np.zeros(4), np.zeros((4, 4)), []
-        for b in binned:
-            e = model.scores(b)
-            scale = e.max(1, keepdims=True)
-            e, move = np.exp(e - scale), np.exp(model.move)
-            n = len(e)
-            ahead, behind = np.zeros((n, 4)), np.ones((n, 4))
-            if not n:
-                weights.append(ahead)
-                continue
-            ahead[0] = np.exp(model.start) * e[0]
-            ahead[0] /= ahead[0].sum()
-            for t in range(1, n):
-                ahead[t] = ahead[t - 1] @ move * e[t]
-                ahead[t] /= ahead[t].sum()
-            for t in range(n - 2, -1, -1):
-                behind[t] = move @ (e[t + 1] * behind[t + 1])
-                behind[t] /= behind[t].sum()
-            w = ahead * behind
-            w /= w.sum(1, keepdims=True)
-            for t in range(n - 1):
-                x = ahead[t][:, None] * move * (e[t + 1] * behind[t + 1])[None]
-                pairs += x / x.sum()
-            first += w[0]
-            weights.append(w)
-        model = maximise(first, pairs, weights)
+        model = LineModel(total(model))
     return model
 
 
@@ -212,51 +283,79 @@ STATS = "n_words long, mean_word_length double, symbol_ratio double, ended_share
 SHARES = "prose_share double, list_share double, table_share double, junk_share double, kind string"
 
 
-def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: DataFrame, word_col: str = "word", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """id, the five statistics, the share of lines per label, and kind: the label of most characters' lines, ties by order.
-
-    common_words is a fixed list; it is collected (its words bound it) and shared with every task.
-    """
+def read_lines(df: DataFrame, id_col: str, text_col: str, known: frozenset[str]) -> DataFrame:
+    """id, the five statistics, lines (a code per non-blank line) and chars (its characters), packed, for every row."""
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = frozenset(r[0] for r in common_words.select(word_col).distinct().collect() if r[0])
-    # the sample's ids first: the texts of the rows that each task proposes would add up at the driver
-    chosen = [r["id"] for r in texts.filter("text is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()]
-    sample = texts.filter(F.col("id").isin(chosen) & (F.length("text") <= SAMPLE_CHARS)).dropDuplicates(["id"]).orderBy("id")
-    counter = CommonWords(known)
-    fitted = [np.array(f) for r in sample.collect() if r["text"] and (f := _lines(r["text"], counter)[5])]
-    model = fit_line_model(fitted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = CommonWords(known)
         for batch in batches:
             rows, features, lengths = [], [], []
-            for text in batch["text"]:
+            for i, text in zip(batch["id"], batch["text"]):
                 if text is None:
-                    rows.append((None,) * 5)
+                    rows.append((i, *(None,) * 5))
                     lengths.append(0)
                     continue
                 w, c, k, s, e, f = _lines(text, common)
-                rows.append((w, c / w, s / c, e / len(f), k / w) if w else (0, None, None, None, None))
+                rows.append((i, w, c / w, s / c, e / len(f), k / w) if w else (i, 0, None, None, None, None))
                 features += f
                 lengths.append(len(f))
             table = np.array(features) if features else np.zeros((0, len(EDGES)))
-            counts = np.array(lengths)
-            label = model.label(bins(table), counts)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            shares = np.zeros((len(counts), 4))
-            weight = np.zeros((len(counts), 4))
-            np.add.at(shares, (owner, label), 1)
-            np.add.at(weight, (owner, label), table[:, 0])
-            out = pd.DataFrame(rows, columns=["n_words", "mean_word_length", "symbol_ratio", "ended_share", "common_share"])
+            packed = (codes(bins(table)) * 4 + seed_labels(table)).astype(np.uint16)
+            ends = np.cumsum(lengths)
+            out = pd.DataFrame(rows, columns=["id", "n_words", "mean_word_length", "symbol_ratio", "ended_share", "common_share"])
             out["n_words"] = out["n_words"].astype("Int64")
-            out.insert(0, "id", batch["id"].to_numpy())
+            out["lines"] = [packed[e - n : e].tobytes() for e, n in zip(ends, lengths)]
+            out["chars"] = [table[e - n : e, 0].astype(np.uint32).tobytes() for e, n in zip(ends, lengths)]
+            yield out
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return materialize(texts.mapInPandas(run, f"id {kind}, {STATS}, lines binary, chars binary"), "line-codes")
+
+
+def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: DataFrame, word_col: str = "word") -> DataFrame:
+    """id, the five statistics, the share of lines per label, and kind: the label of most characters' lines, ties by order.
+
+    common_words is a fixed list; it is collected (its words bound it) and shared with every task.
+    """
+    known = frozenset(r[0] for r in common_words.select(word_col).distinct().collect() if r[0])
+    rows = read_lines(df, id_col, text_col, known)
+    model = fit_line_model(rows.select("lines"))
+    stats = [c.split()[0] for c in STATS.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            code, _, counts = _unpacked(batch["lines"])
+            label = model.label(code, counts)
+            chars = np.frombuffer(b"".join(batch["chars"]), np.uint32)
+            owner = np.repeat(np.arange(len(counts)), counts) * 4 + label
+            shares = np.bincount(owner, minlength=4 * len(counts)).reshape(-1, 4)
+            weight = np.bincount(owner, chars, 4 * len(counts)).reshape(-1, 4)
+            out = batch[["id", *stats]].copy()
             for k, state in enumerate(STATES):
                 out[f"{state}_share"] = [shares[i, k] / n if n else None for i, n in enumerate(counts)]
             out["kind"] = [STATES[int(weight[i].argmax())] if n else None for i, n in enumerate(counts)]
             yield out
 
     kind = df.schema[id_col].dataType.simpleString()
-    return texts.mapInPandas(run, f"id {kind}, {STATS}, {SHARES}")
+    return rows.mapInPandas(run, f"id {kind}, {STATS}, {SHARES}")
+
+
+def line_labels(df: DataFrame, id_col: str, text_col: str, common_words: DataFrame, word_col: str = "word") -> DataFrame:
+    """id, labels: the label of each non-blank line of the text, in order; null texts have null."""
+    known = frozenset(r[0] for r in common_words.select(word_col).distinct().collect() if r[0])
+    rows = read_lines(df, id_col, text_col, known)
+    model = fit_line_model(rows.select("lines"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            code, _, counts = _unpacked(batch["lines"])
+            label, ends = model.label(code, counts), np.cumsum(counts)
+            found = [None if n is None or pd.isna(n) else [STATES[k] for k in label[e - c : e]] for n, e, c in zip(batch["n_words"], ends, counts)]
+            yield pd.DataFrame({"id": batch["id"], "labels": pd.Series(found, dtype=object)})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return rows.mapInPandas(run, f"id {kind}, labels array<string>")
 
 
 def poor_quality(stats: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
