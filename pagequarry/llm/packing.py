@@ -39,20 +39,36 @@ LARGE_SHARE, N_GROUPS = 1 / 3, 64
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def load_tokenizer(path: str):
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def tokenizer(ranks: dict[bytes, int]):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str | None = None) -> DataFrame:
-    """id, n_tokens of every row; whole texts, 0 for null ones."""
-    path = tokenizer or f"{tokenizer_folder()}/byte_bpe_50k.tiktoken"
+_TOKENIZERS: dict[int, object] = {}
+
+
+def _shared_tokenizer(shared):
+    """One tokenizer per worker process, from the broadcast ranks."""
+    key = id(shared.value)
+    if key not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[key] = tokenizer(shared.value)
+    return _TOKENIZERS[key]
+
+
+def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str | None = None) -> DataFrame:
+    """id, n_tokens of every row; whole texts, 0 for null ones. The driver reads the tokenizer's file; workers get its
+    ranks as a broadcast of fixed size."""
+    shared = df.sparkSession.sparkContext.broadcast(read_ranks(tokenizer_path or f"{tokenizer_folder()}/byte_bpe_50k.tiktoken"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = load_tokenizer(path).encode_ordinary
+        encode = _shared_tokenizer(shared).encode_ordinary
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "n_tokens": [len(encode(t)) if t else 0 for t in batch["text"]]})
 
@@ -225,6 +241,15 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_tokens", "first", "n", "per", "container"])
 
 
+def _running(sums: DataFrame, at: str, value: str, first: int) -> DataFrame:
+    """at, start: first and the values of all smaller places. Two levels: places in groups of 1,000, whose sums make one array."""
+    grouped = sums.withColumn("group", F.floor(F.col(at) / 1000))
+    totals = grouped.groupBy("group").agg(F.sum(value).alias("n")).agg(F.collect_list(F.struct("group", "n")).alias("totals"))
+    within = Window.partitionBy("group").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.aggregate(F.filter("totals", lambda t: t["group"] < F.col("group")), F.lit(0).cast("long"), lambda n, t: n + t["n"])
+    return grouped.withColumn("within", F.coalesce(F.sum(value).over(within), F.lit(0))).crossJoin(F.broadcast(totals)).select(at, (F.lit(first) + earlier + F.col("within")).alias("start"))
+
+
 def pack(spark: SparkSession, counted: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 200_000) -> DataFrame:
     """id, part_no, n_tokens, container_id for counted(id, n_tokens). Parts of a cut document are numbered from 0."""
     docs = materialize(counted.filter("n_tokens > 0").dropDuplicates(["id"]), "token-counts")
@@ -234,8 +259,8 @@ def pack(spark: SparkSession, counted: DataFrame, capacity: int = CAPACITY, rows
     counts = rest.groupBy("n_tokens", "bucket").agg(F.count("*").alias("c"))
     histogram = {r["n_tokens"]: r["c"] for r in counts.groupBy("n_tokens").agg(F.sum("c").alias("c")).collect()}  # at most capacity rows
     plan = make_plan(histogram, capacity)
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("c").over(before.partitionBy("n_tokens")), F.lit(0))).drop("c")
+    before = Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
     within = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("id")) - 1
     ranked = rest.withColumn("within", within).join(offsets, ["n_tokens", "bucket"]).withColumn("rank", F.col("within") + F.col("offset"))
     # the runs of one length, as an array: at most capacity rows
@@ -246,7 +271,7 @@ def pack(spark: SparkSession, counted: DataFrame, capacity: int = CAPACITY, rows
     # full parts of cut documents come after the planned containers, numbered by sums per bucket in the same way
     cut = docs.filter("full > 0")
     sums = cut.groupBy("bucket").agg(F.sum("full").alias("parts"))
-    starts = sums.select("bucket", (F.lit(sum(t for _, t in plan)) + F.coalesce(F.sum("parts").over(before), F.lit(0))).alias("start"))
+    starts = _running(sums, "bucket", "parts", sum(t for _, t in plan))
     earlier = F.coalesce(F.sum("full").over(Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = cut.withColumn("earlier", earlier).join(starts, "bucket").select("id", F.posexplode(F.sequence(F.lit(1), F.col("full"))).alias("part_no", "x"), (F.col("start") + F.col("earlier")).alias("start"))
     return packed.unionByName(cut.select("id", "part_no", F.lit(capacity).alias("n_tokens"), (F.col("start") + F.col("part_no")).alias("container_id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import read_table
+from ..runtime import read_once, read_table
 from . import langid, leakage, mainbody, near_dup, packing, quality, residue, site_lines, split
 
 
@@ -13,6 +13,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "crawler_pages")
 
 
+def _once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Pages without the rows that were delivered twice."""
+    return read_once(spark, sf_dir, "crawler_pages", "id", "id", *columns)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
@@ -39,20 +44,19 @@ def p2_found(spark, sf_dir):
 
 
 def p2_real_pages(spark, sf_dir):
-    pages = _pages(spark, sf_dir).select("id", "final_url", "markdown")
-    return residue.real_pages(pages, "id", "final_url", "markdown").select("id").distinct()
+    return residue.real_pages(_once(spark, sf_dir, "final_url", "markdown"), "id", "final_url", "markdown").select("id")
 
 
 def p3_found(spark, sf_dir):
-    return split.oversized_blocks(_pages(spark, sf_dir), "id", "markdown").select("id", "block_no").distinct()
+    return split.oversized_blocks(_once(spark, sf_dir, "markdown"), "id", "markdown").select("id", "block_no")
 
 
 def p3_pieces(spark, sf_dir):
-    return split.split_pieces(_pages(spark, sf_dir), "id", "markdown").distinct()
+    return split.split_pieces(_once(spark, sf_dir, "markdown"), "id", "markdown")
 
 
 def p5_main_blocks(spark, sf_dir):
-    return mainbody.main_blocks(_pages(spark, sf_dir), "id", "final_url", "html_content").distinct()
+    return mainbody.main_blocks(_once(spark, sf_dir, "final_url", "html_content"), "id", "final_url", "html_content")
 
 
 def p5_found(spark, sf_dir):
@@ -60,20 +64,20 @@ def p5_found(spark, sf_dir):
 
 
 def _quality(spark, sf_dir):
-    return quality.text_quality(_pages(spark, sf_dir), "id", "markdown", read_table(spark, sf_dir, "common_words"))
+    return quality.text_quality(_once(spark, sf_dir, "markdown"), "id", "markdown", read_table(spark, sf_dir, "common_words"))
 
 
 def p6_found(spark, sf_dir):
-    return quality.poor_quality(_quality(spark, sf_dir)).select("id").distinct()
+    return quality.poor_quality(_quality(spark, sf_dir)).select("id")
 
 
 def p6_stats(spark, sf_dir):
     rounded = [F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "ended_share", "common_share")]
-    return _quality(spark, sf_dir).select("id", "n_words", *rounded).distinct()
+    return _quality(spark, sf_dir).select("id", "n_words", *rounded)
 
 
 def p6_line_kinds(spark, sf_dir):
-    return _quality(spark, sf_dir).select("id", *(f"{s}_share" for s in quality.STATES), "kind").distinct()
+    return _quality(spark, sf_dir).select("id", *(f"{s}_share" for s in quality.STATES), "kind")
 
 
 def p7_found(spark, sf_dir):
@@ -81,7 +85,7 @@ def p7_found(spark, sf_dir):
 
 
 def p7_clean(spark, sf_dir):
-    pages = _pages(spark, sf_dir).select("id", "final_url", "markdown").dropDuplicates(["id"])
+    pages = _once(spark, sf_dir, "final_url", "markdown")
     return site_lines.without_repeated_lines(pages, "id", "final_url", "markdown").select("id", "site_text")
 
 
@@ -106,6 +110,18 @@ def p8_containers(spark, sf_dir):
     return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
 
 
+def p8_fill(spark, sf_dir):
+    """How the containers are filled: documents packed, tokens lost, containers over the capacity, and whether they are at
+    most 2 % more than the tokens need."""
+    counted = packing.token_counts(_documents(spark, sf_dir), "doc_id", "text")
+    packed = packing.pack(spark, counted)
+    tokens = counted.agg(F.sum("n_tokens").alias("tokens"))
+    boxes = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count("*").alias("boxes"), F.sum("n").alias("packed"), F.count_if(F.col("n") > packing.CAPACITY).alias("overfull"))
+    docs = packed.agg(F.count_distinct("id").alias("docs"))
+    all_ = docs.crossJoin(F.broadcast(boxes)).crossJoin(F.broadcast(tokens))  # single rows
+    return all_.select("docs", (F.col("tokens") - F.col("packed")).alias("lost_tokens"), "overfull", (F.col("boxes") <= F.ceil(1.02 * F.ceil(F.col("tokens") / packing.CAPACITY))).alias("well_filled"))
+
+
 def _leaks(spark, sf_dir):
     return leakage.leaked_spans(_documents(spark, sf_dir), read_table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
 
@@ -219,6 +235,7 @@ QUERIES = {
     "p7_templates": (p7_templates, None),
     "p8_found": (p8_found, None),
     "p8_containers": (p8_containers, None),
+    "p8_fill": (p8_fill, "select count(*) as docs, cast(0 as bigint) as lost_tokens, cast(0 as bigint) as overfull, true as well_filled from documents where text <> ''"),
     "p9_found": (p9_found, _P9 + "select doc_id, item_id from f"),
     "p9_spans": (p9_spans, _P9_SPANS),
     "p9_runs": (p9_runs, _P9_RUNS),
