@@ -2,7 +2,8 @@
 
 A page is parsed into its elements and, as leaves, its text blocks (stretches of text between tags other than
 inline ones). Every node gets features: what its subtree holds (text, links, punctuation, headings, list items,
-text that recurs on the site, wording), its attribute tokens and those above it, depth, place in the page and among
+text that recurs on the site, wording), its attribute tokens and those above it (each token by its log-odds for main
+body, learnt from the sample), depth, place in the page and among
 its siblings, and the subtree figures of its parent and grandparent. Boosted trees give each node a log-odds of being
 main body. Decoding then chooses for each subtree between keeping all of it, dropping all of it and deciding its
 children one by one, whichever agrees best with all scores, so that no kept block lies in a dropped ancestor. Two
@@ -49,7 +50,7 @@ MIN_DOCS, MIN_SHARE = 5, 0.1
 MIN_SITES, MAX_LINE = 5, 160
 MAX_BROADCAST_KEYS = 4_000_000
 N_TREES, TREE_DEPTH, RATE, BINS, ROW_SHARE, FEATURE_SHARE = 60, 5, 0.2, 32, 0.35, 0.6
-MAX_WORDS = 20_000
+MAX_WORDS, MAX_TOKENS = 20_000, 5_000
 #: Weight of an inner node's log-odds against the sum over its leaves.
 NODE_WEIGHT = 0.5
 #: Log-odds of what is known to be main body, above any sum of others.
@@ -63,7 +64,7 @@ _TAG = {t: k for k, t in enumerate(_TAGS)}
 _DIV = _TAG["div"]
 _TELLING = np.array([_TAG[t] for t in ("section", "article", "main", "aside", "nav", "header", "footer")])
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_GOOD = frozenset("content entry article post main body text story page single hentry prose markdown".split())
+#: Names that bar an element from the article (label rule of the fit).
 _BAD = frozenset("nav navigation menu sidebar widget footer foot header masthead colophon cookie cookies consent banner share sharing sharedaddy social comment comments commentlist related teaser teasers promo ad ads sponsor breadcrumb breadcrumbs subscribe newsletter signup login search tags meta byline author popup modal legal copyright pagination pager".split())
 _TOKENS = re.compile(r"[a-z]+")
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -80,19 +81,19 @@ class Nodes:
         self.parent: list[int] = []
         self.depth: list[int] = []
         self.tag: list[int] = []
-        self.good: list[int] = []
-        self.bad: list[int] = []
+        self.names: list[tuple[str, ...]] = []
+        self.bad: list[bool] = []
         self.trusted: list[bool] = []
         self.leaf: list[int] = []  # nodes that are text blocks
         self.text: list[str] = []
         self.linked: list[int] = []
         self.root: list[int] = []
 
-    def add(self, parent: int, depth: int, tag: int, good: int = 0, bad: int = 0, trusted: bool = False) -> int:
+    def add(self, parent: int, depth: int, tag: int, names: tuple[str, ...] = (), bad: bool = False, trusted: bool = False) -> int:
         self.parent.append(parent)
         self.depth.append(depth)
         self.tag.append(tag)
-        self.good.append(good)
+        self.names.append(names)
         self.bad.append(bad)
         self.trusted.append(trusted)
         return len(self.parent) - 1
@@ -149,17 +150,16 @@ class Nodes:
                 del names[max(keep, 1) :], nodes[max(keep, 1) :]
             if name in VOID:
                 continue
-            good = bad = 0
+            named: list[str] = []
             trusted = name == "article"
             attributes = m[4]
             if "=" in attributes:
                 for g in _NAMED.finditer(attributes):
                     value = (g[1] or g[2] or g[3] or "").lower()
-                    tokens = _TOKENS.findall(value)
-                    good += sum(t in _GOOD for t in tokens)
-                    bad += sum(t in _BAD for t in tokens)
+                    named += _TOKENS.findall(value)
                     trusted = trusted or any(t in value for t in _ARTICLE_TOKENS)
-            node = self.add(nodes[-1], len(nodes), _TAG.get(name, _DIV), good, bad, trusted and not bad)
+            bad = bool(named) and not _BAD.isdisjoint(named)
+            node = self.add(nodes[-1], len(nodes), _TAG.get(name, _DIV), tuple(named), bad, trusted and not bad)
             if not m[0].endswith("/>") and len(names) < MAX_DEPTH:
                 names.append(name)
                 nodes.append(node)
@@ -213,9 +213,9 @@ def _add(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
 class Table:
     """Arrays of a batch of pages, and the features of its nodes."""
 
-    def __init__(self, nodes: Nodes, recurring: np.ndarray, common: np.ndarray, wording: np.ndarray):
+    def __init__(self, nodes: Nodes, recurring: np.ndarray, common: np.ndarray, wording: np.ndarray, naming: dict[str, float] | None = None):
         self.parent, self.depth, self.tag = (np.array(x, np.int32) for x in (nodes.parent, nodes.depth, nodes.tag))
-        self.good, self.bad = np.array(nodes.good, np.float32), np.array(nodes.bad, np.float32)
+        self.names, self.bad = names_of(nodes.names, naming or {}), np.array(nodes.bad, bool)
         self.trusted = np.array(nodes.trusted, bool)
         self.leaf = np.array(nodes.leaf, np.int64)
         self.root = np.array(nodes.root, np.int64)
@@ -253,10 +253,9 @@ class Table:
             _add(out, self.parent[level], out[level])
         return out
 
-    def features(self, tag: np.ndarray | None = None, good: np.ndarray | None = None, bad: np.ndarray | None = None) -> np.ndarray:
+    def features(self, tag: np.ndarray | None = None, names: np.ndarray | None = None) -> np.ndarray:
         tag = self.tag if tag is None else tag
-        good = self.good if good is None else good
-        bad = self.bad if bad is None else bad
+        names = self.names if names is None else names
         n = len(self.parent)
         parent = np.maximum(self.parent, 0)
         has_parent = self.parent >= 0
@@ -299,14 +298,14 @@ class Table:
         rank[arranged] = position - np.maximum.accumulate(np.where(starts, position, 0))
         around = chars[parent] - chars
         # attribute tokens and telling tags on the way down
-        path_good, path_bad = good.astype(np.float64), bad.astype(np.float64)
+        path_names, worst = names.astype(np.float64), np.minimum(names, 0).astype(np.float64)
         tell = np.zeros((n, 2))
         tell[:, 0] = np.isin(tag, [_TAG["article"], _TAG["main"]])
         tell[:, 1] = np.isin(tag, [_TAG["aside"], _TAG["nav"], _TAG["header"], _TAG["footer"], _TAG["form"], _TAG["head"]])
         for level in self.levels[1:]:
             p = self.parent[level]
-            path_good[level] += path_good[p]
-            path_bad[level] += path_bad[p]
+            path_names[level] += path_names[p]
+            worst[level] = np.minimum(worst[level], worst[p])
             tell[level] += tell[p]
         is_leaf = np.zeros(n)
         is_leaf[self.leaf] = 1
@@ -324,7 +323,7 @@ class Table:
         grand = parent[parent]
         columns = [
             is_leaf, tag, tag[parent], tag[grand], self.depth, from_h1, siblings, same, rank, around,
-            good, bad, path_good, path_bad, tell[:, 0], tell[:, 1], text_only[:, 0], text_only[:, 1], text_only[:, 2],
+            names, names[parent], path_names, worst, tell[:, 0], tell[:, 1], text_only[:, 0], text_only[:, 1], text_only[:, 2],
             *own, *(x[parent] for x in own), *(x[grand] for x in own[:8]), *neighbours,
         ]
         return np.stack(columns, 1).astype(np.float32)
@@ -429,6 +428,28 @@ def wording_of(texts: list[str], odds: dict[str, float]) -> np.ndarray:
     return out
 
 
+def fit_naming(names: list[tuple[str, ...]], main: np.ndarray) -> dict[str, float]:
+    """Log-odds of attribute tokens for main body, from the elements that carry them."""
+    counts = (Counter(), Counter())
+    for own, y in zip(names, main):
+        counts[bool(y)].update(set(own))
+    totals = [len(main) - int(main.sum()) + 1, int(main.sum()) + 1]
+    common = [t for t, _ in (counts[0] + counts[1]).most_common(MAX_TOKENS)]
+    return {t: float(np.log((counts[1][t] + 1) / totals[1]) - np.log((counts[0][t] + 1) / totals[0])) for t in common}
+
+
+def names_of(names: list[tuple[str, ...]], odds: dict[str, float]) -> np.ndarray:
+    """Per node the mean log-odds of its attribute tokens, 0 without any."""
+    known: dict[tuple[str, ...], float] = {(): 0.0}
+    out = np.zeros(len(names), np.float32)
+    for k, own in enumerate(names):
+        if own:
+            if (value := known.get(own)) is None:
+                value = known[own] = sum([odds.get(t, 0.0) for t in own]) / len(own)
+            out[k] = value
+    return out
+
+
 # ---- labels, fit and decoding
 
 
@@ -473,7 +494,7 @@ def _inside(table: Table) -> np.ndarray:
 def weak_labels(table: Table) -> tuple[np.ndarray, np.ndarray]:
     """Per leaf main or not, and per page whether its markup can be trusted to tell."""
     inside = _inside(table)
-    barred = (table.bad > 0) | np.isin(table.tag, [_TAG["aside"], _TAG["nav"], _TAG["footer"], _TAG["form"], _TAG["head"], _TAG["noscript"]])
+    barred = table.bad | np.isin(table.tag, [_TAG["aside"], _TAG["nav"], _TAG["footer"], _TAG["form"], _TAG["head"], _TAG["noscript"]])
     barred[table.trusted] = False
     for level in table.levels[1:]:
         p = table.parent[level]
@@ -487,14 +508,14 @@ def weak_labels(table: Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Extractor:
-    def __init__(self, wording: dict[str, float], trees: Boosted):
-        self.wording, self.trees = wording, trees
+    def __init__(self, wording: dict[str, float], naming: dict[str, float], trees: Boosted):
+        self.wording, self.naming, self.trees = wording, naming, trees
 
     def keep(self, nodes: Nodes, recurring: np.ndarray, common: np.ndarray) -> np.ndarray:
         """Which of the batch's leaves are main body."""
         if not nodes.leaf:
             return np.zeros(0, bool)
-        table = Table(nodes, recurring, common, wording_of(nodes.text, self.wording))
+        table = Table(nodes, recurring, common, wording_of(nodes.text, self.wording), self.naming)
         return kept_leaves(table, self.trees.log_odds(table.features()))
 
 
@@ -547,24 +568,28 @@ def fit(pages: list[tuple[str | None, str]], known: Keys) -> Extractor:
             for kind, new in zip(flags, flagged(host, nodes.text[n:], known)):
                 kind += new
         parsed.append((nodes, [np.array(f, bool) for f in flags]))
-    labels, odds = [], []
+    labels, odds, tokens = [], [], []
     for nodes, flags in parsed:
         if not nodes.leaf:
             labels.append((np.zeros(0, bool), np.zeros(0, bool)))
             odds.append({})
+            tokens.append(([], np.zeros(0, bool)))
             continue
         table = Table(nodes, *flags, np.zeros(len(nodes.text)))
         main, trusted = weak_labels(table)
         labels.append((main, trusted))
         sure = trusted[table.page[table.leaf]]
         odds.append(fit_wording([t for t, s in zip(nodes.text, sure) if s], main[sure]))
+        use = np.flatnonzero(trusted[table.page] & (table.up(np.ones(len(table.leaf))) > 0))
+        tokens.append(([nodes.names[k] for k in use], (table.up(table.chars * main) / np.maximum(table.up(table.chars), 1))[use] > 0.5))
+    naming = [fit_naming(*t) for t in tokens]
     xs, ys, ws, edges = [], [], [], None
     rng = np.random.default_rng(11)
     n_trusted = max(1, sum(int(t.sum()) for _, t in labels))
     for k, ((nodes, flags), (main, trusted)) in enumerate(zip(parsed, labels)):
         if not trusted.any():
             continue
-        table = Table(nodes, *flags, wording_of(nodes.text, odds[1 - k]))  # wording learnt from the other half
+        table = Table(nodes, *flags, wording_of(nodes.text, odds[1 - k]), naming[1 - k])  # wording and names learnt from the other half
         chars = np.maximum(table.up(table.chars), 1)
         share = table.up(table.chars * main) / chars
         use = trusted & (rng.random(len(trusted)) < TREE_PAGES / n_trusted)
@@ -576,16 +601,16 @@ def fit(pages: list[tuple[str | None, str]], known: Keys) -> Extractor:
         flat = table.flattened()
         cells = np.where((rng.random(len(plain)) < 0.5) & (plain == _DIV), _TAG["td"], plain)
         views = [  # tree, tags and names, weight
-            (table, (table.tag, table.good, table.bad), 1.0),  # as it is
-            (table, (plain, zero, zero), 1.0),  # without telling tags and names
-            (table, (plain, table.good[shuffled], table.bad[shuffled]), 0.5),  # with names from elsewhere
-            (table, (plain, np.where(table.trusted, 0, table.good), np.where(table.trusted, 1, table.bad)), 1.0),  # with a misleading name on the article
-            (table, (cells, zero, zero), 0.5),  # as a layout table
-            (flat, (cells, zero, zero), 0.5),  # without an element around the article
-            (flat, (plain, table.good[shuffled], table.bad[shuffled]), 0.5),
+            (table, (table.tag, table.names), 1.0),  # as it is
+            (table, (plain, zero), 1.0),  # without telling tags and names
+            (table, (plain, table.names[shuffled]), 0.5),  # with names from elsewhere
+            (table, (plain, np.where(table.trusted, table.names.min(), table.names)), 1.0),  # with a misleading name on the article
+            (table, (cells, zero), 0.5),  # as a layout table
+            (flat, (cells, zero), 0.5),  # without an element around the article
+            (flat, (plain, table.names[shuffled]), 0.5),
         ]
-        for tree, (tag, good, bad), worth in views:
-            x = tree.features(tag, good, bad)[use]
+        for tree, (tag, names), worth in views:
+            x = tree.features(tag, names)[use]
             if edges is None:
                 edges = feature_edges(x)
             xs.append(bin_features(x, edges))
@@ -597,7 +622,8 @@ def fit(pages: list[tuple[str | None, str]], known: Keys) -> Extractor:
     both = [t for (nodes, _), (_, trusted) in zip(parsed, labels) for t in nodes.text]
     main = np.concatenate([m for m, _ in labels])
     sure = np.concatenate([np.repeat(trusted, np.bincount(_page_of_leaves(nodes), minlength=len(trusted))) if len(trusted) else np.zeros(0, bool) for (nodes, _), (_, trusted) in zip(parsed, labels)])
-    return Extractor(fit_wording([t for t, s in zip(both, sure) if s], main[sure]), trees)
+    every = fit_naming([n for names, _ in tokens for n in names], np.concatenate([y for _, y in tokens]))
+    return Extractor(fit_wording([t for t, s in zip(both, sure) if s], main[sure]), every, trees)
 
 
 def _page_of_leaves(nodes: Nodes) -> np.ndarray:
