@@ -7,8 +7,9 @@ trees it follows branches (coordinate, token) from the root: every node draws as
 a level on the mean, and a tree's chance of losing them stays bounded however deep it grows. A node with few sets is
 compared exhaustively, one with many is branched again. Only where branching cannot help is a larger node compared as
 a whole, in blocks, so that no task holds it: where `DENSE` of its sets are near one of two drawn from it (a constant share of
-its pairs are then links that have to be found), and at the last level. Comparisons use 128 one-bit tokens; pairs that could reach
-the similarity are verified on the full shingle sets, exactly. The number of trees follows from the target recall at
+its pairs are then links that have to be found), and at the last level. Comparisons use 128 one-bit tokens; pairs that
+could reach the similarity are compared by their whole sketches, and those that still could are verified on the full
+shingle sets, exactly. The number of trees follows from the target recall at
 the threshold, the spread of a sketch about its similarity included; above the threshold recall is higher.
 
 Shingles stay where the texts are: rows that are shuffled hold a node, an id and 128 bits. Only texts of candidate
@@ -30,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, small_side
 from .leakage import WORD
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 5
-N_COORDINATES, LEVELS, NODE_SIZE, BLOCK = 128, 10, 64, 256
+N_COORDINATES, LEVELS, NODE_SIZE, BLOCK = 128, 10, 512, 512
 SURPLUS, DENSE = 0.5, 0.25
 TARGET_RECALL = 0.999
-#: Standard deviations of the one-bit estimate by which a pair at the threshold may fall short.
+#: Standard deviations of an estimate by which a pair at the threshold may fall short.
 SLACK = 4.5
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -80,13 +81,13 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Min-wise tokens of one set, as 32-bit values."""
+    """Min-wise tokens of one set, as 16-bit values: unlike tokens seldom agree, and no pair is lost by it."""
     a, b = functions
     low = None
     for k in range(0, len(shingles), 8192):
         part = ((shingles[None, k : k + 8192] * a[:, None] + b[:, None]) >> np.uint64(32)).min(1)
         low = part if low is None else np.minimum(low, part)
-    return low.astype(np.uint32)
+    return (_mix(low.astype(np.uint64), np.uint64(3)) >> np.uint64(48)).astype(np.uint16)
 
 
 def sketches(texts: DataFrame, size: int, min_words: int) -> DataFrame:
@@ -102,7 +103,7 @@ def sketches(texts: DataFrame, size: int, min_words: int) -> DataFrame:
                     continue
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 low = sketch(s, functions)
-                bits = np.packbits((_mix(low.astype(np.uint64), np.uint64(7)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+                bits = np.packbits((low & np.uint16(1)).astype(np.uint8)).view(np.int64)
                 c = np.frombuffer(digest, np.int64)
                 rows.append((i, int(c[0]), int(c[1]), int(bits[0]), int(bits[1]), low.tobytes()))
             yield pd.DataFrame(rows, columns=["id", "c1", "c2", "b1", "b2", "coordinates"])
@@ -164,7 +165,7 @@ def _grow(rows: DataFrame, trees: int, branches: float, at_root: bool) -> DataFr
                 continue
             for start in range(0, len(batch), 2000):
                 part = batch.iloc[start : start + 2000]
-                coordinates = np.frombuffer(b"".join(part["coordinates"]), np.uint32).reshape(len(part), N_COORDINATES)
+                coordinates = np.frombuffer(b"".join(part["coordinates"]), np.uint16).reshape(len(part), N_COORDINATES)
                 if at_root:
                     pieces = [_branch(np.full(len(part), root, np.uint64), coordinates, branches) for root in roots(trees)]
                     row, node = (np.concatenate(x) for x in zip(*pieces))
@@ -188,9 +189,9 @@ def _compare(cells: DataFrame, most: int) -> DataFrame:
             left, right = [], []
             for members in batch["members"]:
                 ids = [m["id"] for m in members]
-                bits = np.array([[m["b1"], m["b2"]] for m in members], np.int64).view(np.uint8).reshape(len(ids), 16)
+                b1, b2 = (np.array([m[b] for m in members], np.int64).view(np.uint64) for b in ("b1", "b2"))
                 side = np.array([m["side"] for m in members])
-                apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2, dtype=np.int32)
+                apart = np.bitwise_count(b1[:, None] ^ b1[None]) + np.bitwise_count(b2[:, None] ^ b2[None])
                 near = (apart <= most) & ((side[:, None] != side[None]) | (side[:, None] < 0))
                 for a, b in zip(*np.nonzero(np.triu(near, 1))):
                     x, y = ids[a], ids[b]
@@ -233,7 +234,8 @@ def candidate_pairs(reps: DataFrame, similarity: float, target: float, levels: i
         if level == 1:
             rows = materialize(_grow(reps, trees, branches, True), "path-1")
         else:
-            rows = materialize(_grow(large.join(reps.select("id", "coordinates"), "id"), trees, branches, False), f"path-{level}")
+            there = reps.select("id", "coordinates").join(small_side(large.select("id").distinct()), "id", "left_semi")
+            rows = materialize(_grow(large.join(there, "id"), trees, branches, False), f"path-{level}")
         sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), f"nodes-{level}")
         small = rows.join(sizes.filter(F.col("size") <= NODE_SIZE).select("node"), "node").groupBy("node").agg(F.collect_list(member).alias("members"))
         pairs = _compare(small, most)
@@ -245,7 +247,23 @@ def candidate_pairs(reps: DataFrame, similarity: float, target: float, levels: i
         whole = over if level == levels else over.join(materialize(_dense(large, most), f"dense-{level}"), "node", "left_semi")
         found = found.unionByName(_compare(_block_cells(rows, whole), most))
         large = large.join(whole.select("node"), "node", "left_anti")
-    return found.distinct()
+    return _agreeing(materialize(found.distinct(), "near"), reps, similarity)
+
+
+def _agreeing(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose sketches agree in so many coordinates that they could reach the similarity."""
+    ids = small_side(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
+    sketched = reps.join(ids, "id", "left_semi").select("id", "coordinates")
+    least = N_COORDINATES * similarity - SLACK * math.sqrt(N_COORDINATES * similarity * (1 - similarity))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, N_COORDINATES) for c in ("c_a", "c_b"))
+            yield batch.loc[(a == b).sum(1) >= least, ["id_a", "id_b"]]
+
+    a, b = (sketched.select(F.col("id").alias(f"id_{x}"), F.col("coordinates").alias(f"c_{x}")) for x in "ab")
+    kind = pairs.schema["id_a"].dataType.simpleString()
+    return pairs.join(a, "id_a").join(b, "id_b").mapInPandas(compare, f"id_a {kind}, id_b {kind}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, min_words: int, similarity: float) -> DataFrame:

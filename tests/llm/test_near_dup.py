@@ -41,7 +41,13 @@ def test_all_pairs_of_brute_force(spark, size, similarity):
     assert got == brute_force(rows, size, similarity, 80)
 
 
-def test_many_alike_in_one_node(spark):
+@pytest.fixture
+def small_nodes(monkeypatch):
+    monkeypatch.setattr(N, "NODE_SIZE", 32)
+    monkeypatch.setattr(N, "BLOCK", 32)
+
+
+def test_many_alike_in_one_node(spark, small_nodes):
     """More texts alike than a node may hold: it is dense, and blocks are compared cell by cell."""
     rng = random.Random(1)
     base = [f"w{k}" for k in range(200)]
@@ -135,7 +141,7 @@ def test_a_large_node_of_unlike_sets_falls_apart(shared):
     """200,000 sets that agree in a share of their coordinates, as by a common frame, and in nothing else."""
     rng = np.random.default_rng(1)
     n, branches = 200_000, 1 / 0.7 + N.SURPLUS
-    coordinates = rng.integers(0, 2**32, (n, N.N_COORDINATES), dtype=np.uint32)
+    coordinates = rng.integers(0, 2**16, (n, N.N_COORDINATES), dtype=np.uint16)
     coordinates[:, rng.random(N.N_COORDINATES) < shared] = 5
     rows, total = np.arange(n), 0
     node = np.full(n, N.roots(1)[0], np.uint64)
@@ -151,7 +157,7 @@ def test_a_large_node_of_unlike_sets_falls_apart(shared):
     assert total <= 2 * N.LEVELS * n
 
 
-def test_levels_go_on_until_nodes_are_small(spark):
+def test_levels_go_on_until_nodes_are_small(spark, small_nodes):
     """Unlike texts in a common frame fill large nodes; pairs among them are still found."""
     rng = random.Random(4)
     frame = [f"f{k}" for k in range(60)]
