@@ -24,10 +24,10 @@ def crawl(a: argparse.Namespace) -> None:
     seeds = spark.createDataFrame([(s, k) for k, s in enumerate(a.sitemap)], "sitemap_source string, sitemap_ord int")
     documents = None
     for s in a.sitemap:
-        one = tables.read_sitemaps(spark, s).withColumn("sitemap_source", F.lit(s))
+        one = tables.read_sitemaps(spark, s).select(F.lit(s).alias("sitemap_source"), "xml")
         documents = one if documents is None else documents.unionByName(one)
     if a.listed:
-        documents = documents.unionByName(tables.read_sitemaps(spark, a.listed).withColumn("sitemap_source", F.lit(a.listed)))
+        documents = documents.unionByName(tables.read_sitemaps(spark, a.listed).select(F.lit(a.listed).alias("sitemap_source"), "xml"))
     entries = discover.keep_first(discover.sitemap_entries(discover.expand_indexes(seeds, documents)))
     pages = tables.read(spark, a.tables, "crawler_pages")
     queue = discover.not_yet_crawled(entries, pages, a.recrawl, a.max_pages)
@@ -103,6 +103,7 @@ def clear_domain(a: argparse.Namespace) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pagequarry", description=__doc__)
+    p.add_argument("--debug", action="store_true", help="Spark's own log from INFO on")
     p.add_argument("--tables", default="crawl-tables", help="folder of the crawl tables")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("crawl", help="sitemaps, queue and merge of fetched pages")
@@ -149,6 +150,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    _spark().sparkContext.setLogLevel("INFO" if a.debug else "WARN")
     a.work(a)
     return 0
 

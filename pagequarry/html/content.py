@@ -64,12 +64,26 @@ def meta_fields(index: Index) -> dict[str, str]:
 
 
 def headings_by_level(index: Index) -> list[dict]:
-    """All headings with text, level by level."""
-    return [{"level": n, "text": text} for n in range(1, 7) for e in index.by_name.get(f"h{n}", ()) if (text := e.text().strip())]
+    """All headings with text, level by level, with their place among the page's headings."""
+    found = [(n, e) for n in range(1, 7) for e in index.by_name.get(f"h{n}", ()) if e.text().strip()]
+    place = {e.start: k for k, (_, e) in enumerate(sorted(found, key=lambda x: x[1].start))}
+    return [{"level": n, "text": e.text().strip(), "position": place[e.start]} for n, e in found]
+
+
+#: Elements that a link shares its text with.
+_CONTAINERS = frozenset("body html main article section nav header footer aside ul ol dl table tr form".split())
+_PHRASES = frozenset("a abbr b cite code del em font i ins mark q s small span strike strong sub sup u".split())
+
+
+def _link_type(a: Element) -> str:
+    if any(e.name == "img" for e in a.elements()) and not a.text().strip():
+        return "image"
+    return "button" if a.get("role") == "button" or any("btn" in c or "button" in c for c in a.classes) else "text"
 
 
 def page_links(index: Index, url: str, limit_label: int | None = None) -> list[dict]:
-    """Every link of the page with the part of the page it stands in; anchor texts are whole unless limited."""
+    """Every link of the page with the part of the page it stands in, its kind (text, image, button) and the text of the
+    block around it; anchor texts are whole unless limited."""
     from ..functions.urls import is_external
     from .nav import origin_of
 
@@ -79,7 +93,9 @@ def page_links(index: Index, url: str, limit_label: int | None = None) -> list[d
             continue
         place = next((p.name for p in a.ancestors() if p.name in ("nav", "header", "footer", "aside", "main")), "body")
         href = a.get("href")
-        out.append({"href": href, "anchor": a.text().strip()[:limit_label], "location": place, "rel": a.get("rel"), "target": a.get("target"), "is_external": is_external(href, origin)})
+        block = next((p for p in a.ancestors() if p.name not in _PHRASES), None)
+        context = " ".join(block.text().split()) if block is not None and block.name not in _CONTAINERS else None
+        out.append({"href": href, "anchor": a.text().strip()[:limit_label], "location": place, "rel": a.get("rel"), "target": a.get("target"), "is_external": is_external(href, origin), "context": context, "link_type": _link_type(a)})
     return out
 
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.pages import parse_pages, process
+from .. import schemas
+from ..operators import backfill
+from ..operators.pages import parse_pages
 from ..runtime import ship_package
 
 PAGES = [
@@ -45,11 +47,11 @@ EXPECTED = {
         (3, None, None, None, None, None, None, 0),
     ],
     "headings": [
-        (1, 0, 1, 'Choosing paint'),
-        (1, 1, 2, 'Walls'),
-        (1, 2, 2, 'Doors'),
-        (2, 0, 1, 'First'),
-        (2, 1, 3, 'Third level'),
+        (1, 0, 1, 'Choosing paint', 0),
+        (1, 1, 2, 'Walls', 1),
+        (1, 2, 2, 'Doors', 2),
+        (2, 0, 1, 'First', 0),
+        (2, 1, 3, 'Third level', 1),
     ],
     "elements": [
         (1, 0, 'faq_module', 1281, 1568, '[itemtype*="FAQPage"]', 1, True, 'Can I paint in winter?', None, None, None, None, None, None),
@@ -122,25 +124,32 @@ EXPECTED = {
         (4, 0, None, None, False),
     ],
     "links": [
-        (1, 0, '/', 'Home', 'nav', None, None, False),
-        (1, 1, '/guide/', 'Guides', 'nav', None, None, False),
-        (1, 2, '/guide/paint', 'Paint', 'nav', None, None, False),
-        (1, 3, 'https://other.example/tools', 'Tools', 'nav', None, None, True),
-        (1, 4, '/contact', 'Contact', 'nav', None, None, False),
-        (1, 5, 'tel:5550100', 'Call us', 'header', None, None, False),
-        (1, 6, '/', 'Home', 'nav', None, None, False),
-        (1, 7, '/guide/', 'Guides', 'nav', None, None, False),
-        (1, 8, '#walls', 'Walls', 'main', None, None, False),
-        (1, 9, '#doors', 'Doors', 'main', None, None, False),
-        (1, 10, '/guide/primer', 'a primer', 'main', None, None, False),
-        (1, 11, '/guide/drying', 'drying', 'main', None, None, False),
-        (1, 12, '/guide/wallpaper', 'Wallpaper', 'main', None, None, False),
-        (1, 13, '/imprint', 'Imprint', 'footer', None, None, False),
-        (1, 14, 'https://facebook.com/shop', 'Facebook', 'footer', None, None, True),
-        (2, 0, '/en', 'English', 'body', None, None, False),
-        (2, 1, '/fr', 'Français', 'body', None, None, False),
-        (3, 0, 'mailto:a@plain.example', 'mail', 'body', None, None, False),
-        (3, 1, '//cdn.example/x', 'file', 'body', None, None, True),
+        (1, 0, '/', 'Home', 'nav', None, None, False, 'Home', 'text'),
+        (1, 1, '/guide/', 'Guides', 'nav', None, None, False, 'GuidesPaintTools', 'text'),
+        (1, 2, '/guide/paint', 'Paint', 'nav', None, None, False, 'Paint', 'text'),
+        (1, 3, 'https://other.example/tools', 'Tools', 'nav', None, None, True, 'Tools', 'text'),
+        (1, 4, '/contact', 'Contact', 'nav', None, None, False, 'Contact', 'text'),
+        (1, 5, 'tel:5550100', 'Call us', 'header', None, None, False, None, 'text'),
+        (1, 6, '/', 'Home', 'nav', None, None, False, None, 'text'),
+        (1, 7, '/guide/', 'Guides', 'nav', None, None, False, None, 'text'),
+        (1, 8, '#walls', 'Walls', 'main', None, None, False, 'Walls', 'text'),
+        (1, 9, '#doors', 'Doors', 'main', None, None, False, 'Doors', 'text'),
+        (1, 10, '/guide/primer', 'a primer', 'main', None, None, False, 'Matt paint hides what plaster shows, and a primer saves a coat. Roll it on from the window inwards, one wall after the other, and keep a wet edge so that no seams remain where the strokes meet.', 'text'),
+        (1, 11, '/guide/drying', 'drying', 'main', None, None, False, 'Four hours, see drying.', 'text'),
+        (1, 12, '/guide/wallpaper', 'Wallpaper', 'main', None, None, False, 'Wallpaper', 'text'),
+        (1, 13, '/imprint', 'Imprint', 'footer', None, None, False, 'Imprint', 'text'),
+        (1, 14, 'https://facebook.com/shop', 'Facebook', 'footer', None, None, True, 'Facebook', 'text'),
+        (2, 0, '/en', 'English', 'body', None, None, False, 'EnglishFrançais', 'text'),
+        (2, 1, '/fr', 'Français', 'body', None, None, False, 'EnglishFrançais', 'text'),
+        (3, 0, 'mailto:a@plain.example', 'mail', 'body', None, None, False, 'No head at all, mail file', 'text'),
+        (3, 1, '//cdn.example/x', 'file', 'body', None, None, True, 'No head at all, mail file', 'text'),
+    ],
+    "filled": [
+        (1, '# Choosing paint\n\n# Choosing *paint*\n\n-   [Walls](https://shop.example/guide/paint#walls)\n-   [Doors](https://shop.example/guide/paint#doors)\n\n## Walls\n\nMatt paint hides what plaster shows, and [a primer](https://shop.example/guide/primer) saves a coat. Roll it on from the window inwards, one wall after the other, and keep a wet edge so that no seams remain where the strokes meet.\n\n## Doors\n\nGloss paint wipes clean. Sand the old coat lightly, dust it off and lay the door flat if you can, because a flat door lets the paint level out. Two thin coats are better than a thick one, and a night between them is better than an hour.\n\nHow long does it dry?\n\nFour hours, see [drying](https://shop.example/guide/drying).\n\nCan I paint in winter?\n\nAbove ten degrees.\n\nOrder samples\n\nTools you need: a roller, a tray and tape.\n\nThe best paint I ever used.\n\nIda has painted for thirty years.\n\n[Wallpaper](https://shop.example/guide/wallpaper)', '# Choosing paint\n\n# Choosing *paint*\n\n<!-- STRUCT:TOC:START -->\n-   [Walls](https://shop.example/guide/paint#walls)\n-   [Doors](https://shop.example/guide/paint#doors)\n<!-- STRUCT:TOC:END -->\n\n## Walls\n\nMatt paint hides what plaster shows, and [a primer](https://shop.example/guide/primer) saves a coat. Roll it on from the window inwards, one wall after the other, and keep a wet edge so that no seams remain where the strokes meet.\n\n## Doors\n\nGloss paint wipes clean. Sand the old coat lightly, dust it off and lay the door flat if you can, because a flat door lets the paint level out. Two thin coats are better than a thick one, and a night between them is better than an hour.\n\n<!-- STRUCT:FAQ:START -->\n<!-- STRUCT:FAQ:START -->\n<!-- STRUCT:FAQ:Q -->How long does it dry?\n<!-- STRUCT:FAQ:END -->\n\n<!-- STRUCT:FAQ:START -->\n<!-- STRUCT:FAQ:A -->Four hours, see [drying](https://shop.example/guide/drying).\n<!-- STRUCT:FAQ:END -->\n\n<!-- STRUCT:FAQ:Q -->Can I paint in winter?\n\nAbove ten degrees.\n<!-- STRUCT:FAQ:END -->\n\n<!-- STRUCT:CTA:START -->\nOrder samples\n<!-- STRUCT:CTA:END -->\n\n<!-- STRUCT:ACCORDION:START -->\nTools you need: a roller, a tray and tape.\n<!-- STRUCT:ACCORDION:END -->\n\n<!-- STRUCT:TESTIMONIAL:START -->\nThe best paint I ever used.\n<!-- STRUCT:TESTIMONIAL:END -->\n\n<!-- STRUCT:AUTHOR:START -->\nIda has painted for thirty years.\n<!-- STRUCT:AUTHOR:END -->\n\n<!-- STRUCT:RELATED:START -->\n[Wallpaper](https://shop.example/guide/wallpaper)\n<!-- STRUCT:RELATED:END -->'),
+        (2, '# First\n\n# First\n\n### Third level\n\n[English](http://blog.example/en)[Français](http://blog.example/fr)\n\nShort **text** only.', '# First\n\n# First\n\n### Third level\n\n[English](http://blog.example/en)[Français](http://blog.example/fr)\n\nShort **text** only.'),
+        (5, 'One plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\n![A door](https://cms.example/i.png) `x`\n\n```sh\nls -l\n```\n\n1.  first\n2.  second\n    -   inner\n\n> Said so.\n\na\n\nb\n\n1\n\n2', 'One plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\nOne plain sentence of the post.\n\n![A door](https://cms.example/i.png) `x`\n\n```sh\nls -l\n```\n\n1.  first\n2.  second\n    -   inner\n\n> Said so.\n\na\n\nb\n\n1\n\n2'),
+        (6, 'Top line\n\nLoose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Buy now', 'Top line\n\nLoose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Loose words without a paragraph around them. Buy now'),
+        (3, 'No head at all, [mail](mailto:a@plain.example) [file](https://cdn.example/x)', 'No head at all, [mail](mailto:a@plain.example) [file](https://cdn.example/x)'),
     ],
 }
 
@@ -151,7 +160,8 @@ OVERRIDDEN = [
 
 _TYPES = {
     "metadata": "id bigint, title varchar, h1 varchar, meta_description varchar, canonical_url varchar, og_image varchar, language varchar, h1_count integer",
-    "headings": "id bigint, pos integer, level integer, text varchar",
+    "filled": "id bigint, markdown varchar, markdown_enhanced varchar",
+    "headings": "id bigint, pos integer, level integer, text varchar, position integer",
     "elements": "id bigint, pos integer, type varchar, start_index integer, end_index integer, selector varchar, question_count integer, has_schema boolean, questions varchar, item_count integer, link_count integer, is_anchor_based boolean, has_button boolean, has_form boolean, action_text varchar",
     "stats": "id bigint, faq_modules integer, toc_sections integer, breadcrumbs integer, template_ctas integer, accordions integer, testimonials integer, author_bios integer, related_posts integer",
     "content": "id bigint, extraction_method varchar, word_count integer, junk_score double, clean_html varchar",
@@ -160,7 +170,7 @@ _TYPES = {
     "breadcrumbs": "id bigint, pos integer, label varchar, url varchar",
     "content_links": "id bigint, pos integer, url varchar, label varchar, source_type varchar, nearest_heading varchar, body_position_pct integer, is_external boolean",
     "nav_meta": "id bigint, clusters_found integer, primary_nav_selector varchar, footer_nav_selector varchar, has_mega_menu boolean",
-    "links": "id bigint, pos integer, href varchar, anchor varchar, location varchar, rel varchar, target varchar, is_external boolean",
+    "links": "id bigint, pos integer, href varchar, anchor varchar, location varchar, rel varchar, target varchar, is_external boolean, context varchar, link_type varchar",
 }
 
 
@@ -193,7 +203,7 @@ def fixed_metadata(spark, sf_dir):
 
 
 def fixed_headings(spark, sf_dir):
-    return _parsed(spark, "metadata").select("id", F.posexplode("headings").alias("pos", "h")).select("id", "pos", "h.level", "h.text")
+    return _parsed(spark, "metadata").select("id", F.posexplode("headings").alias("pos", "h")).select("id", "pos", "h.*")
 
 
 def fixed_elements(spark, sf_dir):
@@ -213,14 +223,18 @@ def fixed_markdown(spark, sf_dir):
     return _parsed(spark, "markdown").filter("markdown is not null").select("id", "markdown", "markdown_enhanced")
 
 
-def fixed_menus(spark, sf_dir):
-    n, out = _parsed(spark, "nav"), None
+def _menus(n: DataFrame) -> DataFrame:
+    out = None
     for name in ("primary_nav", "footer_nav", "utility_header", "language_switcher"):
         rows = n.select("id", F.lit(name).alias("list_name"), F.posexplode(f"nav_structure.{name}").alias("pos", "i")).select("id", "list_name", "pos", "i.url", "i.label", "i.depth", "i.sort_order", F.array_join("i.parent_labels", "|").alias("parents"), "i.is_external", "i.link_type")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def fixed_menus(spark, sf_dir):
+    return _menus(_parsed(spark, "nav"))
+
+
 def fixed_breadcrumbs(spark, sf_dir):
     return _parsed(spark, "nav").select("id", F.posexplode("nav_structure.breadcrumb").alias("pos", "b")).select("id", "pos", "b.label", "b.url")
 
@@ -250,6 +264,21 @@ def fixed_kinds_at(spark, sf_dir):
     return hit.groupBy("place").agg(F.min_by("type", "pos").alias("kind"))
 
 
+def _stored(spark):
+    """The pages as stored rows with their content, and nothing derived from it."""
+    made = _parsed(spark, "content").select("id", "clean_html")
+    none = {c: F.lit(None).cast(k) for c, k in (("h1", "string"), ("markdown", "string"), ("markdown_enhanced", "string"), ("structural_stats", schemas.STRUCTURAL_STATS), ("nav_structure", schemas.NAV_STRUCTURE))}
+    return pages(spark).join(made, "id").withColumns(none)
+
+
+def fixed_backfill_markdown(spark, sf_dir):
+    return backfill.backfill_markdown(_stored(spark))[0].filter("markdown is not null").select("id", "markdown", "markdown_enhanced")
+
+
+def fixed_backfill_nav(spark, sf_dir):
+    return _menus(backfill.backfill_nav(_stored(spark))[0])
+
+
 def fixed_overrides(spark, sf_dir):
     """Content by a domain's own selectors."""
     o = spark.createDataFrame([("own.example", True, [".none", ".box"], [".ad2"]), ("plain.example", False, ["a"], None)], "domain string, enabled boolean, main_content_selectors array<string>, remove_selectors array<string>")
@@ -261,5 +290,7 @@ QUERIES = {
     for name, key in (("metadata", "metadata"), ("headings", "headings"), ("elements", "elements"), ("structure_counts", "stats"), ("content", "content"), ("markdown", "markdown"), ("menus", "menus"), ("breadcrumbs", "breadcrumbs"), ("content_links", "content_links"), ("nav_meta", "nav_meta"), ("links", "links"))
 } | {
     "fixed_kinds_at": (fixed_kinds_at, rows_sql("place varchar, kind varchar", PLACES)),
+    "fixed_backfill_markdown": (fixed_backfill_markdown, rows_sql(_TYPES["filled"], EXPECTED["filled"])),
+    "fixed_backfill_nav": (fixed_backfill_nav, rows_sql(_TYPES["menus"], EXPECTED["menus"])),
     "fixed_overrides": (fixed_overrides, rows_sql("id bigint, extraction_method varchar, clean_html varchar", OVERRIDDEN)),
 }

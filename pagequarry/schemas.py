@@ -16,8 +16,8 @@ NAV_STRUCTURE = (
 )
 STRUCT_ELEMENT = "struct<type:string,start_index:int,end_index:int,selector:string,question_count:int,has_schema:boolean,questions:array<string>,item_count:int,link_count:int,is_anchor_based:boolean,has_button:boolean,has_form:boolean,action_text:string>"
 METADATA = "struct<title:string,h1:string,meta_description:string,canonical_url:string,og_image:string,language:string>"
-HEADING = "struct<level:int,text:string>"
-LINK = "struct<href:string,anchor:string,location:string,rel:string,target:string,is_external:boolean>"
+HEADING = "struct<level:int,text:string,position:int>"
+LINK = "struct<href:string,anchor:string,location:string,rel:string,target:string,is_external:boolean,context:string,link_type:string>"
 
 CRAWLER_PAGES = (
     "id bigint, final_url string, requested_url_original string, status_code int, crawl_status string, redirect_chain array<string>, html_content string, clean_html string, "

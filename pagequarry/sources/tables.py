@@ -229,9 +229,9 @@ def export_json(df: DataFrame, path: str, single_array: bool = False) -> None:
     rows.mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
 
 
-def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
-    """sitemap_source (file name as URL or path), xml of sitemap files, one row per file."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("sitemap_source"), F.col("value").alias("xml"))
+def read_sitemaps(spark: SparkSession, path: str, ord: int = 0) -> DataFrame:
+    """sitemap_source (file name as URL or path), sitemap_ord, xml of sitemap files, one row per file."""
+    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("sitemap_source"), F.lit(ord).alias("sitemap_ord"), F.col("value").alias("xml"))
 
 
 def read_fetched(spark: SparkSession, path: str) -> DataFrame:
