@@ -34,6 +34,8 @@ from ..runtime import tokenizer_folder
 MIN_CHARS, MIN_LETTERS, MIN_LETTER_SHARE = 40, 8, 0.4
 MAX_SAMPLES, ROUNDS, SMOOTHING, EVIDENCE = 5000, 4, 0.02, 0.5
 _CACHE_WORDS = 400_000
+#: Words read before new ones among them are scored together.
+_BATCH_TOKENS = 500_000
 #: Cells (words x positions) of a batch; words up to _PLAIN characters need no rescaling on the way, longer ones are not kept.
 _CELLS, _PLAIN = 40_000, 40
 
@@ -194,29 +196,29 @@ class LanguageModel:
             k += len(part)
         return out
 
+    def learn(self, words: set[str]) -> None:
+        """Scores of words of up to _PLAIN characters, for total; once they are too many, those of this call alone are kept."""
+        new = [w for w in words if len(w) <= _PLAIN and w not in self.places]
+        if not new:
+            return
+        if len(self.places) + len(new) > _CACHE_WORDS:
+            self.places.clear()
+            new = [w for w in words if len(w) <= _PLAIN]
+        first = len(self.places)
+        while first + len(new) > len(self.scores):
+            self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
+        self.scores[first : first + len(new)] = self.score(new)
+        self.places.update(zip(new, range(first, first + len(new))))
+
     def total(self, tokens: list[str]) -> np.ndarray:
-        """Sum of the words' log probabilities per language."""
-        places = self.places
-        new = [w for w in set(tokens) if w not in places]
-        out = np.zeros(len(self.languages))
-        if new:
-            scores = self.score(new)
-            keep = [k for k, w in enumerate(new) if len(w) <= _PLAIN]
-            if len(keep) < len(new):  # long runs are met once
-                times = Counter(w for w in tokens if len(w) > _PLAIN)
-                for w, s in zip(new, scores):
-                    out += times[w] * s
-                tokens = [w for w in tokens if len(w) <= _PLAIN]
-            if len(places) + len(keep) > _CACHE_WORDS:
-                places.clear()
-                back = [w for w in set(tokens).difference(new)]
-                new, scores, keep = [*new, *back], np.vstack([scores, self.score(back)]) if back else scores, [*keep, *range(len(new), len(new) + len(back))]
-            first = len(places)
-            while first + len(keep) > len(self.scores):
-                self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
-            self.scores[first : first + len(keep)] = scores[keep]
-            places.update((new[k], first + j) for j, k in enumerate(keep))
-        return out + self.scores[[places[w] for w in tokens]].sum(0) if tokens else out
+        """Sum of the words' log probabilities per language. Words that were not learnt (long runs are met once) are scored now."""
+        at = list(map(self.places.get, tokens))
+        if None not in at:
+            return self.scores[at].sum(0)
+        other = Counter(w for w, k in zip(tokens, at) if k is None)
+        out = np.array(list(other.values()), float) @ self.score(list(other))
+        at = [k for k in at if k is not None]
+        return out + self.scores[at].sum(0) if at else out
 
     def fit_round(self, counts: list[Counter]) -> np.ndarray:
         """Expected piece counts [piece, language] of the words of each language."""
@@ -278,8 +280,8 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def has_language(segment: str) -> bool:
-    letters = sum(map(len, re.findall(r"[^\W\d_]+", segment)))
+def has_language(segment: str, words: list[str]) -> bool:
+    letters = sum(map(len, words)) - sum(w.count("'") + w.count("’") for w in words if not w.isalpha())
     return letters >= MIN_LETTERS and letters >= MIN_LETTER_SHARE * sum(map(len, segment.split()))
 
 
@@ -312,22 +314,30 @@ def _scored(texts: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         languages, ids, p = shared.value
         mine = LanguageModel(languages, Vocabulary.of(ids), p)
-        for batch in batches:
+
+        def scored(part: list[tuple]) -> pd.DataFrame:
+            mine.learn({w for *_, tokens in part for w in tokens})
             rows = []
+            for i, k, n, label, tokens in part:
+                if not tokens:
+                    rows.append((i, k, n, None, None, label))
+                    continue
+                share = _posterior(sum(mine.total(tokens[a : a + 100_000]) for a in range(0, len(tokens), 100_000)))
+                best = int(share.argmax())
+                rows.append((i, k, n, languages[best], float(share[best]), label))
+            return pd.DataFrame(rows, columns=["id", "seg_no", "n_chars", "lang", "confidence", "label"])
+
+        for batch in batches:
+            part, n_tokens = [], 0
             for i, text, label in zip(batch["id"], batch["text"], batch["label"]):
                 for k, segment in enumerate(segments(text)):
-                    n = len(segment.strip())
-                    tokens = words_of(segment) if has_language(segment) else ()
-                    if not tokens:
-                        rows.append((i, k, n, None, None, label))
-                        continue
-                    total = np.zeros(len(languages))
-                    for a in range(0, len(tokens), 10_000):
-                        total += mine.total(tokens[a : a + 10_000])
-                    share = _posterior(total)
-                    best = int(share.argmax())
-                    rows.append((i, k, n, languages[best], float(share[best]), label))
-            yield pd.DataFrame(rows, columns=["id", "seg_no", "n_chars", "lang", "confidence", "label"])
+                    tokens = words_of(segment)
+                    part.append((i, k, len(segment.strip()), label, tokens if has_language(segment, tokens) else ()))
+                    n_tokens += len(tokens)
+                if n_tokens > _BATCH_TOKENS:
+                    yield scored(part)
+                    part, n_tokens = [], 0
+            yield scored(part)
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.filter("text is not null").mapInPandas(run, f"id {kind}, seg_no int, n_chars int, lang string, confidence double, label string")
