@@ -13,7 +13,7 @@ covers enough documents is repeated, and so are its lines:
 
 A mask on enough documents has no slot, as each of its tokens is on as many; so nothing is lost on the way.
 
-Counts are partial sums before every shuffle, joins by leaf, mask or site are salted, and tokens are counted once per
+Counts are partial sums before every shuffle, joins by leaf, mask or site are broadcast below a checked size and salted above it, and tokens are counted once per
 mask and task, so a hot site or line costs no task more than its share. The tokens that stay in a leaf are few: at
 most the site's lines per document divided by min_share in each place.
 
@@ -37,6 +37,8 @@ from ..runtime import materialize
 
 MIN_DOCS, MIN_SHARE, MIN_LETTER_RUNS = 5, 0.2, 3
 DEPTH, SALTS = 2, 16
+#: Rows (two numbers each) of a join's small side that every task may get.
+MAX_BROADCAST_ROWS = 500_000
 #: Share of its tokens that a template with slots must keep.
 MIN_FIXED = 0.6
 SLOT = "<*>"
@@ -95,8 +97,12 @@ def parse_lines(pages: DataFrame) -> DataFrame:
     return pages.filter("host is not null and text is not null").mapInPandas(run, schema)
 
 
-def salted_join(large: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """Join on key, the rows of a key of the large side spread over `SALTS` parts by another column."""
+def hot_join(large: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join with the small side written and counted first. One of at most `MAX_BROADCAST_ROWS` rows goes to every task;
+    with a larger one, the rows of a key of the large side are spread over `SALTS` parts by another column."""
+    small = materialize(small, "site-side")
+    if small.count() <= MAX_BROADCAST_ROWS:
+        return large.join(F.broadcast(small), key, how)
     spread = large.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return spread.join(copies, [key, "__salt"], how).drop("__salt")
@@ -122,9 +128,9 @@ def _candidates(lines: DataFrame, needed: DataFrame, tree: str) -> DataFrame:
     """id, line_no, leaf, mask, masked, first_of_mask, letters, needed: lines of leaves that cover enough documents."""
     # an upper bound where rows are repeated, which keeps the filter sound
     leaves = lines.filter(f"first_of_{tree}").groupBy(F.col(tree).alias("leaf")).agg(F.count("*").alias("covered"), F.first("site").alias("site"))
-    wide = salted_join(leaves, needed, "site", "leaf").filter("covered >= needed").select("leaf", "needed")
+    wide = hot_join(leaves, needed, "site", "leaf").filter("covered >= needed").select("leaf", "needed")
     rows = lines.select("id", "line_no", F.col(tree).alias("leaf"), "mask", "masked", "first_of_mask", "letters")
-    return materialize(salted_join(rows, wide, "leaf", "id"), f"site-{tree}")
+    return materialize(hot_join(rows, wide, "leaf", "id"), f"site-{tree}")
 
 
 def _templates(candidates: DataFrame) -> DataFrame:
@@ -147,7 +153,10 @@ def _templates(candidates: DataFrame) -> DataFrame:
                 out.append((own, at, need, " ".join(filled), filled.count(SLOT), sum(t != SLOT and _LETTERS.search(t) is not None for t in filled), len(tokens)))
             yield pd.DataFrame(out, columns=["mask", "leaf", "needed", "template", "slots", "fixed", "tokens"])
 
-    return salted_join(masks.select("mask", "leaf", "needed", "masked"), stay, "leaf", "mask", "left").mapInPandas(fill, "mask long, leaf long, needed long, template string, slots int, fixed int, tokens int")
+    # a leaf's tokens go with its rows: no bound in bytes, so no broadcast
+    spread = masks.select("mask", "leaf", "needed", "masked").withColumn("__salt", F.pmod(F.xxhash64("mask"), F.lit(SALTS)).cast("int"))
+    copies = stay.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, ["leaf", "__salt"], "left").drop("__salt").mapInPandas(fill, "mask long, leaf long, needed long, template string, slots int, fixed int, tokens int")
 
 
 def repeated_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -156,9 +165,9 @@ def repeated_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, min_
     lines = materialize(parse_lines(pages), "site-lines")
     candidates = _candidates(lines, materialize(_thresholds(pages, min_docs, min_share), "site-thresholds"), "head")
     whole = _templates(candidates).filter("slots = 0").select("mask", "needed")
-    held = materialize(salted_join(candidates.select("id", "line_no", "mask", "letters"), whole, "mask", "id"), "site-whole")
+    held = materialize(hot_join(candidates.select("id", "line_no", "mask", "letters"), whole, "mask", "id"), "site-whole")
     masks = held.select("mask", "id", "needed").distinct().groupBy("mask", "needed").agg(F.count("*").alias("n_docs")).filter("n_docs >= needed").select("mask")
-    return salted_join(held.filter("letters"), masks, "mask", "id", "left_semi").select("id", "line_no").distinct()
+    return hot_join(held.filter("letters"), masks, "mask", "id", "left_semi").select("id", "line_no").distinct()
 
 
 def template_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -172,9 +181,9 @@ def template_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, min_
         candidates = _candidates(lines, needed, tree)
         kept = _templates(candidates).filter((F.col("slots") == 0) | ((F.col("fixed") >= MIN_LETTER_RUNS) & (F.col("tokens") - F.col("slots") >= MIN_FIXED * F.col("tokens"))))
         kept = kept.select("mask", "needed", "template", "slots", F.xxhash64("leaf", "template").alias("key"))
-        held = materialize(salted_join(candidates.select("id", "line_no", "mask", "letters"), kept, "mask", "id"), f"site-{tree}-templates")
+        held = materialize(hot_join(candidates.select("id", "line_no", "mask", "letters"), kept, "mask", "id"), f"site-{tree}-templates")
         wide = held.select("key", "id", "needed").distinct().groupBy("key", "needed").agg(F.count("*").alias("n_docs")).filter("n_docs >= needed").select("key")
-        rows = salted_join(held.filter("letters"), wide, "key", "id", "left_semi").select("id", "line_no", "slots", "template")
+        rows = hot_join(held.filter("letters"), wide, "key", "id", "left_semi").select("id", "line_no", "slots", "template")
         found = rows if found is None else found.unionByName(rows)
     return found.groupBy("id", "line_no").agg(F.min(F.struct("slots", "template"))["template"].alias("template"))
 

@@ -43,6 +43,11 @@ def test_by_brute_force(spark, rows):
     assert got == brute_force(rows) and got
 
 
+def test_salted_joins_give_the_same(spark, rows, monkeypatch):
+    monkeypatch.setattr(L, "MAX_BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in L.repeated_lines(frame(spark, rows), "id", "url", "text").collect()} == brute_force(rows)
+
+
 def test_texts_without_them(spark, rows):
     df = frame(spark, rows).dropDuplicates(["id"])
     out = {r["id"]: r for r in L.without_repeated_lines(df, "id", "url", "text").collect()}
