@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import codepoint2name
+
 from pyspark.sql import functions as F
 
 from ..operators import backfill, ingest, merge
@@ -105,8 +107,23 @@ def backfill_nav(spark, sf_dir):
 
 _DISTINCT = "(select distinct id, html_content from crawler_pages where html_content is not null)"
 
+_TAG = r"""<(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+
+
+def _decoded(x: str) -> str:
+    latin = [(f"&{name};", chr(c)) for c, name in codepoint2name.items() if 192 <= c < 256] + [(f"&#{c};", chr(c)) for c in range(192, 256)]
+    for entity, char in (*latin, ("&#x27;", "''"), ("&#39;", "''"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+_METADATA = f"""with r as (select id, nullif({_decoded("regexp_extract(html_content, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') as title,
+ nullif({_decoded(f"regexp_replace(regexp_extract(html_content, '(?is)<h1(?:[ ][^>]*)?>(.*?)</h1>', 1), '{_TAG}', '', 'g')")}, '') as h1,
+ nullif({_decoded("regexp_extract(html_content, '(?i)<meta name=.description. content=.([^>]*?).>', 1)")}, '') as meta_description, nullif(regexp_extract(html_content, '(?i)<html[^>]*[ ]lang="([^"]*)"', 1), '') as language, cast(len(regexp_extract_all(html_content, '(?i)<h1[ >]')) as integer) as h1_count from {_DISTINCT})
+select id, coalesce(title, h1) as title, h1[1:500] as h1, meta_description, cast(null as varchar) as canonical_url, cast(null as varchar) as og_image, language, h1_count from r"""
+
 QUERIES = {
-    "page_metadata": (page_metadata, None),
+    "page_metadata": (page_metadata, _METADATA),
     "page_language_tags": (page_language_tags, rf"""select id, nullif(regexp_extract(html_content, '(?i)<html[^>]*\slang="([^"]*)"', 1), '') as language, cast(len(regexp_extract_all(html_content, '(?i)<h1[ >]')) as integer) as h1_count from {_DISTINCT}"""),
     "page_headings": (page_headings, r"""select id, level, count(*) as n from (select id, cast(l as integer) as level, unnest(regexp_extract_all(html_content, '(?is)<h' || l || '(?:\s[^>]*)?>(.*?)</h' || l || '>', 1)) as inner_html from (select distinct id, html_content from crawler_pages where html_content is not null), (select unnest(range(1, 7)) as l)) where regexp_matches(regexp_replace(inner_html, '<[^>]*>', '', 'g'), '[^\s]') group by id, level"""),
     "page_links": (page_links, rf"""select distinct id, replace(coalesce(nullif(regexp_extract(a, '(?i)\shref="([^"]*)"', 1), ''), regexp_extract(a, '(?i)\shref=''([^'']*)''', 1)), '&amp;', '&') as href from (select id, unnest(regexp_extract_all(html_content, '(?i)<a\s[^>]*')) as a from {_DISTINCT}) where regexp_matches(a, '(?i)\shref=')"""),

@@ -165,6 +165,36 @@ _HREFS = r"select distinct final_url, unnest(regexp_extract_all(markdown, '\]\((
 _MD = "(select distinct id, markdown from crawler_pages where markdown is not null)"
 _TRIM = lambda x: f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
+_H = r"^(#{1,6})\s+([^\r\n]+)\r?$"
+
+
+def _lines(relation: str) -> str:
+    """id, i, line of the texts t of a relation(id, t)."""
+    return f"(select id, lines[i] as line, i from (select id, lines, unnest(range(1, len(lines) + 1)) as i from (select id, string_split(t, chr(10)) as lines from {relation})))"
+
+
+def _deduplicated(relation: str) -> str:
+    return f"(select id, coalesce(array_to_string(list(line order by i) filter (t = '' or t is distinct from prev), chr(10)), '') as t from (select *, last_value(nullif(t, '') ignore nulls) over (partition by id order by i rows between unbounded preceding and 1 preceding) as prev from (select id, i, line, {_TRIM('line')} as t from {_lines(relation)})) group by id)"
+
+
+def _normalized(relation: str) -> str:
+    """The k-th heading's level is at most k, and at most that of any heading before it plus the headings since."""
+    marked = f"select id, i, line, regexp_matches(line, '{_H}') as h, length(regexp_extract(line, '{_H}', 1)) as level, regexp_extract(line, '{_H}', 2) as x from {_lines(relation)}"
+    placed = f"select *, least(k, k + min(case when h then level - k end) over (partition by id order by i)) as now from (select *, sum(case when h then 1 else 0 end) over (partition by id order by i) as k from ({marked}))"
+    return f"(select id, array_to_string(list(case when h then repeat('#', cast(now as integer)) || ' ' || x else line end order by i), chr(10)) as t from ({placed}) group by id)"
+
+
+def _without_boilerplate(relation: str) -> str:
+    return rf"(select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^Home\s*>\s*.+$', '', 'g'), '(?m)^Posted on .+ by .+$', '', 'g'), '(?m)^©\s*\d{{4}}.+$', '', 'g'), '(?mi)^Copyright\s+©\s+\d{{4}}.+$', '', 'g'), '(?mi)^Last updated:?\s*.+$', '', 'g') as t from {relation})"
+
+
+_IMAGES = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\[\]\(data:image/\w+;base64,[A-Za-z0-9+/=]{50,}\)', '', 'g'), '!\[([^\]]+)\]\(data:image/(\w+);base64,[A-Za-z0-9+/=]{50,}\)', '![\1](data:image/\2;base64,...)', 'g'), '!\[\]\([^)]*;base64,[A-Za-z0-9+/=]{50,}\)', '', 'g'), '!\[([^\]]+)\]\([^)]*;base64,[A-Za-z0-9+/=]{50,}\)', '![\1](embedded-base64-removed)', 'g')"
+_PLAIN = "(select id, markdown as t from " + _MD + ")"
+_COLLAPSED = r"(select id, regexp_replace(markdown, '\n{3,}', chr(10) || chr(10), 'g') as t from " + _MD + ")"
+_ENSURED = rf"""with p as (select distinct id, markdown, h1 from crawler_pages where markdown is not null and h1 <> ''), l as (select id, h1, {_TRIM('markdown')} as m, string_split({_TRIM('markdown')}, chr(10)) as lines from p),
+a as (select *, coalesce((select min(i) from (select unnest(range(1, len(lines) + 1)) as i) where regexp_matches({_TRIM('lines[i]')}, '^#\s+.+')), 0) as place from l)
+select id, case when place = 1 and {_TRIM(f"regexp_replace({_TRIM('lines[1]')}, '^#\\s+', '')")} = {_TRIM('h1')} then m else '# ' || {_TRIM('h1')} || chr(10) || chr(10) || {_TRIM("array_to_string(case when place = 0 then lines else list_concat(lines[1:place - 1], lines[place + 1:]) end, chr(10))")} end as text, case when place > 1 then 'H1 at line ' || place || ' instead of line 1' end as issue from a"""
+
 QUERIES = {
     "normalize_url": (normalize_url, "select url, norm from " + _norm("url", "sitemap_urls")),
     "extract_domain": (extract_domain, "select final_url, regexp_extract(norm, '^https?://([^:/?#]*)', 1) as domain, split_part(split_part(final_url, '://', 2), '/', 1) as raw_domain from (select distinct final_url from crawler_pages) join " + _norm("final_url", "crawler_pages") + " n on n.url = final_url"),
@@ -195,11 +225,11 @@ QUERIES = {
         f"select id, array_to_string(list(line order by i) filter (t = '' or t is distinct from prev), chr(10)) as text from (select id, i, line, t, last_value(nullif(t, '') ignore nulls) over (partition by id order by i rows between unbounded preceding and 1 preceding) as prev from (select id, i, lines[i] as line, {_TRIM('lines[i]')} as t from (select id, lines, unnest(range(1, len(lines) + 1)) as i from (select id, string_split(markdown, chr(10)) as lines from {_MD})))) group by id",
     ),
     "remove_boilerplate": (remove_boilerplate, rf"select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(markdown, '(?m)^Home\s*>\s*.+$', '', 'g'), '(?m)^Posted on .+ by .+$', '', 'g'), '(?m)^©\s*\d{{4}}.+$', '', 'g'), '(?mi)^Copyright\s+©\s+\d{{4}}.+$', '', 'g'), '(?mi)^Last updated:?\s*.+$', '', 'g') as text from {_MD}"),
-    "normalize_headings": (normalize_headings, None),
+    "normalize_headings": (normalize_headings, f"select id, t as text from {_normalized(_PLAIN)}"),
     "shift_headings": (shift_headings, rf"select id, regexp_replace(markdown, '(?m)^(#{{1,5}}[^\S\n]+.)', '#\1', 'g') as text from {_MD}"),
     "h1_in_markdown": (h1_in_markdown, rf"select id, h1_at is not null as has_h1, cast(coalesce(h1_at, 0) - 1 as integer) as position, case when h1_at is not null then {_TRIM(f"regexp_replace({_TRIM('lines[h1_at]')}, '^#\\s+', '')")} end as text from (select id, lines, (select min(i) from (select unnest(range(1, len(lines) + 1)) as i) where regexp_matches({_TRIM('lines[i]')}, '^#\s+.+')) as h1_at from (select id, string_split(markdown, chr(10)) as lines from {_MD}))"),
-    "ensure_h1": (ensure_h1, None),
-    "postprocess_markdown": (postprocess_markdown, None),
+    "ensure_h1": (ensure_h1, _ENSURED),
+    "postprocess_markdown": (postprocess_markdown, f"select id, {_TRIM(_IMAGES)} as text from {_normalized(_without_boilerplate(_deduplicated(_COLLAPSED)))}"),
     "markdown_to_text": (markdown_to_text, f"select id, {_TRIM('t')} as text from (select id, " + "regexp_replace(" * len(X.PLAIN_TEXT) + "markdown" + "".join(", '" + p.replace("(?dm)", "(?m)").replace(r"\s", r"[ \t\n\f\r\x0B]") + "', '" + r.replace("$1", r"\1").replace("\n", "\n") + "', 'g')" for p, r in X.PLAIN_TEXT) + f" as t from {_MD})"),
     "strip_markers": (strip_markers, f"select id, {_TRIM(f"regexp_replace({_TRIM("regexp_replace(markdown_enhanced, '<!-- STRUCT:[A-Z_]+:[A-Z_]+ -->', '', 'g')")}, '\n{{3,}}', '\n\n', 'g')")} as text from (select distinct id, markdown_enhanced from crawler_pages where markdown_enhanced is not null)"),
     "links_with_context": (links_with_context, L.LINKS_SQL),
