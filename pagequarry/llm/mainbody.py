@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..html.tokens import MAX_DEPTH, TOKEN, VOID, ended_by
 from ..runtime import materialize
-from .site_lines import host_of
+from .site_lines import hot_join, host_of
 
 SAMPLE_PAGES, TREE_PAGES, PAGES_PER_SITE, SAMPLE_CHARS = 2000, 700, 20, 100_000
 MIN_DOCS, MIN_SHARE = 5, 0.1
@@ -679,7 +679,7 @@ def known_keys(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = rows.filter("kind = 0").select("id", "site").distinct().groupBy("site").agg(F.count("*").alias("n_pages"))
     blocks = rows.filter("kind = 1")
     # rows of repeated pages first count double; what passes is counted again by distinct ids
-    often = blocks.groupBy("key", "site").agg(F.count("*").alias("n")).join(totals, "site").filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= MIN_SHARE * F.col("n_pages")))
+    often = hot_join(blocks.groupBy("key", "site").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS), totals, "site", "key").filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= MIN_SHARE * F.col("n_pages")))
     exact = blocks.join(often.select("key", "n_pages"), "key").select("key", "n_pages", "id").distinct().groupBy("key", "n_pages").agg(F.count("*").alias("n"))
     recurring = exact.filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= MIN_SHARE * F.col("n_pages"))).select("key")
     common = rows.filter((F.col("kind") == 2) & (F.col("site") != site_hash(None))).select("key", "site").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SITES).select("key")
