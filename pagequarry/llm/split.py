@@ -1,7 +1,8 @@
 """Splitting long texts at natural boundaries by structure-tree packing.
 
 A text is parsed into a tree: sections by heading level, blocks (runs of non-blank lines; a fenced part is never
-cut apart while it fits), lines, sentences, words, characters. Sibling subtrees are merged bottom-up up to the
+cut apart while it fits), list items with what is nested in them, lines (rows of tables among them), sentences, words,
+characters. Sibling subtrees are merged bottom-up up to the
 limit; only a node that exceeds it is descended into. Pieces are spans of the text, so that the pieces without
 their overlaps give the text back exactly.
 
@@ -86,13 +87,33 @@ def _cut(node: Node, text: str, pattern: re.Pattern | None, kind: str) -> None:
 
 
 _LINE_END = re.compile(r"\n")
-_FINER = {"block": ("line", _LINE_END), "line": ("sentence", _SENTENCE), "sentence": ("word", _WORD)}
+_MARKER = re.compile(r"^([ \t]*)(?:[-*+•]|\d{1,3}[.)])\s", re.M)
+#: Nested items below this level are cut by lines.
+MAX_NESTING = 40
 
 
-def tree(text: str) -> Node:
+def _cut_items(node: Node, text: str) -> None:
+    """Children of a list: its items, or those nested in an item, each with all that is indented below it."""
+    marks = [(m.start(), len(m[1].expandtabs(4))) for m in _MARKER.finditer(text, node.start, node.end) if m.start() > node.start or node.kind == "block"]
+    if not marks:
+        return
+    least = min(indent for _, indent in marks)
+    starts = [at for at, indent in marks if indent == least and at > node.start]
+    if starts:
+        bounds = [node.start, *starts, node.end]
+        node.children = [Node(a, b, "item") for a, b in zip(bounds, bounds[1:])]
+
+
+_FINER = {"block": ("line", _LINE_END), "item": ("line", _LINE_END), "line": ("sentence", _SENTENCE), "sentence": ("word", _WORD)}
+
+
+def tree(text: str) -> tuple[Node, list[int]]:
+    """The root and the blocks' lengths."""
     root = Node(0, len(text), "section")
+    lengths = []
     open_sections: list[tuple[int, Node]] = [(0, root)]
-    for k, (start, end, _, level) in enumerate(blocks(text)):
+    for k, (start, end, length, level) in enumerate(blocks(text)):
+        lengths.append(length)
         if level:
             while open_sections[-1][0] >= level:
                 open_sections.pop()[1].end = start
@@ -102,15 +123,17 @@ def tree(text: str) -> Node:
         open_sections[-1][1].children.append(Node(start, end, "block", k))
     for _, section in open_sections:
         section.end = len(text)
-    return root
+    return root, lengths
 
 
-def pack(node: Node, text: str, budget: int, descended: list[int]) -> list[tuple[int, int]]:
+def pack(node: Node, text: str, budget: int, descended: list[int], nesting: int = 0) -> list[tuple[int, int]]:
     """Spans of at most budget characters that cover node; descended gets the numbers of the blocks cut open."""
     if node.end - node.start <= budget:
         return [(node.start, node.end)]
     if node.kind == "block":
         descended.append(node.block_no)
+    if node.kind in ("block", "item") and nesting < MAX_NESTING:
+        _cut_items(node, text)
     if not node.children and node.kind in _FINER:
         kind, pattern = _FINER[node.kind]
         _cut(node, text, pattern, kind)
@@ -120,7 +143,7 @@ def pack(node: Node, text: str, budget: int, descended: list[int]) -> list[tuple
         return [(a, min(a + budget, node.end)) for a in range(node.start, node.end, budget)]
     parts: list[tuple[int, int]] = []
     for child in node.children:
-        for span in pack(child, text, budget, descended):
+        for span in pack(child, text, budget, descended, nesting + (child.kind == "item")):
             if parts and span[1] - parts[-1][0] <= budget:
                 parts[-1] = (parts[-1][0], span[1])
             else:
@@ -135,8 +158,8 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[t
     if len(text) <= limit:
         return ([(0, 0, len(text))] if text else []), []
     descended: list[int] = []
-    spans = pack(tree(text), text, limit - overlap, descended)
-    lengths = [b[2] for b in blocks(text)]
+    root, lengths = tree(text)
+    spans = pack(root, text, limit - overlap, descended)
     pieces, before = [], 0
     for k, (a, b) in enumerate(spans):
         start = a

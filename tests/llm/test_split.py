@@ -19,7 +19,7 @@ def check(text, limit, overlap):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab .\n#`-", max_size=600), st.integers(20, 120))
+@given(st.text(alphabet="ab .\n#`-1)", max_size=600), st.integers(20, 120))
 def test_pieces_give_the_text_back(text, limit):
     check(text, limit, limit // 4)
 
@@ -31,6 +31,19 @@ def test_natural_boundaries():
     assert all(b[1] - b[0] >= 40 - S.SLACK for b in pieces[1:])
 
 
+def test_list_items_stay_with_what_is_nested_in_them():
+    items = [f"- item {k}\n" + "".join(f"    - nested {k} {j}\n" for j in range(4)) for k in range(30)]
+    pieces = check("".join(items), 300, 0)
+    assert len(pieces) > 5 and all("".join(items)[n:e].startswith("- item") for _, n, e in pieces)
+    rows = "| a | b |\n|---|---|\n" + "| 123 | 456 |\n" * 60
+    assert all(rows[n:e].endswith("|\n") for _, n, e in check(rows, 300, 0))
+
+
+def test_deep_nesting():
+    text = "".join(" " * k + f"- {'x' * 30}\n" for k in range(3000))
+    check(text, 4000, 200)
+
+
 def test_blocks():
     text = "a \nb\n\n```\nx\n\ny\n```\nafter\n\n   \nlast\n```"
     got = [(text[s:e].strip(), n) for s, e, n, _ in S.blocks(text)]
