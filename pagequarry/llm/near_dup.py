@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, small_side
 from .leakage import WORD
+from .site_lines import hot_join
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 5
 N_COORDINATES, LEVELS, NODE_SIZE, BLOCK = 128, 10, 512, 512
@@ -294,8 +295,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = SHING
     jaccard of representatives. Together they hold every pair once; copies are not expanded."""
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     all_sketches = materialize(sketches(texts, size, min_words), "sketches")
-    classes = all_sketches.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-    members = materialize(all_sketches.select("id", "c1", "c2").distinct().join(classes, ["c1", "c2"]).select("id", "rep"), "members")
+    # only sets that occur again have a class to look up; a class may be a large share of all rows
+    classes = all_sketches.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("c1", "c2", "rep")
+    own = all_sketches.select("id", "c1", "c2").distinct()
+    members = materialize(hot_join(own, classes, ["c1", "c2"], "id", "left").select("id", F.coalesce("rep", "id").alias("rep")), "members")
     reps = all_sketches.join(members.filter("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "b1", "b2", "coordinates")
     pairs = materialize(candidate_pairs(materialize(reps, "representatives"), similarity, target), "candidates")
     return members, materialize(verified(pairs, texts, size, min_words, similarity), "links")
@@ -323,8 +326,10 @@ def near_duplicate_groups(members: DataFrame, links: DataFrame, ids: DataFrame |
     labels = materialize(labels, "labels")
     while True:
         around = edges.join(labels.select(F.col("id").alias("id_b"), F.col("label").alias("l")), "id_b").groupBy("id_a").agg(F.min("l").alias("l"))
-        nearer = labels.join(around.withColumnRenamed("id_a", "id"), "id").select("id", F.least("label", "l").alias("label"), F.col("label").alias("old"))
-        jump = nearer.alias("x").join(nearer.select(F.col("id").alias("label"), F.col("label").alias("l2")).alias("y"), "label", "left")
+        nearer = materialize(labels.join(around.withColumnRenamed("id_a", "id"), "id").select("id", F.least("label", "l").alias("label"), F.col("label").alias("old")), "nearer")
+        # a label that most rows share is looked up once
+        beyond = nearer.select(F.col("id").alias("label"), F.col("label").alias("l2")).join(nearer.select("label").distinct(), "label", "left_semi")
+        jump = hot_join(nearer, beyond, "label", "id", "left")
         new = materialize(jump.select("id", F.least("label", F.coalesce("l2", "label")).alias("label"), "old"), "labels")
         if new.filter("label <> old").isEmpty():
             break
@@ -332,5 +337,6 @@ def near_duplicate_groups(members: DataFrame, links: DataFrame, ids: DataFrame |
     if ids is not None:
         members = ids.filter("id is not null").select("id").distinct().join(members, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     degree = edges.groupBy("id_a").agg(F.count("*").alias("n_links"))
-    grouped = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").join(degree.withColumnRenamed("id_a", "rep"), "rep", "left")
+    known = labels.select(F.col("id").alias("rep"), "label").join(degree.withColumnRenamed("id_a", "rep"), "rep")
+    grouped = hot_join(members, known, "rep", "id", "left")
     return grouped.select("id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

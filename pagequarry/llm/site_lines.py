@@ -97,7 +97,7 @@ def parse_lines(pages: DataFrame) -> DataFrame:
     return pages.filter("host is not null and text is not null").mapInPandas(run, schema)
 
 
-def hot_join(large: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def hot_join(large: DataFrame, small: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
     """Join with the small side written and counted first. One of at most `MAX_BROADCAST_ROWS` rows goes to every task;
     with a larger one, the rows of a key of the large side are spread over `SALTS` parts by another column."""
     small = materialize(small, "site-side")
@@ -105,7 +105,8 @@ def hot_join(large: DataFrame, small: DataFrame, key: str, by: str, how: str = "
         return large.join(F.broadcast(small), key, how)
     spread = large.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(copies, [key, "__salt"], how).drop("__salt")
+    keys = [key] if isinstance(key, str) else key
+    return spread.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def _thresholds(lines_of: DataFrame, min_docs: int, min_share: float) -> DataFrame:
