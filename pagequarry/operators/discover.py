@@ -55,7 +55,7 @@ def keep_first(entries: DataFrame) -> DataFrame:
 def not_yet_crawled(entries: DataFrame, pages: DataFrame, recrawl: bool = False, max_pages: int | None = None) -> DataFrame:
     """Entries to crawl: those without a page, whatever that page's state; all with recrawl; the first max_pages of them."""
     out = entries if recrawl else entries.join(pages.select(F.col("final_url").alias("normalized_url")).distinct(), "normalized_url", "left_anti")
-    return out.orderBy("sitemap_ord", "pos").limit(max_pages) if max_pages is not None else out
+    return out.orderBy("sitemap_ord", "pos", "normalized_url").limit(max_pages) if max_pages is not None else out
 
 
 def already_crawled(entries: DataFrame, pages: DataFrame) -> DataFrame:

@@ -31,6 +31,12 @@ def anti_join_skip(spark, sf_dir):
     return D.not_yet_crawled(entries, _t(spark, sf_dir, "crawler_pages")).select("normalized_url", "sitemap_source", "type_hint")
 
 
+def crawl_queue(spark, sf_dir):
+    """The first 100 URLs of a second crawl: those without a good page, in the order of sitemaps and places."""
+    entries = D.keep_first(_t(spark, sf_dir, "sitemap_urls"))
+    return D.not_yet_crawled(entries, _t(spark, sf_dir, "crawler_pages").filter("crawl_status = 'OK'"), max_pages=100).select("normalized_url", "sitemap_ord", "pos")
+
+
 def already_crawled(spark, sf_dir):
     return D.already_crawled(D.keep_first(_t(spark, sf_dir, "sitemap_urls")), _t(spark, sf_dir, "crawler_pages")).select("normalized_url")
 
@@ -320,6 +326,7 @@ select final_url, {", ".join(f"{v} as {k}" for k, v in out.items())} from c grou
 QUERIES = {
     "dedup_keep_first": (dedup_keep_first, f"select * from {_FIRST}"),
     "anti_join_skip": (anti_join_skip, f"select normalized_url, sitemap_source, type_hint from {_FIRST} f where not exists (select 1 from crawler_pages p where p.final_url = f.normalized_url)"),
+    "crawl_queue": (crawl_queue, f"select normalized_url, sitemap_ord, pos from {_FIRST} f where not exists (select 1 from crawler_pages p where p.final_url = f.normalized_url and p.crawl_status = 'OK') order by sitemap_ord, pos, normalized_url limit 100"),
     "already_crawled": (already_crawled, f"select normalized_url from {_FIRST} f where exists (select 1 from crawler_pages p where p.final_url = f.normalized_url)"),
     "hint_override": (hint_override, "with h as (select distinct on (normalized_url) normalized_url, type_hint as hint from sitemap_urls where normalized_url is not null order by normalized_url, sitemap_ord desc, pos desc, sitemap_source desc, url desc) select id, case when not coalesce(n.norm = final_url, false) and hint is not null and hint is distinct from sitemap_type_hint then hint else sitemap_type_hint end as hint from (select distinct id, final_url, requested_url_original, sitemap_type_hint from crawler_pages) p left join h on h.normalized_url = final_url left join " + _norm("requested_url_original", "crawler_pages") + " n on n.url = requested_url_original"),
     "hint_histogram": (hint_histogram, "select hint, n, round(n * 100 / (select count(*) from sitemap_urls), 2) as pct, array_to_string(list_sort(samples)[1:3], ' ') as samples from (select coalesce(type_hint, '(none)') as hint, count(*) as n, list(distinct url) as samples from sitemap_urls group by 1)"),
