@@ -1,7 +1,8 @@
 """A small fixed set of pages and what the page stage gives for them: every kind of block, menu, link and content strategy.
 
 Whole-table queries of the page stage run over test markup that has no structural blocks and no language switchers, and
-SQL cannot parse pages. These queries parse the pages below; their SQL lists the rows that the markup calls for.
+SQL cannot parse pages. These queries parse the pages below; their SQL lists fixed rows, which were taken from this
+library's output and read over against the markup. They guard against change; they are no second implementation.
 """
 
 from __future__ import annotations
